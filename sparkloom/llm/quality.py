@@ -10,13 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import WORD, packed, unpacked
+from sparkloom.llm.common import WORD, packed, written
 
 #: A line is removed when it stands in at least MIN_DOCS distinct documents of its host
 #: and in more than MAX_SHARE percent of them.
 MIN_DOCS, MAX_SHARE = 5, 10
 #: A document is depleted when more than this percentage of its words stood in removed lines.
 MAX_LOST = 70
+#: Tables of frequent lines and of texts that hold some are broadcast up to this many rows.
+BROADCAST_ROWS = 50_000
 #: Base rules: fewest words; most words in repeated 3-word windows, in percent.
 MIN_WORDS, MAX_REPEAT = 50, 50
 
@@ -79,6 +81,11 @@ def metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def small_or_not(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table, marked for broadcast if it is small; a larger one is joined by a shuffle, where hot keys are split."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
 def lost_lines(docs: DataFrame, text: str, host: str, min_docs: int, max_share: int) -> DataFrame:
     """(l_host, l_th, l_tn, gone, lost_words): for each distinct text of a host that has some, its lines above the limits."""
     t = F.coalesce(F.col(text), F.lit(""))
@@ -86,19 +93,22 @@ def lost_lines(docs: DataFrame, text: str, host: str, min_docs: int, max_share:
     each = named.select("host", "th", "tn", F.explode(lines_of(F.col("t"))).alias("line")).filter(F.col("line").rlike(WORD))
     each = each.select("host", "th", "tn", normal_line(F.col("line")).alias("line"))
     n_words = F.length("line") - F.length(F.translate("line", " ", "")) + 1
-    lines = each.groupBy("host", "th", "tn", F.xxhash64("line").alias("lh")).agg(F.sum(n_words).alias("w"))
+    lines = each.select("host", "th", "tn", F.xxhash64("line").alias("lh")).distinct()
     copies = named.groupBy("host", "th", "tn").agg(F.count("*").alias("copies"))
     sizes = copies.groupBy(F.col("host").alias("s_host")).agg(F.count("*").alias("docs"))
     common = lines.groupBy(F.col("host").alias("f_host"), F.col("lh").alias("f_lh")).agg(F.count("*").alias("df"))
     common = common.filter(F.col("df") >= min_docs)
     above = common.join(sizes, common.f_host.eqNullSafe(sizes.s_host)).filter(F.col("df") * 100 > F.col("docs") * max_share)
-    hit = lines.join(above.select("f_host", "f_lh"), lines.host.eqNullSafe(F.col("f_host")) & (lines.lh == F.col("f_lh")))
+    above = small_or_not(written(above.select("f_host", "f_lh"), "quality-lines"))
+    raw = each.select("host", "th", "tn", F.xxhash64("line").alias("lh"), n_words.alias("w"))
+    hit = raw.join(above, raw.host.eqNullSafe(F.col("f_host")) & (raw.lh == F.col("f_lh")))
     lost = hit.groupBy(F.col("host").alias("l_host"), F.col("th").alias("l_th"), F.col("tn").alias("l_tn")).agg(
         F.sum("w").alias("all_w"), F.collect_set("lh").alias("gone")
     )
     # w is summed over the copies of a text
     both = lost.join(copies, F.col("host").eqNullSafe(F.col("l_host")) & (F.col("th") == F.col("l_th")) & (F.col("tn") == F.col("l_tn")))
-    return both.select("l_host", "l_th", "l_tn", "gone", (F.col("all_w") / F.col("copies")).cast("long").alias("lost_words"))
+    both = both.select("l_host", "l_th", "l_tn", "gone", (F.col("all_w") / F.col("copies")).cast("long").alias("lost_words"))
+    return small_or_not(written(both, "quality-lost"))
 
 
 def judged(

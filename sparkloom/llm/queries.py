@@ -5,11 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkloom.llm import mixing, quality
+from sparkloom.llm import html, licenses, mixing, quality, simhash, topk, warc
 from sparkloom.llm.common import table
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(table(spark, sf_dir, "pages"))
+
+
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.judged(docs, keep=["doc_id"]).select(
@@ -17,16 +30,34 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.read(warc.write(table(spark, sf_dir, "pages")), payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.grouped(table(spark, sf_dir, "documents"))
+    return groups.select(F.col("key").alias("doc_id"), simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_html_extraction": op2_html_extraction,
+    "op3_exact_topk": op3_exact_topk,
+    "op5_license_scan": op5_license_scan,
     "op6_quality_rules": op6_quality_rules,
+    "op7_warc": op7_warc,
     "op9_source_mixing": op9_source_mixing,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_exact_topk": topk.oracle(),
+    "op5_license_scan": licenses.oracle(),
     "op6_quality_rules": quality.oracle(),
+    "op7_warc": warc.oracle(),
     "op9_source_mixing": mixing.oracle(),
 }
