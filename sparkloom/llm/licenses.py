@@ -17,8 +17,8 @@ from sparkloom.llm.common import UPPER, LOWER
 #: Words in a k-gram; how far diagonals of one span may lie apart; the part of a template's k-grams that has to be found.
 K, SLACK, MIN_COVER = 3, 2, 0.75
 
-#: Words of the texts, base phrases with their labels, and notices that licenses ask to be quoted.
-WORDS = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
+#: What stands between words, base phrases with their labels, and notices that licenses ask to be quoted.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 TEMPLATES = [
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -51,22 +51,22 @@ def folded(text: Column) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(folded(text), F.lit(WORDS), F.lit(1))
+    """The words of a folded text."""
+    return F.array_remove(F.split(text, BETWEEN), "")
 
 
 def gram_table(spark: SparkSession, templates: list[tuple[str, str]], k: int) -> DataFrame:
-    """(label, tid, t, gram, size): every k-gram of every template. It grows with the templates alone."""
+    """(label, tid, t, size, th, tw): every k-gram of every template, hash and words. It grows with the templates alone."""
     source = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(templates)], "tid int, label string, text string")
-    words = source.select("tid", "label", words_of(F.col("text")).alias("w")).filter(F.size("w") >= k)
-    size = F.size("w") - (k - 1)
-    grams = words.select("tid", "label", size.alias("size"), F.posexplode(grams_of("w", k)).alias("t", "tgram"))
-    return grams.withColumn("th", F.xxhash64("tgram"))
+    words = source.select("tid", "label", words_of(folded(F.col("text"))).alias("w")).filter(F.size("w") >= k)
+    grams = words.select("tid", "label", (F.size("w") - (k - 1)).alias("size"), "w", F.posexplode(gram_hashes("w", k)).alias("t", "th"))
+    return grams.select("tid", "label", "size", "t", "th", F.slice("w", F.col("t") + 1, F.lit(k)).alias("tw"))
 
 
-def grams_of(words: str, k: int) -> Column:
+def gram_hashes(words: str, k: int) -> Column:
     w = F.col(words)
     return F.transform(
-        F.slice(w, F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(0))), lambda x, i: F.concat_ws(" ", x, *[F.get(w, i + j) for j in range(1, k)])
+        F.slice(w, F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(w, i + j) for j in range(1, k)])
     )
 
 
@@ -74,9 +74,12 @@ def spans(docs: DataFrame, key: list[str], words: str, templates: list[tuple[str
     """(key columns, label, tid, first, last, cover): accepted spans, words first to last of the text."""
     if any(len(text.split()) > 64 for _, text in templates):
         raise ValueError("a template has 64 words at most; give a longer notice in parts")
-    grams = docs.select(*key, F.posexplode(grams_of(words, k)).alias("i", "gram")).withColumn("h", F.xxhash64("gram"))
+    grams = docs.select(*key, F.col(words).alias("w"), F.posexplode(gram_hashes(words, k)).alias("i", "h"))
     table = F.broadcast(gram_table(docs.sparkSession, templates, k))  # a few hundred rows, by the templates
-    hits = grams.join(table, (F.col("h") == F.col("th")) & (F.col("gram") == F.col("tgram")))
+    equal = F.col("h") == F.col("th")
+    for j in range(k):
+        equal = equal & (F.get("w", F.col("i") + j) == F.get("tw", F.lit(j)))
+    hits = grams.join(table, equal)
     diagonals = hits.groupBy(*key, "tid", "label", "size", (F.col("i") - F.col("t")).alias("diagonal")).agg(
         F.expr("bit_or(shiftleft(1L, t))").alias("found"), F.min("i").alias("lo"), F.max("i").alias("hi")
     )
@@ -91,7 +94,7 @@ def spans(docs: DataFrame, key: list[str], words: str, templates: list[tuple[str
     return merged.filter((cover >= min_cover) & whole).select(*key, "label", "tid", "first", "last", cover.alias("cover"))
 
 
-def base_places(words: str) -> Column:
+def base_places(words: str, text: str) -> Column:
     """Struct (phrase number, place) of every place where a base phrase's words stand."""
     w = F.col(words)
     parts = [p.split() for p in PHRASES]
@@ -107,10 +110,16 @@ def base_places(words: str) -> Column:
         return F.transform(found, lambda i: F.struct(F.lit(n).alias("p"), i.alias("i")))
 
     lists = [places(n, phrase) for n, phrase in enumerate(parts)]
-    # an array without all words of a phrase is passed over whole
-    there = [F.forall(F.array(*[F.lit(x) for x in p]), lambda x: F.array_contains(w, x)) for p in parts]
+    # a text without all words of a phrase is passed over whole
     none = F.array().cast("array<struct<p:int,i:int>>")
-    return F.concat(*[F.when(t, x).otherwise(none) for t, x in zip(there, lists, strict=True)])
+
+    def there(phrase: list[str]) -> Column:
+        test = F.lit(True)
+        for word in phrase:
+            test = test & F.contains(F.col(text), F.lit(word))
+        return test
+
+    return F.concat(*[F.when(there(p), x).otherwise(none) for p, x in zip(parts, lists, strict=True)])
 
 
 def scanned(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -122,9 +131,10 @@ def scanned(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     table gives an empty one. Extra columns are not looked at.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    cut = docs.select(F.col(key).alias("key"), F.xxhash64(t).alias("th"), F.length(t).alias("tn"), words_of(t).alias("words"))
+    cut = docs.select(F.col(key).alias("key"), F.xxhash64(t).alias("th"), F.length(t).alias("tn"), folded(t).alias("folded"))
+    cut = cut.withColumn("words", words_of(F.col("folded")))
     names = list(PHRASES.values())
-    base = cut.withColumn("places", base_places("words")).select(
+    base = cut.withColumn("places", base_places("words", "folded")).select(
         "key", "th", "tn",
         F.size("words").cast("long").alias("n_words"),
         F.size("places").cast("long").alias("n_base"),
@@ -132,8 +142,8 @@ def scanned(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
         F.array_max(F.transform("places", lambda x: x["i"])).cast("long").alias("last_word"),
         F.transform(F.array_distinct(F.transform("places", lambda x: x["p"])), lambda p: F.get(F.array(*[F.lit(n) for n in names]), p)).alias("named"),
     )
-    texts = cut.withColumnsRenamed({"th": "d_th", "tn": "d_tn"}).withColumnRenamed("key", "d_key")
-    found = spans(texts.filter(F.size("words") >= K).withColumn("d_key", F.col("d_key").cast("string")), ["d_key", "d_th", "d_tn"], "words")
+    texts = cut.select(F.col("key").cast("string").alias("d_key"), F.col("th").alias("d_th"), F.col("tn").alias("d_tn"), "words")
+    found = spans(texts, ["d_key", "d_th", "d_tn"], "words")
     best = found.groupBy("d_key", "d_th", "d_tn").agg(F.collect_set("label").alias("own"), F.max("cover").alias("cover"))
     joined = base.join(best, F.col("key").cast("string").eqNullSafe(F.col("d_key")) & (F.col("th") == F.col("d_th")) & (F.col("tn") == F.col("d_tn")), "left")
     empty = F.array().cast("array<string>")
