@@ -79,6 +79,18 @@ def unpacked(row: str, columns: list[str]) -> list[Column]:
     return [F.col(row).getField(c).alias(c) for c in columns]
 
 
+def fixed(df: DataFrame, *names: str) -> DataFrame:
+    """df with the named columns computed once, here.
+
+    A filter that stands above is otherwise pushed below the projections that make them,
+    with their expressions put in; within a lambda, an array's expression is then worked out
+    anew for each element of another. A generator is not passed by filters.
+    """
+    others = [c for c in df.columns if c not in names]
+    made = df.select(*others, F.explode(F.array(F.struct(*names))).alias("made"))
+    return made.select(*others, *[F.col("made").getField(n).alias(n) for n in names])
+
+
 def components(edges: DataFrame, tag: str, rounds: int = 40) -> DataFrame:
     """Connected components of an edge table (a, b), of any comparable type: (node, component).
 

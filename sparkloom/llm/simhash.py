@@ -78,7 +78,7 @@ def table_keys(fp: Column) -> Column:
 
 
 def near_pairs(values: np.ndarray, starts: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Places (a, b), a > b, of values at radius or fewer differing bits (radius 3 or less) within the same run.
+    """Places (a, b), a > b, of values at radius or fewer differing bits within the same run.
 
     values: uint64, run after run; starts: where runs begin. Runs of up to 64 are compared
     all at once, a word of lanes each; longer ones one at a time, with words of lanes.
@@ -117,29 +117,44 @@ def near_pairs(values: np.ndarray, starts: np.ndarray, radius: int = RADIUS) ->
 
 
 def _sliced(values: np.ndarray, plane, alive: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows left, words of lanes over the radius): distances of each value to its lanes, counted bit plane by bit plane."""
+    """(rows left, words of lanes over the radius): distances of each value to its lanes, counted bit plane by bit plane.
+
+    The counters are carry-save: word i holds bit i of 64 distances. A carry out of the last
+    one sticks in over, and so does what a comparison with the radius finds every 8 planes.
+    """
     rows = np.flatnonzero(alive.any(axis=1))
-    shape = (len(rows), alive.shape[1])
-    ones, twos, over = np.zeros(shape, np.uint64), np.zeros(shape, np.uint64), ~alive[rows]
+    over = ~alive[rows]
+    count = [np.zeros(over.shape, np.uint64) for _ in range(max(1, radius.bit_length()))]
     for p in range(64):
         own = (np.uint64(0) - ((values[rows] >> np.uint64(p)) & np.uint64(1)))[:, None]
-        x = plane(p, rows) ^ own
-        carry = ones & x
-        ones ^= x
-        more = twos & carry
-        twos ^= carry
-        over |= more
-        if radius < 3:
-            over |= (twos & ones) if radius == 2 else twos if radius == 1 else (twos | ones)
+        carry = plane(p, rows) ^ own
+        for c in count:
+            more = c & carry
+            c ^= carry
+            carry = more
+        over |= carry
         if p % 8 == 7:
+            over |= _above(count, radius)
             going = (over != FULL).any(axis=1)
             if not going.all():
-                rows, ones, twos, over = rows[going], ones[going], twos[going], over[going]
+                rows, over, count = rows[going], over[going], [c[going] for c in count]
                 if not len(rows):
                     break
     return rows, over
 
 
+def _above(count: list[np.ndarray], radius: int) -> np.ndarray:
+    """Lanes whose counter is greater than the radius."""
+    above, equal = np.zeros_like(count[0]), ~np.zeros_like(count[0])
+    for i in range(len(count) - 1, -1, -1):
+        if radius >> i & 1:
+            equal &= count[i]
+        else:
+            above |= equal & count[i]
+            equal &= ~count[i]
+    return above
+
+
 def _places(rows: np.ndarray, near: np.ndarray, place: np.ndarray, first) -> tuple[np.ndarray, np.ndarray]:
     r, word = np.nonzero(near)
     bits = np.unpackbits(np.ascontiguousarray(near[r, word]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -228,18 +243,181 @@ def hexed(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """docs with one document of each component: the one with the smallest key, of equal ones that with the smallest hash.
+# --- near copies by similarity: SimHash at a wide radius, within blocks, and verified
+
+
+def sketch(text: str, size: int, functions: int) -> tuple[int, list[int]]:
+    """The fingerprint and the smallest hash under each function, of the text's shingles (of all words, if fewer; of none, the empty one)."""
+    words = text.encode().lower().split()
+    if len(words) < size:
+        words, size = [b" ".join(words)], 1
+    total, n = np.zeros(64, dtype=np.int64), len(words) - size + 1
+    least = np.full(functions, FULL, dtype=np.uint64)
+    digest = xxhash.xxh64_intdigest
+    for at in range(0, n, STEP):
+        part = words[at : min(n, at + STEP) + size - 1]
+        hashes = np.fromiter((digest(x, SEED) for x in map(b" ".join, zip(*[part[i:] for i in range(size)]))), dtype="<u8")
+        total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+        for f in range(functions):
+            least[f] = min(least[f], mixed(hashes ^ np.uint64(0x9E3779B97F4A7C15 * (f + 1) % 2**64)).min())
+    bits = np.packbits(2 * total > n, bitorder="little")
+    return int(bits.view("<i8")[0]), least.view(np.int64).tolist()
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+
+
+def sketches(batches: Iterator[pa.RecordBatch], size: int, functions: int) -> Iterator[pa.RecordBatch]:
+    """Of batches (row, text): row, fingerprint and smallest hashes; a text that repeats in a batch is sketched once."""
+    for b in batches:
+        texts = b.column(1).to_pylist()
+        known = {t: sketch(t, size, functions) for t in dict.fromkeys(texts)}
+        found = [known[t] for t in texts]
+        keys = pa.array([k for _, k in found], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f for f, _ in found], pa.int64()), keys], ["row", "fp", "keys"])
+
+
+def spanning(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Edges of a spanning forest that takes the lightest ones: in rounds, each component's lightest edge to another."""
+    root, chosen = np.arange(n), np.zeros(len(a), bool)
+    order = np.argsort(weight, kind="stable")
+    a, b = a[order], b[order]
+    while True:
+        ra, rb = root[a], root[b]
+        out = np.flatnonzero(ra != rb)
+        if not len(out):
+            return order[chosen]
+        first = np.full(n, len(a))
+        np.minimum.at(first, ra[out], out)
+        np.minimum.at(first, rb[out], out)
+        picked = np.unique(first[first < len(a)])
+        chosen[picked] = True
+        root = forest(n, np.concatenate([np.arange(n), a[picked]]), np.concatenate([root, b[picked]]))
+
+
+def near_runs(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of texts within the radius, of rows (k, i, j, fp, uid) sorted by k, i, j, fp: a lightest spanning forest of each run."""
+    held: list[np.ndarray] = []
+
+    def edges(rows: np.ndarray) -> pa.RecordBatch:
+        new = np.append(True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1))
+        # texts with one fingerprint follow each other and are linked in a row; one of them is compared
+        same = np.flatnonzero(~new & np.append(False, rows[1:, 3] == rows[:-1, 3]))
+        keep = np.flatnonzero(new | np.append(True, rows[1:, 3] != rows[:-1, 3]))
+        some = rows[keep]
+        starts = np.flatnonzero(new[keep])
+        values = np.ascontiguousarray(some[:, 3]).view(np.uint64)
+        a, b = near_pairs(values, starts, radius)
+        pick = spanning(len(some), a, b, np.bitwise_count(values[a] ^ values[b]))
+        x, y = np.concatenate([rows[same - 1, 4], some[a[pick], 4]]), np.concatenate([rows[same, 4], some[b[pick], 4]])
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    for batch in batches:
+        rows = np.stack([np.asarray(batch.column(i).to_numpy(zero_copy_only=False), dtype=np.int64) for i in range(5)], axis=1)
+        rows = np.concatenate([*held, rows]) if held else rows
+        changes = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
+        if not len(changes):
+            held = [rows]
+            continue
+        held = [rows[changes[-1] :]]
+        yield edges(rows[: changes[-1]])
+    if held and len(held[0]):
+        yield edges(held[0])
+
 
-    Only keys and hashes go through the search; the texts are shuffled once, to meet the
-    chosen keys. Of a component with null keys alone one row stays.
+def shingle_set(text: str, size: int) -> np.ndarray:
+    words = text.encode().lower().split()
+    if len(words) < size:
+        words, size = [b" ".join(words)], 1
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in map(b" ".join, zip(*[words[i:] for i in range(size)]))), dtype="<u8"))
+
+
+def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Of (a, b, text of a): the shingles of a in place of the text; rows of one text follow each other."""
+    last, data = None, b""
+    for batch in batches:
+        out = []
+        for uid, t in zip(batch.column("a").to_pylist(), batch.column("t")):
+            if uid != last:
+                last, data = uid, shingle_set(t.as_py(), size).tobytes()
+            out.append(data)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.binary())], ["a", "b", "shingles"])
+
+
+def _similar(batches: Iterator[pa.RecordBatch], size: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Of (a, b, shingles of a, text of b): the pairs whose shingle sets are similar enough."""
+    last, mine = None, np.empty(0, np.uint64)
+    for batch in batches:
+        keep = []
+        for uid, t, data in zip(batch.column("b").to_pylist(), batch.column("t"), batch.column("shingles").to_pylist()):
+            if uid != last:
+                last, mine = uid, shingle_set(t.as_py(), size)
+            other = np.frombuffer(data, "<u8")
+            both = len(np.intersect1d(mine, other, assume_unique=True))
+            keep.append(both >= similarity * (len(mine) + len(other) - both))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def small_or_not(table: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A written table of hashes, marked for broadcast if it is small; a larger one is joined by a shuffle."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
+def near_copies(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 16, functions: int = 8, chunk: int = CHUNK) -> DataFrame:
+    """(uid, node) of the distinct texts that have a near copy: uid is the text's hash, node its component.
+
+    Two texts are near copies if the Jaccard similarity of their word shingles is at least
+    similarity. Texts of one block (equal smallest shingle hash under one of the functions;
+    two near copies miss all of them with a chance of 0.2 ** 8 at 0.8) are compared by
+    bit-sliced distance; of what is within the radius each block gives the closest links, a
+    spanning forest, and those are verified on whole texts.
+    """
+    ship(docs.sparkSession)
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    rows = docs.select(F.struct(F.xxhash64(t).alias("uid")).alias("row"), t.alias("t"))
+    like = rows.select("row", F.lit(0).cast("long").alias("fp"), F.array(F.lit(0).cast("long")).alias("keys")).schema
+    marks = rows.mapInArrow(lambda b: sketches(b, shingle, functions), like).select("row.uid", "fp", "keys")
+    marks = written(marks.groupBy("uid").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys")), "simhash-sketches")
+    keyed = marks.select("uid", "fp", F.posexplode("keys").alias("f", "key")).select("uid", "fp", F.xxhash64("f", "key").alias("k"))
+    counts = keyed.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
+    sized = keyed.join(counts, "k").withColumn("m", F.when(F.col("n") <= 2 * chunk, F.lit(1)).otherwise(F.ceil(F.col("n") / chunk)).cast("int"))
+    own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("m")).cast("int")
+    tiles = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    dealt = sized.select("k", "fp", "uid", F.explode(tiles).alias("t")).select("k", "t.i", "t.j", "fp", "uid")
+    together = dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "fp", "uid")
+    asked = written(together.mapInArrow(lambda b: near_runs(b, radius), "a long, b long").distinct(), "simhash-asked")
+    involved = small_or_not(written(asked.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "simhash-involved"))
+    texts = rows.select("row.uid", "t").join(involved, "uid", "left_semi").dropDuplicates(["uid"])
+    one = asked.join(texts.withColumnRenamed("uid", "a"), "a").mapInArrow(lambda b: _sets(b, shingle), "a long, b long, shingles binary")
+    two = one.join(texts.withColumnRenamed("uid", "b"), "b").mapInArrow(lambda b: _similar(b, shingle, similarity), "a long, b long")
+    return components(two, "simhash-copies").withColumnsRenamed({"node": "uid", "component": "node"})
+
+
+def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", **limits) -> DataFrame:
+    """docs with one document of each group of near copies: that with the smallest key (nulls last), of equal ones that with the smallest hash.
+
+    Only keys and hashes go through the search for groups. Null texts count as empty; blank
+    texts are copies of each other; of rows that repeat one stays. Very long texts are
+    compared whole; an empty table gives an empty one; extra columns are kept.
     """
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    mark = {"th": F.xxhash64(t), "tn": F.length(t)}
-    groups = grouped(docs, text, key, radius, mark)
-    chosen = groups.groupBy("node").agg(F.min(F.struct(F.col("key").isNull().alias("last"), "key", "th", "tn")).alias("w"))
-    chosen = chosen.select(F.coalesce(F.col("w.key").cast("string"), F.lit("")).alias("wk"), F.col("w.last").alias("wl"), F.col("w.th").alias("wh"), F.col("w.tn").alias("wn"))
-    name = F.col("row").getField(key)
-    rows = packed(docs).select("row", F.coalesce(name.cast("string"), F.lit("")).alias("wk"), name.isNull().alias("wl"), F.xxhash64(F.coalesce(F.col("row").getField(text), F.lit(""))).alias("wh"), F.length(F.coalesce(F.col("row").getField(text), F.lit(""))).alias("wn"))
-    on = ["wk", "wl", "wh", "wn"]
-    return rows.join(chosen, on, "left_semi").dropDuplicates(on).select(*unpacked("row", docs.columns))
+    name = F.col(f"`{key}`")
+    ids = written(docs.select(F.coalesce(name.cast("string"), F.lit("")).alias("wk"), name.alias("key"), name.isNull().alias("wl"), F.xxhash64(t).alias("uid")), "simhash-ids")
+    groups = near_copies(docs, text, **limits).withColumnRenamed("uid", "g_uid")
+    named = ids.join(groups, ids.uid == F.col("g_uid"), "left").withColumn("c", F.coalesce("node", "uid"))
+    first = named.groupBy(F.col("c").alias("fc")).agg(F.min(F.struct("wl", "key", "uid", "wk")).alias("w"), F.count("*").alias("size")).filter("size > 1")
+    # of groups of more than one, all but the first go
+    lost = named.join(first, F.col("c") == F.col("fc")).filter(~(F.col("wl").eqNullSafe(F.col("w.wl")) & (F.col("wk") == F.col("w.wk")) & (F.col("uid") == F.col("w.uid"))))
+    lost = small_or_not(written(lost.select("wk", "wl", "uid").distinct(), "simhash-lost"))
+    again = named.groupBy("wk", "wl", "uid").agg(F.count("*").alias("n")).filter("n > 1").select("wk", "wl", "uid")
+    again = small_or_not(written(again, "simhash-again"))
+    whole = F.coalesce(F.col("row").getField(text), F.lit(""))
+    mine = F.col("row").getField(key)
+    rows = packed(docs).select("row", F.coalesce(mine.cast("string"), F.lit("")).alias("wk"), mine.isNull().alias("wl"), F.xxhash64(whole).alias("uid"))
+    on = ["wk", "wl", "uid"]
+    left = rows.join(lost, on, "left_anti")
+    # rows that repeat both key and text are few, unless the table is odd; only they are shuffled for it
+    once = left.join(again, on, "left_anti").unionAll(left.join(again, on, "left_semi").dropDuplicates(on).select(*left.columns))
+    return once.select(*unpacked("row", docs.columns))
