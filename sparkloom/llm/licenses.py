@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import UPPER, LOWER
+from sparkloom.llm.common import LOWER, UPPER, fixed
 
 #: Words in a k-gram; how far diagonals of one span may lie apart; the part of a template's k-grams that has to be found.
 K, SLACK, MIN_COVER = 3, 2, 0.75
@@ -142,6 +142,7 @@ def scanned(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
         F.array_max(F.transform("places", lambda x: x["i"])).cast("long").alias("last_word"),
         F.transform(F.array_distinct(F.transform("places", lambda x: x["p"])), lambda p: F.get(F.array(*[F.lit(n) for n in names]), p)).alias("named"),
     )
+    base = fixed(base, "n_words", "n_base", "first_word", "last_word", "named")
     texts = cut.select(F.col("key").cast("string").alias("d_key"), F.col("th").alias("d_th"), F.col("tn").alias("d_tn"), "words")
     found = spans(texts, ["d_key", "d_th", "d_tn"], "words")
     best = found.groupBy("d_key", "d_th", "d_tn").agg(F.collect_set("label").alias("own"), F.max("cover").alias("cover"))
