@@ -1,10 +1,387 @@
-"""The registered queries of the modelling and forecasting operators, with their oracle SQL."""
+"""The registered queries of the modelling and forecasting operators, with their oracle SQL.
+
+Doubles are rounded in both engines, as their sums run in different orders.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sparkloom.functions.scalars import clean_names, date_parts, fourier, holiday_flags, us_holidays
+from sparkloom.operators import association, drift, encode, forecast, metrics, panel, profile, reconcile, season, select, split, target
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function as the query of its name, with DuckDB SQL of the same rows."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return df.select(*[F.round(c, digits).alias(c) if isinstance(kinds[c], (T.DoubleType, T.FloatType)) else F.col(c) for c in df.columns])
+
+
+# --- profile and guardrails
+
+
+@query("""
+select feature, count(*) n_rows, count(*) filter (v is null) n_missing, count(distinct v) n_unique from (
+  unpivot (select o_orderkey::varchar a, o_custkey::varchar b, o_orderstatus c, o_orderpriority d from orders) on a, b, c, d into name f value v)
+  join (values ('a','o_orderkey'), ('b','o_custkey'), ('c','o_orderstatus'), ('d','o_orderpriority')) m(f, feature) using (f) group by 1""")
+def profile_missing_unique(spark, sf):
+    return profile.missing_unique(read(spark, sf, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
+
+
+@query("""
+select feature, sum(n)::bigint n, max(n) top_n, round(max(n) / sum(n), 6) top_share from (
+  select 'l_returnflag' feature, l_returnflag v, count(*) n from lineitem group by 2 union all
+  select 'l_linestatus', l_linestatus, count(*) from lineitem group by 2 union all
+  select 'l_linenumber', l_linenumber::varchar, count(*) from lineitem group by 2) group by 1""")
+def profile_top_share(spark, sf):
+    return rounded(profile.top_share(read(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber"]))
+
+
+@query("""
+with s as (
+  select 'p_partkey' feature, 'bigint' dtype, count(*) n_rows, count(distinct p_partkey) n_unique, null::double avg_length, max(c) top from (select p_partkey, count(*) over (partition by p_partkey) c from part) union all
+  select 'p_name', 'string', count(*), count(distinct p_name), avg(length(p_name)), max(c) from (select p_name, count(*) over (partition by p_name) c from part) union all
+  select 'p_brand', 'string', count(*), count(distinct p_brand), avg(length(p_brand)), max(c) from (select p_brand, count(*) over (partition by p_brand) c from part) union all
+  select 'p_type', 'string', count(*), count(distinct p_type), avg(length(p_type)), max(c) from (select p_type, count(*) over (partition by p_type) c from part) union all
+  select 'p_size', 'int', count(*), count(distinct p_size), null, max(c) from (select p_size, count(*) over (partition by p_size) c from part) union all
+  select 'p_retailprice', 'double', count(*), count(distinct p_retailprice), null, max(c) from (select p_retailprice, count(*) over (partition by p_retailprice) c from part))
+select feature, dtype, n_rows, 0.0::double missing_pct, n_unique, round(top / n_rows, 6) top_share, round(avg_length, 6) avg_length,
+  concat_ws(',', case when n_unique <= 1 or top / n_rows >= .995 then 'constant' end, case when n_unique / n_rows >= .999 and dtype in ('bigint', 'int', 'string') then 'id_like' end,
+    case when avg_length >= 60 then 'free_text' end, case when dtype = 'string' and n_unique > 50 then 'many_levels' end) flags from s""")
+def profile_flags(spark, sf):
+    return rounded(profile.profile(read(spark, sf, "part"))).withColumn("flags", F.concat_ws(",", "flags"))
+
+
+@query("""
+select o_orderkey, year(d)::int "year", month(d)::int "month", day(d)::int "day", (isodow(d) - 1)::int dayofweek, hour(d)::int "hour", (isodow(d) >= 6)::int is_weekend,
+  date_diff('day', date '1970-01-01', d::date)::int epoch_days from (select o_orderkey, o_orderdate d from orders)""")
+def date_decompose(spark, sf):
+    return read(spark, sf, "orders").select("o_orderkey", *[c.alias(n) for n, c in date_parts(F.col("o_orderdate")).items()])
+
+
+@query("""
+select 'events.ts' feature, count(*) n, count(*) filter (regexp_matches(v, '[-/:]')) with_mark, count(try_cast(v as timestamp)) parsed from (select ts::varchar v from events order by event_id limit 500)
+union all select 'documents.source', count(*), count(*) filter (regexp_matches(source, '[-/:]')), count(try_cast(source as timestamp)) from (select source from documents order by doc_id limit 500)""")
+def datetime_sniff(spark, sf):
+    a = profile.time_share(read(spark, sf, "events"), "ts", ["event_id"]).select(F.lit("events.ts").alias("feature"), "*")
+    b = profile.time_share(read(spark, sf, "documents"), "source", ["doc_id"]).select(F.lit("documents.source").alias("feature"), "*")
+    return a.unionByName(b)
+
+
+@query("""select 'text' feature, round(avg(length(text)), 6) avg_length, avg(length(text)) >= 60 is_text from documents
+union all select 'source', round(avg(length(source)), 6), avg(length(source)) >= 60 from documents""")
+def text_stats(spark, sf):
+    found = profile.text_length(read(spark, sf, "documents"), ["text", "source"])
+    return found.select("feature", F.round("avg_length", 6).alias("avg_length"), (F.col("avg_length") >= 60).alias("is_text"))
+
+
+@query("""select min(doc_id) doc_id, n_chars from documents group by text, n_chars""")
+def dedup_rows(spark, sf):
+    return profile.without_repeats(read(spark, sf, "documents"), ["doc_id"], ["text"]).select("doc_id", "n_chars")
+
+
+@query("""select doc_id, lang from documents where lang in (select lang from documents group by 1 having count(*) >= (select count(*) / 8 from documents))""")
+def rare_class_filter(spark, sf):
+    docs = read(spark, sf, "documents")
+    return target.without_rare(docs, "lang", -(-docs.count() // 8)).select("doc_id", "lang")
+
+
+@query("""select o_orderkey, o_orderstatus, (dense_rank() over (order by o_orderstatus) - 1)::int code from orders""")
+def label_encode(spark, sf):
+    return target.labelled(read(spark, sf, "orders"), "o_orderstatus").select("o_orderkey", "o_orderstatus", "code")
+
+
+@query("""select o_orderstatus "class", count(*) n, round(max(count(*)) over () / count(*), 6) imbalance from orders group by 1""")
+def class_imbalance(spark, sf):
+    return rounded(target.class_counts(read(spark, sf, "orders"), "o_orderstatus"))
+
+
+_STATS = """
+with q as (select quantile_cont({y}, .25) a, quantile_cont({y}, .75) b from {t}),
+s as (select '{n}' feature, count(*) n, avg({y}) mean, median({y}) median, stddev_pop({y}) sd, skewness({y}) skew,
+  count(*) filter ({y} < a - 3 * (b - a) or {y} > b + 3 * (b - a)) / count(*) outlier_share, count(*) filter ({y} = 0) / count(*) zero_share, min({y}) > 0 positive,
+  bool_and({y} = floor({y})) whole, count(distinct {y}) n_distinct, min({y}) low from (select {y}::double {y} from {t}) t, q)"""
+_ROUND = "feature, n, round(mean, 4) mean, round(median, 4) median, round(sd, 4) sd, round(skew, 4) skew, round(outlier_share, 6) outlier_share, round(zero_share, 6) zero_share, positive, whole, n_distinct, round(low, 4) low"
+
+
+def _stats(spark, sf, t, y):
+    s = target.statistics(read(spark, sf, t), y)
+    return s.select(F.lit(f"{t}.{y}").alias("feature"), "n", *[F.round(c, 4).alias(c) for c in ("mean", "median", "sd", "skew")], F.round("outlier_share", 6).alias("outlier_share"), F.round("zero_share", 6).alias("zero_share"), "positive", "whole", "n_distinct", F.round("low", 4).alias("low"))
+
+
+@query(_STATS.format(y="o_totalprice", t="orders", n="orders.o_totalprice") + f" select {_ROUND} from s")
+def target_stats(spark, sf):
+    return _stats(spark, sf, "orders", "o_totalprice")
+
+
+_RULES = """ select feature, case when abs(skew) > 2 or outlier_share > .01 then 'MAE' else 'RMSE' end metric,
+  case when whole and low >= 0 and n_distinct <= least(100, greatest(10, n * .05)) then 'poisson' when zero_share > .05 and skew > 1 and low >= 0 then 'tweedie'
+    when positive and skew > 2 then 'gamma' when positive and skew > 1 then 'log_target' else 'squared' end objective from s"""
+
+
+@query(
+    "select * from (" + _STATS.format(y="value", t="events", n="events.value") + _RULES + ") union all select * from (" + _STATS.format(y="l_quantity", t="lineitem", n="lineitem.l_quantity") + _RULES + ")"
+)
+def metric_and_objective(spark, sf):
+    a = target.decided(_stats(spark, sf, "events", "value"))
+    b = target.decided(_stats(spark, sf, "lineitem", "l_quantity"))
+    return a.unionByName(b).select("feature", "metric", "objective")
+
+
+# --- splits, folds, samples
+
+_HASH = "md5({k}::varchar || '-{s}')"
+
+
+@query(f"""select o_orderkey, o_orderstatus, case when row_number() over (partition by o_orderstatus order by {_HASH.format(k="o_orderkey", s=42)}, o_orderkey) <= round(count(*) over (partition by o_orderstatus) * .2)
+  then 'holdout' else 'train' end split from orders""")
+def split_stratified(spark, sf):
+    return split.stratified_holdout(read(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", "o_orderstatus")
+
+
+@query("""select o_orderkey, case when row_number() over (order by o_orderdate, o_orderkey) <= count(*) over () - greatest(1, floor(count(*) over () * .2)) then 'train' else 'holdout' end split from orders""")
+def split_time(spark, sf):
+    return split.time_holdout(read(spark, sf, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey").select("o_orderkey", "split")
+
+
+@query(f"""with g as (select o_custkey, row_number() over (order by {_HASH.format(k="o_custkey", s=42)}, o_custkey) r, count(*) over () n from (select distinct o_custkey from orders))
+select o_orderkey, o_custkey, case when r <= floor(n * .2 + .5) then 'holdout' else 'train' end split from orders join g using (o_custkey)""")
+def split_group(spark, sf):
+    return split.group_holdout(read(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_custkey").select("o_orderkey", "o_custkey", "split")
+
+
+@query(f"""select doc_id, quality, ((row_number() over (partition by quality order by {_HASH.format(k="doc_id", s=42)}, doc_id) - 1) % 5)::int fold from labels""")
+def kfold_assign(spark, sf):
+    return split.folds(read(spark, sf, "labels").select("doc_id", "quality"), "doc_id", 5, "quality")
+
+
+@query(f"""select doc_id, quality, ((row_number() over (partition by quality order by {_HASH.format(k="doc_id", s=1042)}, doc_id) - 1) % 5)::int fold from labels""")
+def kfold_fresh(spark, sf):
+    return split.folds(read(spark, sf, "labels").select("doc_id", "quality"), "doc_id", 5, "quality", 1042)
+
+
+@query(f"""select o_orderkey, o_custkey, (('0x' || substr({_HASH.format(k="o_custkey", s=42)}, 1, 8))::bigint % 5)::int fold from orders""")
+def group_folds(spark, sf):
+    return split.group_folds(read(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_custkey")
+
+
+@query("""select o_orderkey, greatest(0, ceil((row_number() over (order by o_orderdate, o_orderkey) - (n - 3 * (n // 4))) / (n // 4)))::int block from (select *, count(*) over () n from orders)""")
+def time_folds(spark, sf):
+    return split.time_folds(read(spark, sf, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey").select("o_orderkey", "block")
+
+
+@query("""select l_orderkey, l_linenumber, l_returnflag from (select *, row_number() over (partition by l_returnflag order by md5(l_orderkey || '-' || l_linenumber || '-42'), l_orderkey, l_linenumber) r,
+  count(*) over (partition by l_returnflag) s, count(*) over () n from lineitem) where r <= ceil(s * 1000 / n)""")
+def stratified_sample(spark, sf):
+    rows = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    return split.stratified_sample(rows, ["l_orderkey", "l_linenumber"], "l_returnflag", 1000)
+
+
+# --- associations
+
+_PAIRS = [("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_extendedprice", "l_discount")]
+_SPEARMAN = " union all ".join(
+    f"select '{a}' f1, '{b}' f2, count(*) n, corr(x, y) rho from (select rank() over (order by {a}) + (count(*) over (partition by {a}) - 1) / 2 x, rank() over (order by {b}) + (count(*) over (partition by {b}) - 1) / 2 y from lineitem)"
+    for a, b in _PAIRS
+)
+
+
+@query(f"select f1, f2, n, round(rho, 6) rho from ({_SPEARMAN})")
+def spearman_pairs(spark, sf):
+    return rounded(association.spearman_pairs(read(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]))
+
+
+@query(f"select f1, f2, round(rho, 6) rho from ({_SPEARMAN}) where abs(rho) >= .5")
+def corr_prune_pairs(spark, sf):
+    found = association.spearman_pairs(read(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
+    return rounded(found.filter(F.abs("rho") >= 0.5).select("f1", "f2", "rho"))
+
+
+@query("""with b as (select c_mktsegment, count(*) n, avg(o_totalprice) m, var_pop(o_totalprice) v from orders join customer on o_custkey = c_custkey group by 1),
+s as (select sum(n)::bigint n, count(*) levels, sum(n * m * m) / sum(n) - (sum(n * m) / sum(n)) ** 2 between_, sum(n * v) / sum(n) within_ from b)
+select n, levels, round(between_ / (between_ + within_), 6) eta2 from s""")
+def assoc_eta(spark, sf):
+    rows = read(spark, sf, "orders").join(read(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return rounded(association.association(rows, "c_mktsegment", "o_totalprice"))
+
+
+def _binned(column: str, table: str, bins: int = 10) -> str:
+    shares = ", ".join(str(i / bins) for i in range(bins + 1))
+    return f"""e as (select list_distinct(quantile_cont({column}, [{shares}])) e from {table}), es as (select list_sort(e) e from e),
+  binned as (select t.*, len(list_filter(e[2:len(e) - 1], lambda x: {column} > x)) bin from {table} t, es)"""
+
+
+@query(f"with {_binned('o_totalprice', 'orders')} select bin::int bin, count(*) n, round(min(o_totalprice), 2) low, round(max(o_totalprice), 2) high from binned group by 1")
+def quantile_bins(spark, sf):
+    rows = association.quantile_bins(read(spark, sf, "orders"), "o_totalprice")
+    return rows.groupBy("bin").agg(F.count("*").alias("n"), F.round(F.min("o_totalprice"), 2).alias("low"), F.round(F.max("o_totalprice"), 2).alias("high"))
+
+
+@query("""with s as (select 'l_quantity' feature, .99 score, .1 spearman union all select 'l_tax', .2, .99 union all select 'l_discount', .97, null union all select 'l_linenumber', null, .5)
+select feature, score::double score, spearman::double spearman, case when coalesce(score, 0) >= .95 or coalesce(abs(spearman), 0) >= .98 then case when feature = 'l_tax' then 'protected' else 'leak' end else 'ok' end flag from s""")
+def leakage_decision(spark, sf):
+    rows = [("l_quantity", 0.99, 0.1), ("l_tax", 0.2, 0.99), ("l_discount", 0.97, None), ("l_linenumber", None, 0.5)]
+    return association.leakage(spark.createDataFrame(rows, "feature string, score double, spearman double"), ["l_tax"])
+
+
+# --- encoders
+
+
+@query("""with n as (select n_name, count(*) n from customer join nation on c_nationkey = n_nationkey group by 1), k as (select *, n >= (select quantile_cont(n, .5) from n) often from n)
+select c_custkey, case when often then n_name else '__rare' end level from customer join nation on c_nationkey = n_nationkey join k using (n_name)""")
+def onehot_rare_pool(spark, sf):
+    rows = read(spark, sf, "customer").join(F.broadcast(read(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    half = rows.groupBy("n_name").count().agg(F.percentile("count", F.lit(0.5))).first()[0]
+    return encode.rare_pooled(rows, "n_name", half).select("c_custkey", "level")
+
+
+@query(f"""with f as (select o_orderkey, c_nationkey, o_totalprice, ((row_number() over (order by {_HASH.format(k="o_orderkey", s=42)}, o_orderkey) - 1) % 5)::int fold from orders join customer on o_custkey = c_custkey),
+p as (select fold, ((select sum(o_totalprice) from f) - sum(o_totalprice)) / ((select count(*) from f) - count(*)) prior from f group by 1),
+b as (select c_nationkey, fold, sum(o_totalprice) s, count(*) n from f group by 1, 2),
+e as (select c_nationkey, fold, (sum(s) over (partition by c_nationkey) - s + 10 * prior) / (sum(n) over (partition by c_nationkey) - n + 10) encoded from b join p using (fold))
+select o_orderkey, fold, round(encoded, 2) encoded from f join e using (c_nationkey, fold)""")
+def target_encode_oof(spark, sf):
+    rows = read(spark, sf, "orders").join(read(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey", "o_totalprice")
+    return rounded(encode.target_means(split.folds(rows, "o_orderkey"), "c_nationkey", "o_totalprice", "fold").select("o_orderkey", "fold", "encoded"), 2)
+
+
+@query("""with w as (select item_id, unnest(regexp_split_to_array(lower(text), '\\s+')) w from benchmark), c as (select item_id, (('0x' || substr(md5(w), 1, 8))::bigint % 256)::int bucket, count(*) c from w where w <> '' group by 1, 2)
+select item_id, bucket, round(c / sqrt(sum(c * c) over (partition by item_id)), 6) weight from c""")
+def hash_text_buckets(spark, sf):
+    return rounded(encode.hashed_words(read(spark, sf, "benchmark"), "item_id", "text"))
+
+
+@query("""with w as (select item_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') w from benchmark),
+t as (select distinct item_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) term from w), c as (select term, count(*) df from t group by 1)
+select term, df, round(ln((1.0 + (select count(*) from benchmark)) / (1.0 + df)) + 1, 6) idf from c order by df desc, term limit 200""")
+def tfidf_terms(spark, sf):
+    return rounded(encode.term_weights(read(spark, sf, "benchmark"), "item_id", "text", 2, 200))
+
+
+@query("""select quality "class", count(*) n, round((select count(*) from labels) / ((select count(distinct quality) from labels) * count(*)), 6) weight from labels group by 1""")
+def class_weights(spark, sf):
+    return rounded(encode.class_weights(read(spark, sf, "labels"), "quality"))
+
+
+@query("""with h as (select p_partkey, case when p_partkey % 7 = 0 then null else p_size end::double x from part), f as (select p_partkey, x is null miss, coalesce(x, (select median(x) from h)) x from h)
+select p_partkey, miss::int p_size__missing, round((x - (select avg(x) from f)) / (select stddev_pop(x) from f), 6) p_size from f""")
+def impute_scale(spark, sf):
+    rows = read(spark, sf, "part").select("p_partkey", F.when(F.col("p_partkey") % 7 != 0, F.col("p_size")).alias("p_size"))
+    return rounded(encode.imputed_scaled(rows, ["p_size"]).select("p_partkey", "p_size__missing", "p_size"))
+
+
+@query("""select c_mktsegment, count(*) n, round(regr_slope(o_totalprice, c_acctbal), 4) slope, round(regr_intercept(o_totalprice, c_acctbal), 2) intercept, round(regr_r2(o_totalprice, c_acctbal), 6) r2
+  from orders join customer on o_custkey = c_custkey group by 1""")
+def linear_fit_groups(spark, sf):
+    rows = read(spark, sf, "orders").join(read(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    y, x = "o_totalprice", "c_acctbal"
+    return rows.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.round(F.regr_slope(y, x), 4).alias("slope"), F.round(F.regr_intercept(y, x), 2).alias("intercept"), F.round(F.regr_r2(y, x), 6).alias("r2"))
+
+
+# --- scores of predictions
+
+_SCORED = "s as (select doc_id, quality y, least(n_chars / 6000.0::double, 1.0::double) p from labels join documents using (doc_id))"
+
+
+def _scored(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", "n_chars")
+    p = F.least(F.col("n_chars").cast("double") / F.lit(6000.0), F.lit(1.0))
+    return read(spark, sf, "labels").join(docs, "doc_id").select("doc_id", F.col("quality").alias("y"), p.alias("p"))
+
+
+def _priced(spark, sf):
+    by = read(spark, sf, "orders")
+    means = by.groupBy("o_orderpriority").agg(F.avg("o_totalprice").alias("p"))
+    return by.join(means, "o_orderpriority").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").alias("y"), "p")
+
+
+_PRICED = "s as (select o_orderkey, o_orderstatus, o_totalprice y, avg(o_totalprice) over (partition by o_orderpriority) p from orders)"
+
+
+@query(f"with {_PRICED} select o_orderstatus, count(*) n, round(sqrt(avg((y - p) ** 2)), 2) rmse, round(avg(abs(y - p)), 2) mae, round(median(abs(y - p)), 2) median_ae, round(1 - avg((y - p) ** 2) / var_pop(y), 6) r2 from s group by 1")
+def metrics_regression(spark, sf):
+    return rounded(metrics.regression(_priced(spark, sf), "y", "p", ["o_orderstatus"]).withColumn("r2", F.round("r2", 6)), 6).select("o_orderstatus", "n", *[F.round(c, 2).alias(c) for c in ("rmse", "mae", "median_ae")], "r2")
+
+
+@query(f"""with {_SCORED}, q as (select *, least(greatest(p, 1e-15), 1 - 1e-15) q, (p >= .5)::int h from s),
+c as (select count(*) n, sum(h * y) tp, sum(h * (1 - y)) fp, sum((1 - h) * y) fn, sum((1 - h) * (1 - y)) tn, avg(-(y * ln(q) + (1 - y) * ln(1 - q))) logloss, avg((p - y) ** 2) brier from q),
+r as (select rank() over (order by p) + (count(*) over (partition by p) - 1) / 2 r, y from s), a as (select (sum(r) filter (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) auc from r)
+select n, round(logloss, 6) logloss, round(brier, 6) brier, round((tp + tn) / n, 6) accuracy, round(tp / (tp + fp), 6) "precision", round(tp / (tp + fn), 6) recall, round(2 * tp / (2 * tp + fp + fn), 6) f1,
+  round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) balanced_accuracy, round(auc, 6) auc from c, a""")
+def metrics_binary(spark, sf):
+    rows = _scored(spark, sf)
+    return rounded(metrics.binary(rows, "y", "p").crossJoin(metrics.auc(rows, "y", "p")))  # a row each
+
+
+@query(f"with {_SCORED} select y actual, count(*) filter (p < .5) n_0, count(*) filter (p >= .5) n_1 from s group by 1")
+def confusion_matrix(spark, sf):
+    return metrics.confusion(_scored(spark, sf).withColumn("h", (F.col("p") >= 0.5).cast("int")), "y", "h", [0, 1])
+
+
+@query(f"""with {_SCORED}, h as (select y, (p >= .5)::int h from s), c as (select unnest([0, 1]) c)
+select c "class", count(*) filter (y = c) support, round(coalesce(count(*) filter (y = c and h = c) / nullif(count(*) filter (h = c), 0), 0), 6) "precision",
+  round(coalesce(count(*) filter (y = c and h = c) / nullif(count(*) filter (y = c), 0), 0), 6) recall, round(coalesce(2 * count(*) filter (y = c and h = c) / nullif(count(*) filter (y = c) + count(*) filter (h = c), 0), 0), 6) f1 from h, c group by 1""")
+def class_report(spark, sf):
+    return rounded(metrics.class_report(_scored(spark, sf).withColumn("h", (F.col("p") >= 0.5).cast("int")), "y", "h"))
+
+
+@query(f"""with {_SCORED}, c as (select p score, sum(y) pos, sum(1 - y) neg from s group by 1)
+select round(score, 6) score, round(sum(pos) over w / sum(pos) over (), 6) tpr, round(sum(neg) over w / sum(neg) over (), 6) fpr from c window w as (order by score desc)""")
+def roc_points(spark, sf):
+    return rounded(metrics.roc(_scored(spark, sf), "y", "p"))
+
+
+_SWEEP = f"""with {_SCORED}, t as (select unnest(range(5, 96)) t), c as (select t / 100 threshold, sum((p >= t / 100)::int * y)::bigint tp, sum((p >= t / 100)::int * (1 - y))::bigint fp,
+  sum((p < t / 100)::int * y)::bigint fn, sum((p < t / 100)::int * (1 - y))::bigint tn from s, t group by t),
+w as (select threshold, tp, fp, fn, tn, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)::double f1, ((coalesce(tp / nullif(tp + fn, 0), 0) + coalesce(tn / nullif(tn + fp, 0), 0)) / 2)::double balanced_accuracy from c)"""
+
+
+@query(_SWEEP + " select round(threshold, 6) threshold, tp, fp, fn, tn, round(f1, 6) f1, round(balanced_accuracy, 6) balanced_accuracy from w")
+def threshold_sweep(spark, sf):
+    return rounded(metrics.sweep(_scored(spark, sf), "y", "p"))
+
+
+@query(_SWEEP + " select round(threshold, 6) threshold, round(balanced_accuracy, 6) balanced_accuracy from w order by w.balanced_accuracy desc, w.threshold limit 1")
+def best_threshold(spark, sf):
+    return rounded(metrics.best_threshold(metrics.sweep(_scored(spark, sf), "y", "p"), "balanced_accuracy").select("threshold", "balanced_accuracy"))
+
+
+@query(f"with {_SCORED}, b as (select *, ntile(10) over (order by p desc, doc_id) bin from s) select bin::int bin, count(*) n, round(avg(p), 6) mean_predicted, round(avg(y), 6) mean_actual from b group by 1")
+def lift_table(spark, sf):
+    return rounded(metrics.lift(_scored(spark, sf), "y", "p", "doc_id"))
+
+
+@query(f"with {_SCORED}, {_binned('p', 's')} select bin::int bin, count(*) n, round(avg(p), 6) predicted, round(avg(y), 6) observed from binned group by 1")
+def calibration_table(spark, sf):
+    return rounded(metrics.calibration(_scored(spark, sf), "y", "p"))
+
+
+@query(f"""with {_SCORED}, r as (select (p - y) ** 2 v, b, ('0x' || substr(md5(doc_id || ':' || b || '-boot'), 1, 8))::bigint / 4294967296.0::double u from s, range(100) t(b)),
+w as (select b, v, (u >= 0.36787944117144233)::int + (u >= 0.7357588823428847)::int + (u >= 0.9196986029286058)::int + (u >= 0.9810118431238462)::int + (u >= 0.9963401531726563)::int + (u >= 0.9994058151824183)::int w from r),
+m as (select b, sum(v * w) / sum(w) m from w group by 1)
+select round((select avg((p - y) ** 2) from s), 6) point, round(quantile_cont(m, .025), 6) low, round(quantile_cont(m, .975), 6) high, count(*) n_resamples from m""")
+def bootstrap_ci(spark, sf):
+    rows = _scored(spark, sf)
+    return rounded(metrics.bootstrap(rows, "doc_id", (F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))))
