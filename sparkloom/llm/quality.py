@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import WORD, packed, written
+from sparkloom.llm.common import WORD, fixed, packed, written
 
 #: A line is removed when it stands in at least MIN_DOCS distinct documents of its host
 #: and in more than MAX_SHARE percent of them.
@@ -69,7 +69,7 @@ def metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     cut = packed(docs).select("row", words_of(t).alias("words"), full.alias("full"))
     cut = cut.withColumn("windows", sorted_windows("words"))
     cut = cut.withColumn("places", repeated_places("windows"))
-    return cut.select(
+    made = cut.select(
         "row",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.regexp_replace(t, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
@@ -79,6 +79,7 @@ def metrics(docs: DataFrame, text: str = "text") -> DataFrame:
         F.xxhash64(t).alias("th"),
         F.length(t).alias("tn"),
     )
+    return fixed(made, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def small_or_not(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -142,7 +143,7 @@ def cleaned(docs: DataFrame, text: str = "text", host: str = "source", **limits)
     t = F.col("row").getField(text)
     left = F.filter(lines_of(t), lambda x: ~F.array_contains("gone", F.xxhash64(normal_line(x))))
     new = F.when(F.col("gone").isNull(), t).otherwise(F.array_join(left, "\n"))
-    out = verdict.withColumn("new", new)
+    out = fixed(verdict.withColumn("new", new), "new")
     swap = {text: F.col("new"), "n_chars": F.length("new").cast("long")}
     return out.select(*[(swap[c] if c in swap else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
