@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import ship
+from sparkloom.llm.common import in_parts, ship
 
 #: The public model that is used without another path; a model file of more bytes is refused for broadcast.
 MODEL, MODEL_BYTES = "/opt/tokenizers/piece_bpe_32k.model", 64 << 20
 SPACE = "▁"
 #: Encoded segments that a worker holds; segments longer than this are cut at safe places.
-HELD, LONG = 800_000, 48
+HELD, LONG = 400_000, 48
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 # Piece and model types of the file format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -121,6 +121,7 @@ class Model:
         self.raw_len = np.array([len(x) for x in raw], dtype=np.int64)
         self.raw_at = np.cumsum(self.raw_len) - self.raw_len
         self.known: dict[str, int] = {}
+        self.held = 0  # places given out in seg_at and seg_len
         self.pool, self.pool_n = np.empty(1 << 16, np.int32), 0
         self.seg_at, self.seg_len = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
         self.pair_keys, self.pair_ok = np.empty(0, np.int64), np.empty(0, bool)
@@ -274,11 +275,11 @@ class Model:
             else:
                 by_length.setdefault(len(s), []).append(s)
         for length, group in by_length.items():
-            step = max(1, (1 << 19) // length)
+            step = max(1, (1 << 17) // length)
             for at in range(0, len(group), step):
                 self._keep(group[at : at + step], *self.viterbi(group[at : at + step], length))
         if cut:
-            whole = list(cut)
+            whole = [s for s in cut if s not in self.known]  # one may have been the head of another
             heads = np.array([self.known[cut[s]] for s in whole])
             tails = np.array([self.known[s[-1]] for s in whole])
             both = np.stack([heads, tails], axis=1).ravel()
@@ -286,7 +287,7 @@ class Model:
             self._keep(whole, self.pool[_spread(self.seg_at[both], sizes)], sizes.reshape(-1, 2).sum(axis=1))
 
     def _keep(self, segments: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
-        first, end = len(self.known), self.pool_n + len(flat)
+        first, end = self.held, self.pool_n + len(flat)
         if first + len(segments) > len(self.seg_at):
             n = 2 * (first + len(segments))
             self.seg_at, self.seg_len = np.resize(self.seg_at, n), np.resize(self.seg_len, n)
@@ -296,7 +297,7 @@ class Model:
         self.seg_at[first : first + len(segments)] = self.pool_n + np.cumsum(sizes) - sizes
         self.seg_len[first : first + len(segments)] = sizes
         self.known.update(zip(segments, range(first, first + len(segments))))
-        self.pool_n = end
+        self.held, self.pool_n = first + len(segments), end
 
     def viterbi(self, group: list[str], length: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts) of segments of one length."""
@@ -375,7 +376,7 @@ class Model:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, lengths): the ids of all texts, text after text, and how many each has. A null text has none."""
         if len(self.known) > HELD:
-            self.known, self.pool_n = {}, 0
+            self.known, self.held, self.pool_n = {}, 0, 0
         cut = [self.fast_segments(t) if t else [] for t in texts]
         known = self.known
         new = list({s for segs in cut for s in segs if s not in known})
@@ -443,21 +444,6 @@ def model_bytes(path: str) -> bytes:
     return data
 
 
-#: Characters of texts that are encoded at once.
-AT_ONCE = 8 << 20
-
-
-def _parts(texts: list[str | None]) -> Iterator[slice]:
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= AT_ONCE:
-            yield slice(start, i + 1)
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
-
-
 def encoded(docs: DataFrame, text: str = "text", keep: list[str] | None = None, path: str = MODEL) -> DataFrame:
     """(row, token_ids, n_tokens, round_trip): row has the columns keep (None: all).
 
@@ -474,12 +460,11 @@ def encoded(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(data.value)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in _parts(texts):
-                ids, lengths = model.encode(texts[part])
+            for part, texts in in_parts(batch.column(1)):
+                ids, lengths = model.encode(texts)
                 back = model.decode(ids, lengths)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(ids))
-                same = pa.array([a == (b or "") for a, b in zip(back, texts[part])], pa.bool_())
+                same = pa.array([a == (b or "") for a, b in zip(back, texts)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part], lists, pa.array(lengths), same], ["row", "token_ids", "n_tokens", "round_trip"])
 
     like = rows.select("row", F.array(F.lit(0)).alias("token_ids"), F.lit(0).cast("long").alias("n_tokens"), F.lit(True).alias("round_trip"))
