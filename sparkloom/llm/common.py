@@ -79,6 +79,18 @@ def unpacked(row: str, columns: list[str]) -> list[Column]:
     return [F.col(row).getField(c).alias(c) for c in columns]
 
 
+def in_parts(texts, most: int = 2 << 20):
+    """(slice, texts) of an Arrow column, in parts of about most bytes: a worker then holds one part's Python strings, not a batch's."""
+    import pyarrow.compute as pc
+
+    start = size = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        size += n
+        if size >= most or i == len(texts) - 1:
+            yield slice(start, i + 1), texts[start : i + 1].to_pylist()
+            start, size = i + 1, 0
+
+
 def fixed(df: DataFrame, *names: str) -> DataFrame:
     """df with the named columns computed once, here.
 

@@ -190,14 +190,27 @@ def stream(found: list[tuple[int, str]]) -> list[str]:
 
 
 def unique_runs(found: list[tuple[int, str]], covered: set[int]) -> str:
-    """The open blocks without the tokens at covered places of the stream; blocks that lose all go."""
+    """The open blocks without what is covered: whole blocks, and runs of a window or more.
+
+    A shorter run beside a block's own words is only where a repeat of the block before ran on.
+    """
     place, out = 0, []
     for kind, text in found:
         if kind == ARTICLE:
             continue
         words = text.split()
         if kind == OPEN:
-            left = [w for i, w in enumerate(words, place) if i not in covered]
+            left: list[str] = []
+            run: list[str] = []
+            for i, w in enumerate(words, place):
+                if i in covered:
+                    run.append(w)
+                    continue
+                left += run if len(run) < WINDOW else []
+                run = []
+                left.append(w)
+            if left and len(run) < WINDOW:
+                left += run
             if left:
                 out.append(" ".join(left))
         place += len(words)
@@ -245,13 +258,13 @@ def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
                 out.append(unique_runs(blocks(x.as_py()), covered))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["row", "text"])
 
-    plain = rows.mapInArrow(texts, rows.select("row", F.lit("").cast("string").alias("text")).schema).filter("text is not null")
+    plain = rows.mapInArrow(texts, rows.select("row", F.lit(None).cast("string").alias("text")).schema).filter("text is not null")
     seen = rows.mapInArrow(windows, "host string, ph long, name long, at int, open boolean")
     each = seen.groupBy("host", "name", "ph").agg(F.max("open").alias("open"))
     repeated = each.groupBy("host", "name").agg(F.count("*").alias("n"), F.max("open").alias("open")).filter((F.col("n") >= min_pages) & F.col("open"))
     hits = seen.filter("open").join(repeated.select("host", "name"), ["host", "name"]).groupBy("host", "ph").agg(F.collect_set("at").alias("hits"))
     left = rows.mapInArrow(unsettled, rows.schema)
     judged = left.join(hits, ["host", "ph"], "left").select("row", "html", "hits")
-    open_ = judged.mapInArrow(judge, rows.select("row", F.lit("").cast("string").alias("text")).schema)
+    open_ = judged.mapInArrow(judge, rows.select("row", F.lit(None).cast("string").alias("text")).schema)
     both = plain.unionAll(open_)
     return both.select(F.col("row.key").alias(key), F.col("row.url").alias(url), "text", F.length("text").cast("long").alias("n_chars"))

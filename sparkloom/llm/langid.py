@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import ship
+from sparkloom.llm.common import in_parts, ship
 
 #: Bytes in a window; units of each direction.
 WINDOW, UNITS = 64, 8
@@ -27,7 +27,7 @@ SAMPLE_DOCS, SAMPLE_WINDOWS, LANGUAGES = 512, 4, 64
 #: Training: passes, windows in a step, Adam's step size.
 EPOCHS, BATCH, RATE = 8, 256, 0.02
 #: Windows that are predicted at once; bytes of texts that are cut at once.
-WIDTH, AT_ONCE = 4096, 16 << 20
+WIDTH, AT_ONCE = 4096, 4 << 20
 LETTER = re.compile(r"[^\W\d_]")
 UND = "und"
 
@@ -247,18 +247,13 @@ def predicted(docs: DataFrame, languages: list[str], weights: dict[str, np.ndarr
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(weights) if weights is not None else None
         for batch in batches:
-            texts = [t if t and reader and LETTER.search(t) else "" for t in batch.column(1).to_pylist()]
             names, scores = [], []
-            start = size = 0
-            for i, t in enumerate(texts):
-                size += len(t)
-                if size >= AT_ONCE or i == len(texts) - 1:
-                    part = [x.encode().lower() for x in texts[start : i + 1]]
-                    found = reader.documents(part) if reader else np.zeros((len(part), 1))
-                    best = found.argmax(axis=1)
-                    names += [languages[b] if x else UND for b, x in zip(best, part)]
-                    scores += [min(1.0, float(f[b])) if x else 0.0 for f, b, x in zip(found, best, part)]
-                    start, size = i + 1, 0
+            for _, texts in in_parts(batch.column(1), AT_ONCE):
+                part = [t.encode().lower() if t and reader and LETTER.search(t) else b"" for t in texts]
+                found = reader.documents(part) if reader else np.zeros((len(part), 1))
+                best = found.argmax(axis=1)
+                names += [languages[i] if x else UND for i, x in zip(best, part)]
+                scores += [min(1.0, float(f[i])) if x else 0.0 for f, i, x in zip(found, best, part)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
 
     like = rows.select("row", F.lit("").cast("string").alias("lang_pred"), F.lit(0.0).alias("score"))

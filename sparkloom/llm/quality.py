@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import WORD, fixed, packed, written
+from sparkloom.llm.common import LOWER, UPPER, WORD, fixed, packed, written
 
 #: A line is removed when it stands in at least MIN_DOCS distinct documents of its host
 #: and in more than MAX_SHARE percent of them.
@@ -28,8 +28,8 @@ def words_of(text: Column) -> Column:
 
 
 def normal_line(line: Column) -> Column:
-    """A-Z lower-cased, digits to 0, white space to single spaces, trimmed."""
-    line = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", "abcdefghijklmnopqrstuvwxyz000000000")
+    """A-Z lower-cased, white space to single spaces, trimmed."""
+    line = F.translate(line, UPPER, LOWER)
     return F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
 
 
@@ -150,7 +150,7 @@ def cleaned(docs: DataFrame, text: str = "text", host: str = "source", **limits)
 
 def oracle(table: str = "documents") -> str:
     """DuckDB SQL of the op6 columns."""
-    line = r"""trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ')"""
+    line = r"""trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ')"""
     return rf"""
 with d as (select doc_id, source, coalesce("text", '') t, row_number() over () rid from {table}),
 w as (select rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) ls from d),

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import components, packed, ship, unpacked, written
+from sparkloom.llm.common import components, in_parts, packed, ship, unpacked, written
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Distinct fingerprints in a chunk of a large bucket; a tile has two chunks.
@@ -58,7 +58,7 @@ def fingerprinted(docs: DataFrame, text: str, carried: dict[str, Column]) -> Dat
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = pa.array([fingerprint(x.as_py()) for x in b.column(1)], pa.int64())
+            fps = pa.array([fingerprint(t) for _, texts in in_parts(b.column(1)) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), fps], ["row", "fp"])
 
     return rows.mapInArrow(work, rows.select("row", F.lit(0).cast("long").alias("fp")).schema)
@@ -270,11 +270,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def sketches(batches: Iterator[pa.RecordBatch], size: int, functions: int) -> Iterator[pa.RecordBatch]:
-    """Of batches (row, text): row, fingerprint and smallest hashes; a text that repeats in a batch is sketched once."""
+    """Of batches (row (uid), text): row, fingerprint and smallest hashes; a text that repeats in a batch is sketched once."""
     for b in batches:
-        texts = b.column(1).to_pylist()
-        known = {t: sketch(t, size, functions) for t in dict.fromkeys(texts)}
-        found = [known[t] for t in texts]
+        uids = b.column(0).field(0).to_pylist()
+        known: dict[int, tuple] = {}
+        for part, texts in in_parts(b.column(1)):
+            for uid, t in zip(uids[part], texts):
+                if uid not in known:
+                    known[uid] = sketch(t, size, functions)
+        found = [known[u] for u in uids]
         keys = pa.array([k for _, k in found], pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f for f, _ in found], pa.int64()), keys], ["row", "fp", "keys"])
 
@@ -337,13 +341,14 @@ def shingle_set(text: str, size: int) -> np.ndarray:
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Of (a, b, text of a): the shingles of a in place of the text; rows of one text follow each other."""
     last, data = None, b""
-    for batch in batches:
-        out = []
-        for uid, t in zip(batch.column("a").to_pylist(), batch.column("t")):
-            if uid != last:
-                last, data = uid, shingle_set(t.as_py(), size).tobytes()
-            out.append(data)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.binary())], ["a", "b", "shingles"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1000):
+            batch, out = whole.slice(at, 1000), []
+            for uid, t in zip(batch.column("a").to_pylist(), batch.column("t")):
+                if uid != last:
+                    last, data = uid, shingle_set(t.as_py(), size).tobytes()
+                out.append(data)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.binary())], ["a", "b", "shingles"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch], size: int, similarity: float) -> Iterator[pa.RecordBatch]:
@@ -351,10 +356,10 @@ def _similar(batches: Iterator[pa.RecordBatch], size: int, similarity: float) ->
     last, mine = None, np.empty(0, np.uint64)
     for batch in batches:
         keep = []
-        for uid, t, data in zip(batch.column("b").to_pylist(), batch.column("t"), batch.column("shingles").to_pylist()):
+        for uid, t, data in zip(batch.column("b").to_pylist(), batch.column("t"), batch.column("shingles")):
             if uid != last:
                 last, mine = uid, shingle_set(t.as_py(), size)
-            other = np.frombuffer(data, "<u8")
+            other = np.frombuffer(data.as_py(), "<u8")
             both = len(np.intersect1d(mine, other, assume_unique=True))
             keep.append(both >= similarity * (len(mine) + len(other) - both))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))

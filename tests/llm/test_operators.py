@@ -1,0 +1,381 @@
+"""The corpus operators against SQL, brute force, exact round trips and held-out accuracy."""
+
+import collections
+import io
+import os
+import re
+import struct
+
+import numpy as np
+import pytest
+import xxhash
+from oracle import check
+from pyspark.sql import functions as F
+
+from sparkloom.llm import common, html, langid, mixing, passages, pieces, queries, quality, simhash, topk, warc, zipread
+
+SF = "/root/testdata/sf0.01"
+data = pytest.mark.skipif(not os.path.isdir(SF), reason="the supplied tables are not here")
+model = pytest.mark.skipif(not os.path.exists(pieces.MODEL), reason="the public model is not here")
+
+
+@data
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_matches_sql(spark, name):
+    assert check(spark, queries.QUERIES[name], queries.ORACLES[name], SF) > 0
+
+
+def roots(pairs, nodes):
+    up = {n: n for n in nodes}
+
+    def find(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        up[max(x, y)] = min(x, y)
+    return {n: find(n) for n in nodes}
+
+
+def ascii_words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+# --- components
+
+
+def test_components(spark):
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000 + i) for i in range(1, 200)]
+    got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long"), "test").collect()}
+    expected = roots(edges, {x for e in edges for x in e})
+    assert got == {n: c for n, c in expected.items() if any(n in e and e[0] != e[1] for e in edges)}
+
+
+# --- SimHash
+
+
+@data
+def test_simhash_is_exact(spark):
+    got = {(r.doc_id, r.fingerprint, r.component_id) for r in queries.op10_simhash(spark, SF).collect()}
+    prints = {}
+    for d in common.table(spark, SF, "documents").collect():
+        w = ascii_words(d.text)
+        shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] if w else []
+        hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+        prints[d.doc_id] = sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes)) if hashes else 0
+    ids, values = list(prints), np.array(list(prints.values()), dtype=np.uint64)
+    pairs = [(ids[i], ids[j]) for i in range(len(ids)) for j in np.flatnonzero(np.bitwise_count(values[i + 1 :] ^ values[i]) <= 3) + i + 1]
+    expected = roots(pairs, ids)
+    assert got == {(d, f"{prints[d]:016x}", expected[d]) for d in ids}
+
+
+@pytest.mark.parametrize("n,k,radius", [(500, 40, 3), (1500, 3, 3), (300, 5, 2), (100, 2, 0), (500, 40, 16), (1200, 3, 9)])
+def test_bit_sliced_distances(n, k, radius):
+    rng = np.random.default_rng(n + radius)
+    v = rng.integers(0, 2**63, size=k, dtype=np.uint64)[rng.integers(0, k, n)]
+    for _ in range(3 * radius // 2 + 1):
+        v = v ^ np.where(rng.random(n) < 0.5, np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64), np.uint64(0))
+    runs = np.sort(rng.integers(0, max(1, k // 2), n))
+    a, b = simhash.near_pairs(v, np.flatnonzero(np.append(True, runs[1:] != runs[:-1])), radius)
+    expected = {(i, j) for i in range(n) for j in range(i) if runs[i] == runs[j] and int(v[i] ^ v[j]).bit_count() <= radius}
+    assert set(zip(a.tolist(), b.tolist())) == expected and len(a) == len(expected)
+
+
+def test_table_keys_hold_every_close_pair(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(-(2**62), 2**62, 300)
+    y = [int(v) ^ sum(1 << int(b) for b in rng.choice(63, 3, replace=False)) for v in x]
+    rows = spark.createDataFrame([(int(a), b) for a, b in zip(x, y)], "x long, y long")
+    shared = rows.select(F.arrays_overlap(simhash.table_keys(F.col("x")), simhash.table_keys(F.col("y"))).alias("s"))
+    assert all(r.s for r in shared.collect())
+
+
+def test_large_buckets_are_tiled_without_loss(spark):
+    rng = np.random.default_rng(4)
+    base = 0x1234567890ABCDEF
+    values = sorted({base ^ sum(1 << int(b) for b in rng.choice(16, rng.integers(0, 7), replace=False)) for _ in range(600)})
+    got = {r.node: r.component for r in simhash.linked(spark.createDataFrame([(v,) for v in values], "fp long"), chunk=32).collect()}
+    arr = np.array(values)
+    pairs = [(values[i], values[j]) for i in range(len(arr)) for j in np.flatnonzero(np.bitwise_count(arr[i + 1 :] ^ arr[i]) <= 3) + i + 1]
+    expected = roots(pairs, values)
+    linked = {n for p in pairs for n in p}
+    assert set(got) == linked
+    groups = lambda m: sorted(sorted(n for n in m if m[n] == c) for c in set(m.values()))
+    assert groups(got) == groups({n: expected[n] for n in linked})
+
+
+@data
+def test_near_copies_have_a_similar_text(spark):
+    docs = common.table(spark, SF, "documents")
+    kept = {r.doc_id for r in simhash.deduplicated(docs).collect()}
+    sets = {d.doc_id: frozenset(simhash.shingle_set(d.text, 5).tolist()) for d in docs.collect()}
+    ids = sorted(sets)
+    similar = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if (n := len(sets[a] & sets[b])) and n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    assert kept == set(roots(similar, ids).values())
+
+
+# --- substring dedup
+
+
+@pytest.mark.parametrize("n,least", [(60, 8), (200, 20), (30, 30), (500, 7)])
+def test_compact_windows(n, least):
+    rng = np.random.default_rng(n)
+    v = rng.integers(0, 2**63, n, dtype=np.uint64)
+    v[n // 3] = v[n // 4]
+    starts, ends = np.array([0, n // 2]), np.array([n // 2, n])
+    got = set(zip(*(x.tolist() for x in passages.compact_windows(v, starts, ends, least))))
+    key = lambda i: (int(v[i]) >> 24, i)  # noqa: E731  the lower bits hold the place
+    expected = set()
+    for s, e in zip(starts, ends):
+        for c in range(s, e):
+            left = right = c
+            while left > s and key(left - 1) > key(c):
+                left -= 1
+            while right < e - 1 and key(right + 1) > key(c):
+                right += 1
+            if right - left + 1 >= least:
+                expected.add((left, c, right))
+    assert got == expected
+
+
+def texts_with_passages():
+    rng = np.random.default_rng(7)
+    some = lambda n: [f"w{i}" for i in rng.integers(0, 30_000, n)]
+    passage = {k: some(n) for k, n in (("p", 60), ("q", 51), ("r", 300), ("short", 40))}
+    edited = passage["r"][:150] + ["zzz"] + passage["r"][150:]
+    docs = {1: some(100) + passage["p"] + some(50), 2: passage["p"] + some(80), 3: some(70) + passage["q"], 4: some(20) + passage["q"] + some(20), 5: some(10) + passage["r"] + some(9), 6: edited + some(40)}
+    docs |= {7: some(60) + passage["short"] + some(60), 8: passage["short"] + some(99), 9: some(200), 10: some(30)}
+    docs |= {20 + i: some(40) + passage["p"] + some(40) for i in range(30)}  # more than are all paired
+    return {d: " ".join(w) for d, w in docs.items()}, {d: len(w) for d, w in docs.items()}
+
+
+def test_passages_are_found_and_clean_texts_left(spark):
+    docs, sizes = texts_with_passages()
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in passages.classed(df).collect()}
+    with_p = {1, 2, *range(20, 50)}
+    assert {d: r.class_id for d, r in got.items()} == {d: 1 if d in with_p else {4: 3, 6: 5}.get(d, d) for d in docs}
+    assert [(s["first"], s["last"]) for s in got[1].spans] == [(100, 159)] and got[2].dup_words == 60 and got[9].n_spans == 0
+    left = {r.doc_id: r.text for r in passages.removed(df).collect()}
+    assert set(left) == set(docs)
+    assert sum(len(left[d].split()) == sizes[d] for d in with_p) == 1  # one keeps the passage
+    assert all(left[d] == docs[d] for d in (7, 8, 9, 10))
+
+
+@data
+def test_no_repeated_passage_is_missed(spark):
+    docs = common.table(spark, SF, "documents")
+    words = {d.doc_id: ascii_words(d.text) for d in docs.collect()}
+    seen = collections.defaultdict(set)
+    for d, w in words.items():
+        for i in range(len(w) - 49):
+            seen[hash(tuple(w[i : i + 50]))].add(d)
+    expected = roots([(min(g), x) for g in seen.values() for x in g], words)
+    got = {r.doc_id: r for r in queries.op1_substring_dedup(spark, SF).collect()}
+    assert all(got[d].class_id == got[expected[d]].class_id for d in words)
+    for d, w in words.items():
+        repeated = {j for i in range(len(w) - 49) if len(seen[hash(tuple(w[i : i + 50]))]) > 1 for j in range(i, i + 50)}
+        assert repeated <= {j for s in got[d].spans for j in range(s["first"], s["last"] + 1)}
+    left = collections.defaultdict(set)
+    for r in passages.removed(docs).collect():
+        w = ascii_words(r.text)
+        for i in range(len(w) - 49):
+            left[hash(tuple(w[i : i + 50]))].add(r.doc_id)
+    assert all(len(g) == 1 for g in left.values())
+
+
+# --- HTML
+
+
+def test_blocks():
+    page = """<html><head><title>T</title></head><body><header class="site">Top</header><div id="cookie-notice">We use <b>cookies</b></div><nav><ul><li><a>x</a></ul></nav>
+    <main><article><header><h1>Head &amp; line</h1></header><p>One  two<br>three &nbsp; &lt;b&gt;<p>Four <i>fi</i>ve<div class="advert">Buy</div><ul><li>a<li>b</ul><form>q <input> <button>go</button></form>
+    <aside>Side</aside><section class="comments"><p>Nice!</p></section><p>Last &#233;&hellip;</article></main><div class=sidebar>S</div><footer>F</footer><script>if (a<b) "</p>"</script><!-- <p>no</p> --></body>"""
+    assert html.settled(html.blocks(page)) == "Head & line\nOne two three <b>\nFour five\na\nb\nLast é…"
+    assert html.blocks("a < b and c > d <p title='x>y'>q</p>") == [(html.OPEN, "a < b and c > d"), (html.OPEN, "q")]
+    assert html.blocks(None) == [] and html.blocks("<p>cut <a href='/x") == [(html.OPEN, "cut")]
+
+
+def test_suffix_names_are_equal_for_equal_runs():
+    rng = np.random.default_rng(0)
+    tokens = [str(x) for x in rng.integers(0, 3, 400)]
+    level = html.names(tokens)
+    runs = [tuple(tokens[i : i + html.WINDOW]) for i in range(len(tokens) - html.WINDOW + 1)]
+    assert len(set(level.tolist())) == len(set(runs)) and len({(a, b) for a, b in zip(level.tolist(), runs)}) == len(set(runs))
+
+
+def test_boilerplate_of_a_host_goes(spark):
+    menu, foot = "Home Products About us Contact Jobs Press Legal Imprint", "All content of this site may be used with the owner's consent only"
+    rows = [(i, f"http://h{i % 2}/p{i}", f"<div>{menu}</div><div>Text number {i} has words like n{i * 7} and m{i * 13} of its own</div><div>{foot if i % 2 else 'own end ' + str(i)}</div>") for i in range(12)]
+    rows.append((99, "http://other/x", f"<div>{menu}</div><div>alone</div>"))
+    got = {r.page_id: r.text for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(12):
+        own = f"Text number {i} has words like n{i * 7} and m{i * 13} of its own"
+        assert got[i] == (own if i % 2 else f"{own}\nown end {i}")
+    assert got[99] == f"{menu}\nalone"  # once on its host
+
+
+# --- top-k, pieces, language, WARC, mixing
+
+
+def test_topk_by_brute_force(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 16)).astype(np.float32)
+    x[50:120] = x[3]  # a large group of ties
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.search(rows, F.col("vec_id") % 20 == 0, k=7, rows=64, queries=8).collect()}
+    q = np.floor(64 * x.astype(float)).astype(int)
+    for i in range(0, 400, 20):
+        s = q @ q[i]
+        order = [j for j in np.lexsort((np.arange(400), -s)) if j != i][:7]
+        assert [got[(i, k + 1)] for k in range(7)] == [(j, s[j]) for j in order]
+
+
+@model
+def test_pieces_equal_the_library():
+    import random
+
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    own = pieces.Model(pieces.model_bytes(pieces.MODEL))
+    rng = random.Random(1)
+    some = [p for p in own.ids if "▁▁" not in p]
+    texts = [" hello  world", "a\nb\t c  ", "ﬁ é é", "你好 <s> <0x41>", "", " ", "x\x00y", None, "\n\nab\n", "     in\n    dent", "ab" * 200 + "😀" * 30, "ab... ab.. ab. ab", "ab!! ab! cd. cd.."]
+    texts += ["".join(rng.choice(some) for _ in range(6)).replace("▁", " ") for _ in range(3000)]
+    parts = [own.encode(texts[i : i + 97]) for i in range(0, len(texts), 97)]  # what one call remembers, later ones use
+    ids, sizes = (np.concatenate(x) for x in zip(*parts))
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [library.encode(t or "") for t in texts]
+    assert own.decode(ids, sizes) == [t or "" for t in texts]
+
+
+def unigram(scores: dict[str, float]) -> bytes:
+    """A unigram model file without bytes."""
+    string = lambda n, b: bytes([n << 3 | 2, len(b)]) + b
+    piece = lambda p, s, t: string(1, string(1, p.encode()) + b"\x15" + struct.pack("<f", s) + bytes([0x18, t]))
+    return piece("<unk>", 0.0, 2) + b"".join(piece(p, s, 1) for p, s in scores.items()) + string(2, bytes([0x18, 1])) + string(3, bytes([0x18, 1, 0x20, 0, 0x28, 1]))
+
+
+def test_unigram_takes_the_best_path():
+    scores = {"▁": -3.0, "a": -2.0, "b": -2.5, "ab": -3.0, "▁a": -2.2, "bb": -4.9, "▁ab": -6.0, "abb": -4.0}
+    own = pieces.Model(unigram(scores))
+    for text in ("abb", "ab ab", "bbb a", "aabbab"):
+        marked = "▁" + text.replace(" ", "▁")
+        best = [(0.0, [])] + [(-1e9, [])] * len(marked)
+        for end in range(1, len(marked) + 1):
+            best[end] = max((best[s][0] + scores[marked[s:end]], best[s][1] + [own.ids[marked[s:end]]]) for s in range(end) if marked[s:end] in scores)
+        ids, sizes = own.encode([text])
+        assert sum(own.score[i] for i in ids) == pytest.approx(best[-1][0]) and own.decode(ids, sizes) == [text]
+
+
+@model
+@data
+def test_round_trip(spark):
+    got = queries.op4_sentencepiece(spark, SF)
+    assert got.filter("not round_trip or n_tokens <> size(token_ids)").count() == 0
+    back = pieces.decoded(got).join(common.table(spark, SF, "documents").withColumnRenamed("text", "given"), "doc_id")
+    assert back.filter("text <> given").count() == 0
+
+
+def test_gradients():
+    p = {n: a.astype(np.float64) for n, a in langid.started(3, 4).items()}
+    rng = np.random.default_rng(0)
+    x, y, w = rng.integers(97, 105, (6, 5)), rng.integers(0, 4, 5), rng.random((6, 5))
+    _, g = langid.gradients(p, x, y, w)
+    for n in p:
+        i = (0, int(x[2, 1])) if n[0] == "w" else tuple(rng.integers(0, s) for s in p[n].shape)
+        keep, e = p[n][i], 1e-6
+        p[n][i] = keep + e
+        up = langid.gradients(p, x, y, w)[0]
+        p[n][i] = keep - e
+        down = langid.gradients(p, x, y, w)[0]
+        p[n][i] = keep
+        assert (up - down) / (2 * e) == pytest.approx(g[n][i], abs=1e-6)
+
+
+@data
+def test_held_out_accuracy(spark):
+    got = queries.op8_language_id(spark, SF).join(common.table(spark, SF, "documents").select("doc_id", "lang"), "doc_id").filter("held_out")
+    n, right = got.agg(F.count("*"), F.count_if(F.col("lang") == F.col("lang_pred"))).first()
+    assert n > 100 and right / n >= 0.97
+
+
+def test_positions_have_labels():
+    weights = langid.started(4, 2)
+    labels = langid.Reader(weights).labels(b"some bytes, more than one window of them, so that two windows are read")
+    assert len(labels) == 70 and set(labels.tolist()) <= {0, 1}
+
+
+@pytest.mark.parametrize("zip64", [False, True])
+def test_zip_round_trip(zip64):
+    import zipfile
+
+    out = io.BytesIO()
+    z = zipread.Writer(out, zip64)
+    z.add("a/x.bin", bytes(range(256)) * 40)
+    z.add("é.txt", b"hello")
+    z.close()
+
+    class File(io.BytesIO):
+        def size(self):
+            return len(self.getvalue())
+
+    r = zipread.Reader(File(out.getvalue()))
+    assert r.ranged("a/x.bin", 250, 10) == bytes(range(250, 256)) + bytes(range(4)) and r.whole("é.txt") == b"hello"
+    with zipfile.ZipFile(io.BytesIO(out.getvalue())) as f:
+        assert f.namelist() == ["a/x.bin", "é.txt"] and f.read("é.txt") == b"hello"
+    with pytest.raises(zipread.BadZip):
+        r.ranged("é.txt", 3, 9)
+    with pytest.raises(zipread.BadZip):
+        zipread.Reader(File(b"no package"))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as f:
+        f.writestr("c", b"c" * 1000)
+    with pytest.raises(zipread.BadZip, match="compressed"):
+        zipread.Reader(File(packed.getvalue())).whole("c")
+
+
+def test_warc_payloads_come_back(spark):
+    rows = [(1, "http://a/ b", "same"), (5, "http://a", "same"), (2, "u", "own é"), (3, None, "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for zip64 in (False, True):
+        got = {r.page_id: r for r in warc.read(warc.write(pages, package=300, zip64=zip64)).collect()}
+        assert got[1].record_type == "revisit" and got[1].refers_to == 5 and got[1].payload is None and got[1].payload_bytes == 4
+        assert bytes(got[5].payload) == b"same" and bytes(got[2].payload) == "own é".encode() and bytes(got[3].payload) == b"" and got[3].url is None
+    assert {r.record_type for r in warc.read(warc.write(pages, least=5)).collect()} == {"response"}
+
+
+def test_mixing_reaches_its_targets(spark):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "rare").otherwise("hot").alias("source"), F.lit("t").alias("text"))
+    got = {r.source: r["count"] for r in mixing.mix(docs, {"rare": 0.75, "hot": 0.25}).groupBy("source").count().collect()}
+    assert got["rare"] == pytest.approx(4500, rel=0.06) and got["hot"] == pytest.approx(1500, rel=0.08)
+    assert mixing.mix(docs, {"rare": 1.0}).filter("source = 'hot'").count() == 0
+    high = mixing.mix(docs.filter("doc_id < 400"), {"rare": 0.999, "hot": 0.001}).filter("source = 'rare'").groupBy("doc_id").count()
+    m, v = high.agg(F.avg("count"), F.var_pop("count")).first()  # a mean near 10
+    assert m == pytest.approx(10, rel=0.15) and v == pytest.approx(10, rel=0.8)
+    parts = mixing.rates(docs.filter("doc_id < 1000"), {"rare": 1.0}, "source").filter("n = 100").first()
+    assert parts.rate == pytest.approx(10.0) and parts.parts == 1
+
+
+def test_means_above_one_part(spark):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 20, "rare").otherwise("hot").alias("source"))
+    counts = mixing.mix(docs, {"rare": 1.0}).groupBy("doc_id").count()
+    m, v = counts.agg(F.avg("count"), F.var_pop("count")).first()
+    assert m == pytest.approx(100, rel=0.1) and 30 < v < 300
+
+
+def test_frequent_lines_leave_and_copies_do_not_count(spark):
+    body = lambda i: " ".join(f"a{i}x{j}" for j in range(60))
+    rows = [(i, f"{body(i)}\nShare this page with friends\n{body(i + 100)}", "s") for i in range(40)] + [(100 + i, f"{body(500)}\n{body(501)}", "s") for i in range(30)]
+    rows += [(200, "Share this page with friends\n" * 20 + "but no words", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in quality.judged(docs, keep=["doc_id"]).select("row.doc_id", "kept", "lost_words", "base_failed").collect()}
+    assert all(got[i].kept and got[i].lost_words == 5 for i in range(40)) and all(got[100 + i].lost_words == 0 and got[100 + i].kept for i in range(30))
+    assert not got[200].kept
+    texts = {r.doc_id: r.text for r in quality.cleaned(docs).collect()}
+    assert texts[3] == f"{body(3)}\n{body(103)}" and 200 not in texts

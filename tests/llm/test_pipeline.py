@@ -1,0 +1,60 @@
+"""The pipeline against a brute-force version of its decisions on a small fixture."""
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from sparkloom.llm import pieces
+
+pytestmark = pytest.mark.skipif(not os.path.exists(pieces.MODEL), reason="the public model is not here")
+
+
+def body(i, n=120):
+    return " ".join(f"t{i}x{j}" for j in range(n))
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    passage = body(9000, 70)
+    rows = [(i, body(i), "en", f"s{i % 3}") for i in range(60)]
+    rows += [(100, body(5), "en", "s0"), (101, body(6) + " one", "en", "s1")]  # an exact and a near copy
+    rows += [(200, f"{body(200)}\n{passage}", "en", "s0"), (201, f"{body(201)} {passage} {body(202)}", "en", "s1")]
+    rows += [(300, "too short", "en", "s0"), (301, "same old words " * 50, "en", "s1"), (302, None, None, None)]
+    path = str(tmp_path_factory.mktemp("sf"))
+    spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    return path
+
+
+def test_stages_decide_as_brute_force(spark, folder):
+    docs, seen = spark.read.parquet(f"{folder}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, folder)
+        seen[name] = docs.collect()
+        docs = spark.createDataFrame(seen[name], docs.schema)
+    ids = {n: {r.doc_id for r in rows} for n, rows in seen.items()}
+    clean = set(range(60)) | {200, 201}
+    assert ids["quality rules"] == clean | {100, 101}
+    assert ids["SimHash near-dedup"] == clean
+    assert ids["substring dedup"] == clean
+    texts = {r.doc_id: r.text for r in seen["substring dedup"]}
+    passage = body(9000, 70)
+    assert sorted(passage in texts[d] for d in (200, 201)) == [False, True]
+    assert texts[200] in (body(200), f"{body(200)}\n{passage}") and all(texts[i] == body(i) for i in range(60))
+    assert all(r.n_chars == len(r.text) for r in seen["substring dedup"])
+    counts = {}
+    for r in seen["source mixing"]:
+        counts[r.doc_id] = counts.get(r.doc_id, 0) + 1
+        assert r.text == texts[r.doc_id]
+    assert 30 < sum(counts.values()) < 110 and set(counts) < clean
+    model = pieces.Model(pieces.model_bytes(pieces.MODEL))
+    for r in seen["SentencePiece encoding"]:
+        ids_, sizes = model.encode([texts[r.doc_id]])
+        assert r.token_ids == ids_.tolist() and r.n_tokens == sizes[0] and r.round_trip
+
+
+def test_run(spark, folder):
+    got = corpus_pipeline.run(spark, folder)
+    assert got.columns == ["doc_id", "lang", "source", "n_tokens", "token_ids", "round_trip"]
+    assert got.filter(~F.col("round_trip")).count() == 0 and 30 < got.count() < 110
