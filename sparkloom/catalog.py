@@ -385,3 +385,480 @@ select round((select avg((p - y) ** 2) from s), 6) point, round(quantile_cont(m,
 def bootstrap_ci(spark, sf):
     rows = _scored(spark, sf)
     return rounded(metrics.bootstrap(rows, "doc_id", (F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))))
+
+
+# --- drift
+
+_SHARES = ", ".join(str(i / 10) for i in range(11))
+_PSI_NUM = f"""e as (select list_sort(list_distinct(quantile_cont(value, [{_SHARES}]))) e from ref), k as (select unnest(range(len(e) - 1)) bin from e),
+b as (select 'r' side, len(list_filter(e[2:len(e) - 1], lambda x: value >= x)) bin from ref, e union all select 'n', len(list_filter(e[2:len(e) - 1], lambda x: value >= x)) from new, e),
+h as (select k.bin, greatest(count(*) filter (side = 'r') / (select count(*) from ref), 1e-4) p, greatest(count(*) filter (side = 'n') / (select count(*) from new), 1e-4) q from k left join b using (bin) group by 1),
+z as (select p / sum(p) over () p, q / sum(q) over () q from h)"""
+_HALVES = "ref as (select * from events where ts < timestamp '2024-01-16'), new as (select * from events where ts >= timestamp '2024-01-16')"
+_STATUS = "case when psi < .1 then 'OK' when psi < .25 then 'MODERATE DRIFT' else 'MAJOR DRIFT' end status"
+
+
+def _halves(spark, sf):
+    events = read(spark, sf, "events")
+    at = F.to_timestamp_ntz(F.lit("2024-01-16 00:00:00"))
+    return events.filter(F.col("ts") < at), events.filter(F.col("ts") >= at)
+
+
+@query(f"with {_HALVES}, {_PSI_NUM}, s as (select sum((q - p) * ln(q / p)) psi from z) select 'value' feature, round(psi, 6) psi, {_STATUS} from s")
+def psi_numeric(spark, sf):
+    return rounded(drift.numeric_psi(*_halves(spark, sf), "value"))
+
+
+_PSI_LEVEL = """c as (select 'r' side, event_type v from ref union all select 'n', event_type from new),
+h as (select v, greatest(count(*) filter (side = 'r') / (select count(*) from ref), 1e-4) p, greatest(count(*) filter (side = 'n') / (select count(*) from new), 1e-4) q from c group by 1),
+z as (select p / sum(p) over () p, q / sum(q) over () q from h)"""
+
+
+@query(f"with {_HALVES}, {_PSI_LEVEL}, s as (select sum((q - p) * ln(q / p)) psi from z) select 'event_type' feature, round(psi, 6) psi, {_STATUS} from s")
+def psi_categorical(spark, sf):
+    return rounded(drift.level_psi(*_halves(spark, sf), "event_type"))
+
+
+_SHIFTED = "ref as (select * from events where ts < timestamp '2024-01-16'), new as (select event_id, ts, value + 10 as value, event_type from events where ts >= timestamp '2024-01-16')"
+
+
+@query(
+    f"select * from (with {_SHIFTED}, {_PSI_NUM}, s as (select sum((q - p) * ln(q / p)) psi from z) select 'value' feature, round(psi, 6) psi, {_STATUS} from s) "
+    f"union all select * from (with {_SHIFTED}, {_PSI_LEVEL}, s as (select sum((q - p) * ln(q / p)) psi from z) select 'event_type' feature, round(psi, 6) psi, {_STATUS} from s) union all select 'gone', null, 'MISSING COLUMN'"
+)
+def psi_report(spark, sf):
+    ref, new = _halves(spark, sf)
+    return rounded(drift.report(ref.withColumn("gone", F.lit(1.0)), new.withColumn("value", F.col("value") + 10), ["value", "gone"], ["event_type"]))
+
+
+# --- panels
+
+
+def weekly(spark, sf) -> DataFrame:
+    """(series, ds, y): weekly quantity by return flag."""
+    rows = read(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("series"), F.date_trunc("week", "l_shipdate").cast("timestamp_ntz").alias("ds"))
+    return rows.agg(F.sum("l_quantity").alias("y"))
+
+
+def weekly_regular(spark, sf) -> DataFrame:
+    return panel.regular(weekly(spark, sf), "W")
+
+
+_WEEKLY = """w as (select l_returnflag series, date_trunc('week', l_shipdate)::timestamp ds, sum(l_quantity) y from lineitem group by 1, 2),
+g as (select series, unnest(generate_series(min(ds), max(ds), interval 7 day)) ds from w group by 1), j as (select g.series, g.ds, y from g left join w using (series, ds)),
+k as (select *, last_value(y ignore nulls) over b y0, last_value(case when y is not null then ds end ignore nulls) over b t0, first_value(y ignore nulls) over a y1, first_value(case when y is not null then ds end ignore nulls) over a t1 from j
+  window b as (partition by series order by ds rows between unbounded preceding and current row), a as (partition by series order by ds rows between current row and unbounded following)),
+p as (select series, ds, coalesce(y, y0 + (y1 - y0) * epoch(ds - t0) / epoch(t1 - t0)) y, y is null y_was_filled from k)"""
+
+
+@query("select event_type series, date_trunc('day', ts)::timestamp ds, count(*) n, round(sum(value), 4) y from events group by 1, 2")
+def panel_daily(spark, sf):
+    days = F.date_trunc("day", "ts").cast("timestamp_ntz")
+    return read(spark, sf, "events").groupBy(F.col("event_type").alias("series"), days.alias("ds")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("y"))
+
+
+@query(f"with {_WEEKLY} select series, ds, round(y, 4) y, y_was_filled from p")
+def panel_grid_fill(spark, sf):
+    return rounded(weekly_regular(spark, sf), 4)
+
+
+@query(f"with {_WEEKLY} select series, count(*) n, min(ds) \"first\", max(ds) \"last\", round(avg(y), 4) mean, round(avg(y_was_filled::int) * 100, 6) filled_pct from p group by 1")
+def panel_summary(spark, sf):
+    s = panel.summary(weekly_regular(spark, sf))
+    return s.select("series", "n", "first", "last", F.round("mean", 4).alias("mean"), F.round("filled_pct", 6).alias("filled_pct"))
+
+
+def orders_daily(spark, sf) -> DataFrame:
+    rows = read(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("series"), F.date_trunc("day", "o_orderdate").cast("timestamp_ntz").alias("ds"))
+    return rows.agg(F.count("*").cast("double").alias("y"))
+
+
+@query("""with d as (select o_orderpriority series, date_trunc('day', o_orderdate) ds, count(*)::double y from orders group by 1, 2),
+s as (select series, count(distinct ds) n, date_diff('day', min(ds), max(ds)) + 1 n_grid, stddev_pop(y) sd from d group by 1)
+select series, n, n_grid::int n_grid, round(1 - n / n_grid, 6) gap, round(sd, 6) sd, case when n < 3 then 'too few times' when 1 - n / n_grid > .1 then 'too many gaps' when n_grid < 38 then 'too short' when sd = 0 then 'constant' end reason from s""")
+def panel_guardrails(spark, sf):
+    return rounded(panel.guarded(orders_daily(spark, sf), "D", 14))
+
+
+@query("""select o_orderstatus ds, 'n' series, count(*)::double y from orders group by 1 union all select o_orderstatus, 'high', count(*) filter (o_totalprice > 200000) from orders group by 1""")
+def wide_to_long(spark, sf):
+    wide = read(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("ds")).agg(F.count("*").cast("double").alias("n"), F.count_if(F.col("o_totalprice") > 200000).cast("double").alias("high"))
+    return panel.wide_to_long(wide, "ds", ["n", "high"])
+
+
+@query(f"with {_WEEKLY} select ds, round(max(y) filter (series = 'A'), 4) a, round(max(y) filter (series = 'N'), 4) n, round(max(y) filter (series = 'R'), 4) r from p group by 1")
+def long_to_wide(spark, sf):
+    wide = panel.long_to_wide(weekly_regular(spark, sf), ["A", "N", "R"])
+    return rounded(wide.select("ds", F.col("A").alias("a"), F.col("N").alias("n"), F.col("R").alias("r")), 4)
+
+
+@query(f"""with {_WEEKLY}, d as (select series, (epoch(ds) - epoch(lag(ds) over (partition by series order by ds)))::bigint s from w), c as (select series, s, count(*) n from d where s > 0 group by 1, 2)
+select series, s as "seconds" from (select *, row_number() over (partition by series order by n desc, s) r from c) where r = 1""")
+def freq_infer(spark, sf):
+    return panel.inferred_steps(weekly(spark, sf))
+
+
+@query("select unnest(['D', 'W', 'MS', 'min', 'min30', 'h2']) step, unnest(['7,365', '52', '12', '60,1440', '2,48', '12,84']) seasons")
+def season_candidates(spark, sf):
+    asked = [("D", "D", 1), ("W", "W", 1), ("MS", "MS", 1), ("min", "min", 1), ("min30", "min", 30), ("h2", "h", 2)]
+    return spark.createDataFrame([(name, ",".join(map(str, panel.season_candidates(step, k)))) for name, step, k in asked], "step string, seasons string")
+
+
+def _edges(spark, sf) -> DataFrame:
+    nations = read(spark, sf, "nation").join(read(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return nations.select(F.col("r_name").alias("parent"), F.col("n_name").alias("child")).unionAll(read(spark, sf, "region").select(F.lit("TOTAL").alias("parent"), F.col("r_name").alias("child")))
+
+
+@query("""select r_name node, n_name leaf from nation join region on n_regionkey = r_regionkey union select 'TOTAL', n_name from nation union select n_name, n_name from nation""")
+def hierarchy_closure(spark, sf):
+    return panel.closure(spark, _edges(spark, sf))
+
+
+def nation_years(spark, sf) -> DataFrame:
+    rows = read(spark, sf, "orders").join(read(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(read(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.groupBy(F.col("n_name").alias("series"), F.year("o_orderdate").alias("ds")).agg(F.count("*").cast("double").alias("y"))
+
+
+_YEARS = """y as (select n_name, r_name, year(o_orderdate)::int ds, count(*)::double y from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by 1, 2, 3)"""
+
+
+@query(f"""with {_YEARS} select n_name series, ds, y from y union all select r_name, ds, sum(y) from y join (select n_regionkey, r_name, count(*) k from nation join region on n_regionkey = r_regionkey group by 1, 2) using (r_name) group by r_name, ds, k having count(*) = k
+union all select 'TOTAL', ds, sum(y) from y group by ds having count(*) = (select count(*) from nation)""")
+def hierarchy_rollup(spark, sf):
+    return panel.with_parents(nation_years(spark, sf), _edges(spark, sf))
+
+
+# --- seasons, features, calendars
+
+
+def _strength_sql(m: int) -> str:
+    return f"""n as (select *, row_number() over (partition by series order by ds) - 1 "at", avg(y) over f trend, count(y) over f inf from p window f as (partition by series order by ds rows between {m // 2} preceding and {(m + 1) // 2 - 1} following)),
+d as (select series, "at", y, case when inf >= {max(3, m // 2)} then y - trend end d from n), r as (select *, d - avg(d) over (partition by series, "at" % {m}) r from d),
+v as (select series, count(*) n, count(d) ok, var_pop(d) vd, var_pop(r) vr, stddev_pop(y) sd from r group by 1)
+select series, n, round(case when n >= {3 * m} and sd > 0 and ok >= {3 * m // 2} and {m} < ok then greatest(0, (greatest(0, 1 - vr / vd) - {m}::double / ok) / (1 - {m}::double / ok)) else 0 end, 6) strength from v"""
+
+
+@query(f"with {_WEEKLY}, {_strength_sql(52)}")
+def season_strength(spark, sf):
+    return rounded(season.strength(weekly_regular(spark, sf), 52))
+
+
+@query(f"with {_WEEKLY}, {_strength_sql(4)}")
+def season_strength_even(spark, sf):
+    return rounded(season.strength(weekly_regular(spark, sf), 4))
+
+
+_LAGS = "lag(y, 1) over o y_lag1, lag(y, 7) over o y_lag7, case when count(y) over b = 7 then avg(y) over b end y_mean7, case when count(y) over b = 7 then stddev_samp(y) over b end y_sd7"
+
+
+@query(f"""with {_WEEKLY}, l as (select series, ds, {_LAGS} from p window o as (partition by series order by ds), b as (partition by series order by ds rows between 7 preceding and 1 preceding))
+select series, ds, round(y_lag1, 4) y_lag1, round(y_lag7, 4) y_lag7, round(y_mean7, 4) y_mean7, round(y_sd7, 4) y_sd7 from l""")
+def lag_roll_features(spark, sf):
+    return rounded(forecast.lag_features(weekly_regular(spark, sf), [1, 7], [7]).drop("y", "y_was_filled"), 4)
+
+
+@query("""select distinct d ds, round(sin(2 * pi() * t / 365.25), 6) sin1, round(cos(2 * pi() * t / 365.25), 6) cos1, round(sin(4 * pi() * t / 365.25), 6) sin2, round(cos(4 * pi() * t / 365.25), 6) cos2
+from (select o_orderdate::date d, date_diff('day', date '1970-01-01', o_orderdate::date)::double t from orders)""")
+def fourier_features(spark, sf):
+    days = read(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("ds")).distinct()
+    return rounded(days.select("ds", *[c.alias(n) for n, c in fourier(F.unix_date("ds").cast("double"), 365.25, 2).items()]))
+
+
+_DAYS = ", ".join(f"(date '{d}')" for d in us_holidays(1995, 2001))
+
+
+@query(f"""with h as (select * from (values {_DAYS}) v(h)), d as (select distinct o_orderdate::date ds from orders)
+select ds, (ds in (select h from h))::int is_holiday, (ds + 1 in (select h from h))::int day_before_holiday, (ds - 1 in (select h from h))::int day_after_holiday from d""")
+def holiday_flags_daily(spark, sf):
+    return holiday_flags(read(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("ds")).distinct(), "ds", us_holidays(1995, 2001))
+
+
+# --- forecasts and backtests
+
+HORIZON, FOLDS, SEASON = 4, 3, 52
+_Z = forecast.z_of(0.90)
+_FOLDS = f"""{_WEEKLY}, c as (select k fold, (select max(ds) from p) - ({FOLDS} + 1 - k) * {HORIZON} * interval 7 day cutoff from (select unnest(range(1, {FOLDS} + 1)) k)),
+f as (select fold, series, ds, y, y_was_filled, ds <= cutoff is_train from p, c),
+q as (select *, case when not is_train then row_number() over (partition by fold, series, is_train order by ds) end step from f),
+t as (select *, y - lag(y) over o d1, y - lag(y, {SEASON}) over o d52, row_number() over o at_, count(*) over (partition by fold, series) size from q where is_train window o as (partition by fold, series order by ds)),
+m as (select fold, series, count(*) n, max_by(y, ds) l, min_by(y, ds) fst, stddev_pop(d1) s1, stddev_pop(d52) sm, list(y order by ds) ys, avg(abs(d52)) scale from t group by 1, 2),
+h as (select *, unnest(range(1, {HORIZON} + 1)) h from m),
+b as (select 'Naive' model, fold, series, h, l yhat, {_Z} * s1 * sqrt(h) w from h union all
+  select 'Drift', fold, series, h, l + (l - fst) / (n - 1) * h, {_Z} * s1 * sqrt(h * (1 + h / (n - 1))) from h union all
+  select 'SeasonalNaive', fold, series, h, ys[len(ys) - {SEASON} + (h - 1) % {SEASON} + 1], {_Z} * sm * sqrt(floor((h - 1) / {SEASON}) + 1) from h),
+a as (select fold, series, step, y from q where not is_train and step <= {HORIZON} and not y_was_filled),
+e as (select model, fold, series, h, y, yhat, w, abs(y - yhat) e, scale from a join b using (fold, series) join m using (fold, series) where step = h),
+s as (select model, fold, series, count(*) n, avg(e) / max(scale) mase, avg(2 * e / (abs(y) + abs(yhat))) smape, sum(e) / sum(abs(y)) wape, sqrt(avg(e * e)) rmse, avg(e) mae, avg((abs(y - yhat) <= w)::int) coverage from e group by 1, 2, 3)"""
+
+
+def _folds(spark, sf) -> DataFrame:
+    p = weekly_regular(spark, sf)
+    return forecast.folded(p, forecast.cutoffs(p, "W", HORIZON, FOLDS))
+
+
+def _backtest(spark, sf) -> tuple[DataFrame, DataFrame]:
+    rows = _folds(spark, sf)
+    return rows, forecast.baselines(rows, HORIZON, SEASON)
+
+
+def _model(name: str):
+    def run(spark, sf):
+        _, found = _backtest(spark, sf)
+        return rounded(found.filter(F.col("model") == name), 4)
+
+    run.__name__ = {"Naive": "fc_naive", "SeasonalNaive": "fc_snaive", "Drift": "fc_drift"}[name]
+    query(f"with {_FOLDS} select model, fold::int fold, series, h::int step, round(yhat, 4) yhat, round(yhat - w, 4) lo, round(yhat + w, 4) hi from b where model = '{name}'")(run)
+
+
+for _name in ("Naive", "SeasonalNaive", "Drift"):
+    _model(_name)
+
+
+@query(f"with {_FOLDS} select model, fold::int fold, series, n, round(mase, 6) mase, round(smape, 6) smape, round(wape, 6) wape, round(rmse, 4) rmse, round(mae, 4) mae, round(coverage, 6) coverage from s")
+def backtest_metrics(spark, sf):
+    s = forecast.scored(*_backtest(spark, sf), HORIZON, SEASON)
+    return s.select("model", "fold", "series", "n", *[F.round(c, 4 if c in ("rmse", "mae") else 6).alias(c) for c in forecast.METRICS])
+
+
+@query(f"""with {_FOLDS}, o as (select model, fold, avg(mase) mase, avg(smape) smape, avg(wape) wape, avg(rmse) rmse, avg(mae) mae, avg(coverage) coverage from s group by 1, 2)
+select model, round(avg(mase), 6) mase, round(avg(smape), 6) smape, round(avg(wape), 6) wape, round(avg(rmse), 4) rmse, round(avg(mae), 4) mae, round(avg(coverage), 6) coverage from o group by 1""")
+def backtest_leaderboard(spark, sf):
+    board = forecast.leaderboard(forecast.scored(*_backtest(spark, sf), HORIZON, SEASON))
+    return board.select("model", *[F.round(c, 4 if c in ("rmse", "mae") else 6).alias(c) for c in forecast.METRICS])
+
+
+@query(f"with {_FOLDS} select 'Blend' model, fold::int fold, series, h::int step, round(avg(yhat), 4) yhat from b where model in ('Naive', 'SeasonalNaive') group by 2, 3, 4")
+def blend_mean(spark, sf):
+    _, found = _backtest(spark, sf)
+    return rounded(forecast.blended(found, ["Naive", "SeasonalNaive"]).drop("lo", "hi"), 4)
+
+
+@query(f"with {_FOLDS} select model, fold::int fold, series, h::int step, round(e, 4) error from e")
+def residual_steps(spark, sf):
+    return rounded(forecast.residuals(*_backtest(spark, sf), HORIZON), 4)
+
+
+_WIDTHS = "qs as (select model, h, count(*) n, quantile_cont(e, .9) q from e group by 1, 2), wd as (select model, h, n, max(q) over (partition by model order by h) width, n / (n + 1) attainable from qs)"
+
+
+@query(f"with {_FOLDS}, {_WIDTHS} select model, h::int step, n, round(width, 4) width, round(attainable, 6) attainable from wd")
+def half_widths(spark, sf):
+    rows, found = _backtest(spark, sf)
+    w = forecast.half_widths(forecast.residuals(rows, found, HORIZON))
+    return w.select("model", "step", "n", F.round("width", 4).alias("width"), F.round("attainable", 6).alias("attainable"))
+
+
+@query(f"with {_FOLDS}, {_WIDTHS} select model, series, h::int step, round(yhat, 4) yhat, round(yhat - width, 4) lo, round(yhat + width, 4) hi from b join wd using (model, h) where fold = {FOLDS}")
+def residual_bands(spark, sf):
+    rows, found = _backtest(spark, sf)
+    w = forecast.half_widths(forecast.residuals(rows, found, HORIZON))
+    return rounded(forecast.banded(found.filter(F.col("fold") == FOLDS).drop("fold"), w).select("model", "series", "step", "yhat", "lo", "hi"), 4)
+
+
+@query(f"""with {_FOLDS}, x as (select model, fold, avg(mase) v from s group by 1, 2), mm as (select model, avg(v) m from x group by 1), best as (select model from mm order by m, model limit 1),
+pr as (select x.model, avg(x.v) m, avg(y.v) bm, stddev_samp(x.v - y.v) / sqrt(count(*)) band from x join x y on x.fold = y.fold and y.model = (select model from best) group by 1),
+z as (select *, case model when 'Naive' then 1 when 'SeasonalNaive' then 2 else 3 end complexity, m - bm <= band near from pr)
+select model, complexity, round(m, 6) mean, round(band, 6) band, model = (select model from best) is_best, row_number() over (order by near desc, complexity, m, model) = 1 is_picked from z""")
+def parsimony_select(spark, sf):
+    scores = forecast.scored(*_backtest(spark, sf), HORIZON, SEASON).groupBy("model", "fold").agg(F.avg("mase").alias("score"))
+    size = F.when(F.col("model") == "Naive", 1).when(F.col("model") == "SeasonalNaive", 2).otherwise(3)
+    return rounded(select.picked_table(scores.withColumn("complexity", size)))
+
+
+# --- reconciliation
+
+
+def _incoherent(spark, sf) -> DataFrame:
+    """Predictions (ds, series, yhat) of nations, regions and the total that do not add up: last year's values, parents off by a tenth."""
+    years = panel.with_parents(nation_years(spark, sf), _edges(spark, sf))
+    low = read(spark, sf, "nation").select(F.col("n_name").alias("leaf"))
+    marked = years.join(low, years.series == low.leaf, "left")
+    return marked.select("ds", "series", F.when(F.col("leaf").isNull(), F.col("y") * 1.1).otherwise(F.col("y")).alias("yhat"))
+
+
+_INCOHERENT = f"""{_YEARS}, i as (select ds, n_name series, y yhat from y union all select ds, r_name, sum(y) * 1.1 from y join (select r_name, count(*) k from nation join region on n_regionkey = r_regionkey group by 1) using (r_name) group by r_name, ds, k having count(*) = k
+union all select ds, 'TOTAL', sum(y) * 1.1 from y group by ds having count(*) = (select count(*) from nation))"""
+
+
+def _summing(spark, sf):
+    edges = [(r.parent, r.child) for r in _edges(spark, sf).collect()]
+    names = sorted({x for e in edges for x in e})
+    return names, *reconcile.summing(edges, names)
+
+
+@query(f"""with {_INCOHERENT}, lf as (select ds, n_name, r_name, y from y) select ds, n_name series, round(y, 6) yhat from lf
+union all select ds, r_name, round(sum(y), 6) from lf where (ds, r_name) in (select (ds, series) from i) group by 1, 2 union all select ds, 'TOTAL', round(sum(y), 6) from lf where ds in (select ds from i where series = 'TOTAL') group by 1""")
+def recon_bottom_up(spark, sf):
+    names, leaves, matrix = _summing(spark, sf)
+    return rounded(reconcile.applied(_incoherent(spark, sf), reconcile.projection(matrix, leaves, names, "bottom_up"), names))
+
+
+@query(f"""with {_INCOHERENT}, ed as (select r_name parent, n_name child from nation join region on n_regionkey = r_regionkey union all select 'TOTAL', r_name from region),
+s as (select parent, i.ds, sum(yhat) s from i join ed on i.series = child group by 1, 2) select parent, round(avg(abs(s - yhat)) / (avg(abs(yhat)) + 1e-12), 6) gap from s join i on i.series = parent and i.ds = s.ds group by 1""")
+def coherency_gap(spark, sf):
+    return rounded(reconcile.coherency_gap(_incoherent(spark, sf), _edges(spark, sf)))
+
+
+# Closed forms for this tree of 5 regions with 5 nations each: with B the regions' blocks of ones and J all ones,
+# (I + B + J)^-1 = I - B/6 - J/186, and (I + B/5 + J/25)^-1 = I - B/10 - J/150.
+_TREE = """with {i}, z as (select ds, n_name, r_name, y.y + r.yhat / {r} + t.yhat / {t} z from y join i r using (ds) join i t using (ds) where r.series = r_name and t.series = 'TOTAL'),
+lf as (select ds, n_name, r_name, z - sum(z) over (partition by ds, r_name) / {b} - sum(z) over (partition by ds) / {j} v from z)
+select ds, n_name series, round(v, 4) yhat from lf union all select ds, r_name, round(sum(v), 4) from lf group by 1, 2 union all select ds, 'TOTAL', round(sum(v), 4) from lf group by 1"""
+
+
+@query(_TREE.format(i=_INCOHERENT, r="1.0::double", t="1.0::double", b=6, j=186))
+def recon_ols(spark, sf):
+    names, leaves, matrix = _summing(spark, sf)
+    return rounded(reconcile.applied(_incoherent(spark, sf), reconcile.projection(matrix, leaves, names, "ols"), names), 4)
+
+
+@query(_TREE.format(i=_INCOHERENT, r="5.0::double", t="25.0::double", b=10, j=150))
+def recon_wls(spark, sf):
+    names, leaves, matrix = _summing(spark, sf)
+    return rounded(reconcile.applied(_incoherent(spark, sf), reconcile.projection(matrix, leaves, names, "wls_struct"), names), 4)
+
+
+@query()
+def recon_mint(spark, sf):
+    names, leaves, matrix = _summing(spark, sf)
+    rows = _incoherent(spark, sf)
+    errors = rows.select(F.col("ds").alias("fold"), F.lit(1).alias("step"), "series", (F.col("yhat") * 0.05 * F.sin(F.col("ds").cast("double") + F.length("series"))).alias("error"))
+    return rounded(reconcile.applied(rows, reconcile.projection(matrix, leaves, names, "mint_shrink", reconcile.error_matrix(errors, names)), names))
+
+
+# --- models that are one expression: importance, dependence, averages
+
+
+@query("""with g as (select o_orderstatus, o_orderpriority, avg(o_totalprice) p from orders group by 1, 2), k as (select o_orderkey, o_orderstatus, o_orderpriority, o_totalprice,
+  row_number() over (order by o_orderkey) a, row_number() over (order by md5(o_orderkey || '-p'), o_orderkey) b from orders), o as (select avg((o_totalprice - p) ** 2) m from orders join g using (o_orderstatus, o_orderpriority))
+select 'o_orderpriority' feature, round((avg((x.o_totalprice - p) ** 2) - (select m from o)) / 1e6, 2) importance from k x join k y on x.a = y.b join g on x.o_orderstatus = g.o_orderstatus and y.o_orderpriority = g.o_orderpriority""")
+def perm_importance_md5(spark, sf):
+    rows = read(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
+    means = F.broadcast(rows.groupBy("o_orderstatus", "o_orderpriority").agg(F.avg("o_totalprice").alias("p")))  # fifteen cells
+    error = F.avg((F.col("o_totalprice") - F.col("p")) ** 2)
+    base = rows.join(means, ["o_orderstatus", "o_orderpriority"]).agg(error).first()[0]
+    own = split.ranked(rows.drop("o_orderpriority"), [], F.floor(F.col("o_orderkey") / 1000), ["o_orderkey"], "at")
+    other = split.hash_ranked(rows.select("o_orderkey", "o_orderpriority"), F.col("o_orderkey"), ["o_orderkey"], [], "p").select(F.col("__rank").alias("at"), "o_orderpriority")
+    mixed = own.join(other, "at").join(means, ["o_orderstatus", "o_orderpriority"])
+    return mixed.agg(error.alias("i")).select(F.lit("o_orderpriority").alias("feature"), F.round((F.col("i") - F.lit(base)) / 1e6, 2).alias("importance"))
+
+
+@query("""with r as (select regr_slope(o_totalprice, c_acctbal) a, regr_intercept(o_totalprice, c_acctbal) b from orders join customer on o_custkey = c_custkey),
+g as (select unnest(range(11)) i, unnest(quantile_cont(c_acctbal, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) x from customer) select i::int i, round(x, 2) x, round(a * x + b, 2) mean_prediction from g, r""")
+def pdp_grid(spark, sf):
+    customers = read(spark, sf, "customer")
+    rows = read(spark, sf, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    fit = rows.agg(F.regr_slope("o_totalprice", "c_acctbal").alias("a"), F.regr_intercept("o_totalprice", "c_acctbal").alias("b")).first()
+    grid = customers.agg(F.percentile("c_acctbal", F.array(*[F.lit(i / 10) for i in range(11)])).alias("g")).select(F.posexplode("g").alias("i", "x"))
+    return grid.select("i", F.round("x", 2).alias("x"), F.round(F.lit(fit["a"]) * F.col("x") + F.lit(fit["b"]), 2).alias("mean_prediction"))
+
+
+@query("""with p as (select o_orderkey, avg(o_totalprice) over (partition by o_orderpriority) a, avg(o_totalprice) over (partition by o_orderstatus) b from orders) select o_orderkey, round((a + b) / 2, 2) vote from p""")
+def stack_vote_avg(spark, sf):
+    orders = read(spark, sf, "orders")
+    a, b = (orders.groupBy(c).agg(F.avg("o_totalprice").alias(n)) for c, n in (("o_orderpriority", "a"), ("o_orderstatus", "b")))
+    return orders.join(a, "o_orderpriority").join(b, "o_orderstatus").select("o_orderkey", F.round((F.col("a") + F.col("b")) / 2, 2).alias("vote"))
+
+
+# --- events: windows, sessions, JSON; vectors
+
+
+@query("""select event_type, time_bucket(interval 1 hour, ts)::timestamp start, count(*) n, round(sum(value), 4) total from events group by 1, 2""")
+def tumbling_windows(spark, sf):
+    rows = read(spark, sf, "events").withColumn("t", F.col("ts").cast("timestamp"))
+    by = rows.groupBy("event_type", F.window("t", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return by.select("event_type", F.col("w.start").cast("timestamp_ntz").alias("start"), "n", "total")
+
+
+@query("""with g as (select *, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end nw from events), s as (select *, sum(nw) over (partition by user_id order by ts) k from g)
+select user_id, min(ts) start, count(*) n, round(sum(value), 4) total from s group by user_id, k""")
+def session_windows(spark, sf):
+    rows = read(spark, sf, "events").withColumn("t", F.col("ts").cast("timestamp"))
+    by = rows.groupBy("user_id", F.session_window("t", "30 minutes").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return by.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n", "total")
+
+
+@query("""select (props::json ->> 'k')::int k, count(*) n, round(avg(value), 6) mean from events group by 1""")
+def json_props(spark, sf):
+    k = F.from_json("props", "k int")["k"]
+    return read(spark, sf, "events").groupBy(k.alias("k")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query("""with c as (select label, i, avg(embedding[i]::double) m from embeddings, range(1, 65) t(i) group by 1, 2), s as (select vec_id, e.label, c.label predicted, sum((embedding[i]::double - m) ** 2) d from embeddings e, c group by 1, 2, 3),
+r as (select *, row_number() over (partition by vec_id order by d, predicted) k from s) select vec_id, label, predicted from r where k = 1""")
+def embeddings_centroid_label(spark, sf):
+    rows = read(spark, sf, "embeddings")
+    long = rows.select("label", F.posexplode("embedding").alias("i", "x"))
+    means = long.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("c"))
+    all_means = means.agg(F.array_sort(F.collect_list(F.struct("label", F.transform("c", lambda x: x["m"]).alias("m")))).alias("all")).first()["all"]  # a row for each label
+    table = F.array(*[F.struct(F.lit(r["label"]).alias("label"), F.array(*[F.lit(x) for x in r["m"]]).alias("m")) for r in all_means])
+    distance = lambda m: F.aggregate(F.zip_with("embedding", m, lambda a, b: (a.cast("double") - b) ** 2), F.lit(0.0), lambda s, x: s + x)
+    nearest = F.array_min(F.transform(table, lambda c: F.struct(distance(c["m"]).alias("d"), c["label"].alias("label"))))
+    return rows.select("vec_id", "label", nearest["label"].alias("predicted"))
+
+
+@query("""select old, new from (values ('x[1]<weird>', 'x_1__weird_'), ('x,2', 'x_2'), ('plain', 'plain'), ('y:', 'y_'), ('y_', 'y__1')) v(old, new) where old <> 'y_' union all select 'y__1', 'y__1'""")
+def name_cleaning(spark, sf):
+    return spark.createDataFrame(list(clean_names(["x[1]<weird>", "x,2", "plain", "y:", "y__1"]).items()), "old string, new string")
+
+
+# --- fitted models: no SQL form, tested for their accuracy
+
+
+def _quality(spark, sf) -> DataFrame:
+    docs = read(spark, sf, "documents")
+    rows = read(spark, sf, "labels").join(docs, "doc_id")
+    symbols = F.length("text") - F.length(F.regexp_replace("text", r"[^\w\s.,]", ""))
+    made = rows.select(F.col("doc_id").cast("string").alias("__rid"), F.col("quality").cast("double").alias("label"), F.col("n_chars").cast("double").alias("n_chars"), (symbols / F.length("text")).alias("symbols"), "lang")
+    return split.folds(made, "__rid", 3, "label")
+
+
+def _fit_query(name: str, family: str):
+    from sparkloom.operators import models
+
+    def run(spark, sf):
+        columns = models.Columns(["n_chars", "symbols"], ["lang"])
+        rows = _quality(spark, sf)
+        out = models.out_of_fold(rows, columns, models.roster("classification")[family], "classification", 3)
+        return out.select(F.col("__rid").cast("long").alias("doc_id"), "label", F.round("p", 4).alias("p"))
+
+    run.__name__ = name
+    query()(run)
+
+
+for _n, _f in (("ml_logreg", "LogisticRegression"), ("ml_rf", "RandomForest"), ("ml_gbt", "GradientBoosting")):
+    _fit_query(_n, _f)
+
+
+@query()
+def ml_glm_poisson(spark, sf):
+    from sparkloom.operators import models
+
+    lines = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
+    rows = lines.select(F.col("l_orderkey").cast("string").alias("__rid"), F.col("n").cast("double").alias("label"), F.col("q").alias("q"))
+    columns = models.Columns(["q"])
+    model = models.fitted(rows, columns, models.roster("regression", objective="poisson")["PoissonGLM"])
+    return metrics.regression(models.predicted(model, rows, columns, "regression"), "label", "p")
+
+
+def _fc_query(name: str, model: str):
+    from sparkloom.operators import statmodels
+
+    def run(spark, sf):
+        rows = _folds(spark, sf)
+        found = statmodels.forecasts(forecast.training(rows), model, HORIZON, SEASON)
+        return forecast.leaderboard(forecast.scored(rows, found, HORIZON, SEASON))
+
+    run.__name__ = name
+    query()(run)
+
+
+for _n, _f in (("fc_ets", "ETS"), ("fc_theta", "Theta"), ("fc_arima", "ARIMA"), ("fc_harmonic", "Harmonic")):
+    _fc_query(_n, _f)
+
+
+@query()
+def fc_global_gbt(spark, sf):
+    from sparkloom.operators import globalml
+
+    return globalml.forecast(weekly_regular(spark, sf), "W", 2, 4, trees=10, depth=3)

@@ -152,9 +152,10 @@ def prepared(df: DataFrame, target: str, drop: list[str] = (), keep: list[str] =
     for c in candidates:
         f = names[c]
         flags, forced = set(by_name[f]["flags"]), c in keep or f in keep
-        if flags & hard and not forced:
+        times = "datetime" in flags or (isinstance(kinds[f], T.StringType) and not forced and not flags & {"mostly_missing", "constant"} and _is_time(known, f, limits))
+        if flags & (hard - {"id_like"} if times else hard) and not forced:  # dates that hardly repeat are no ids
             continue
-        if "datetime" in flags or (isinstance(kinds[f], T.StringType) and not forced and _is_time(known, f, limits)):
+        if times:
             if not forced:
                 recipe.dates[f] = list(date_parts(F.lit(None)))
             else:
