@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Rows of an Arrow batch: whole texts are long, and a worker holds a batch at a time.
+BATCH_ROWS = 2000
 #: White space as the text contracts use it: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -49,6 +51,8 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, so that they need no install of it. Once for each application."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)  # unless the user has chosen
     context = spark.sparkContext
     if getattr(context, "_sparkloom_shipped", False):
         return
@@ -79,6 +83,11 @@ def unpacked(row: str, columns: list[str]) -> list[Column]:
     return [F.col(row).getField(c).alias(c) for c in columns]
 
 
+def small_or_not(table: DataFrame, rows: int) -> DataFrame:
+    """A written table, marked for broadcast if it has rows rows at most; a larger one is joined by a shuffle, where hot keys are split."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
 def in_parts(texts, most: int = 2 << 20):
     """(slice, texts) of an Arrow column, in parts of about most bytes: a worker then holds one part's Python strings, not a batch's."""
     import pyarrow.compute as pc

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import LOWER, UPPER, WORD, fixed, packed, written
+from sparkloom.llm.common import LOWER, UPPER, WORD, fixed, packed, small_or_not, written
 
 #: A line is removed when it stands in at least MIN_DOCS distinct documents of its host
 #: and in more than MAX_SHARE percent of them.
@@ -82,11 +82,6 @@ def metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     return fixed(made, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def small_or_not(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A written table, marked for broadcast if it is small; a larger one is joined by a shuffle, where hot keys are split."""
-    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
-
-
 def lost_lines(docs: DataFrame, text: str, host: str, min_docs: int, max_share: int) -> DataFrame:
     """(l_host, l_th, l_tn, gone, lost_words): for each distinct text of a host that has some, its lines above the limits."""
     t = F.coalesce(F.col(text), F.lit(""))
@@ -100,7 +95,7 @@ def lost_lines(docs: DataFrame, text: str, host: str, min_docs: int, max_share:
     common = lines.groupBy(F.col("host").alias("f_host"), F.col("lh").alias("f_lh")).agg(F.count("*").alias("df"))
     common = common.filter(F.col("df") >= min_docs)
     above = common.join(sizes, common.f_host.eqNullSafe(sizes.s_host)).filter(F.col("df") * 100 > F.col("docs") * max_share)
-    above = small_or_not(written(above.select("f_host", "f_lh"), "quality-lines"))
+    above = small_or_not(written(above.select("f_host", "f_lh"), "quality-lines"), BROADCAST_ROWS)
     raw = each.select("host", "th", "tn", F.xxhash64("line").alias("lh"), n_words.alias("w"))
     hit = raw.join(above, raw.host.eqNullSafe(F.col("f_host")) & (raw.lh == F.col("f_lh")))
     lost = hit.groupBy(F.col("host").alias("l_host"), F.col("th").alias("l_th"), F.col("tn").alias("l_tn")).agg(
@@ -109,7 +104,7 @@ def lost_lines(docs: DataFrame, text: str, host: str, min_docs: int, max_share:
     # w is summed over the copies of a text
     both = lost.join(copies, F.col("host").eqNullSafe(F.col("l_host")) & (F.col("th") == F.col("l_th")) & (F.col("tn") == F.col("l_tn")))
     both = both.select("l_host", "l_th", "l_tn", "gone", (F.col("all_w") / F.col("copies")).cast("long").alias("lost_words"))
-    return small_or_not(written(both, "quality-lost"))
+    return small_or_not(written(both, "quality-lost"), BROADCAST_ROWS)
 
 
 def judged(

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import components, in_parts, packed, ship, unpacked, written
+from sparkloom.llm.common import components, in_parts, packed, ship, small_or_not, unpacked, written
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Distinct fingerprints in a chunk of a large bucket; a tile has two chunks.
@@ -234,7 +234,8 @@ def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: in
     each = marked.groupBy("fp").agg(F.min("key").alias("low"))
     links = linked(each.select("fp"), radius)
     named = each.join(links, each.fp == links.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("c"))
-    lows = named.groupBy(F.col("c").alias("lc")).agg(F.min("low").alias("component_id"))
+    # written, so that the join deals a hot component by itself and not as the aggregate needs it
+    lows = written(named.groupBy(F.col("c").alias("lc")).agg(F.min("low").alias("component_id")), "simhash-lows")
     ids = named.join(lows, F.col("c") == F.col("lc")).select(F.col("fp").alias("nfp"), F.col("c").alias("node"), "component_id")
     return marked.join(ids, F.col("fp") == F.col("nfp")).drop("nfp")
 
@@ -365,9 +366,8 @@ def _similar(batches: Iterator[pa.RecordBatch], size: int, similarity: float) ->
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def small_or_not(table: DataFrame, rows: int = 200_000) -> DataFrame:
-    """A written table of hashes, marked for broadcast if it is small; a larger one is joined by a shuffle."""
-    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+#: Tables of hashes are broadcast up to this many rows.
+BROADCAST_ROWS = 200_000
 
 
 def near_copies(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 16, functions: int = 8, chunk: int = CHUNK) -> DataFrame:
@@ -393,7 +393,7 @@ def near_copies(docs: DataFrame, text: str = "text", shingle: int = 5, similarit
     dealt = sized.select("k", "fp", "uid", F.explode(tiles).alias("t")).select("k", "t.i", "t.j", "fp", "uid")
     together = dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "fp", "uid")
     asked = written(together.mapInArrow(lambda b: near_runs(b, radius), "a long, b long").distinct(), "simhash-asked")
-    involved = small_or_not(written(asked.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "simhash-involved"))
+    involved = small_or_not(written(asked.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "simhash-involved"), BROADCAST_ROWS)
     texts = rows.select("row.uid", "t").join(involved, "uid", "left_semi").dropDuplicates(["uid"])
     one = asked.join(texts.withColumnRenamed("uid", "a"), "a").mapInArrow(lambda b: _sets(b, shingle), "a long, b long, shingles binary")
     two = one.join(texts.withColumnRenamed("uid", "b"), "b").mapInArrow(lambda b: _similar(b, shingle, similarity), "a long, b long")
@@ -413,11 +413,12 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", **lim
     groups = near_copies(docs, text, **limits).withColumnRenamed("uid", "g_uid")
     named = ids.join(groups, ids.uid == F.col("g_uid"), "left").withColumn("c", F.coalesce("node", "uid"))
     first = named.groupBy(F.col("c").alias("fc")).agg(F.min(F.struct("wl", "key", "uid", "wk")).alias("w"), F.count("*").alias("size")).filter("size > 1")
+    first = small_or_not(written(first, "simhash-first"), BROADCAST_ROWS)
     # of groups of more than one, all but the first go
     lost = named.join(first, F.col("c") == F.col("fc")).filter(~(F.col("wl").eqNullSafe(F.col("w.wl")) & (F.col("wk") == F.col("w.wk")) & (F.col("uid") == F.col("w.uid"))))
-    lost = small_or_not(written(lost.select("wk", "wl", "uid").distinct(), "simhash-lost"))
+    lost = small_or_not(written(lost.select("wk", "wl", "uid").distinct(), "simhash-lost"), BROADCAST_ROWS)
     again = named.groupBy("wk", "wl", "uid").agg(F.count("*").alias("n")).filter("n > 1").select("wk", "wl", "uid")
-    again = small_or_not(written(again, "simhash-again"))
+    again = small_or_not(written(again, "simhash-again"), BROADCAST_ROWS)
     whole = F.coalesce(F.col("row").getField(text), F.lit(""))
     mine = F.col("row").getField(key)
     rows = packed(docs).select("row", F.coalesce(mine.cast("string"), F.lit("")).alias("wk"), mine.isNull().alias("wl"), F.xxhash64(whole).alias("uid"))
