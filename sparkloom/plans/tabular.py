@@ -107,7 +107,9 @@ class TabularRun:
         for c in numbers:
             rho = association.spearman_pairs(self.train, [c, "label"]).select("rho").first()
             strength[c] = abs(rho["rho"]) if rho and rho["rho"] is not None else None
-            eta = association.association(association.quantile_bins(self.train, c, 64, "__b"), "__b", "label").first()["eta2"]
+            few = self.train.select(c).distinct().limit(65).count() <= 64
+            binned = self.train.withColumn("__b", F.col(c)) if few else association.quantile_bins(self.train, c, 64, "__b")
+            eta = association.association(binned, "__b", "label").first()["eta2"]
             rows.append((c, eta, strength[c] if self.task == "regression" else None))
         for c in self.columns.levels:
             rows.append((c, association.association(self.train, c, "label").first()["eta2"], None))

@@ -201,9 +201,13 @@ def test_stream(spark, tmp_path):
     assert {r.n for r in spark.sql("select n from hours").collect()} == {2}
 
 
-def test_tabular_run(spark, tmp_path):
+def test_tabular_run(spark, tmp_path, monkeypatch):
+    from sparkloom.operators import models
     from sparkloom.plans.tabular import MissingColumns, Scorer, TabularRun, TabularSpec
 
+    every = models.roster
+    monkeypatch.setattr(models, "roster", lambda *a: {"LogisticRegression": every(*a)["LogisticRegression"]})
+
     rows = spark.range(400).select(
         (F.randn(1)).alias("x1"), F.randn(2).alias("x2"), F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("id") % 3 + 1).cast("int")).alias("cat"), "id"
     )
@@ -211,10 +215,7 @@ def test_tabular_run(spark, tmp_path):
     rows = spark.createDataFrame(rows.collect(), rows.schema)
     run = TabularRun(TabularSpec(target="y", folds=2, trials=0, finalists=1)).load(rows).split().scan()
     assert "leak" not in run.columns.numbers and "x1" in run.columns.numbers and "id" not in run.recipe.features
-    run.families = None
-    run.screen()
-    run.screening = {k: v for k, v in run.screening.items() if k == "LogisticRegression"}
-    run.tune().decide().finish()
+    run.screen().tune().decide().finish()
     assert run.champion == "LogisticRegression" and run.result["accuracy"] > 0.75
     run.export(str(tmp_path / "artifact"))
     scorer = Scorer.load(spark, str(tmp_path / "artifact"))
