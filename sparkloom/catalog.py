@@ -802,6 +802,64 @@ def name_cleaning(spark, sf):
     return spark.createDataFrame(list(clean_names(["x[1]<weird>", "x,2", "plain", "y:", "y__1"]).items()), "old string, new string")
 
 
+# --- regressors, calendars and matrices of forecasts
+
+
+@query(f"""with {_WEEKLY}, x as (select series, ds, case when month(ds) % 3 = 0 then month(ds) end promo from p)
+select series, ds, coalesce(last_value(promo ignore nulls) over (partition by series order by ds rows between unbounded preceding and current row),
+  first_value(promo ignore nulls) over (partition by series order by ds rows between current row and unbounded following))::int promo from x""")
+def regressor_fill(spark, sf):
+    rows = weekly_regular(spark, sf).select("series", "ds", F.when(F.month("ds") % 3 == 0, F.month("ds")).alias("promo"))
+    return panel.filled_regressors(rows, ["promo"])
+
+
+@query("""with f as (select o_orderpriority, min((o_orderdate, o_orderkey)) a from orders group by 1) select o_orderpriority, (row_number() over (order by a) - 1)::int code from f""")
+def categorical_codes(spark, sf):
+    return panel.codes(read(spark, sf, "orders"), "o_orderpriority", ["o_orderdate", "o_orderkey"])
+
+
+@query(f"with {_FOLDS} select fold::int fold, cutoff::timestamp cutoff from c")
+def backtest_cutoffs(spark, sf):
+    p = weekly_regular(spark, sf)
+    return forecast.cutoffs(p, "W", HORIZON, FOLDS)
+
+
+@query(f"""with {_WEEKLY} select distinct ds, (isodow(ds) - 1)::int dayofweek, month(ds)::int "month", day(ds)::int "day", round(sin(2 * pi() * dayofyear(ds) / 365.25), 6) sin1, round(cos(2 * pi() * dayofyear(ds) / 365.25), 6) cos1 from p""")
+def calendar_features(spark, sf):
+    days = weekly_regular(spark, sf).select("ds").distinct()
+    parts = date_parts(F.col("ds"))
+    return rounded(days.select("ds", *[parts[p].alias(p) for p in ("dayofweek", "month", "day")], *[c.alias(n) for n, c in fourier(F.dayofyear("ds").cast("double"), 365.25, 1).items()]))
+
+
+@query("""select c_custkey, (c_mktsegment = 'BUILDING')::int building, (c_mktsegment = 'MACHINERY')::int machinery from customer""")
+def one_hot_columns(spark, sf):
+    rows = read(spark, sf, "customer")
+    hot = encode.one_hot(rows, "c_mktsegment", ["BUILDING", "MACHINERY"])
+    return rows.select("c_custkey", *hot).toDF("c_custkey", "building", "machinery")
+
+
+@query(f"""with {_FOLDS}, x as (select fold, h, series, e from e where model = 'Naive' and not (series = 'A' and h = 2))
+select fold::int fold, h::int step, round(coalesce(max(e) filter (series = 'A'), (select avg(e) from x i where i.fold = x.fold and series = 'A')), 4) a, round(max(e) filter (series = 'N'), 4) n, round(max(e) filter (series = 'R'), 4) r from x group by 1, 2, x.fold""")
+def fold_error_matrix(spark, sf):
+    rows, found = _backtest(spark, sf)
+    errors = forecast.residuals(rows, found.filter(F.col("model") == "Naive"), HORIZON).filter(~((F.col("series") == "A") & (F.col("step") == 2)))
+    x = reconcile.error_matrix(errors, ["A", "N", "R"])
+    keys = [(k, h) for k in range(1, FOLDS + 1) for h in range(1, HORIZON + 1)]
+    return rounded(spark.createDataFrame([(k, h, *map(float, v)) for (k, h), v in zip(keys, x)], "fold int, step int, a double, n double, r double"), 4)
+
+
+@query("""select 'Vote' model, count(*) n, round(sqrt(avg((y - (a + b) / 2) ** 2)), 2) rmse from (select o_totalprice y, avg(o_totalprice) over (partition by o_orderpriority) a, avg(o_totalprice) over (partition by o_orderstatus) b from orders)""")
+def vote_score(spark, sf):
+    votes = stack_vote_avg_exact(spark, sf).join(read(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
+    return metrics.regression(votes, "o_totalprice", "vote").select(F.lit("Vote").alias("model"), "n", F.round("rmse", 2).alias("rmse"))
+
+
+def stack_vote_avg_exact(spark, sf) -> DataFrame:
+    orders = read(spark, sf, "orders")
+    a, b = (orders.groupBy(c).agg(F.avg("o_totalprice").alias(n)) for c, n in (("o_orderpriority", "a"), ("o_orderstatus", "b")))
+    return orders.join(a, "o_orderpriority").join(b, "o_orderstatus").select("o_orderkey", ((F.col("a") + F.col("b")) / 2).alias("vote"))
+
+
 # --- fitted models: no SQL form, tested for their accuracy
 
 

@@ -104,3 +104,26 @@ def with_parents(panel: DataFrame, edges: DataFrame) -> DataFrame:
 
 def phase(position: Column, m: int) -> Column:
     return F.pmod(position, F.lit(m))
+
+
+def codes(panel: DataFrame, column: str, order: list[str]) -> DataFrame:
+    """(column, code): levels in the order of their first row. Levels are few: a row for each is ranked, not the panel."""
+    first = panel.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min(F.struct(*order)).alias("__at"))
+    return first.select(column, (F.row_number().over(Window.orderBy("__at", column)) - 1).alias("code"))
+
+
+def filled_regressors(panel: DataFrame, columns: list[str]) -> DataFrame:
+    """panel with each regressor's last known value carried forward, and the first one back to the start."""
+    back = Window.partitionBy("series").orderBy("ds").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("series").orderBy("ds").rowsBetween(0, Window.unboundedFollowing)
+    filled = {c: F.coalesce(F.last(c, True).over(back), F.first(c, True).over(ahead)) for c in columns}
+    return panel.select(*[(filled[c].alias(c) if c in filled else F.col(c)) for c in panel.columns])
+
+
+def with_future(asked: DataFrame, future: DataFrame, columns: list[str]) -> DataFrame:
+    """asked (series, ds) with the regressors of future; a step without one is an error."""
+    out = asked.join(future.select("series", "ds", *columns), ["series", "ds"], "left")
+    for c in columns:
+        if out.filter(F.col(c).isNull()).limit(1).count():
+            raise ValueError(f"{c} is not known for every future step")
+    return out

@@ -218,6 +218,11 @@ def test_tabular_run(spark, tmp_path, monkeypatch):
     run.screen().tune().decide().finish()
     assert run.champion == "LogisticRegression" and run.result["accuracy"] > 0.75
     run.export(str(tmp_path / "artifact"))
+    from sparkloom.plans import report
+
+    text = report.tabular_report(run)
+    assert "LogisticRegression" in text and "<table>" in text
+    report.save(spark, text, str(tmp_path / "report"))
     scorer = Scorer.load(spark, str(tmp_path / "artifact"))
     assert scorer.health()["ready"] and scorer.score(rows.limit(20)).count() == 20
     with pytest.raises(MissingColumns):
@@ -232,5 +237,8 @@ def test_forecast_run(spark):
     run = ForecastRun(ForecastSpec(horizon=7, folds=2, models=["Theta"], trees=False, blend=2, hierarchy=[("T", "a"), ("T", "b")], reconciliation="bottom_up"))
     got = run.run(rows).collect()
     assert run.m == 7 and len(got) == 21
+    from sparkloom.plans import report
+
+    assert "<svg" in report.forecast_report(run, spark.createDataFrame(got))
     by = {(r.series, r.step): r.yhat for r in got}
     assert by[("T", 3)] == pytest.approx(by[("a", 3)] + by[("b", 3)])
