@@ -335,6 +335,19 @@ def metrics_binary(spark, sf):
     return rounded(metrics.binary(rows, "y", "p").crossJoin(metrics.auc(rows, "y", "p")))  # a row each
 
 
+
+@query("""with c as (select o_orderpriority, o_orderstatus, count(*) n from orders group by 1, 2), g as (select unnest(['F', 'O', 'P']) k),
+p as (select o_orderpriority, k, coalesce(sum(n) filter (o_orderstatus = k), 0) / sum(n) p from c, g group by 1, 2),
+r as (select o_orderkey, o_orderstatus, k, p from orders join p using (o_orderpriority)), t as (select o_orderkey, max_by(k, (p, -ascii(k))) k from r group by 1),
+a as (select k, y, rank() over (partition by k order by p) + (count(*) over (partition by k, p) - 1) / 2 r from (select k, p, (o_orderstatus = k)::int y from r)),
+u as (select k, (sum(r) filter (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) a from a group by 1)
+select (select count(*) from orders) n, round((select avg(-ln(least(greatest(p, 1e-15), 1 - 1e-15))) from r where k = o_orderstatus), 6) logloss,
+  round((select avg((t.k = o.o_orderstatus)::int) from orders o join t using (o_orderkey)), 6) accuracy, round((select avg(a) from u), 6) macro_auc""")
+def metrics_multiclass(spark, sf):
+    orders = read(spark, sf, "orders")
+    shares = orders.groupBy("o_orderpriority").agg(F.array(*[F.count_if(F.col("o_orderstatus") == c) / F.count("*") for c in "FOP"]).alias("shares"))
+    return rounded(metrics.multiclass(orders.join(shares, "o_orderpriority"), "o_orderstatus", "shares", list("FOP")))
+
 @query(f"with {_SCORED} select y actual, count(*) filter (p < .5) n_0, count(*) filter (p >= .5) n_1 from s group by 1")
 def confusion_matrix(spark, sf):
     return metrics.confusion(_scored(spark, sf).withColumn("h", (F.col("p") >= 0.5).cast("int")), "y", "h", [0, 1])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.scalars import date_parts
 from sparkloom.operators.forecast import feature_plan, lag_features
-from sparkloom.operators.panel import STEPS
+from sparkloom.operators.panel import STEPS, with_future
 
 
 def calendar(df: DataFrame) -> DataFrame:
@@ -18,20 +18,25 @@ def calendar(df: DataFrame) -> DataFrame:
     return df.select("*", *[parts[p].cast("double").alias(f"c_{p}") for p in ("dayofweek", "month", "day")])
 
 
-def forecast(train: DataFrame, step: str, horizon: int, m: int = 1, trees: int = 30, depth: int = 4) -> DataFrame:
-    """(series, step, ds, yhat) after training rows (series, ds, y)."""
+def forecast(train: DataFrame, step: str, horizon: int, m: int = 1, trees: int = 30, depth: int = 4, regressors: list[str] = (), future: DataFrame | None = None) -> DataFrame:
+    """(series, step, ds, yhat) after training rows (series, ds, y[, regressors]); future has the regressors of the steps ahead."""
+    regressors = list(regressors)
+    if regressors and future is None:
+        raise ValueError("regressors need their future values")
     lags, windows = feature_plan(m)
-    names = [f"y_lag{k}" for k in lags] + [x for w in windows for x in (f"y_mean{w}", f"y_sd{w}")] + ["c_dayofweek", "c_month", "c_day"]
-    made = calendar(lag_features(train.select("series", "ds", "y"), lags, windows)).na.drop(subset=names)
+    names = [f"y_lag{k}" for k in lags] + [x for w in windows for x in (f"y_mean{w}", f"y_sd{w}")] + ["c_dayofweek", "c_month", "c_day"] + regressors
+    made = calendar(lag_features(train.select("series", "ds", "y", *regressors), lags, windows)).na.drop(subset=names)
     model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), GBTRegressor(labelCol="y", maxIter=trees, maxDepth=depth, stepSize=0.1, seed=7)]).fit(made)
     keep = max(lags + windows) + 1
     order = Window.partitionBy("series").orderBy(F.desc("ds"))
-    history = train.select("series", "ds", "y").withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= keep).drop("__r")
+    history = train.select("series", "ds", "y", *regressors).withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= keep).drop("__r")
     out = None
     for k in range(1, horizon + 1):
         ends = history.groupBy("series").agg((F.max("ds") + F.expr(f"interval {STEPS[step]}")).cast("timestamp_ntz").alias("ds"))
-        asked = history.unionByName(ends.select("series", "ds", F.lit(None).cast("double").alias("y")))
-        new = model.transform(calendar(lag_features(asked, lags, windows)).filter("y is null").na.fill(0.0, names)).select("series", "ds", F.col("prediction").alias("y"))
+        if regressors:
+            ends = with_future(ends, future, regressors)
+        asked = history.unionByName(ends.select("series", "ds", F.lit(None).cast("double").alias("y"), *regressors))
+        new = model.transform(calendar(lag_features(asked, lags, windows)).filter("y is null").na.fill(0.0, names)).select("series", "ds", F.col("prediction").alias("y"), *regressors)
         # one row a series: a small table, cut off from the plan that made it
         new = new.checkpoint() if train.sparkSession.sparkContext.getCheckpointDir() else train.sparkSession.createDataFrame(new.collect(), new.schema)
         history = history.unionByName(new)

@@ -150,3 +150,20 @@ def bootstrap(df: DataFrame, key: str, value: Column, resamples: int = 100) -> D
     point = rows.agg(F.avg("v").alias("point"))
     ends = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.count("*").alias("n_resamples"))
     return point.crossJoin(ends)  # one row each
+
+
+def multiclass(df: DataFrame, y: str, shares: str, classes: list) -> DataFrame:
+    """(n, logloss, accuracy, macro_auc) of rows with a label and an array of chances, in the order of classes.
+
+    The area under the curve is the mean over classes of one against the rest; a class that all or no rows have is left out.
+    """
+    at = F.coalesce(*[F.when(F.col(y) == c, F.lit(i)) for i, c in enumerate(classes)])
+    rows = df.select(at.alias("i"), F.col(shares).alias("s"))
+    own = F.least(F.greatest(F.get("s", F.col("i")), F.lit(EPS)), F.lit(1 - EPS))
+    top = F.array_position("s", F.array_max("s")) - 1
+    base = rows.agg(F.count("*").alias("n"), F.avg(-F.log(own)).alias("logloss"), F.avg((top == F.col("i")).cast("double")).alias("accuracy"))
+    long = rows.select("i", F.posexplode("s").alias("c", "p")).select("c", "p", (F.col("i") == F.col("c")).cast("int").alias("y"))
+    ranked_ = average_ranks(long, ["c"], "p")
+    pos, n = F.sum("y"), F.count("*")
+    by = ranked_.groupBy("c").agg(F.try_divide(F.sum(F.when(F.col("y") == 1, F.col("rank"))) - pos * (pos + 1) / 2, pos * (n - pos)).alias("a"))
+    return base.crossJoin(by.agg(F.avg("a").alias("macro_auc")))  # one row each

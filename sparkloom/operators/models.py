@@ -118,6 +118,17 @@ def screened(df: DataFrame, columns: Columns, families: dict, task: str, k: int,
     return found
 
 
+def probed_trees(df: DataFrame, columns: Columns, task: str, key: str, most: int = 100, patience: float = 0.001) -> int:
+    """How many trees to fit: a tenth more than a boosted model keeps that stops when a held-out tenth no longer gains, 10 at least."""
+    from sparkloom.operators.split import stratified_holdout
+
+    rows = stratified_holdout(df.drop("split").withColumn("__one", F.lit(1)), key, "__one", 0.1, "probe")
+    rows = rows.withColumn("__held", F.col("split") == "holdout").drop("split", "__one")
+    made = {"classification": GBTClassifier, "regression": GBTRegressor}[task](labelCol="label", maxIter=most, maxDepth=4, stepSize=0.1, seed=7, validationIndicatorCol="__held", validationTol=patience)
+    model = Pipeline(stages=[*blueprint(columns), made]).fit(flagged(rows, columns))
+    return max(10, int(1.1 * model.stages[-1].getNumTrees))
+
+
 #: Ranges of the search: (low, high, log) or a list to choose from.
 SPACES = {
     "LogisticRegression": {"reg": (1e-5, 1.0, True)},

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.operators import forecast, globalml, panel, reconcile, season, select, statmodels
+from sparkloom.sources.tables import read_metadata, write_metadata
 
 
 @dataclass
@@ -149,5 +150,26 @@ class ForecastRun:
             found[method] = forecast.leaderboard(forecast.scored(self.rows, p, self.spec.horizon, self.m)).first()["mase"]
         return min(found, key=lambda k: (found[k], k))
 
+    def export(self, path: str, forecast_: DataFrame) -> None:
+        """The forecast, the panel, the widths and what was decided, in a folder; load() forecasts anew from it."""
+        spark = self.panel.sparkSession
+        forecast_.write.mode("overwrite").parquet(f"{path}/forecast")
+        self.panel.write.mode("overwrite").parquet(f"{path}/panel")
+        self.widths.write.mode("overwrite").parquet(f"{path}/widths")
+        meta = {"spec": asdict(self.spec), "season": self.m, "champion": self.champion, "pick": self.pick, "members": getattr(self, "members", []), "log": self.log}
+        write_metadata(spark, meta, f"{path}/metadata")
+        if not ForecastRun.loaded(spark, path).forecast().limit(1).count():
+            raise ValueError("the exported run gives no forecast")
+
+    @classmethod
+    def loaded(cls, spark, path: str, horizon: int | None = None) -> ForecastRun:
+        """An exported run, to forecast with; it is not reconciled again. Beyond the horizon it was scored for, the last width holds."""
+        meta = read_metadata(spark, f"{path}/metadata")
+        spec = {**meta["spec"], "hierarchy": [], "reconciliation": "none", "horizon": horizon or meta["spec"]["horizon"]}
+        run = cls(ForecastSpec(**spec))
+        run.panel, run.widths = spark.read.parquet(f"{path}/panel"), spark.read.parquet(f"{path}/widths")
+        run.m, run.champion, run.pick, run.members = meta["season"], meta["champion"], meta["pick"], meta["members"]
+        return run
+
     def run(self, rows: DataFrame) -> DataFrame:
         return self.load(rows).seasons().backtest().decide().forecast()

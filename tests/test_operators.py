@@ -230,7 +230,25 @@ def test_tabular_run(spark, tmp_path, monkeypatch):
     assert {r.feature: r.status for r in scorer.drift(rows.withColumn("x1", F.col("x1") + 10)).collect()}["x1"] == "MAJOR DRIFT"
 
 
-def test_forecast_run(spark):
+def test_regressors_reach_the_global_model(spark):
+    from sparkloom.operators import globalml
+
+    rows = series(spark, 120, f=lambda i, s: 10 + 20 * (i % 5 == 0)).withColumn("promo", F.when(F.datediff("ds", F.lit("2023-01-01").cast("date")) % 5 == 0, 1.0).otherwise(0.0))
+    train, future = rows.filter(F.col("ds") < dt.datetime(2023, 4, 21)), rows.filter(F.col("ds") >= dt.datetime(2023, 4, 21))
+    got = {r.step: r.yhat for r in globalml.forecast(train, "D", 5, 1, trees=10, depth=3, regressors=["promo"], future=future).collect()}
+    truth = {k + 1: r.y for k, r in enumerate(future.orderBy("ds").limit(5).collect())}
+    assert all(abs(got[k] - truth[k]) < 5 for k in truth)
+    with pytest.raises(ValueError):
+        globalml.forecast(train, "D", 30, 1, trees=2, depth=2, regressors=["promo"], future=future.limit(1))
+
+
+def test_regressor_codes_and_fill(spark):
+    rows = spark.createDataFrame([("a", 1, None, "x"), ("a", 2, 5.0, "y"), ("a", 3, None, "x")], "series string, ds int, r double, c string")
+    assert [x.r for x in panel.filled_regressors(rows, ["r"]).orderBy("ds").collect()] == [5.0, 5.0, 5.0]
+    assert {x.c: x.code for x in panel.codes(rows, "c", ["ds"]).collect()} == {"x": 0, "y": 1}
+
+
+def test_forecast_run(spark, tmp_path):
     from sparkloom.plans.forecasting import ForecastRun, ForecastSpec
 
     rows = series(spark, 120, ("a", "b"), lambda i, s: 20 + 10 * s + 4 * math.sin(2 * math.pi * i / 7) + 0.1 * (i * 7919 % 13))
@@ -242,3 +260,5 @@ def test_forecast_run(spark):
     assert "<svg" in report.forecast_report(run, spark.createDataFrame(got))
     by = {(r.series, r.step): r.yhat for r in got}
     assert by[("T", 3)] == pytest.approx(by[("a", 3)] + by[("b", 3)])
+    run.export(str(tmp_path / "run"), spark.createDataFrame(got))
+    assert ForecastRun.loaded(spark, str(tmp_path / "run"), 9).forecast().count() == 27
