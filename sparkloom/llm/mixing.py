@@ -88,16 +88,17 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str =
 
 
 def oracle(seed: int = 7, table: str = "documents") -> str:
-    """DuckDB SQL of mix() with equal shares, for rates up to PART."""
+    """DuckDB SQL of mix() with equal shares."""
     return f"""
 with recursive n as (select coalesce('s' || source, 'n') skey, count(*) n from {table} group by 1),
-r as (select skey, (1.0::double / (select count(*) from n)) * (select sum(n) from n)::double / n rate from n),
-c(skey, rate, i, p, c) as (
-  select skey, rate, 0, exp(-rate), exp(-rate) from r
+e as (select skey, (1.0::double / (select count(*) from n)) * (select sum(n) from n)::double / n rate from n),
+r as (select skey, rate / greatest(ceil(rate / {PART}), 1) m, greatest(ceil(rate / {PART}), 1)::int parts from e),
+c(skey, m, i, p, c) as (
+  select skey, m, 0, exp(-m), exp(-m) from r
   union all
-  select skey, rate, i + 1, p * rate / (i + 1), c + p * rate / (i + 1) from c where i < {STEPS}),
-u as (select *, coalesce('s' || source, 'n') skey, coalesce(doc_id::varchar, 'null') nm,
-  ('0x' || substr(md5('{seed}:' || coalesce(doc_id::varchar, 'null') || ':1'), 1, 13))::bigint::double / 4503599627370496.0 v from {table}),
-k as (select doc_id, "text", lang, source, n_chars, nm, (select count(*) from c where c.skey = u.skey and c.c <= u.v) k from u)
+  select skey, m, i + 1, p * m / (i + 1), c + p * m / (i + 1) from c where i < {STEPS}),
+d as (select *, row_number() over () rid, coalesce('s' || source, 'n') skey, coalesce(doc_id::varchar, 'null') nm from {table}),
+u as (select rid, skey, ('0x' || substr(md5('{seed}:' || nm || ':' || j), 1, 13))::bigint::double / 4503599627370496.0 v from (select rid, skey, nm, unnest(range(1, parts + 1)) j from d join r using (skey))),
+k as (select rid, count(*) k from u join c on u.skey = c.skey and c.c <= u.v group by 1)
 select doc_id, "text", lang, source, n_chars, j::bigint copy_no, md5('order{seed}:' || nm || ':' || j) mix_key
-from (select *, unnest(range(k)) j from k where k > 0)"""
+from (select d.*, unnest(range(k)) j from d join k using (rid))"""

@@ -36,7 +36,8 @@ SCORES = 4 << 20
 def quantised(vector: Column, scale: float = 64.0) -> Column:
     """floor(scale * x) of each component as double; null for a vector that is null or holds a null, NaN or infinity."""
     whole = vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return F.when(whole, F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double")))
+    # floor() gives a long; from 2 ** 53 on a double is whole anyway
+    return F.when(whole, F.transform(vector, lambda x: F.when(F.abs(F.lit(scale) * x) < 2.0**53, F.floor(F.lit(scale) * x.cast("double")).cast("double")).otherwise(F.lit(scale) * x.cast("double"))))
 
 
 def in_blocks(rows: DataFrame, name: str, mean: int) -> tuple[DataFrame, int]:
@@ -111,7 +112,7 @@ def resolved(batches: Iterator[pa.RecordBatch], k: int, lists: int) -> Iterator[
 def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = K, lists: int = LISTS, rows: int = ROWS, queries: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best rows but its own, by inner product of floor(64 * x).
 
-    Ties go to the smaller key; fewer rows than k give all. Vectors that are null or hold a
+    Scores are exact while they stay under 2 ** 53. Ties go to the smaller key; fewer rows than k give all. Vectors that are null or hold a
     null or non-finite component take no part, nor do rows with a null key. Every vector has
     the same number of components, else the query fails. Rows that repeat a key: the key's
     rows are no candidates of its own queries; a query key that repeats with another vector
