@@ -41,10 +41,10 @@ def quantised(vector: Column, scale: float = 64.0) -> Column:
 
 
 def in_blocks(rows: DataFrame, name: str, mean: int) -> tuple[DataFrame, int]:
-    """((name, ids, matrix), number of blocks): the rows (id, v) in blocks, dealt by the hash of id and vector."""
+    """((name, ids, matrix), number of blocks): the rows (id, v) in blocks, dealt by hash; rows that repeat are dealt apart."""
     n = rows.count()
     blocks = max(1, -(-n // mean))
-    dealt = rows.withColumn(name, F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int"))
+    dealt = rows.withColumn(name, F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
     packs = dealt.groupBy(name).agg(F.collect_list(F.struct("id", "v")).alias("p"))
     return packs.select(name, F.col("p.id").alias("ids"), F.flatten("p.v").alias("matrix"), F.size(F.element_at("p.v", 1)).alias("width")), blocks
 
