@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions.scalars import date_parts
 from sparkloom.operators.forecast import feature_plan, lag_features
 from sparkloom.operators.panel import STEPS, with_future
+from sparkloom.session import settled
 
 
 def calendar(df: DataFrame) -> DataFrame:
@@ -37,8 +38,7 @@ def forecast(train: DataFrame, step: str, horizon: int, m: int = 1, trees: int =
             ends = with_future(ends, future, regressors)
         asked = history.unionByName(ends.select("series", "ds", F.lit(None).cast("double").alias("y"), *regressors))
         new = model.transform(calendar(lag_features(asked, lags, windows)).filter("y is null").na.fill(0.0, names)).select("series", "ds", F.col("prediction").alias("y"), *regressors)
-        # one row a series: a small table, cut off from the plan that made it
-        new = new.checkpoint() if train.sparkSession.sparkContext.getCheckpointDir() else train.sparkSession.createDataFrame(new.collect(), new.schema)
+        new = settled(new)  # the next step reads it many times
         history = history.unionByName(new)
         part = new.select("series", F.lit(k).alias("step"), "ds", F.col("y").alias("yhat"))
         out = part if out is None else out.unionByName(part)
