@@ -262,3 +262,23 @@ def test_forecast_run(spark, tmp_path):
     assert by[("T", 3)] == pytest.approx(by[("a", 3)] + by[("b", 3)])
     run.export(str(tmp_path / "run"), spark.createDataFrame(got))
     assert ForecastRun.loaded(spark, str(tmp_path / "run"), 9).forecast().count() == 27
+
+
+def test_model_helpers(spark):
+    from sparkloom.operators import models
+
+    rows = spark.range(300).select(F.col("id").cast("string").alias("__rid"), F.randn(1).alias("x"), F.lit("a").alias("c"))
+    rows = rows.withColumn("label", (F.col("x") > 0).cast("double"))
+    rows = split.folds(spark.createDataFrame(rows.collect(), rows.schema), "__rid", 2, "label")
+    columns, family = models.Columns(["x"], ["c"]), models.roster("classification")["LogisticRegression"]
+    assert models.probed_trees(rows, columns, "classification", "__rid", 12) >= 10
+    fitted = models.fitted(rows, columns, family)
+    assert [f for f, _ in models.permutation_importance(fitted, rows, columns, "classification", "__rid", 1)] == ["x", "c"]
+    curve = [r.mean_prediction for r in models.partial_dependence(fitted, rows, columns, "classification", "x", 4).orderBy("x").collect()]
+    assert curve == sorted(curve) and curve[0] < 0.1 < 0.9 < curve[-1]
+    oof = models.out_of_fold(rows, columns, family, "classification", 2)
+    assert oof.count() == 300 and models.calibrated(oof, "__rid")[0] in ("platt", "none")
+    meta, _ = models.stacked({"A": oof, "B": oof}, "__rid", "label", "classification")
+    assert all(c > 0 for c in meta.coefficients)
+    best, _ = models.tuned(rows, columns, "LogisticRegression", family, "classification", 2, 1)
+    assert set(best) <= {"reg"}
