@@ -31,8 +31,10 @@ from sparkloom.llm.common import in_parts, ship
 #: The public model that is used without another path; a model file of more bytes is refused for broadcast.
 MODEL, MODEL_BYTES = "/opt/tokenizers/piece_bpe_32k.model", 64 << 20
 SPACE = "▁"
+#: Bytes of texts that are encoded at once.
+AT_ONCE = 8 << 20
 #: Encoded segments that a worker holds; segments longer than this are cut at safe places.
-HELD, LONG = 400_000, 48
+HELD, LONG = 600_000, 48
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 # Piece and model types of the file format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -123,7 +125,7 @@ class Model:
         self.known: dict[str, int] = {}
         self.held = 0  # places given out in seg_at and seg_len
         self.pool, self.pool_n = np.empty(1 << 16, np.int32), 0
-        self.seg_at, self.seg_len = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.seg_at, self.seg_len, self.used = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
         self.pair_keys, self.pair_ok = np.empty(0, np.int64), np.empty(0, bool)
 
     # --- merges of a BPE model
@@ -286,16 +288,30 @@ class Model:
             sizes = self.seg_len[both]
             self._keep(whole, self.pool[_spread(self.seg_at[both], sizes)], sizes.reshape(-1, 2).sum(axis=1))
 
+    def forget(self) -> None:
+        """Keeps the segments that were met most often, half as many as may be held."""
+        names, places = list(self.known), np.fromiter(self.known.values(), np.int64, len(self.known))
+        often = np.flatnonzero(self.used[places] > 1)
+        if len(often) > HELD // 2:
+            often = often[np.argsort(-self.used[places[often]], kind="stable")[: HELD // 2]]
+        at, sizes, used = self.seg_at[places[often]], self.seg_len[places[often]], self.used[places[often]]
+        flat = self.pool[_spread(at, sizes)]
+        self.known, self.held, self.pool_n = {}, 0, 0
+        if len(often):
+            self._keep([names[i] for i in often.tolist()], flat, sizes)
+            self.used[: len(often)] = used // 2
+
     def _keep(self, segments: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
         first, end = self.held, self.pool_n + len(flat)
         if first + len(segments) > len(self.seg_at):
             n = 2 * (first + len(segments))
-            self.seg_at, self.seg_len = np.resize(self.seg_at, n), np.resize(self.seg_len, n)
+            self.seg_at, self.seg_len, self.used = (np.resize(x, n) for x in (self.seg_at, self.seg_len, self.used))
         if end > len(self.pool):
             self.pool = np.resize(self.pool, 2 * end)
         self.pool[self.pool_n : end] = flat
         self.seg_at[first : first + len(segments)] = self.pool_n + np.cumsum(sizes) - sizes
         self.seg_len[first : first + len(segments)] = sizes
+        self.used[first : first + len(segments)] = 0
         self.known.update(zip(segments, range(first, first + len(segments))))
         self.held, self.pool_n = first + len(segments), end
 
@@ -319,33 +335,42 @@ class Model:
             if size == 1:
                 ids = np.where(ids < 0, -2, ids)  # a character without a piece stands alone
             piece.append(ids)
+        # ends[:, e, z - 1]: the piece of z characters that ends at e
+        ends = np.full((n, length + 1, longest), -1, np.int64)
+        for size in range(1, longest + 1):
+            ends[:, size:, size - 1] = piece[size]
         last = np.full((n, length + 1), -2, np.int64)
         back = np.zeros((n, length + 1), np.int64)
-        best = np.zeros((n, length + 1))
-        low = self.score.min() - 10.0
-        for end in range(1, length + 1):
-            sizes = np.arange(1, min(longest, end) + 1)
-            cand = np.stack([piece[z][:, end - z] for z in sizes], axis=1)
-            prev = last[:, end - sizes]
-            if self.kind == BPE:
-                ok = cand != -1
-                pair = ok & (cand >= 0) & (prev >= 0) & (end - sizes > 0)[None]
-                if pair.any():
-                    ok[pair] = self.compatible(prev[pair], cand[pair])
-                ok &= (prev != -1) | (end - sizes == 0)[None]
-                rating = np.where(ok, sizes[None], 0)
-            else:
+        row = np.arange(n)
+        every = np.arange(1, longest + 1)
+        if self.kind == BPE:
+            for end in range(1, length + 1):
+                cand = ends[:, end]
+                who, z = np.nonzero(cand != -1)
+                ids, start = cand[who, z], end - 1 - z
+                prev = last[who, start]
+                ok = (prev != -1) | (start == 0)
+                pair = np.flatnonzero((start > 0) & (ids >= 0) & (prev >= 0))
+                if len(pair):
+                    ok[pair] = self.compatible(prev[pair], ids[pair])
+                # of each segment the longest candidate that holds; they come in order of length
+                held = np.flatnonzero(ok)
+                pick = np.zeros(n, np.int64)
+                pick[who[held]] = z[held] + 1
+                last[:, end] = np.where(pick > 0, cand[row, np.maximum(pick, 1) - 1], -1)
+                back[:, end] = np.maximum(pick, 1)
+        else:
+            best, low = np.zeros((n, length + 1)), self.score.min() - 10.0
+            for end in range(1, length + 1):
+                sizes = every[: min(longest, end)]
+                cand = ends[:, end, : len(sizes)]
                 gain = np.where(cand >= 0, self.score[np.maximum(cand, 0)], low)
                 rating = np.where(cand == -1, -np.inf, best[:, end - sizes] + gain)
-            pick = rating.argmax(axis=1)
-            row = np.arange(n)
-            best[:, end] = rating[row, pick]
-            last[:, end] = np.where(best[:, end] > 0, cand[row, pick], -1) if self.kind == BPE else cand[row, pick]
-            back[:, end] = sizes[pick]
+                pick = rating.argmax(axis=1)
+                best[:, end], last[:, end], back[:, end] = rating[row, pick], cand[row, pick], sizes[pick]
         # all paths are walked back together; path[k] is the k-th piece from the end
         path: list[np.ndarray] = []
         end = np.full(n, length)
-        row = np.arange(n)
         while (end > 0).any():
             path.append(np.where(end > 0, last[row, end], -9))
             end = end - np.where(end > 0, np.maximum(back[row, end], 1), 0)
@@ -376,7 +401,7 @@ class Model:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, lengths): the ids of all texts, text after text, and how many each has. A null text has none."""
         if len(self.known) > HELD:
-            self.known, self.held, self.pool_n = {}, 0, 0
+            self.forget()
         cut = [self.fast_segments(t) if t else [] for t in texts]
         known = self.known
         new = list({s for segs in cut for s in segs if s not in known})
@@ -386,6 +411,7 @@ class Model:
         order = np.fromiter((get(s) for segs in cut for s in segs), dtype=np.int64, count=int(counts.sum()))
         sizes = self.seg_len[order]
         flat = self.pool[_spread(self.seg_at[order], sizes)]
+        self.used[: self.held] += np.bincount(order, minlength=self.held).astype(np.int32)
         ends = np.concatenate([[0], np.cumsum(sizes)])
         cuts = np.concatenate([[0], np.cumsum(counts)])
         return flat, ends[cuts[1:]] - ends[cuts[:-1]]
@@ -460,7 +486,7 @@ def encoded(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(data.value)
         for batch in batches:
-            for part, texts in in_parts(batch.column(1)):
+            for part, texts in in_parts(batch.column(1), AT_ONCE):
                 ids, lengths = model.encode(texts)
                 back = model.decode(ids, lengths)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(ids))
