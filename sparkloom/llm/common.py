@@ -83,9 +83,13 @@ def unpacked(row: str, columns: list[str]) -> list[Column]:
     return [F.col(row).getField(c).alias(c) for c in columns]
 
 
-def small_or_not(table: DataFrame, rows: int) -> DataFrame:
-    """A written table, marked for broadcast if it has rows rows at most; a larger one is joined by a shuffle, where hot keys are split."""
-    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+def small_or_not(table: DataFrame, rows: int, weight: Column | None = None) -> DataFrame:
+    """A written table, marked for broadcast if it has rows rows at most (by weight, if rows hold arrays); a larger one is joined by a shuffle, where hot keys are split."""
+    if weight is None:
+        small = table.limit(rows + 1).count() <= rows
+    else:
+        small = (table.agg(F.sum(weight)).first()[0] or 0) <= rows
+    return F.broadcast(table) if small else table
 
 
 def in_parts(texts, most: int = 2 << 20):
@@ -143,9 +147,11 @@ def components(edges: DataFrame, tag: str, rounds: int = 40) -> DataFrame:
             .filter("a <> b")
         ).distinct()
         new = written(small, f"{tag}-links")
-        if same(links, new):
+        done, links = same(links, new), new
+        if done:
             break
-        links = new
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(
         links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

@@ -17,7 +17,7 @@ from sparkloom.llm.common import LOWER, UPPER, WORD, fixed, packed, small_or_not
 MIN_DOCS, MAX_SHARE = 5, 10
 #: A document is depleted when more than this percentage of its words stood in removed lines.
 MAX_LOST = 70
-#: Tables of frequent lines and of texts that hold some are broadcast up to this many rows.
+#: Frequent lines are broadcast up to this many rows; texts that hold some, up to four times as many texts and lines.
 BROADCAST_ROWS = 50_000
 #: Base rules: fewest words; most words in repeated 3-word windows, in percent.
 MIN_WORDS, MAX_REPEAT = 50, 50
@@ -104,7 +104,7 @@ def lost_lines(docs: DataFrame, text: str, host: str, min_docs: int, max_share:
     # w is summed over the copies of a text
     both = lost.join(copies, F.col("host").eqNullSafe(F.col("l_host")) & (F.col("th") == F.col("l_th")) & (F.col("tn") == F.col("l_tn")))
     both = both.select("l_host", "l_th", "l_tn", "gone", (F.col("all_w") / F.col("copies")).cast("long").alias("lost_words"))
-    return small_or_not(written(both, "quality-lost"), BROADCAST_ROWS)
+    return small_or_not(written(both, "quality-lost"), 4 * BROADCAST_ROWS, F.size("gone") + 1)
 
 
 def judged(

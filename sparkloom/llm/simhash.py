@@ -410,7 +410,7 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", **lim
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     name = F.col(f"`{key}`")
     ids = written(docs.select(F.coalesce(name.cast("string"), F.lit("")).alias("wk"), name.alias("key"), name.isNull().alias("wl"), F.xxhash64(t).alias("uid")), "simhash-ids")
-    groups = near_copies(docs, text, **limits).withColumnRenamed("uid", "g_uid")
+    groups = small_or_not(near_copies(docs, text, **limits).withColumnRenamed("uid", "g_uid"), BROADCAST_ROWS)
     named = ids.join(groups, ids.uid == F.col("g_uid"), "left").withColumn("c", F.coalesce("node", "uid"))
     first = named.groupBy(F.col("c").alias("fc")).agg(F.min(F.struct("wl", "key", "uid", "wk")).alias("w"), F.count("*").alias("size")).filter("size > 1")
     first = small_or_not(written(first, "simhash-first"), BROADCAST_ROWS)
