@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of an Arrow batch: whole texts are long, and a worker holds a batch at a time.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 #: White space as the text contracts use it: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 

@@ -306,6 +306,18 @@ def near_runs(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Rec
     """Edges (a, b) of texts within the radius, of rows (k, i, j, fp, uid) sorted by k, i, j, fp: a lightest spanning forest of each run."""
     held: list[np.ndarray] = []
 
+    def parts(starts: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
+        """Long runs one by one, as their pairs take room; short ones between them together."""
+        ends = np.append(starts[1:], n)
+        at = 0
+        for k in np.flatnonzero(ends - starts > 128).tolist():
+            if starts[k] > at:
+                yield at, int(starts[k])
+            yield int(starts[k]), int(ends[k])
+            at = int(ends[k])
+        if at < n:
+            yield at, n
+
     def edges(rows: np.ndarray) -> pa.RecordBatch:
         new = np.append(True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1))
         # texts with one fingerprint follow each other and are linked in a row; one of them is compared
@@ -314,9 +326,13 @@ def near_runs(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Rec
         some = rows[keep]
         starts = np.flatnonzero(new[keep])
         values = np.ascontiguousarray(some[:, 3]).view(np.uint64)
-        a, b = near_pairs(values, starts, radius)
-        pick = spanning(len(some), a, b, np.bitwise_count(values[a] ^ values[b]))
-        x, y = np.concatenate([rows[same - 1, 4], some[a[pick], 4]]), np.concatenate([rows[same, 4], some[b[pick], 4]])
+        x, y = [rows[same - 1, 4]], [rows[same, 4]]
+        for s, e in parts(starts, len(some)):
+            a, b = near_pairs(values[s:e], starts[(starts >= s) & (starts < e)] - s, radius)
+            pick = spanning(e - s, a, b, np.bitwise_count(values[s:e][a] ^ values[s:e][b]))
+            x.append(some[s + a[pick], 4])
+            y.append(some[s + b[pick], 4])
+        x, y = np.concatenate(x), np.concatenate(y)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
     for batch in batches:
@@ -342,14 +358,16 @@ def shingle_set(text: str, size: int) -> np.ndarray:
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Of (a, b, text of a): the shingles of a in place of the text; rows of one text follow each other."""
     last, data = None, b""
-    for whole in batches:
-        for at in range(0, whole.num_rows, 1000):
-            batch, out = whole.slice(at, 1000), []
-            for uid, t in zip(batch.column("a").to_pylist(), batch.column("t")):
-                if uid != last:
-                    last, data = uid, shingle_set(t.as_py(), size).tobytes()
-                out.append(data)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.binary())], ["a", "b", "shingles"])
+    for batch in batches:
+        at, held, out = 0, 0, []
+        for i, (uid, t) in enumerate(zip(batch.column("a").to_pylist(), batch.column("t"))):
+            if uid != last:
+                last, data = uid, shingle_set(t.as_py(), size).tobytes()
+            out.append(data)
+            held += len(data)
+            if held >= 4 << 20 or i == batch.num_rows - 1:
+                yield pa.RecordBatch.from_arrays([batch.column("a")[at : i + 1], batch.column("b")[at : i + 1], pa.array(out, pa.binary())], ["a", "b", "shingles"])
+                at, held, out = i + 1, 0, []
 
 
 def _similar(batches: Iterator[pa.RecordBatch], size: int, similarity: float) -> Iterator[pa.RecordBatch]:
