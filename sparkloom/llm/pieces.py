@@ -32,9 +32,9 @@ from sparkloom.llm.common import in_parts, ship
 MODEL, MODEL_BYTES = "/opt/tokenizers/piece_bpe_32k.model", 64 << 20
 SPACE = "▁"
 #: Bytes of texts that are encoded at once.
-AT_ONCE = 4 << 20
+AT_ONCE = 2 << 20
 #: Encoded segments that a worker holds; segments longer than this are cut at safe places.
-HELD, LONG = 500_000, 48
+HELD, LONG = 300_000, 48
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 # Piece and model types of the file format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
