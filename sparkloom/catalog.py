@@ -570,7 +570,7 @@ def lag_roll_features(spark, sf):
     return rounded(forecast.lag_features(weekly_regular(spark, sf), [1, 7], [7]).drop("y", "y_was_filled"), 4)
 
 
-@query("""select distinct d ds, round(sin(2 * pi() * t / 365.25), 6) sin1, round(cos(2 * pi() * t / 365.25), 6) cos1, round(sin(4 * pi() * t / 365.25), 6) sin2, round(cos(4 * pi() * t / 365.25), 6) cos2
+@query("""select distinct d ds, round(sin(2 * pi() * t / 365.25), 6) + 0.0::double sin1, round(cos(2 * pi() * t / 365.25), 6) + 0.0::double cos1, round(sin(4 * pi() * t / 365.25), 6) + 0.0::double sin2, round(cos(4 * pi() * t / 365.25), 6) + 0.0::double cos2
 from (select o_orderdate::date d, date_diff('day', date '1970-01-01', o_orderdate::date)::double t from orders)""")
 def fourier_features(spark, sf):
     days = read(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("ds")).distinct()
@@ -837,7 +837,7 @@ def backtest_cutoffs(spark, sf):
     return forecast.cutoffs(p, "W", HORIZON, FOLDS)
 
 
-@query(f"""with {_WEEKLY} select distinct ds, (isodow(ds) - 1)::int dayofweek, month(ds)::int "month", day(ds)::int "day", round(sin(2 * pi() * dayofyear(ds) / 365.25), 6) sin1, round(cos(2 * pi() * dayofyear(ds) / 365.25), 6) cos1 from p""")
+@query(f"""with {_WEEKLY} select distinct ds, (isodow(ds) - 1)::int dayofweek, month(ds)::int "month", day(ds)::int "day", round(sin(2 * pi() * dayofyear(ds) / 365.25), 6) + 0.0::double sin1, round(cos(2 * pi() * dayofyear(ds) / 365.25), 6) + 0.0::double cos1 from p""")
 def calendar_features(spark, sf):
     days = weekly_regular(spark, sf).select("ds").distinct()
     parts = date_parts(F.col("ds"))
