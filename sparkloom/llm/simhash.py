@@ -31,6 +31,8 @@ CHUNK = 512
 #: Shingles that are counted at once.
 STEP = 1 << 16
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Bits of a text's parities at most; longer texts are told apart less well by them, and verified.
+WIDEST = 1 << 14
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -247,22 +249,35 @@ def hexed(fp: Column) -> Column:
 # --- near copies by similarity: SimHash at a wide radius, within blocks, and verified
 
 
-def sketch(text: str, size: int, functions: int) -> tuple[int, list[int]]:
-    """The fingerprint and the smallest hash under each function, of the text's shingles (of all words, if fewer; of none, the empty one)."""
+def sketch(text: str, size: int, functions: int) -> tuple[int, list[int], int, bytes]:
+    """The fingerprint and the smallest hash under each function, of the text's shingles (of all words, if fewer; of none, the empty one); how many distinct ones there are, and their parities."""
     words = text.encode().lower().split()
     if len(words) < size:
         words, size = [b" ".join(words)], 1
     total, n = np.zeros(64, dtype=np.int64), len(words) - size + 1
     least = np.full(functions, FULL, dtype=np.uint64)
-    digest = xxhash.xxh64_intdigest
+    digest, seen = xxhash.xxh64_intdigest, []
     for at in range(0, n, STEP):
         part = words[at : min(n, at + STEP) + size - 1]
         hashes = np.fromiter((digest(x, SEED) for x in map(b" ".join, zip(*[part[i:] for i in range(size)]))), dtype="<u8")
         total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
         for f in range(functions):
             least[f] = min(least[f], mixed(hashes ^ np.uint64(0x9E3779B97F4A7C15 * (f + 1) % 2**64)).min())
+        seen.append(hashes)
     bits = np.packbits(2 * total > n, bitorder="little")
-    return int(bits.view("<i8")[0]), least.view(np.int64).tolist()
+    distinct = np.unique(np.concatenate(seen))
+    return int(bits.view("<i8")[0]), least.view(np.int64).tolist(), len(distinct), parities(distinct)
+
+
+def parities(hashes: np.ndarray) -> bytes:
+    """Whether an odd number of the distinct hashes fall on each of as many bits as there are hashes, or up to twice as many.
+
+    Two sets differ in at least as many hashes as their parities differ in bits, whatever the
+    width, so that no similar pair is lost by them. Half the width is the halves' exclusive or.
+    """
+    width = min(WIDEST, max(64, 1 << (len(hashes) - 1).bit_length()))
+    odd = np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -271,7 +286,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def sketches(batches: Iterator[pa.RecordBatch], size: int, functions: int) -> Iterator[pa.RecordBatch]:
-    """Of batches (row (uid), text): row, fingerprint and smallest hashes; a text that repeats in a batch is sketched once."""
+    """Of batches (row (uid), text): row, fingerprint, smallest hashes, size and parities; a text that repeats in a batch is sketched once."""
     for b in batches:
         uids = b.column(0).field(0).to_pylist()
         known: dict[int, tuple] = {}
@@ -280,8 +295,8 @@ def sketches(batches: Iterator[pa.RecordBatch], size: int, functions: int) -> It
                 if uid not in known:
                     known[uid] = sketch(t, size, functions)
         found = [known[u] for u in uids]
-        keys = pa.array([k for _, k in found], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f for f, _ in found], pa.int64()), keys], ["row", "fp", "keys"])
+        kinds = {"fp": pa.int64(), "keys": pa.list_(pa.int64()), "n": pa.int64(), "odd": pa.binary()}
+        yield pa.RecordBatch.from_arrays([b.column(0)] + [pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds.values())], ["row", *kinds])
 
 
 def spanning(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -348,6 +363,86 @@ def near_runs(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Rec
         yield edges(held[0])
 
 
+def crossing(odd: list[bytes], sizes: np.ndarray, labels: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j) of different labels that can be similar enough, and a bound of how far apart they are.
+
+    A pair of similarity s differs in (1 - s) / (1 + s) of the sum of both sizes.
+    """
+    widths = np.array([len(x) for x in odd])
+    kinds = np.unique(widths)
+    share = (1 - similarity) / (1 + similarity)
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    plane = {int(w): np.flatnonzero(widths == w) for w in kinds}
+    words = {w: np.frombuffer(b"".join(odd[i] for i in at), "<u8").reshape(len(at), -1) for w, at in plane.items()}
+    for w, one in plane.items():
+        for w2, two in plane.items():
+            if w2 < w or sizes[one].max() < similarity * sizes[two].min():
+                continue
+            mine, other = words[w], words[w2]
+            while other.shape[1] > mine.shape[1]:
+                other = other[:, : other.shape[1] // 2] ^ other[:, other.shape[1] // 2 :]
+            for at in range(0, len(one), 256):
+                rows = one[at : at + 256]
+                both = sizes[rows][:, None] + sizes[two][None]
+                near = np.minimum(sizes[rows][:, None], sizes[two][None]) >= similarity * np.maximum(sizes[rows][:, None], sizes[two][None]) - 1e-6
+                near &= labels[rows][:, None] != labels[two][None]
+                if w2 == w:
+                    near &= rows[:, None] < two[None]
+                if not near.any():
+                    continue
+                apart = np.zeros(near.shape, np.int32)
+                for p in range(mine.shape[1]):
+                    apart += np.bitwise_count(mine[at : at + 256, p][:, None] ^ other[:, p][None])
+                near &= apart <= share * both + 1e-6
+                x, y = np.nonzero(near)
+                out.append((rows[x], two[y], apart[x, y] / both[x, y]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def crossing_runs(batches: Iterator[pa.RecordBatch], similarity: float, whole: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of different components, of rows (k, i, j, uid, label, n, odd) sorted by k, i, j: all that can be similar, or (not whole) a lightest forest of components for each run."""
+    held: tuple[np.ndarray, list[bytes]] | None = None
+
+    def pairs(rows: np.ndarray, odd: list[bytes], ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        x, y, found, start = [], [], 0, 0
+        for end in ends.tolist():
+            run, start = slice(start, end), end
+            uid, label, sizes = rows[run, 3], rows[run, 4], rows[run, 5]
+            if (label == label[0]).all():
+                continue
+            a, b, weight = crossing(odd[run], sizes, label, similarity)
+            if len(a) and not whole:
+                names, place = np.unique(label, return_inverse=True)
+                pick = spanning(len(names), place[a], place[b], weight)
+                a, b = a[pick], b[pick]
+            x.append(uid[a])
+            y.append(uid[b])
+            found += len(a)
+            if found >= 1 << 16:
+                yield _edges(np.concatenate(x), np.concatenate(y))
+                x, y, found = [], [], 0
+        if found:
+            yield _edges(np.concatenate(x), np.concatenate(y))
+
+    for batch in batches:
+        rows = np.stack([np.asarray(batch.column(i).to_numpy(zero_copy_only=False), dtype=np.int64) for i in range(6)], axis=1)
+        odd = batch.column(6).to_pylist()
+        if held:
+            rows, odd = np.concatenate([held[0], rows]), held[1] + odd
+        changes = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
+        if not len(changes):
+            held = (rows, odd)
+            continue
+        held = (rows[changes[-1] :], odd[changes[-1] :])
+        yield from pairs(rows, odd, changes)
+    if held and len(held[0]):
+        yield from pairs(*held, np.array([len(held[0])]))
+
+
+def _edges(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+
 def shingle_set(text: str, size: int) -> np.ndarray:
     words = text.encode().lower().split()
     if len(words) < size:
@@ -395,27 +490,55 @@ def near_copies(docs: DataFrame, text: str = "text", shingle: int = 5, similarit
     similarity. Texts of one block (equal smallest shingle hash under one of the functions;
     two near copies miss all of them with a chance of 0.2 ** 8 at 0.8) are compared by
     bit-sliced distance; of what is within the radius each block gives the closest links, a
-    spanning forest, and those are verified on whole texts.
+    spanning forest, and those are verified on whole texts. What this leaves apart is compared
+    again, at any distance: of the pairs of a block that join two components and that their
+    sizes and parities do not rule out, first a spanning forest is verified, and then all that
+    still join two. So every similar pair of a block ends in one component.
     """
     ship(docs.sparkSession)
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select(F.struct(F.xxhash64(t).alias("uid")).alias("row"), t.alias("t"))
-    like = rows.select("row", F.lit(0).cast("long").alias("fp"), F.array(F.lit(0).cast("long")).alias("keys")).schema
-    marks = rows.mapInArrow(lambda b: sketches(b, shingle, functions), like).select("row.uid", "fp", "keys")
-    marks = written(marks.groupBy("uid").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys")), "simhash-sketches")
+    number = F.lit(0).cast("long")
+    like = rows.select("row", number.alias("fp"), F.array(number).alias("keys"), number.alias("n"), F.lit(b"").alias("odd")).schema
+    marks = rows.mapInArrow(lambda b: sketches(b, shingle, functions), like).select("row.uid", "fp", "keys", F.col("n").alias("size"), "odd")
+    marks = written(marks.groupBy("uid").agg(*[F.first(c).alias(c) for c in ("fp", "keys", "size", "odd")]), "simhash-sketches")
     keyed = marks.select("uid", "fp", F.posexplode("keys").alias("f", "key")).select("uid", "fp", F.xxhash64("f", "key").alias("k"))
+
+    def dealt(sized: DataFrame, by: str, *carried: str) -> DataFrame:
+        """Rows in tiles of their blocks, sorted by k, i, j and the carried columns; sized has the block's number of rows as n."""
+        sized = sized.withColumn("m", F.when(F.col("n") <= 2 * chunk, F.lit(1)).otherwise(F.ceil(F.col("n") / chunk)).cast("int"))
+        own = F.pmod(F.xxhash64(by, F.lit(1)), F.col("m")).cast("int")
+        tiles = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+        out = sized.select("k", *carried, F.explode(tiles).alias("t")).select("k", "t.i", "t.j", *carried)
+        return out.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", *carried[:2])
+
+    def similar(asked: DataFrame) -> DataFrame:
+        involved = small_or_not(written(asked.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "simhash-involved"), BROADCAST_ROWS)
+        texts = rows.select("row.uid", "t").join(involved, "uid", "left_semi").dropDuplicates(["uid"])
+        one = asked.join(texts.withColumnRenamed("uid", "a"), "a").mapInArrow(lambda b: _sets(b, shingle), "a long, b long, shingles binary")
+        return one.join(texts.withColumnRenamed("uid", "b"), "b").mapInArrow(lambda b: _similar(b, shingle, similarity), "a long, b long")
+
     counts = keyed.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
-    sized = keyed.join(counts, "k").withColumn("m", F.when(F.col("n") <= 2 * chunk, F.lit(1)).otherwise(F.ceil(F.col("n") / chunk)).cast("int"))
-    own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("m")).cast("int")
-    tiles = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    dealt = sized.select("k", "fp", "uid", F.explode(tiles).alias("t")).select("k", "t.i", "t.j", "fp", "uid")
-    together = dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "fp", "uid")
+    together = dealt(keyed.join(counts, "k"), "fp", "fp", "uid")
     asked = written(together.mapInArrow(lambda b: near_runs(b, radius), "a long, b long").distinct(), "simhash-asked")
-    involved = small_or_not(written(asked.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "simhash-involved"), BROADCAST_ROWS)
-    texts = rows.select("row.uid", "t").join(involved, "uid", "left_semi").dropDuplicates(["uid"])
-    one = asked.join(texts.withColumnRenamed("uid", "a"), "a").mapInArrow(lambda b: _sets(b, shingle), "a long, b long, shingles binary")
-    two = one.join(texts.withColumnRenamed("uid", "b"), "b").mapInArrow(lambda b: _similar(b, shingle, similarity), "a long, b long")
-    return components(two, "simhash-copies").withColumnsRenamed({"node": "uid", "component": "node"})
+    links = written(similar(asked), "simhash-similar")
+    found = components(links, "simhash-copies")
+    for whole in (False, True):
+        label = F.coalesce("component", "uid").alias("label")
+        labelled = marks.join(small_or_not(found, BROADCAST_ROWS), F.col("uid") == F.col("node"), "left").select("uid", label, "size", "odd", F.posexplode("keys").alias("f", "key"))
+        labelled = labelled.select("uid", "label", "size", "odd", F.xxhash64("f", "key").alias("k"))
+        mixed_ = labelled.groupBy("k").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("k", "n")
+        together = dealt(labelled.join(mixed_, "k"), "uid", "uid", "label", "size", "odd")
+        more = together.mapInArrow(lambda b, whole=whole: crossing_runs(b, similarity, whole), "a long, b long").distinct()
+        more = written(more.join(asked, ["a", "b"], "left_anti"), "simhash-asked")
+        if more.isEmpty():
+            continue
+        new = written(similar(more), "simhash-similar")
+        asked = asked.unionAll(more)
+        if not new.isEmpty():
+            links = links.unionAll(new)
+            found = components(links, "simhash-copies")
+    return found.withColumnsRenamed({"node": "uid", "component": "node"})
 
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", **limits) -> DataFrame:

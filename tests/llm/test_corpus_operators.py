@@ -118,6 +118,29 @@ def test_near_copies_have_a_similar_text(spark):
     assert kept == set(roots(similar, ids).values())
 
 
+def similar_pairs(texts, least=0.8):
+    sets = {i: frozenset(simhash.shingle_set(t, 5).tolist()) for i, t in texts.items()}
+    ids = sorted(sets)
+    return [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if (n := len(sets[a] & sets[b])) and n >= least * (len(sets[a]) + len(sets[b]) - n)]
+
+
+def test_families_around_the_similarity_are_whole(spark):
+    """Pairs on both sides of 0.8: a failed link of a block's forest must not hide the pairs that it stood for."""
+    rng = np.random.default_rng(8)
+    texts = {}
+    for f in range(12):
+        base = [f"f{f}w{i}" for i in range(200)]
+        for c in range(16):
+            words = list(base)
+            for e in rng.choice(200, rng.integers(2, 6), replace=False):
+                words[e] = f"e{f}x{c}x{e}" if rng.random() < 0.6 else f"e{f}x{e}"
+            texts[100 * f + c] = " ".join(words)
+    pairs = similar_pairs(texts)
+    expected = roots(pairs, texts)
+    got = simhash.deduplicated(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string"))
+    assert 100 < len(pairs) < 12 * 16 * 15 // 2 and {r.doc_id for r in got.collect()} == set(expected.values())
+
+
 # --- substring dedup
 
 
