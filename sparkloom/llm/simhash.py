@@ -250,23 +250,23 @@ def hexed(fp: Column) -> Column:
 
 
 def sketch(text: str, size: int, functions: int) -> tuple[int, list[int], int, bytes]:
-    """The fingerprint and the smallest hash under each function, of the text's shingles (of all words, if fewer; of none, the empty one); how many distinct ones there are, and their parities."""
+    """The fingerprint and the smallest hash under each function, of the text's distinct shingles (of all words, if fewer; of none, the empty one); how many there are, and their parities."""
     words = text.encode().lower().split()
     if len(words) < size:
         words, size = [b" ".join(words)], 1
-    total, n = np.zeros(64, dtype=np.int64), len(words) - size + 1
-    least = np.full(functions, FULL, dtype=np.uint64)
-    digest, seen = xxhash.xxh64_intdigest, []
+    n, least, seen = len(words) - size + 1, [], np.empty(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
     for at in range(0, n, STEP):
         part = words[at : min(n, at + STEP) + size - 1]
         hashes = np.fromiter((digest(x, SEED) for x in map(b" ".join, zip(*[part[i:] for i in range(size)]))), dtype="<u8")
-        total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-        for f in range(functions):
-            least[f] = min(least[f], mixed(hashes ^ np.uint64(0x9E3779B97F4A7C15 * (f + 1) % 2**64)).min())
-        seen.append(hashes)
-    bits = np.packbits(2 * total > n, bitorder="little")
-    distinct = np.unique(np.concatenate(seen))
-    return int(bits.view("<i8")[0]), least.view(np.int64).tolist(), len(distinct), parities(distinct)
+        seen = np.union1d(seen, hashes)
+    total = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(seen), STEP):
+        total += np.unpackbits(seen[at : at + STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    for f in range(functions):
+        least.append(mixed(seen ^ np.uint64(0x9E3779B97F4A7C15 * (f + 1) % 2**64)).min())
+    bits = np.packbits(2 * total > len(seen), bitorder="little")
+    return int(bits.view("<i8")[0]), np.array(least).view(np.int64).tolist(), len(seen), parities(seen)
 
 
 def parities(hashes: np.ndarray) -> bytes:

@@ -124,6 +124,28 @@ def similar_pairs(texts, least=0.8):
     return [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if (n := len(sets[a] & sets[b])) and n >= least * (len(sets[a]) + len(sets[b]) - n)]
 
 
+def test_near_copies_far_apart_in_bits(spark):
+    """Similarity is on sets: neither a line that one text repeats nor a distance over the radius keeps near copies apart."""
+    base = lambda i, n=60: [f"b{i}w{j}" for j in range(n)]
+    texts = {}
+    for i in range(8):
+        line = " ".join(base(i)[:12])
+        texts[i], texts[100 + i] = " ".join(base(i)), " ".join([*base(i), *[line] * 40])
+    distance = lambda x, y: ((simhash.sketch(x, 5, 8)[0] ^ simhash.sketch(y, 5, 8)[0]) & 0xFFFFFFFFFFFFFFFF).bit_count()
+    assert max(distance(texts[i], texts[100 + i]) for i in range(8)) <= 20
+    far = 0
+    for i in range(1000, 4000):  # small sets at 0.8, over the radius by chance
+        one = base(i, 13)
+        two = one[:-1]
+        one, two = " ".join(one), " ".join(two)
+        if distance(one, two) > 16:
+            texts[i], texts[10000 + i] = one, two
+            far += 1
+    expected = roots(similar_pairs(texts), texts)
+    got = simhash.deduplicated(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string"))
+    assert far > 5 and {r.doc_id for r in got.collect()} == set(expected.values())
+
+
 def test_families_around_the_similarity_are_whole(spark):
     """Pairs on both sides of 0.8: a failed link of a block's forest must not hide the pairs that it stood for."""
     rng = np.random.default_rng(8)
