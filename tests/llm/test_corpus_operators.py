@@ -424,3 +424,17 @@ def test_frequent_lines_leave_and_copies_do_not_count(spark):
     assert not got[200].kept
     texts = {r.doc_id: r.text for r in quality.cleaned(docs).collect()}
     assert texts[3] == f"{body(3)}\n{body(103)}" and 200 not in texts
+
+
+def test_passages_within_a_large_group_of_one_paragraph(spark):
+    """A paragraph under the limit gives all texts the same keys; pairs of them share 10 words more beside it, and so a passage."""
+    paragraph = [f"p{i}" for i in range(45)]
+    own = lambda d, n=40: [f"d{d}w{i}" for i in range(n)]
+    rows = []
+    for d in range(300):
+        extra = [f"x{d // 2}y{i}" for i in range(10)] if d < 80 else []
+        rows.append((d, " ".join([*own(d), *paragraph, *extra, *own(1000 + d)])))
+    for parts in (1, 7):
+        got = {r.doc_id: r for r in passages.classed(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()}
+        assert all(got[d].class_id == (d - d % 2 if d < 80 else d) for d in got)
+        assert all(got[d].dup_words == (55 if d < 80 else 0) for d in got)
