@@ -438,3 +438,17 @@ def test_passages_within_a_large_group_of_one_paragraph(spark):
         got = {r.doc_id: r for r in passages.classed(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()}
         assert all(got[d].class_id == (d - d % 2 if d < 80 else d) for d in got)
         assert all(got[d].dup_words == (55 if d < 80 else 0) for d in got)
+
+
+@pytest.mark.parametrize("others", [1, 30])
+def test_a_passage_that_a_document_holds_twice(spark, others):
+    passage = [f"p{i}" for i in range(70)]
+    own = lambda d, n=60: [f"d{d}w{i}" for i in range(n)]
+    twice = {0: [*own(0), *passage, *own(100), *passage, *own(200)]}
+    once = {d: [*own(d), *passage, *own(100 + d)] for d in range(1, others + 1)}
+    twice[50] = [*own(50), *passage, *own(150), *passage, *own(250), *passage]
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in {**twice, **once}.items()], "doc_id long, text string")
+    spans = {r.doc_id: [(x["first"], x["last"]) for x in r.spans] for r in passages.classed(docs).collect()}
+    assert spans == {d: [(i, i + 69) for i in range(len(w) - 69) if w[i : i + 70] == passage] for d, w in {**twice, **once}.items()}
+    left = [r.text.count(" ".join(passage)) for r in passages.removed(docs).collect()]
+    assert sum(n > 0 for n in left) == 1
