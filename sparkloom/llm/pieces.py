@@ -20,6 +20,7 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ SPACE = "▁"
 AT_ONCE = 2 << 20
 #: Encoded segments that a worker holds; segments longer than this are cut at safe places.
 HELD, LONG = 300_000, 48
+#: Upper bits of a hash by which pieces are found, and by which a pair of pieces has its place in memory.
+BITS, PAIR_BITS = 20, 19
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 # Piece and model types of the file format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -109,9 +112,11 @@ class Model:
         self.keys, self.key_ids = keys[place], np.array([i for _, i in whole], dtype=np.int64)[place]
         if len(np.unique(keys)) != len(keys):
             raise ValueError("two pieces have one hash")
-        # most substrings are no pieces: a table by the hashes' upper bits says so without a search
-        self.maybe = np.zeros(1 << 22, bool)
-        self.maybe[(keys >> np.uint64(42)).astype(np.int64)] = True
+        # most substrings are no pieces: a table by the hashes' upper bits says so, and where the sorted keys with these bits begin
+        upper = (self.keys >> np.uint64(64 - BITS)).astype(np.int64)
+        self.begin = np.searchsorted(upper, np.arange((1 << BITS) + 1)).astype(np.int32)
+        self.maybe = np.diff(self.begin) > 0
+        self.most = int(np.diff(self.begin).max(initial=0))
         self.score = np.array(self.scores, dtype=np.float64)
         if self.kind == BPE:
             self._merges()
@@ -122,11 +127,10 @@ class Model:
         self.raw = np.frombuffer(b"".join(raw), dtype=np.uint8)
         self.raw_len = np.array([len(x) for x in raw], dtype=np.int64)
         self.raw_at = np.cumsum(self.raw_len) - self.raw_len
-        self.known: dict[str, int] = {}
-        self.held = 0  # places given out in seg_at and seg_len
+        self.known = Places()
         self.pool, self.pool_n = np.empty(1 << 16, np.int32), 0
-        self.seg_at, self.seg_len, self.used = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
-        self.pair_keys, self.pair_ok = np.empty(0, np.int64), np.empty(0, bool)
+        self.seg_at, self.seg_len, self.used = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+        self.pairs = np.full(1 << PAIR_BITS, -1, np.int64)
 
     # --- merges of a BPE model
 
@@ -173,16 +177,18 @@ class Model:
         return [self.bytes[b] for b in char.encode()] if self.bytes else [self.unknown]
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether encoding the pieces a and b together gives a and b; remembered by pair."""
-        keys = a * len(self.pieces) + b
-        new = np.unique(keys)
-        at = np.searchsorted(self.pair_keys, new)
-        new = new[~((at < len(self.pair_keys)) & (self.pair_keys[np.minimum(at, max(0, len(self.pair_keys) - 1))] == new))] if len(self.pair_keys) else new
-        if len(new):
-            place = np.searchsorted(self.pair_keys, new)
-            ok = self._walk(new // len(self.pieces), new % len(self.pieces))
-            self.pair_keys, self.pair_ok = np.insert(self.pair_keys, place, new), np.insert(self.pair_ok, place, ok)
-        return self.pair_ok[np.searchsorted(self.pair_keys, keys)]
+        """Whether encoding the pieces a and b together gives a and b. A pair has one place in memory, where the last pair that fell there stands."""
+        keys = a.astype(np.int64) * len(self.pieces) + b
+        place = ((keys.view(np.uint64) * PRIME) >> np.uint64(64 - PAIR_BITS)).view(np.int64)
+        found = self.pairs[place]
+        ok = (found & 1).astype(bool)
+        miss = np.flatnonzero(found >> 1 != keys)
+        if len(miss):
+            new, back = np.unique(keys[miss], return_inverse=True)
+            holds = self._walk(new // len(self.pieces), new % len(self.pieces))
+            ok[miss] = holds[back]
+            self.pairs[place[miss]] = 2 * keys[miss] + holds[back]
+        return ok
 
     def _walk(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Undoes the later of the two sides' last merges again and again; a merge across the border that
@@ -215,165 +221,161 @@ class Model:
 
     # --- segments
 
-    def segments(self, text: str) -> list[str]:
-        """The text with its spaces marked, cut where no piece stands across."""
-        marked = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
-        out = []
-        for s in re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", marked) if self.cuts_words else [marked]:
-            if len(s) <= LONG:
-                out.append(s)
-                continue
-            start = 0
-            for i in range(1, len(s)):
-                if s[i - 1 : i + 1] not in self.side:
-                    out.append(s[start:i])
-                    start = i
-            out.append(s[start:])
-        return out
-
-    @property
+    @cached_property
     def cuts_words(self) -> bool:
         """Whether no piece holds a space after another character."""
-        if not hasattr(self, "_cuts"):
-            self._cuts = not any(x[1] == SPACE and x[0] != SPACE for x in self.side)
-            self._lines = not any("\n" in p for p in self.ids)
-        return self._cuts
-
-    def fast_segments(self, text: str) -> list[str]:
-        """segments() for the common text: no two spaces in a row, and a line break is a segment."""
-        if not (self.cuts_words and self._lines and self.prefix) or "  " in text or SPACE in text or text[:1] == " " or text[-1:] == " ":
-            return self.segments(text)
-        out: list[str] = []
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                out.append("\n")
-            if not line:
-                if not k:
-                    out.append(SPACE)
-                continue
-            words = line.split(" ")
-            if k:
-                if words[0]:
-                    out.append(words[0])
-                out += [SPACE + w for w in words[1:]]
-            else:
-                out += [SPACE + w for w in words]
-        return out
+        return not any(x[1] == SPACE and x[0] != SPACE for x in self.side)
+
+    @cached_property
+    def plain(self) -> bool:
+        """Whether words by themselves are segments, and line breaks stand alone."""
+        return self.cuts_words and self.prefix and not any("\n" in p for p in self.ids)
 
-    def learn(self, new: list[str]) -> None:
-        """Encodes distinct segments and remembers them: those of equal length advance together.
-
-        A last character that no piece holds behind the one before it (a full stop, mostly)
-        is a segment of its own.
-        """
-        cut = {s: s[:-1] for s in new if len(s) > 2 and s[-2:] not in self.side}
-        wanted = dict.fromkeys(x for s in new for x in ((cut[s], s[-1]) if s in cut else (s,)))
-        by_length: dict[int, list[str]] = {}
-        for s in wanted:
-            if s in self.known:
-                continue
-            if self.kind == BPE and any(t in s for t in self.tied):
-                self._keep([s], np.array(ids := self.merged(s), dtype=np.int64), np.array([len(ids)]))
+    def names(self, text: str) -> list[str]:
+        """The segments of a text by name: a word stands for itself after a space, and a line break and what follows for themselves; U+2581 before any other segment."""
+        if self.plain and not ("  " in text or SPACE in text or text[:1] == " " or text[-1:] == " "):
+            return (text.replace("\n", " \n") if "\n" in text else text).split(" ")
+        marked = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
+        return [_name(s) for s in (re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", marked) if self.cuts_words else [marked])]
+
+    def safe(self, segment: str) -> list[str]:
+        """A segment's parts: its line break and its last character (a full stop, mostly) by themselves where no piece holds them and their neighbour, a long one cut at all such places."""
+        if len(segment) > LONG:
+            cuts = [i for i in range(1, len(segment)) if segment[i - 1 : i + 1] not in self.side]
+        else:
+            n = len(segment)
+            cuts = sorted({i for i in (1 if segment[:1] == "\n" else 0, n - 1) if 0 < i < n and segment[i - 1 : i + 1] not in self.side})
+        return [segment[i:j] for i, j in zip([0, *cuts], [*cuts, len(segment)])] if cuts else [segment]
+
+    def learn(self) -> None:
+        """Encodes the segments that were met anew: those of equal length advance together."""
+        known, side = self.known, self.side
+        new, known.new = known.new, []
+        first = len(known) - len(new)  # names have places in the order in which they came
+        cut: dict[int, tuple[int, ...]] = {}
+        whole: list[tuple[int, str]] = []
+        for place, name in enumerate(new, first):
+            if 1 < len(name) < LONG and name[0] not in "\n" + SPACE:  # a word: see safe()
+                if name[-2:] in side:
+                    whole.append((place, SPACE + name))
+                else:
+                    cut[place] = known[name[:-1]], known[SPACE + name[-1]]
+            elif len(parts := self.safe(s := _segment(name))) == 1:
+                whole.append((place, s))
             else:
-                by_length.setdefault(len(s), []).append(s)
-        for length, group in by_length.items():
+                cut[place] = tuple(known[_name(p)] for p in parts)
+        whole += [(place, _segment(name)) for place, name in enumerate(known.new, first + len(new))]
+        known.new = []
+        if self.kind == BPE and self.tied:
+            ties = re.compile("|".join(map(re.escape, self.tied)))
+            tied = [x for x in whole if ties.search(x[1])] if ties.search("\0".join(s for _, s in whole)) else []
+            for place, s in tied:
+                ids = self.merged(s)
+                self._keep(np.array([place]), np.array(ids, dtype=np.int64), np.array([len(ids)]))
+            whole = [x for x in whole if not ties.search(x[1])] if tied else whole
+        whole.sort(key=lambda x: len(x[1]))
+        lengths = np.fromiter((len(s) for _, s in whole), np.int64, len(whole))
+        for length in np.unique(lengths).tolist():
+            start, end = np.searchsorted(lengths, [length, length + 1]).tolist()
             step = max(1, (1 << 17) // length)
-            for at in range(0, len(group), step):
-                self._keep(group[at : at + step], *self.viterbi(group[at : at + step], length))
+            for at in range(start, end, step):
+                part = whole[at : min(end, at + step)]
+                self._keep(np.array([i for i, _ in part]), *self.viterbi([s for _, s in part], length))
         if cut:
-            whole = [s for s in cut if s not in self.known]  # one may have been the head of another
-            heads = np.array([self.known[cut[s]] for s in whole])
-            tails = np.array([self.known[s[-1]] for s in whole])
-            both = np.stack([heads, tails], axis=1).ravel()
-            sizes = self.seg_len[both]
-            self._keep(whole, self.pool[_spread(self.seg_at[both], sizes)], sizes.reshape(-1, 2).sum(axis=1))
+            again = lambda i: [k for j in cut[i] for k in again(j)] if i in cut else [i]
+            lists = [x if not any(j in cut for j in x) else again(i) for i, x in cut.items()]
+            parts, n = np.array([i for x in lists for i in x]), np.array([len(x) for x in lists])
+            sizes = self.seg_len[parts]
+            ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(n)])]
+            self._keep(np.array(list(cut)), self.pool[_spread(self.seg_at[parts], sizes)], np.diff(ends))
 
     def forget(self) -> None:
         """Keeps the segments that were met most often, half as many as may be held."""
-        names, places = list(self.known), np.fromiter(self.known.values(), np.int64, len(self.known))
-        often = np.flatnonzero(self.used[places] > 1)
+        names = list(self.known)
+        often = np.flatnonzero(self.used[: len(names)] > 1)
         if len(often) > HELD // 2:
-            often = often[np.argsort(-self.used[places[often]], kind="stable")[: HELD // 2]]
-        at, sizes, used = self.seg_at[places[often]], self.seg_len[places[often]], self.used[places[often]]
-        flat = self.pool[_spread(at, sizes)]
-        self.known, self.held, self.pool_n = {}, 0, 0
+            often = np.sort(often[np.argsort(-self.used[often], kind="stable")[: HELD // 2]])
+        sizes, used = self.seg_len[often], self.used[often]
+        flat = self.pool[_spread(self.seg_at[often], sizes)]
+        self.known = Places((names[i], k) for k, i in enumerate(often.tolist()))
+        self.pool_n, self.used[:] = 0, 0
         if len(often):
-            self._keep([names[i] for i in often.tolist()], flat, sizes)
+            self._keep(np.arange(len(often)), flat, sizes)
             self.used[: len(often)] = used // 2
 
-    def _keep(self, segments: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
-        first, end = self.held, self.pool_n + len(flat)
-        if first + len(segments) > len(self.seg_at):
-            n = 2 * (first + len(segments))
-            self.seg_at, self.seg_len, self.used = (np.resize(x, n) for x in (self.seg_at, self.seg_len, self.used))
+    def _keep(self, places: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
+        most, end = len(self.known), self.pool_n + len(flat)
+        if most > len(self.seg_at):
+            self.seg_at, self.seg_len, self.used = (np.concatenate([x, np.zeros(most + most // 4 - len(x), x.dtype)]) for x in (self.seg_at, self.seg_len, self.used))
         if end > len(self.pool):
-            self.pool = np.resize(self.pool, 2 * end)
+            self.pool = np.concatenate([self.pool[: self.pool_n], np.empty(end + end // 4 - self.pool_n, np.int32)])
         self.pool[self.pool_n : end] = flat
-        self.seg_at[first : first + len(segments)] = self.pool_n + np.cumsum(sizes) - sizes
-        self.seg_len[first : first + len(segments)] = sizes
-        self.used[first : first + len(segments)] = 0
-        self.known.update(zip(segments, range(first, first + len(segments))))
-        self.held, self.pool_n = first + len(segments), end
+        self.seg_at[places] = self.pool_n + np.cumsum(sizes) - sizes
+        self.seg_len[places] = sizes
+        self.pool_n = end
+
+    def candidates(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, start, size, id) of all substrings of chars (rows, length) that are pieces, by end and then size; a character without a piece has id -2."""
+        n, length = chars.shape
+        level = np.zeros((n, length), np.uint64)
+        found: list[tuple] = []
+        for size in range(1, min(self.longest, length) + 1):
+            level = level[:, : length - size + 1] * PRIME + chars[:, size - 1 :]
+            mixed = level * PRIME + np.uint64(size)
+            upper = (mixed >> np.uint64(64 - BITS)).view(np.int64)
+            row, start = np.nonzero(self.maybe[upper])
+            sought, at = mixed[row, start], self.begin[upper[row, start]].astype(np.int64)
+            ids = np.full(len(row), -1, np.int64)
+            for k in range(self.most):
+                here = np.minimum(at + k, len(self.keys) - 1)
+                ids = np.where(self.keys[here] == sought, self.key_ids[here], ids)
+            good = np.flatnonzero(self.sound[ids] & (ids >= 0) if self.kind == BPE else ids >= 0)
+            row, start, ids = row[good], start[good], ids[good]
+            if size == 1:
+                every = np.full((n, length), -2, np.int64)
+                every[row, start] = ids
+                row, start, ids = np.repeat(np.arange(n), length), np.tile(np.arange(length), n), every.ravel()
+            found.append((row.astype(np.int32), start.astype(np.int32), np.full(len(row), size, np.int32), ids.astype(np.int32)))
+        row, start, size, ids = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(start + size if length > 60 else (start + size).astype(np.int8), kind="stable")
+        return row[order], start[order], size[order], ids[order]
 
     def viterbi(self, group: list[str], length: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts) of segments of one length."""
         n = len(group)
-        chars = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(n, length).astype(np.uint64)
-        longest = min(self.longest, length)
-        piece: list[np.ndarray] = [np.empty(0)]
-        level = np.zeros((n, length), np.uint64)
-        for size in range(1, longest + 1):  # piece[size][:, s]: the piece at s with size characters, or -1
-            level = level[:, : length - size + 1] * PRIME + chars[:, size - 1 :] + np.uint64(1)
-            mixed = level * PRIME + np.uint64(size)
-            ids = np.full(mixed.shape, -1, np.int64)
-            probed = np.nonzero(self.maybe[(mixed >> np.uint64(42)).astype(np.int64)])
-            sought = mixed[probed]
-            at = np.minimum(np.searchsorted(self.keys, sought), len(self.keys) - 1)
-            ids[probed] = np.where(self.keys[at] == sought, self.key_ids[at], -1)
+        if not length:
+            return np.empty(0, np.int64), np.zeros(n, np.int64)
+        chars = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(n, length).astype(np.uint64) + np.uint64(1)
+        row, start, size, ids = self.candidates(chars)
+        ends = np.searchsorted(start + size, np.arange(length + 2))
+        last, back = np.full((length + 1, n), -1, np.int32), np.zeros((length + 1, n), np.int32)
+        last[0] = -3
+        best, low = np.zeros((length + 1, n)), self.score.min() - 10.0
+        for end in range(1, length + 1):
+            part = slice(ends[end], ends[end + 1])
+            who, begin, piece, z = row[part], start[part], ids[part], size[part]
+            prev = last[begin, who]
             if self.kind == BPE:
-                ids[(ids >= 0) & ~self.sound[np.maximum(ids, 0)]] = -1
-            if size == 1:
-                ids = np.where(ids < 0, -2, ids)  # a character without a piece stands alone
-            piece.append(ids)
-        # ends[:, e, z - 1]: the piece of z characters that ends at e
-        ends = np.full((n, length + 1, longest), -1, np.int64)
-        for size in range(1, longest + 1):
-            ends[:, size:, size - 1] = piece[size]
-        last = np.full((n, length + 1), -2, np.int64)
-        back = np.zeros((n, length + 1), np.int64)
-        row = np.arange(n)
-        every = np.arange(1, longest + 1)
-        if self.kind == BPE:
-            for end in range(1, length + 1):
-                cand = ends[:, end]
-                who, z = np.nonzero(cand != -1)
-                ids, start = cand[who, z], end - 1 - z
-                prev = last[who, start]
-                ok = (prev != -1) | (start == 0)
-                pair = np.flatnonzero((start > 0) & (ids >= 0) & (prev >= 0))
+                ok = prev != -1
+                pair = np.flatnonzero((prev >= 0) & (piece >= 0))
                 if len(pair):
-                    ok[pair] = self.compatible(prev[pair], ids[pair])
+                    ok[pair] = self.compatible(prev[pair], piece[pair])
                 # of each segment the longest candidate that holds; they come in order of length
                 held = np.flatnonzero(ok)
-                pick = np.zeros(n, np.int64)
-                pick[who[held]] = z[held] + 1
-                last[:, end] = np.where(pick > 0, cand[row, np.maximum(pick, 1) - 1], -1)
-                back[:, end] = np.maximum(pick, 1)
-        else:
-            best, low = np.zeros((n, length + 1)), self.score.min() - 10.0
-            for end in range(1, length + 1):
-                sizes = every[: min(longest, end)]
-                cand = ends[:, end, : len(sizes)]
-                gain = np.where(cand >= 0, self.score[np.maximum(cand, 0)], low)
-                rating = np.where(cand == -1, -np.inf, best[:, end - sizes] + gain)
-                pick = rating.argmax(axis=1)
-                best[:, end], last[:, end], back[:, end] = rating[row, pick], cand[row, pick], sizes[pick]
+                last[end, who[held]], back[end, who[held]] = piece[held], z[held]
+            else:
+                rating = np.full((n, min(self.longest, end) + 1), -np.inf)
+                rating[who, z] = best[begin, who] + np.where(piece >= 0, self.score[np.maximum(piece, 0)], low)
+                named = np.full(rating.shape, -1, np.int32)
+                named[who, z] = piece
+                pick, each = rating.argmax(axis=1), np.arange(n)
+                best[end], last[end], back[end] = rating[each, pick], named[each, pick], pick
         # all paths are walked back together; path[k] is the k-th piece from the end
         path: list[np.ndarray] = []
-        end = np.full(n, length)
+        end, each = np.full(n, length), np.arange(n)
         while (end > 0).any():
-            path.append(np.where(end > 0, last[row, end], -9))
-            end = end - np.where(end > 0, np.maximum(back[row, end], 1), 0)
+            path.append(np.where(end > 0, last[end, each], -9))
+            end = end - np.where(end > 0, np.maximum(back[end, each], 1), 0)
         ids = np.stack(path[::-1], axis=1)
         odd = np.flatnonzero(((ids == -1) | (ids == -2)).any(axis=1))
         if not len(odd):
@@ -402,25 +404,23 @@ class Model:
         """(ids, lengths): the ids of all texts, text after text, and how many each has. A null text has none."""
         if len(self.known) > HELD:
             self.forget()
-        cut = [self.fast_segments(t) if t else [] for t in texts]
-        known = self.known
-        new = list({s for segs in cut for s in segs if s not in known})
-        self.learn(new)
-        get = known.__getitem__
-        counts = np.array([len(s) for s in cut], dtype=np.int64)
-        order = np.fromiter((get(s) for segs in cut for s in segs), dtype=np.int64, count=int(counts.sum()))
+        place = self.known.__getitem__
+        cut = [np.fromiter(map(place, names), np.int32, len(names)) if t else np.empty(0, np.int32) for t in texts for names in (self.names(t) if t else (),)]
+        self.learn()
+        order = np.concatenate(cut) if cut else np.empty(0, np.int32)
         sizes = self.seg_len[order]
         flat = self.pool[_spread(self.seg_at[order], sizes)]
-        self.used[: self.held] += np.bincount(order, minlength=self.held).astype(np.int32)
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        cuts = np.concatenate([[0], np.cumsum(counts)])
+        self.used[: len(self.known)] += np.bincount(order, minlength=len(self.known)).astype(np.int32)
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        cuts = np.concatenate([[0], np.cumsum([len(x) for x in cut], dtype=np.int64)])
         return flat, ends[cuts[1:]] - ends[cuts[:-1]]
 
     def decode(self, ids: np.ndarray, lengths: np.ndarray) -> list[str]:
         """The texts of ids; bytes that make no character become U+FFFD; the space that encoding put in front goes."""
         ids = np.asarray(ids, dtype=np.int64)
-        data = self.raw[_spread(self.raw_at[ids], self.raw_len[ids])].tobytes()
-        ends = np.concatenate([[0], np.cumsum(self.raw_len[ids])])
+        sizes = self.raw_len[ids]
+        data = self.raw[_spread(self.raw_at[ids], sizes)].tobytes()
+        ends = np.concatenate([[0], np.cumsum(sizes)])
         cuts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
         out = []
         for a, b in zip(ends[cuts[:-1]].tolist(), ends[cuts[1:]].tolist()):
@@ -445,9 +445,35 @@ def _counts(values) -> dict:
 
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ... for sizes[0] places, then the same from starts[1] and so on."""
-    total = int(sizes.sum())
-    heads = np.cumsum(sizes) - sizes
-    return np.arange(total) + np.repeat(starts - heads, sizes)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if total < 1 << 31 and (not len(starts) or int(starts.max()) < 1 << 31) else np.int64
+    out = np.repeat((starts - ends + sizes).astype(kind), sizes)
+    out += np.arange(total, dtype=kind)
+    return out
+
+
+class Places(dict):
+    """Places of segments by name, in the order in which they were met; new has the names that are yet to be encoded."""
+
+    def __init__(self, known=()):
+        super().__init__(known)
+        self.new: list[str] = []
+
+    def __missing__(self, name: str) -> int:
+        self[name] = place = len(self)
+        self.new.append(name)
+        return place
+
+
+def _segment(name: str) -> str:
+    return name[1:] if name[:1] == SPACE else name if name[:1] == "\n" else SPACE + name
+
+
+def _name(segment: str) -> str:
+    if segment[:1] == SPACE and segment[1:2] not in (SPACE, "\n"):
+        return segment[1:]
+    return segment if segment[:1] == "\n" else SPACE + segment
 
 
 _loaded: dict[int, Model] = {}
