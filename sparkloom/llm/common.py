@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of an Arrow batch: whole texts are long, and a worker holds a batch at a time.
 BATCH_ROWS = 1000
+#: Smallest neighbours are broadcast up to this many nodes.
+NODES = 100_000
 #: White space as the text contracts use it: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -119,11 +121,12 @@ def fixed(df: DataFrame, *names: str) -> DataFrame:
 def components(edges: DataFrame, tag: str, rounds: int = 40) -> DataFrame:
     """Connected components of an edge table (a, b), of any comparable type: (node, component).
 
-    Alternating large-star and small-star steps; each round is written to the shared
-    folder, so no lineage grows and nothing is gathered on the driver. A hub of any
-    degree is dealt by (hub) only through partial minimum aggregates; the star steps
-    join on the key and leave skewed hubs to the adaptive skew join.
-    component is the smallest node reachable. Nodes without an edge do not appear.
+    Alternating large-star and small-star steps on links from a larger to a smaller node; each
+    round is written to the shared folder, so no lineage grows and nothing is gathered on the
+    driver. Smallest neighbours come from partial minima and are a written table, so that the
+    links of a hub meet its one row by a broadcast (of a counted size) or a join whose hot keys
+    are split. component is the smallest node reachable. Nodes without an edge do not appear;
+    null ends, loops and repeated edges count for nothing; an empty table gives an empty one.
     """
     links = written(
         edges.filter("a is not null and b is not null and a <> b")
@@ -131,25 +134,21 @@ def components(edges: DataFrame, tag: str, rounds: int = 40) -> DataFrame:
         .distinct(),
         f"{tag}-links",
     )
+
+    def lowest(links: DataFrame) -> DataFrame:
+        return written(links.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")), f"{tag}-lowest")
+
     for _ in range(rounds):
         # large star: a node's larger neighbours go to the smallest node next to it
-        both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = (
-            both.join(lowest, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        ).distinct()
-        # small star: its smaller neighbours and itself go to the smallest of them
-        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            large.join(lowest, "a")
-            .select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e"))
-            .select("e.a", "e.b")
-            .filter("a <> b")
-        ).distinct()
-        new = written(small, f"{tag}-links")
-        done, links = same(links, new), new
-        if done:
+        low = lowest(links)
+        if links.count() == low.count() and low.join(low.select(F.col("m").alias("n")).distinct(), "n", "left_semi").isEmpty():
             break
+        low = small_or_not(low, NODES)
+        large = written(links.join(low, F.col("b") == F.col("n"), "left").select("a", F.coalesce("m", "b").alias("b")).distinct(), f"{tag}-links")
+        # small star: its smaller neighbours and itself go to the smallest of them
+        low = small_or_not(lowest(large), NODES)
+        small = large.join(low, F.col("a") == F.col("n")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
+        links = written(small.select("e.a", "e.b").filter("a <> b").distinct(), f"{tag}-links")
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(
@@ -157,7 +156,27 @@ def components(edges: DataFrame, tag: str, rounds: int = 40) -> DataFrame:
     )
 
 
-def same(old: DataFrame, new: DataFrame) -> bool:
-    """Whether two link tables without repeated rows are equal: their sizes and sums of row hashes are."""
-    mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
-    return mark(old) == mark(new)
+def lean(work):
+    """work over batches, after which the worker gives the memory that it no longer uses back to the machine."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            released()
+
+    return run
+
+
+def released() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not with every C library
+        pass

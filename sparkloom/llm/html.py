@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import ship
+from sparkloom.llm.common import lean, ship
 
 #: Doublings, so windows of 2 ** DOUBLINGS tokens; distinct pages of a host that a repeat touches at least.
 DOUBLINGS, MIN_PAGES = 3, 3
@@ -258,13 +258,13 @@ def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
                 out.append(unique_runs(blocks(x.as_py()), covered))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["row", "text"])
 
-    plain = rows.mapInArrow(texts, rows.select("row", F.lit(None).cast("string").alias("text")).schema).filter("text is not null")
-    seen = rows.mapInArrow(windows, "host string, ph long, name long, at int, open boolean")
+    plain = rows.mapInArrow(lean(texts), rows.select("row", F.lit(None).cast("string").alias("text")).schema).filter("text is not null")
+    seen = rows.mapInArrow(lean(windows), "host string, ph long, name long, at int, open boolean")
     each = seen.groupBy("host", "name", "ph").agg(F.max("open").alias("open"))
     repeated = each.groupBy("host", "name").agg(F.count("*").alias("n"), F.max("open").alias("open")).filter((F.col("n") >= min_pages) & F.col("open"))
     hits = seen.filter("open").join(repeated.select("host", "name"), ["host", "name"]).groupBy("host", "ph").agg(F.collect_set("at").alias("hits"))
-    left = rows.mapInArrow(unsettled, rows.schema)
+    left = rows.mapInArrow(lean(unsettled), rows.schema)
     judged = left.join(hits, ["host", "ph"], "left").select("row", "html", "hits")
-    open_ = judged.mapInArrow(judge, rows.select("row", F.lit(None).cast("string").alias("text")).schema)
+    open_ = judged.mapInArrow(lean(judge), rows.select("row", F.lit(None).cast("string").alias("text")).schema)
     both = plain.unionAll(open_)
     return both.select(F.col("row.key").alias(key), F.col("row.url").alias(url), "text", F.length("text").cast("long").alias("n_chars"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import in_parts, ship
+from sparkloom.llm.common import in_parts, lean, ship
 
 #: Bytes in a window; units of each direction.
 WINDOW, UNITS = 64, 8
@@ -257,7 +257,7 @@ def predicted(docs: DataFrame, languages: list[str], weights: dict[str, np.ndarr
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
 
     like = rows.select("row", F.lit("").cast("string").alias("lang_pred"), F.lit(0.0).alias("score"))
-    return rows.mapInArrow(work, like.schema).select("row.*", "lang_pred", "score")
+    return rows.mapInArrow(lean(work), like.schema).select("row.*", "lang_pred", "score")
 
 
 def identified(docs: DataFrame, held_out: Column, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:

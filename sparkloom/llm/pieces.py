@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import in_parts, ship
+from sparkloom.llm.common import in_parts, lean, ship
 
 #: The public model that is used without another path; a model file of more bytes is refused for broadcast.
 MODEL, MODEL_BYTES = "/opt/tokenizers/piece_bpe_32k.model", 64 << 20
@@ -520,7 +520,7 @@ def encoded(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part], lists, pa.array(lengths), same], ["row", "token_ids", "n_tokens", "round_trip"])
 
     like = rows.select("row", F.array(F.lit(0)).alias("token_ids"), F.lit(0).cast("long").alias("n_tokens"), F.lit(True).alias("round_trip"))
-    return rows.mapInArrow(work, like.schema)
+    return rows.mapInArrow(lean(work), like.schema)
 
 
 def decoded(docs: DataFrame, ids: str = "token_ids", path: str = MODEL) -> DataFrame:
@@ -538,4 +538,4 @@ def decoded(docs: DataFrame, ids: str = "token_ids", path: str = MODEL) -> DataF
             texts = model.decode(np.concatenate(lists) if lists else np.empty(0, np.int64), np.array([len(x) for x in lists], dtype=np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
 
-    return rows.mapInArrow(work, rows.select("row", F.lit("").cast("string").alias("text")).schema).select("row.*", "text")
+    return rows.mapInArrow(lean(work), rows.select("row", F.lit("").cast("string").alias("text")).schema).select("row.*", "text")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import components, in_parts, packed, ship, small_or_not, unpacked, written
+from sparkloom.llm.common import components, in_parts, lean, packed, ship, small_or_not, unpacked, written
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Distinct fingerprints in a chunk of a large bucket; a tile has two chunks.
@@ -63,7 +63,7 @@ def fingerprinted(docs: DataFrame, text: str, carried: dict[str, Column]) -> Dat
             fps = pa.array([fingerprint(t) for _, texts in in_parts(b.column(1)) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), fps], ["row", "fp"])
 
-    return rows.mapInArrow(work, rows.select("row", F.lit(0).cast("long").alias("fp")).schema)
+    return rows.mapInArrow(lean(work), rows.select("row", F.lit(0).cast("long").alias("fp")).schema)
 
 
 def table_keys(fp: Column) -> Column:
@@ -218,7 +218,7 @@ def linked(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFram
     tiles = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
     dealt = sized.select("k", "fp", F.explode(tiles).alias("t")).select("k", "t.i", "t.j", "fp")
     together = dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "fp")
-    edges = together.mapInArrow(lambda batches: linked_runs(batches, radius), "a long, b long")
+    edges = together.mapInArrow(lean(lambda batches: linked_runs(batches, radius)), "a long, b long")
     return components(edges, "simhash")
 
 
@@ -500,7 +500,7 @@ def near_copies(docs: DataFrame, text: str = "text", shingle: int = 5, similarit
     rows = docs.select(F.struct(F.xxhash64(t).alias("uid")).alias("row"), t.alias("t"))
     number = F.lit(0).cast("long")
     like = rows.select("row", number.alias("fp"), F.array(number).alias("keys"), number.alias("n"), F.lit(b"").alias("odd")).schema
-    marks = rows.mapInArrow(lambda b: sketches(b, shingle, functions), like).select("row.uid", "fp", "keys", F.col("n").alias("size"), "odd")
+    marks = rows.mapInArrow(lean(lambda b: sketches(b, shingle, functions)), like).select("row.uid", "fp", "keys", F.col("n").alias("size"), "odd")
     marks = written(marks.groupBy("uid").agg(*[F.first(c).alias(c) for c in ("fp", "keys", "size", "odd")]), "simhash-sketches")
     keyed = marks.select("uid", "fp", F.posexplode("keys").alias("f", "key")).select("uid", "fp", F.xxhash64("f", "key").alias("k"))
 
@@ -515,12 +515,12 @@ def near_copies(docs: DataFrame, text: str = "text", shingle: int = 5, similarit
     def similar(asked: DataFrame) -> DataFrame:
         involved = small_or_not(written(asked.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "simhash-involved"), BROADCAST_ROWS)
         texts = rows.select("row.uid", "t").join(involved, "uid", "left_semi").dropDuplicates(["uid"])
-        one = asked.join(texts.withColumnRenamed("uid", "a"), "a").mapInArrow(lambda b: _sets(b, shingle), "a long, b long, shingles binary")
-        return one.join(texts.withColumnRenamed("uid", "b"), "b").mapInArrow(lambda b: _similar(b, shingle, similarity), "a long, b long")
+        one = asked.join(texts.withColumnRenamed("uid", "a"), "a").mapInArrow(lean(lambda b: _sets(b, shingle)), "a long, b long, shingles binary")
+        return one.join(texts.withColumnRenamed("uid", "b"), "b").mapInArrow(lean(lambda b: _similar(b, shingle, similarity)), "a long, b long")
 
     counts = keyed.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
     together = dealt(keyed.join(counts, "k"), "fp", "fp", "uid")
-    asked = written(together.mapInArrow(lambda b: near_runs(b, radius), "a long, b long").distinct(), "simhash-asked")
+    asked = written(together.mapInArrow(lean(lambda b: near_runs(b, radius)), "a long, b long").distinct(), "simhash-asked")
     links = written(similar(asked), "simhash-similar")
     found = components(links, "simhash-copies")
     for whole in (False, True):
@@ -529,7 +529,7 @@ def near_copies(docs: DataFrame, text: str = "text", shingle: int = 5, similarit
         labelled = labelled.select("uid", "label", "size", "odd", F.xxhash64("f", "key").alias("k"))
         mixed_ = labelled.groupBy("k").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("k", "n")
         together = dealt(labelled.join(mixed_, "k"), "uid", "uid", "label", "size", "odd")
-        more = together.mapInArrow(lambda b, whole=whole: crossing_runs(b, similarity, whole), "a long, b long").distinct()
+        more = together.mapInArrow(lean(lambda b, whole=whole: crossing_runs(b, similarity, whole)), "a long, b long").distinct()
         more = written(more.join(asked, ["a", "b"], "left_anti"), "simhash-asked")
         if more.isEmpty():
             continue

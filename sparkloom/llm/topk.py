@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import ship, written
+from sparkloom.llm.common import lean, ship, written
 
 K, LISTS = 20, 2
 #: Rows of a block at most, on the mean; queries likewise.
@@ -128,14 +128,14 @@ def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: st
     asks = written(asks.select("qb", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix")), "topk-queries")
     dealt = written(blocks, "topk-blocks").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_asks - 1))))
     meeting = dealt.join(asks, "qb").repartition("rb", "qb")
-    heads = meeting.select("ids", "matrix", "width", "q_ids", "q_matrix").mapInArrow(lambda b: seen_locally(b, k, lists), "query_id long, score double")
+    heads = meeting.select("ids", "matrix", "width", "q_ids", "q_matrix").mapInArrow(lean(lambda b: seen_locally(b, k, lists)), "query_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"))
     last = heads.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).groupBy("query_id").agg(F.min("score").alias("low"), F.max("n").alias("n"))
     cut = last.select(F.col("query_id").alias("c_id"), F.when(F.col("n") == k, F.col("low")).alias("cut"))
     named = asks.select("qb", F.posexplode("q_ids").alias("at", "c_id")).join(cut, "c_id", "left")
     cuts = named.groupBy("qb").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", F.coalesce("cut", F.lit(float("-inf"))).alias("cut")))), lambda x: x["cut"]).alias("cut"))
     second = meeting.join(written(cuts, "topk-cuts"), "qb").repartition("rb", "qb")
-    found = second.select("ids", "matrix", "width", "q_ids", "q_matrix", "cut").mapInArrow(lambda b: resolved(b, k, lists), "query_id long, vec_id long, score long")
+    found = second.select("ids", "matrix", "width", "q_ids", "q_matrix", "cut").mapInArrow(lean(lambda b: resolved(b, k, lists)), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

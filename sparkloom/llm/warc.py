@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import new_folder, ship, written
+from sparkloom.llm.common import lean, new_folder, ship, written
 from sparkloom.llm.zipread import Reader, Writer
 
 #: WARC bytes after which a package is closed; bytes of neighbouring records that are fetched at once.
@@ -155,7 +155,7 @@ def write(pages: DataFrame, package: int = PACKAGE, zip64: bool = False, **names
     spark = pages.sparkSession
     ship(spark)
     folder = new_folder(spark, "warc")
-    made = planned(pages, **names).mapInArrow(lambda b: packages(b, folder, package, zip64), "path string, records long, bytes long")
+    made = planned(pages, **names).mapInArrow(lean(lambda b: packages(b, folder, package, zip64)), "path string, records long, bytes long")
     return written(made, "warc-manifest")
 
 
@@ -180,7 +180,7 @@ def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in held], t) for k, t in kinds.items()], list(kinds))
 
     spread = manifest.select("path").repartition(F.col("path"))
-    return spread.mapInArrow(work, schema)
+    return spread.mapInArrow(lean(work), schema)
 
 
 def oracle(table: str = "pages") -> str:
