@@ -1,16 +1,17 @@
 """Main text of web pages: block parsing, and a host suffix array against boilerplate.
 
-A page is parsed to blocks of text. Blocks in an article or main element are content;
+A page is parsed once, to blocks of text. Blocks in an article or main element are content;
 menus, headers, footers, sidebars, notices, adverts, forms and reader comments, known by
-element, role, class or id, are boilerplate; what is in neither is open.
+element, role, class or id, are boilerplate; what is in neither is open, beside an article
+as on pages without one.
 
 The token streams of all that is no content are put together by host, and the suffixes of
 the whole are named by prefix doubling: equal names at depth 8 are an interval of the
 suffix array whose common prefix has 8 tokens or more. Spark deals the suffixes by host and
 name, so a host of any size spreads, and an interval that touches enough distinct pages is
 repeated. Every longer repeat is the union of such windows, so they cover exactly the long
-repeated substrings. Open blocks lose what is covered and keep their unique runs. On pages
-with an article, only the article counts; on others, the open blocks.
+repeated substrings, at their full length. Open blocks lose what is covered and keep their
+unique runs. A host none of whose pages has an open block has nothing to decide.
 """
 
 from __future__ import annotations
@@ -25,11 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import lean, ship
+from sparkloom.llm.common import in_parts, lean, ship, small_or_not, written
 
 #: Doublings, so windows of 2 ** DOUBLINGS tokens; distinct pages of a host that a repeat touches at least.
 DOUBLINGS, MIN_PAGES = 3, 3
 WINDOW = 1 << DOUBLINGS
+#: Hosts with open blocks are broadcast up to this many.
+BROADCAST_ROWS = 50_000
 
 # Elements and names of the parts of a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,6 +56,11 @@ NAMES = frozenset(
     "commentlist disqus reply replies respond search searchform login widget widgets pagination pager copyright disclaimer skip".split()
 )
 OUTSIDE_NAMES = frozenset("header banner".split())
+LAYOUT = frozenset(
+    "area article bar block body bottom box buttons card column container content entry form global group holder inner item items left links list main "
+    "page panel post primary right row secondary section site slot table text title top unit wrap wrapper".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*?)(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S
@@ -62,19 +70,28 @@ PART = re.compile(r"[A-Za-z]+")
 ARTICLE, OPEN, BOILER = 0, 1, 2
 
 
+def _named(value: str, inside: bool) -> bool:
+    """Whether a class or id names boilerplate: one of its names is made of names of such parts and of words of layout, and of one of the former at least."""
+    for name in value.split():
+        # adBox and ad-box are the parts ad and box; related-work is no such name
+        parts = {x.lower() for w in PART.findall(name) for x in (re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", w) if w.lower() not in NAMES else [w])}
+        some = parts & (NAMES if inside else NAMES | OUTSIDE_NAMES)
+        if some and parts <= some | LAYOUT:
+            return True
+    return False
+
+
 def _boiler(tag: str, attributes: str, inside: bool) -> bool:
     """Whether an element opens a part that is no content."""
-    if tag in DROPPED or (tag == "header" and not inside):
+    if tag in DROPPED or tag == "header":
         return True
     if not attributes or attributes.isspace() or tag in ("html", "body"):
         return False
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            # adBox and ad-box are the parts ad and box
-            parts = {x.lower() for w in PART.findall(value) for x in (w, *re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", w))}
-            if parts & NAMES or (not inside and parts & OUTSIDE_NAMES):
-                return tag not in CONTENT or bool(parts & {"comment", "comments", "reply", "ad", "ads", "advert", "related", "sponsored", "promo"})
+            if _named(value, inside):
+                return tag not in CONTENT or bool({x.lower() for x in PART.findall(value)} & {"comment", "comments", "reply", "ad", "ads", "advert", "related", "sponsored", "promo"})
         elif name == "role" and value.strip().lower() in ROLES:
             return True
         elif name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true"):
@@ -85,13 +102,13 @@ def _boiler(tag: str, attributes: str, inside: bool) -> bool:
 
 
 def blocks(html: str | None) -> list[tuple[int, str]]:
-    """(kind, text) of the blocks in page order: ARTICLE, OPEN or BOILER; text decoded, white space as single spaces."""
+    """(kind, text) of the blocks in page order: ARTICLE, OPEN or BOILER; text decoded, white space as single spaces. Of an article's header only the headings are content."""
     if not html:
         return []
     out: list[tuple[int, str]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate, in an article
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, boilerplate, in an article, in an article's header
     held: list[str] = []
-    boiler = inside = False
+    boiler = inside = head = False
     at, end = 0, len(html)
 
     def flush() -> None:
@@ -102,11 +119,11 @@ def blocks(html: str | None) -> list[tuple[int, str]]:
                 out.append((BOILER if boiler else ARTICLE if inside else OPEN, text))
 
     def pop_to(k: int) -> None:
-        nonlocal boiler, inside
+        nonlocal boiler, inside, head
         if any(x[0] in BLOCK for x in stack[k:]) or (stack[-1][1] != (stack[k - 1][1] if k else False)):
             flush()
         del stack[k:]
-        boiler, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        boiler, inside, head = stack[-1][1:] if stack else (False, False, False)
 
     def close_open(tags: tuple[str, ...] | str, stops: tuple[str, ...] = ()) -> None:
         for k in range(len(stack) - 1, -1, -1):
@@ -144,7 +161,9 @@ def blocks(html: str | None) -> list[tuple[int, str]]:
             close_open(("p",), ("table", "td", "th", "button", "object", "caption"))
         if tag in SELF_CLOSING:
             close_open(("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,), SELF_CLOSING[tag])
-        drop = boiler or _boiler(tag, attributes, inside)
+        own = _boiler(tag, attributes, inside)
+        within_head = head or (tag == "header" and inside and not boiler)
+        drop = (boiler and not (head and tag in HEADINGS)) or own
         within = inside or (not drop and (tag in CONTENT or 'role="main"' in attributes or "articleBody" in attributes))
         if tag in BLOCK or drop != boiler or within != inside:
             flush()
@@ -157,20 +176,13 @@ def blocks(html: str | None) -> list[tuple[int, str]]:
                 held.append(html[at : close.start() if close else end])
             at = close.end() if close else end
             continue
-        stack.append((tag, drop, within))
+        head = within_head and tag not in HEADINGS
+        stack.append((tag, drop, within, head))
         boiler, inside = drop, within
     flush()
     return out
 
 
-def settled(found: list[tuple[int, str]]) -> str | None:
-    """The main text where the page's parts settle it; None where open blocks have to be judged."""
-    content = [t for k, t in found if k == ARTICLE]
-    if content:
-        return "\n".join(content)
-    return None if any(k == OPEN for k, _ in found) else ""
-
-
 def names(tokens: list[str], doublings: int = DOUBLINGS) -> np.ndarray:
     """Names of all suffixes' first 2 ** doublings tokens: equal names, equal tokens."""
     level = np.fromiter((xxhash.xxh64_intdigest(t, 1) for t in tokens), dtype=np.uint64, count=len(tokens))
@@ -189,14 +201,15 @@ def stream(found: list[tuple[int, str]]) -> list[str]:
     return [w for k, t in found if k != ARTICLE for w in t.lower().split()]
 
 
-def unique_runs(found: list[tuple[int, str]], covered: set[int]) -> str:
-    """The open blocks without what is covered: whole blocks, and runs of a window or more.
+def main_text(found: list[tuple[int, str]], covered: set[int]) -> str:
+    """Content, and of open blocks what is not covered: whole blocks, and runs of a window or more go.
 
     A shorter run beside a block's own words is only where a repeat of the block before ran on.
     """
     place, out = 0, []
     for kind, text in found:
         if kind == ARTICLE:
+            out.append(text)
             continue
         words = text.split()
         if kind == OPEN:
@@ -229,42 +242,44 @@ def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     host = F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url}`").cast("string"), F.lit("")), r"^[A-Za-z][\w+.-]*://([^/?#]*)", 1))
     rows = pages.select(F.struct(F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").alias("url")).alias("row"), host.alias("host"), F.xxhash64(h).alias("ph"), h.alias("html"))
 
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [settled(blocks(x.as_py())) for x in b.column(3)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string())], ["row", "text"])
+            for part, texts in in_parts(b.column(3)):
+                found = [blocks(x) for x in texts]
+                cuts = np.cumsum([0] + [len(x) for x in found]).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array([y[i] for x in found for y in x], t)) for i, t in enumerate((pa.int32(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([b.column(i)[part] for i in range(3)] + lists, ["row", "host", "ph", "kinds", "texts"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                found = blocks(b.column(3)[i].as_py())
-                level = names(stream(found))
+            for host, ph, kinds, texts in zip(*(b.column(i).to_pylist() for i in range(4))):
+                level = names(stream(list(zip(kinds, texts))))
+                n = len(level)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([b.column(1)[i].as_py()] * len(level), pa.string()), pa.array([b.column(2)[i].as_py()] * len(level), pa.int64()), pa.array(level),
-                     pa.array(np.arange(len(level), dtype=np.int32)), pa.array([settled(found) is None] * len(level), pa.bool_())],
+                    [pa.array([host] * n, pa.string()), pa.array([ph] * n, pa.int64()), pa.array(level), pa.array(np.arange(n, dtype=np.int32)), pa.array([OPEN in kinds] * n, pa.bool_())],
                     ["host", "ph", "name", "at", "open"],
                 )
 
-    def unsettled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = [settled(blocks(x.as_py())) is None for x in b.column(3)]
-            yield b.filter(pa.array(keep, pa.bool_()))
-
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for x, hit in zip(b.column(1), b.column(2)):
-                covered = {i + j for i in (hit.as_py() or []) for j in range(WINDOW)}
-                out.append(unique_runs(blocks(x.as_py()), covered))
+            for kinds, texts, hit in zip(*(b.column(i).to_pylist() for i in range(1, 4))):
+                covered = {i + j for i in (hit or []) for j in range(WINDOW)}
+                out.append(main_text(list(zip(kinds, texts)), covered))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["row", "text"])
 
-    plain = rows.mapInArrow(lean(texts), rows.select("row", F.lit(None).cast("string").alias("text")).schema).filter("text is not null")
-    seen = rows.mapInArrow(lean(windows), "host string, ph long, name long, at int, open boolean")
+    like = rows.select("row", "host", "ph", F.array(F.lit(0)).alias("kinds"), F.array(F.lit("").cast("string")).alias("texts"))
+    cut = written(rows.mapInArrow(lean(parsed), like.schema), "html-blocks")
+    is_open = F.array_contains("kinds", OPEN)
+    content = F.filter("texts", lambda x, i: F.get("kinds", i) == ARTICLE)
+    plain = cut.filter(~is_open).select("row", F.array_join(content, "\n").alias("text"))
+    hosts = small_or_not(written(cut.filter(is_open).select("host").distinct(), "html-hosts"), BROADCAST_ROWS)
+    streams = cut.join(hosts, "host", "left_semi").select("host", "ph", "kinds", "texts")
+    seen = streams.mapInArrow(lean(windows), "host string, ph long, name long, at int, open boolean")
     each = seen.groupBy("host", "name", "ph").agg(F.max("open").alias("open"))
     repeated = each.groupBy("host", "name").agg(F.count("*").alias("n"), F.max("open").alias("open")).filter((F.col("n") >= min_pages) & F.col("open"))
     hits = seen.filter("open").join(repeated.select("host", "name"), ["host", "name"]).groupBy("host", "ph").agg(F.collect_set("at").alias("hits"))
-    left = rows.mapInArrow(lean(unsettled), rows.schema)
-    judged = left.join(hits, ["host", "ph"], "left").select("row", "html", "hits")
+    judged = cut.filter(is_open).join(hits, ["host", "ph"], "left").select("row", "kinds", "texts", "hits")
     open_ = judged.mapInArrow(lean(judge), rows.select("row", F.lit(None).cast("string").alias("text")).schema)
     both = plain.unionAll(open_)
     return both.select(F.col("row.key").alias(key), F.col("row.url").alias(url), "text", F.length("text").cast("long").alias("n_chars"))

@@ -240,7 +240,7 @@ def test_blocks():
     page = """<html><head><title>T</title></head><body><header class="site">Top</header><div id="cookie-notice">We use <b>cookies</b></div><nav><ul><li><a>x</a></ul></nav>
     <main><article><header><h1>Head &amp; line</h1></header><p>One  two<br>three &nbsp; &lt;b&gt;<p>Four <i>fi</i>ve<div class="advert">Buy</div><ul><li>a<li>b</ul><form>q <input> <button>go</button></form>
     <aside>Side</aside><section class="comments"><p>Nice!</p></section><p>Last &#233;&hellip;</article></main><div class=sidebar>S</div><footer>F</footer><script>if (a<b) "</p>"</script><!-- <p>no</p> --></body>"""
-    assert html.settled(html.blocks(page)) == "Head & line\nOne two three <b>\nFour five\na\nb\nLast é…"
+    assert html.main_text(html.blocks(page), set()) == "Head & line\nOne two three <b>\nFour five\na\nb\nLast é…"
     assert html.blocks("a < b and c > d <p title='x>y'>q</p>") == [(html.OPEN, "a < b and c > d"), (html.OPEN, "q")]
     assert html.blocks(None) == [] and html.blocks("<p>cut <a href='/x") == [(html.OPEN, "cut")]
 
@@ -452,3 +452,52 @@ def test_a_passage_that_a_document_holds_twice(spark, others):
     assert spans == {d: [(i, i + 69) for i in range(len(w) - 69) if w[i : i + 70] == passage] for d, w in {**twice, **once}.items()}
     left = [r.text.count(" ".join(passage)) for r in passages.removed(docs).collect()]
     assert sum(n > 0 for n in left) == 1
+
+
+def page_text(page: str) -> str:
+    return html.main_text(html.blocks(page), set())
+
+
+@pytest.mark.parametrize("name", ["related-work", "share-holders", "reply-to-critics", "adhesion", "searching", "content", "post"])
+def test_names_that_only_sound_like_boilerplate(name):
+    assert page_text(f'<article><p>One</p><div class="{name}">Two</div></article>') == "One\nTwo"
+
+
+@pytest.mark.parametrize("name", ["ad", "cookie-notice", "adBox", "post-comments", "x share-buttons", "site_footer_links", "sidebar"])
+def test_names_of_boilerplate(name):
+    assert page_text(f'<article><p>One</p><div class="{name}">Two</div></article>') == "One"
+
+
+def test_an_articles_header_keeps_its_headings():
+    page = "<article><header><p>By me</p><h1>Head <b>line</b></h1><ul><li>menu</ul></header><p>Body</p></article><header><h1>Site</h1></header>"
+    assert page_text(page) == "Head line\nBody"
+
+
+def test_a_teaser_article_beside_the_body(spark):
+    menu = "Read more of what we wrote about these things here"
+    rows = [(i, f"http://h/p{i}", f"<article><h2>Teaser {i}</h2></article><div><p>Body number {i} with its own long text</p></div><div>{menu}</div>") for i in range(5)]
+    got = {r.page_id: r.text for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Teaser {i}\nBody number {i} with its own long text" for i in range(5)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_repeats_by_brute_force(spark, seed):
+    """All substrings of a host's streams, compared one by one."""
+    rng = np.random.default_rng(seed)
+    phrases = [[f"r{k}w{j}" for j in range(rng.integers(3, 20))] for k in range(8)]
+    pages = []
+    for i in range(10):
+        parts = [phrases[k] if rng.random() < 0.6 else [f"p{i}x{j}" for j in range(rng.integers(1, 12))] for k in rng.integers(0, 8, 6)]
+        pages.append([w for part in parts for w in part])
+    where = collections.defaultdict(set)
+    for i, w in enumerate(pages):
+        for n in range(html.WINDOW, len(w) + 1):
+            for at in range(len(w) - n + 1):
+                where[tuple(w[at : at + n])].add(i)
+    expected = {}
+    for i, w in enumerate(pages):
+        covered = {at + j for n in range(html.WINDOW, len(w) + 1) for at in range(len(w) - n + 1) if len(where[tuple(w[at : at + n])]) >= html.MIN_PAGES for j in range(n)}
+        expected[i] = html.main_text([(html.OPEN, " ".join(w))], covered)
+    rows = [(i, "http://h/", f"<div>{' '.join(w)}</div>") for i, w in enumerate(pages)]
+    got = {r.page_id: r.text for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == expected and any(got[i] != " ".join(w) for i, w in enumerate(pages))
