@@ -5,6 +5,10 @@ templates. A hit at word i of the text and word t of the template votes for the
 i - t. Neighbouring diagonals merge (a word put in or left out moves a passage by one),
 and a span is accepted when the template k-grams found in it, equal word by word, cover
 enough of the template. Base phrases are found beside that by their words alone.
+
+A k-gram's row holds its own words and nothing else of the text, so rows and time are in
+proportion to a text's length. Templates may have any length: what is found of one is a
+set of places.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ from sparkloom.llm.common import LOWER, UPPER, fixed
 
 #: Words in a k-gram; how far diagonals of one span may lie apart; the part of a template's k-grams that has to be found.
 K, SLACK, MIN_COVER = 3, 2, 0.75
+#: How much longer than its template a span may be: twice the slack, or this part of the template.
+LONGER = 0.1
 
 #: What stands between words, base phrases with their labels, and notices that licenses ask to be quoted.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -36,6 +42,64 @@ TEMPLATES = [
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
+    (
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software "
+        "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+        "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
+        "substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+        "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this "
+        "permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES "
+        "OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS "
+        "OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    (
+        "bsd-2-clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code "
+        "must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this "
+        "list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS "
+        "AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE "
+        "ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, "
+        "BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER "
+        "IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "bsd-3-clause",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
+    (
+        "apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    (
+        "gpl",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either "
+        "version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+        "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ),
+    (
+        "lgpl",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; "
+        "either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    ),
+    (
+        "agpl",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License, or (at your option) any later version.",
+    ),
+    (
+        "mpl-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at "
+        "https://mozilla.org/MPL/2.0/.",
+    ),
 ]
 
 
@@ -72,25 +136,23 @@ def gram_hashes(words: str, k: int) -> Column:
 
 def spans(docs: DataFrame, key: list[str], words: str, templates: list[tuple[str, str]] = TEMPLATES, k: int = K, slack: int = SLACK, min_cover: float = MIN_COVER) -> DataFrame:
     """(key columns, label, tid, first, last, cover): accepted spans, words first to last of the text."""
-    if any(len(text.split()) > 64 for _, text in templates):
-        raise ValueError("a template has 64 words at most; give a longer notice in parts")
-    grams = docs.select(*key, F.col(words).alias("w"), F.posexplode(gram_hashes(words, k)).alias("i", "h"))
-    table = F.broadcast(gram_table(docs.sparkSession, templates, k))  # a few hundred rows, by the templates
-    equal = F.col("h") == F.col("th")
-    for j in range(k):
-        equal = equal & (F.get("w", F.col("i") + j) == F.get("tw", F.lit(j)))
-    hits = grams.join(table, equal)
+    w = F.col(words)
+    starts = F.slice(w, F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(0)))
+    gram = lambda x, i: F.struct(i.alias("i"), F.xxhash64(x, *[F.get(w, i + j) for j in range(1, k)]).alias("h"), F.slice(w, i + 1, F.lit(k)).alias("gw"))
+    grams = docs.select(*key, F.explode(F.transform(starts, gram)).alias("g")).select(*key, "g.i", "g.h", "g.gw")
+    table = F.broadcast(gram_table(docs.sparkSession, templates, k))  # a row for each word of the templates
+    hits = grams.join(table, (F.col("h") == F.col("th")) & (F.col("gw") == F.col("tw")))
     diagonals = hits.groupBy(*key, "tid", "label", "size", (F.col("i") - F.col("t")).alias("diagonal")).agg(
-        F.expr("bit_or(shiftleft(1L, t))").alias("found"), F.min("i").alias("lo"), F.max("i").alias("hi")
+        F.collect_set("t").alias("found"), F.min("i").alias("lo"), F.max("i").alias("hi")
     )
     order = Window.partitionBy(*key, "tid", "label", "size").orderBy("diagonal")
     step = F.col("diagonal") - F.lag("diagonal").over(order)
     runs = diagonals.withColumn("new", F.when(step <= slack, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
     merged = runs.groupBy(*key, "tid", "label", "size", "run").agg(
-        F.expr("bit_count(bit_or(found))").alias("n"), F.min("lo").alias("first"), (F.max("hi") + (k - 1)).alias("last")
+        F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("n"), F.min("lo").alias("first"), (F.max("hi") + (k - 1)).alias("last")
     )
     cover = F.col("n") / F.col("size")
-    whole = F.col("last") - F.col("first") < F.col("size") + (k - 1) + slack * 2
+    whole = F.col("last") - F.col("first") < F.col("size") + (k - 1) + F.greatest(F.lit(2.0 * slack), F.col("size") * LONGER)
     return merged.filter((cover >= min_cover) & whole).select(*key, "label", "tid", "first", "last", cover.alias("cover"))
 
 
@@ -158,7 +220,8 @@ def scanned(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
 
 def oracle(table: str = "documents") -> str:
     """DuckDB SQL of scanned()."""
-    values = ", ".join(f"({i}, '{label}', '{text}')" for i, (label, text) in enumerate(TEMPLATES))
+    quoted = [text.replace("'", "''") for _, text in TEMPLATES]
+    values = ", ".join(f"({i}, '{label}', '{quoted[i]}')" for i, (label, _) in enumerate(TEMPLATES))
     cut = r"regexp_extract_all(translate({}, '" + UPPER + "', '" + LOWER + r"'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     phrases = ", ".join(f"('{p}', '{label}')" for p, label in PHRASES.items())
     return f"""
@@ -166,11 +229,11 @@ with d as (select row_number() over () rid, doc_id, {cut.format("coalesce(text,
 tt as (select tid, label, {cut.format("text")} w from (values {values}) v(tid, label, text)),
 tg as (select tid, label, t, len(w) - {K - 1} size, array_to_string(w[t + 1:t + {K}], ' ') g from (select *, unnest(range(0, len(w) - {K - 1})) t from tt)),
 dg as (select rid, i, array_to_string(w[i + 1:i + {K}], ' ') g from (select *, unnest(range(0, len(w) - {K - 1})) i from d where len(w) >= {K})),
-di as (select rid, tid, label, size, i - t dg, bit_or(1::bigint << t) f, min(i) lo, max(i) hi from dg join tg using (g) group by all),
+di as (select rid, tid, label, size, i - t dg, list(distinct t) f, min(i) lo, max(i) hi from dg join tg using (g) group by all),
 st as (select *, case when dg - lag(dg) over (partition by rid, tid order by dg) <= {SLACK} then 0 else 1 end nw from di),
 ru as (select *, sum(nw) over (partition by rid, tid order by dg) run from st),
-me as (select rid, tid, label, size, bit_count(bit_or(f)) n, min(lo) a, max(hi) + {K - 1} b from ru group by rid, tid, label, size, run),
-sp as (select rid, label, n::double / size cover from me where n::double / size >= {MIN_COVER} and b - a < size + {K - 1 + 2 * SLACK}),
+me as (select rid, tid, label, size, len(list_distinct(flatten(list(f)))) n, min(lo) a, max(hi) + {K - 1} b from ru group by rid, tid, label, size, run),
+sp as (select rid, label, n::double / size cover from me where n::double / size >= {MIN_COVER} and b - a < size + {K - 1} + greatest({2 * SLACK}, size * {LONGER})),
 ph as (select string_split(p, ' ') p, label from (values {phrases}) v(p, label)),
 bp as (select rid, label, i from (select rid, w, unnest(range(0, len(w))) i from d) join ph on w[i + 1] = p[1] where w[i + 1:i + len(p)] = p),
 ba as (select rid, count(*) n, min(i) a, max(i) b, array_to_string(list_sort(list(distinct label)), ',') l from bp group by 1),
