@@ -28,7 +28,11 @@ from sparkloom.llm.zipread import Reader, Writer
 #: WARC bytes after which a package is closed; bytes of neighbouring records that are fetched at once.
 PACKAGE, FETCH = 32 << 20, 4 << 20
 LEVEL = 4
-DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+# Where a package has its archives and their indexes.
+ARCHIVES, INDEXES = "archive/", "indexes/"
+DATA, INDEX = "data.warc.gz", "index.cdxj"
+#: Tasks that read packages at most; each has whole packages.
+READERS = 10_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -94,17 +98,16 @@ def packages(batches: Iterator[pa.RecordBatch], folder: str, package: int, zip64
         name = f"part-{uuid.uuid4().hex}.zip"
         with store.open_output_stream(f"{root}/{name}") as out:
             z = Writer(out, zip64)
-            z.add(DATA, b"".join(parts))
-            z.add(INDEX, "\n".join(index).encode())
+            z.add(ARCHIVES + DATA, b"".join(parts))
+            z.add(INDEXES + INDEX, "\n".join(index).encode())
             z.close()
             total = z.at
         return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(index)], pa.int64()), pa.array([total], pa.int64())], ["path", "records", "bytes"])
 
     for batch in batches:
-        for row in zip(*(batch.column(i) for i in range(5))):
-            page_id, url, html, response, refers_to = (x.as_py() for x in row)
+        for page_id, url, html, response, refers_to in zip(*(batch.column(i).to_pylist() for i in range(5))):
             data = zlib.compress(record(page_id, url, (html or "").encode(), response, refers_to), LEVEL, wbits=31)
-            index.append(json.dumps({"id": page_id, "offset": size, "length": len(data)}))
+            index.append(json.dumps({"id": page_id, "filename": DATA, "offset": size, "length": len(data)}))
             parts.append(data)
             size += len(data)
             if size >= package:
@@ -115,19 +118,31 @@ def packages(batches: Iterator[pa.RecordBatch], folder: str, package: int, zip64
 
 
 def records(path: str, fetch: int = FETCH) -> Iterator[dict]:
-    """The records of a package, by ranges of up to fetch bytes (or of one record)."""
+    """The records of a package, by ranges of up to fetch bytes (or of one record).
+
+    All indexes in the package's directory are read; an entry names its archive, or leaves it
+    out where there is one only. Neighbours of one archive are fetched together.
+    """
     store, name = fs.FileSystem.from_uri(path)
     with store.open_input_file(name) as file:
         z = Reader(file)
-        entries = [json.loads(x) for x in z.whole(INDEX).decode().split("\n") if x]
+        archives = sorted(m for m in z.members if m.startswith(ARCHIVES) and m.endswith((".warc.gz", ".warc")))
+        entries = [json.loads(x[x.index("{") :]) for m in sorted(z.members) if m.startswith(INDEXES) and m.endswith(".cdxj") for x in z.whole(m).decode().split("\n") if "{" in x]
+        for e in entries:
+            e["filename"] = ARCHIVES + e["filename"] if "filename" in e else archives[0]
         i = 0
         while i < len(entries):
-            at, j = entries[i]["offset"], i + 1
-            while j < len(entries) and entries[j]["offset"] + entries[j]["length"] - at <= fetch:
-                j += 1
-            data = z.ranged(DATA, at, entries[j - 1]["offset"] + entries[j - 1]["length"] - at)
+            at, archive, end, j = int(entries[i]["offset"]), entries[i]["filename"], 0, i
+            while j < len(entries) and entries[j]["filename"] == archive:
+                start, stop = int(entries[j]["offset"]), int(entries[j]["offset"]) + int(entries[j]["length"])
+                if j > i and (start < at or max(end, stop) - at > fetch):
+                    break
+                end, j = max(end, stop), j + 1
+            data = z.ranged(archive, at, end - at)
             for e in entries[i:j]:
-                yield parsed(zlib.decompress(data[e["offset"] - at : e["offset"] - at + e["length"]], wbits=31))
+                start = int(e["offset"]) - at
+                part = data[start : start + int(e["length"])]
+                yield parsed(zlib.decompress(part, wbits=31) if archive.endswith(".gz") else part)
             i = j
 
 
@@ -160,7 +175,12 @@ def write(pages: DataFrame, package: int = PACKAGE, zip64: bool = False, **names
 
 
 def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
-    """(page_id, url, record_type, refers_to, payload_bytes, payload_digest[, payload]) of the packages in a manifest's column path."""
+    """(page_id, url, record_type, refers_to, payload_bytes, payload_digest[, payload]) of the packages in a manifest's column path.
+
+    Packages are dealt evenly to as many tasks as there are, READERS at most. A null path counts
+    for nothing, a path that repeats is read again, an empty manifest gives an empty table, and
+    further columns are not looked at. A record that is broken fails the query.
+    """
     ship(manifest.sparkSession)
     schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * payloads
     kinds = {"page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string()}
@@ -179,7 +199,8 @@ def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in held], t) for k, t in kinds.items()], list(kinds))
 
-    spread = manifest.select("path").repartition(F.col("path"))
+    paths = manifest.filter("path is not null").select("path")
+    spread = paths.repartition(max(1, min(paths.count(), READERS)))
     return spread.mapInArrow(lean(work), schema)
 
 
