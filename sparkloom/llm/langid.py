@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import in_parts, lean, ship
+from sparkloom.llm.common import in_parts, lean, ship, small_or_not, written
 
 #: Bytes in a window; units of each direction.
 WINDOW, UNITS = 64, 8
-#: The sample: documents of each language on the mean, windows of each, languages at most (the most frequent).
-SAMPLE_DOCS, SAMPLE_WINDOWS, LANGUAGES = 512, 4, 64
+#: The sample: documents of each language on the mean, windows of each document; of all languages together, but LEAST_DOCS of each if there are many.
+SAMPLE_DOCS, SAMPLE_WINDOWS, SAMPLE_ALL, LEAST_DOCS = 512, 4, 1 << 16, 32
+#: Counts of languages are broadcast up to this many.
+BROADCAST_ROWS = 10_000
 #: Training: passes, windows in a step, Adam's step size.
 EPOCHS, BATCH, RATE = 8, 256, 0.02
 #: Windows that are predicted at once; bytes of texts that are cut at once.
@@ -205,20 +207,24 @@ class Reader:
 
 
 def sample(rows: DataFrame, docs: int = SAMPLE_DOCS, windows: int = SAMPLE_WINDOWS) -> tuple[list[str], list[tuple[str, bytes]]]:
-    """(languages, (language, window) pairs) of labelled rows (key, text, lang).
+    """(languages, (language, window) pairs) of labelled rows (key, text, lang): every language that occurs is learned.
 
     A row is taken when its hash is below its language's rate, docs of each language on the
-    mean; so the sample that the driver gets is bounded by its parameters.
+    mean, or fewer if there are so many languages that all would exceed SAMPLE_ALL; a language
+    with no more rows than that gives all of them. So the sample that the driver gets is
+    bounded by its parameters and the number of languages.
     """
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    if not counts:
+    counts = written(rows.groupBy(F.col("lang").alias("l")).agg(F.count("*").alias("n")), "langid-counts")
+    languages = counts.count()
+    if not languages:
         return [], []
-    rate = F.create_map(*[x for r in counts for x in (F.lit(r.lang), F.lit(min(1.0, docs / r.n)))])
+    docs = min(docs, max(LEAST_DOCS, SAMPLE_ALL // languages))
     u = F.pmod(F.xxhash64("key", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    taken = rows.withColumn("u", u).filter(F.col("u") < F.coalesce(F.element_at(rate, F.col("lang")), F.lit(0.0)))
+    met = rows.withColumn("u", u).join(small_or_not(counts, BROADCAST_ROWS), F.col("lang") == F.col("l"))
+    taken = met.filter(F.col("u") * F.col("n") < docs)
     room = F.greatest(F.length("text") - (WINDOW - 1), F.lit(1))
     cuts = [F.substring(F.col("text"), (F.pmod(F.xxhash64("key", F.lit(100 + k)), room) + 1).cast("int"), F.lit(WINDOW)) for k in range(windows)]
-    found = taken.select("lang", "u", F.array(*cuts).alias("cuts")).orderBy("u", "lang", "cuts").limit(2 * docs * len(counts)).collect()
+    found = taken.select("lang", "u", F.array(*cuts).alias("cuts")).orderBy("u", "lang", "cuts").limit(2 * docs * languages).collect()
     pairs = [(r.lang, c.encode().lower()[:WINDOW]) for r in found for c in dict.fromkeys(r.cuts) if c]
     return sorted({lang for lang, _ in pairs}), pairs
 
