@@ -2,9 +2,12 @@
 
 import collections
 import io
+import json
 import os
 import re
 import struct
+import time
+import zlib
 
 import numpy as np
 import pytest
@@ -501,3 +504,81 @@ def test_repeats_by_brute_force(spark, seed):
     rows = [(i, "http://h/", f"<div>{' '.join(w)}</div>") for i, w in enumerate(pages)]
     got = {r.page_id: r.text for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
     assert got == expected and any(got[i] != " ".join(w) for i, w in enumerate(pages))
+
+
+def test_rows_that_repeat_a_key_search_and_are_found(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (3, [1.0, 1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(2)
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.search(v, F.col("vec_id") % 20 == 0).collect())
+    one, other = [(20, 1, 3, 4096), (20, 2, 20, 0), (20, 3, 20, 0)], [(20, 1, 3, 4096), (20, 2, 20, 4096), (20, 3, 20, 0)]
+    assert got == sorted(one + other + other)
+
+
+@pytest.mark.parametrize("low,lists", [(-1e18, 2), (200, 2), (900, 3), (1500, 4)])
+def test_remaining_scores(low, lists):
+    rng = np.random.default_rng(int(abs(low)) % 97)
+    rows, queries = (rng.integers(-30, 30, (n, 12)).astype(float) * rng.integers(0, 3, (n, 1)) for n in (300, 40))
+    whole = queries @ rows.T
+    q, r, score = topk.remaining(rows, queries, lists, np.full(40, float(low)))
+    assert sorted(zip(q.tolist(), r.tolist(), score.tolist())) == sorted((i, j, whole[i, j]) for i, j in zip(*np.nonzero(whole >= low)))
+
+
+def test_whole_licenses(spark):
+    from sparkloom.llm import licenses
+
+    mit = max((t for label, t in licenses.TEMPLATES if label == "mit"), key=len)
+    words = mit.split()
+    changed = " ".join(words[:40] + ["ACME", "Inc"] + words[40:])
+    rows = [(1, "x y " + mit), (2, changed), (3, " ".join(words[: len(words) // 3])), (4, " ".join(words[::-1]))]
+    got = {r.doc_id: r for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {r.doc_id: (r.label, r["first"], r["last"]) for r in licenses.spans(
+        spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", licenses.words_of(licenses.folded(F.col("text"))).alias("w")), ["doc_id"], "w", [("mit", mit)]).collect()}
+    assert len(words) > 150 and found[1][:2] == ("mit", 2) and set(found) == {1, 2}
+    assert "mit" in got[1].labels and "mit" in got[2].labels and got[4].labels == ""
+
+
+def test_license_scan_is_linear(spark):
+    """Twice the text takes about twice the time: a k-gram's row does not carry the text."""
+    from sparkloom.llm import licenses
+
+    def seconds(n):
+        df = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(n)))], "doc_id long, text string")
+        return min(timed(lambda: licenses.scanned(df).collect()) for _ in range(2))
+
+    def timed(work):
+        start = time.time()
+        work()
+        return time.time() - start
+
+    seconds(10_000)
+    assert seconds(320_000) < 4 * seconds(80_000) + 3
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"text number {i} of lang {i % 90}", f"l{i % 90:02d}") for i in range(270)] + [(1000 + i, "plain text", "big") for i in range(3000)]
+    languages, pairs = langid.sample(spark.createDataFrame(rows, "key long, text string, lang string"), docs=64)
+    assert languages == sorted({*(f"l{i:02d}" for i in range(90)), "big"}) and 20 < sum(x == "big" for x, _ in pairs) < 130
+
+
+def test_packages_are_read_by_their_directory(tmp_path):
+    """Two archives, two indexes, one of them without compression and without a name."""
+    one, two = warc.record(1, "http://x/", b"<p>a", True, None), warc.record(2, None, b"<p>b", True, None)
+    packed = zlib.compress(two, wbits=31)
+    for name, members in {"a.zip": [("archive/first.warc", one), ("archive/second.warc.gz", packed)], "b.zip": [("archive/only.warc.gz", packed)]}.items():
+        with open(tmp_path / name, "wb") as out:
+            z = zipread.Writer(out)
+            for member, data in members:
+                z.add(member, data)
+            entries = [{"offset": 0, "length": len(data)} | ({"filename": member[8:]} if len(members) > 1 else {}) for member, data in members]
+            z.add("indexes/x.cdxj", "\n".join(f"com,x)/ 20200101000000 {json.dumps(e)}" for e in entries).encode())
+            z.close()
+    assert [r["page_id"] for r in warc.records(f"file://{tmp_path}/a.zip")] == [1, 2]
+    assert [r["payload"] for r in warc.records(f"file://{tmp_path}/b.zip")] == [b"<p>b"]
+
+
+def test_packages_are_dealt_to_tasks(spark):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "x" * 500 + str(i)) for i in range(64)], "page_id long, url string, html string")
+    manifest = warc.write(pages.repartition(1), package=200)
+    back = warc.read(manifest)
+    assert manifest.count() > 8 and back.count() == 64
+    assert back.groupBy(F.spark_partition_id()).count().count() > 4
