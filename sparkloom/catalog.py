@@ -651,17 +651,20 @@ def residual_steps(spark, sf):
     return rounded(forecast.residuals(*_backtest(spark, sf), HORIZON), 4)
 
 
-_WIDTHS = "qs as (select model, h, count(*) n, quantile_cont(e, .9) q from e group by 1, 2), wd as (select model, h, n, max(q) over (partition by model order by h) width, n / (n + 1) attainable from qs)"
+_WIDTHS = f"""qs as (select model, series, h, count(*) n, quantile_cont(e, .9) q from e group by 1, 2, 3), ps as (select model, h, count(*) n, quantile_cont(e, .9) q from e group by 1, 2),
+ts as (select model, series, sum(n) total from qs group by 1, 2), us as (select ts.model, ts.series, ps.h, case when total >= {HORIZON} then coalesce(qs.n, 0) else ps.n end n, case when total >= {HORIZON} then qs.q else ps.q end q
+  from ts join ps using (model) left join qs on qs.model = ts.model and qs.series = ts.series and qs.h = ps.h),
+wd as (select model, series, h, n, max(q) over (partition by model, series order by h) width, case when n > 0 then n / (n + 1) end attainable from us)"""
 
 
-@query(f"with {_FOLDS}, {_WIDTHS} select model, h::int step, n, round(width, 4) width, round(attainable, 6) attainable from wd")
+@query(f"with {_FOLDS}, {_WIDTHS} select model, series, h::int step, n::bigint n, round(width, 4) width, round(attainable, 6) attainable from wd")
 def half_widths(spark, sf):
     rows, found = _backtest(spark, sf)
     w = forecast.half_widths(forecast.residuals(rows, found, HORIZON))
-    return w.select("model", "step", "n", F.round("width", 4).alias("width"), F.round("attainable", 6).alias("attainable"))
+    return w.select("model", "series", "step", "n", F.round("width", 4).alias("width"), F.round("attainable", 6).alias("attainable"))
 
 
-@query(f"with {_FOLDS}, {_WIDTHS} select model, series, h::int step, round(yhat, 4) yhat, round(yhat - width, 4) lo, round(yhat + width, 4) hi from b join wd using (model, h) where fold = {FOLDS}")
+@query(f"with {_FOLDS}, {_WIDTHS} select model, series, h::int step, round(yhat, 4) yhat, round(yhat - width, 4) lo, round(yhat + width, 4) hi from b join wd using (model, series, h) where fold = {FOLDS}")
 def residual_bands(spark, sf):
     rows, found = _backtest(spark, sf)
     w = forecast.half_widths(forecast.residuals(rows, found, HORIZON))

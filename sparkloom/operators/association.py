@@ -5,20 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.session import settled
+
+#: Parts that a column's values are dealt in for running sums; rows up to which a quantile is left to one aggregate.
+BUCKETS, AT_ONCE = 64, 200_000
+
+
+def running(counts: DataFrame, parts: list[str], value: str, sums: list[str]) -> DataFrame:
+    """counts with before_<c> of each column c of sums: its sum over the rows of the part with a smaller value. A value has one row in a part.
+
+    Values are dealt in buckets by approximate quantiles; a window runs within a bucket and is
+    shifted by the buckets before, so that no task sorts a whole part.
+    """
+    shares = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
+    edges = counts.groupBy(*[F.col(p).alias(f"__p{i}") for i, p in enumerate(parts)]).agg(F.percentile_approx(value, shares, F.lit(1000)).alias("__edges"))
+    on = F.lit(True)
+    for i, p in enumerate(parts):
+        on = on & F.col(p).eqNullSafe(F.col(f"__p{i}"))
+    keys = [f"__p{i}" for i in range(len(parts))]
+    met = counts.join(edges, on) if parts else counts.crossJoin(F.broadcast(edges))  # one row
+    dealt = met.withColumn("__bucket", F.size(F.filter("__edges", lambda e: e < F.col(value)))).drop("__edges")
+    own = Window.partitionBy(*keys, "__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    within = dealt.select("*", *[F.sum(c).over(own).alias(f"__own_{c}") for c in sums])
+    totals = dealt.groupBy(*keys, "__bucket").agg(*[F.sum(c).alias(f"__all_{c}") for c in sums])
+    earlier = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+    shifts = totals.select(*[F.col(k).alias(f"{k}s") for k in keys], F.col("__bucket").alias("__b"), *[F.sum(f"__all_{c}").over(earlier).alias(f"__shift_{c}") for c in sums])
+    on = F.col("__bucket") == F.col("__b")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"{k}s"))
+    zero = F.lit(0)
+    return within.join(shifts, on).select(*counts.columns, *[(F.coalesce(f"__own_{c}", zero) + F.coalesce(f"__shift_{c}", zero)).alias(f"before_{c}") for c in sums])
+
 
 def average_ranks(long: DataFrame, parts: list[str], value: str) -> DataFrame:
     """long with rank: the mean rank of a value's ties within parts. Ranks come from counts by value, so ties are one row there."""
     counts = long.groupBy(*parts, value).agg(F.count("*").alias("__c"))
-    before = Window.partitionBy(*parts).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn("rank", F.coalesce(F.sum("__c").over(before), F.lit(0)) + (F.col("__c") + 1) / 2).drop("__c")
+    ranks = running(counts, parts, value, ["__c"]).select(*parts, value, (F.col("before___c") + (F.col("__c") + 1) / 2).alias("rank"))
     return long.join(ranks, [*parts, value])
 
 
-def spearman_pairs(df: DataFrame, columns: list[str], least: int = 10) -> DataFrame:
-    """(f1, f2, n, rho) of every pair of columns over the rows where both are there; null under least rows or without spread."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+def _of_pairs(df: DataFrame, pairs: list[tuple[str, str]], least: int) -> DataFrame:
+    """(f1, f2, n, rho): each pair ranked over its own rows, for pairs of which one or the other is missing in places."""
     long = df.select(
-        F.monotonically_increasing_id().alias("rid"),
         F.explode(F.array(*[F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs])).alias("p"),
     ).select("p.*").filter("x is not null and y is not null")
     x = average_ranks(long, ["f1", "f2"], "x").withColumnRenamed("rank", "rx")
@@ -27,11 +55,69 @@ def spearman_pairs(df: DataFrame, columns: list[str], least: int = 10) -> DataFr
     return out.withColumn("rho", F.when((F.col("n") >= least) & ~F.isnan("rho"), F.col("rho")))
 
 
+def spearman_with(df: DataFrame, columns: list[str], target: str, least: int = 10) -> DataFrame:
+    """(f1, f2, n, rho) of every column with the target, as one plan."""
+    return _of_pairs(df, [(c, target) for c in columns], least)
+
+
+def spearman_pairs(df: DataFrame, columns: list[str], least: int = 10) -> DataFrame:
+    """(f1, f2, n, rho) of every pair of columns over the rows where both are there; null under least rows or without spread.
+
+    Columns without a missing value are ranked once each, and one pass over the rows' ranks gives
+    the moments of all their pairs; only pairs with a gap are ranked by themselves.
+    """
+    names = ("f1", "f2", "n", "rho")
+    gaps = df.agg(F.count("*").alias("__rows"), *[F.count_if(F.col(c).isNull()).alias(f"__{i}") for i, c in enumerate(columns)]).first()
+    whole = [c for i, c in enumerate(columns) if not gaps[f"__{i}"]]
+    place = {c: i for i, c in enumerate(columns)}
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    rest = [(a, b) for a, b in pairs if a not in whole or b not in whole]
+    out = _of_pairs(df, rest, least).select(*names) if rest else None
+    if len(whole) > 1:
+        ranks = None
+        numbered = settled(df.select(F.monotonically_increasing_id().alias("__rid"), *[F.col(c).cast("double").alias(f"x{place[c]}") for c in whole]))
+        long = numbered.select("__rid", F.explode(F.array(*[F.struct(F.lit(place[c]).alias("c"), F.col(f"x{place[c]}").alias("v")) for c in whole])).alias("x")).select("__rid", "x.*")
+        ranks = average_ranks(long, ["c"], "v")
+        wide = ranks.groupBy("__rid").agg(*[F.max(F.when(F.col("c") == place[c], F.col("rank"))).alias(f"r{place[c]}") for c in whole])
+        moments = wide.agg(*[F.corr(f"r{place[a]}", f"r{place[b]}").alias(f"{place[a]}_{place[b]}") for a, b in pairs if (a, b) not in set(rest)])
+        n = gaps["__rows"]
+        values = [F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.lit(n).cast("long").alias("n"), F.when(F.lit(n >= least) & ~F.isnan(f"{place[a]}_{place[b]}"), F.col(f"{place[a]}_{place[b]}")).alias("rho")) for a, b in pairs if (a, b) not in set(rest)]
+        found = moments.select(F.explode(F.array(*values)).alias("x")).select("x.*")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float]:
+    """Exact quantiles by linear interpolation, over all rows that have a value; none gives none.
+
+    Many rows are counted by value and dealt in buckets; only the buckets that hold a wanted
+    place are looked through.
+    """
+    rows = df.select(F.col(column).cast("double").alias("v")).filter("v is not null")
+    n = rows.count()
+    if n <= AT_ONCE:
+        return rows.agg(F.percentile("v", F.array(*[F.lit(float(s)) for s in shares])).alias("e")).first()["e"] or []
+    counts = settled(running(rows.groupBy("v").agg(F.count("*").alias("c")), [], "v", ["c"]))
+    places = [(s * (n - 1)) for s in shares]
+    wanted = sorted({x for p in places for x in (int(p), min(int(p) + 1, n - 1))})
+    hit = F.lit(False)
+    for w in wanted:
+        hit = hit | ((F.col("before_c") <= w) & (F.col("before_c") + F.col("c") > w))
+    found = [(r.before_c, r.c, r.v) for r in counts.filter(hit).collect()]  # two values at most for each share
+    value = {w: next(v for b, c, v in found if b <= w < b + c) for w in wanted}
+    return [value[int(p)] + (p - int(p)) * (value[min(int(p) + 1, n - 1)] - value[int(p)]) for p in places]
+
+
+def medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    """The exact median of each column: all in one aggregate if rows are few, else column by column in buckets."""
+    if df.count() <= AT_ONCE:
+        return df.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in columns]).first().asDict()
+    return {c: next(iter(quantiles(df, c, [0.5])), None) for c in columns}
+
+
 def quantile_edges(df: DataFrame, column: str, bins: int = 10) -> list[float]:
     """The distinct edges of bins equal shares, by linear interpolation; exact, over all rows."""
-    shares = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    found = df.agg(F.percentile(F.col(column).cast("double"), shares).alias("e")).first()["e"] or []
-    return sorted(set(found))
+    return sorted(set(quantiles(df, column, [i / bins for i in range(bins + 1)])))
 
 
 def quantile_bins(df: DataFrame, column: str, bins: int = 10, name: str = "bin") -> DataFrame:
@@ -48,11 +134,32 @@ def association(df: DataFrame, feature: str, target: str) -> DataFrame:
     """(n, levels, eta2): the share of the target's variance that the feature's levels explain."""
     y = F.col(target).cast("double")
     by = df.filter(F.col(target).isNotNull()).groupBy(feature).agg(F.count("*").alias("n"), F.avg(y).alias("m"), F.var_pop(y).alias("v"))
+    return _eta(by)
+
+
+def explained(df: DataFrame, numbers: list[str], levels: list[str], target: str, bins: int = 64) -> DataFrame:
+    """(feature, n, levels, eta2) of all features in two passes: numbers by their values, or by bins of about equal size if they have more."""
+    shares = F.array(*[F.lit(i / bins) for i in range(1, bins)])
+    looks = [x for i, c in enumerate(numbers) for x in (F.percentile_approx(F.col(c).cast("double"), shares, F.lit(1000)).alias(f"e{i}"), F.approx_count_distinct(c).alias(f"d{i}"))]
+    seen = df.agg(*looks).first() if looks else None
+    sides = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("level")) for c in levels]
+    for i, c in enumerate(numbers):
+        x = F.col(c).cast("double")
+        edges = sorted(set(seen[f"e{i}"] or []))
+        level = x if seen[f"d{i}"] <= bins or not edges else F.when(x.isNotNull(), F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e, x=x: e < x)))
+        sides.append(F.struct(F.lit(c).alias("feature"), level.cast("string").alias("level")))
+    y = F.col(target).cast("double")
+    long = df.filter(F.col(target).isNotNull()).select(y.alias("y"), F.explode(F.array(*sides)).alias("s")).select("y", "s.*")
+    by = long.groupBy("feature", "level").agg(F.count("*").alias("n"), F.avg("y").alias("m"), F.var_pop("y").alias("v"))
+    return _eta(by, "feature")
+
+
+def _eta(by: DataFrame, *parts: str) -> DataFrame:
     total = F.sum("n")
     mean = F.sum(F.col("n") * F.col("m")) / total
     between = F.sum(F.col("n") * F.col("m") * F.col("m")) / total - mean * mean
     within = F.sum(F.col("n") * F.col("v")) / total
-    return by.agg(total.alias("n"), F.count("*").alias("levels"), F.when(between + within > 0, between / (between + within)).alias("eta2"))
+    return by.groupBy(*parts).agg(total.alias("n"), F.count("*").alias("levels"), F.when(between + within > 0, between / (between + within)).alias("eta2"))
 
 
 def leakage(scores: DataFrame, force: list[str], score_limit: float = 0.95, spearman_limit: float = 0.98) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.association import medians
+
 RARE = "__rare"
 
 
@@ -76,10 +78,10 @@ def class_weights(df: DataFrame, target: str) -> DataFrame:
 
 def imputed_scaled(df: DataFrame, columns: list[str]) -> DataFrame:
     """df with each column's nulls set to its median and the result scaled by its mean and population sd; adds name__missing."""
-    medians = df.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in columns]).first()
+    middle = medians(df, columns)
     filled = df.select("*", *[F.col(c).isNull().cast("int").alias(f"{c}__missing") for c in columns])
     for c in columns:
-        filled = filled.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(medians[c])))
+        filled = filled.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(middle[c])))
     stats = filled.agg(*[x for c in columns for x in (F.avg(c).alias(f"{c}__m"), F.stddev_pop(c).alias(f"{c}__s"))]).first()
     for c in columns:
         sd = stats[f"{c}__s"]

@@ -7,7 +7,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.operators.panel import STEPS
+from sparkloom.operators.panel import interval_of
 
 
 def z_of(level: float) -> float:
@@ -15,14 +15,14 @@ def z_of(level: float) -> float:
 
 
 def steps_before(ts: Column, step: str, n: Column | int) -> Column:
-    number, unit = STEPS[step].split()
+    number, unit = interval_of(step).split()
     count = F.lit(n) if isinstance(n, int) else n
     if unit.startswith("month"):
         return F.add_months(ts, -(count * int(number)).cast("int")).cast("timestamp_ntz")
     if unit.startswith("year"):
         return F.add_months(ts, -(count * 12 * int(number)).cast("int")).cast("timestamp_ntz")
-    hours = {"hour": 1, "day": 24}[unit.rstrip("s")] * int(number)
-    return ts - F.make_dt_interval(F.lit(0), (count * hours).cast("int"))
+    minutes = {"minute": 1, "hour": 60, "day": 1440}[unit.rstrip("s")] * int(number)
+    return ts - F.make_dt_interval(F.lit(0), F.lit(0), (count * minutes).cast("int"))
 
 
 def cutoffs(panel: DataFrame, step: str, horizon: int, folds: int) -> DataFrame:
@@ -120,11 +120,26 @@ def residuals(rows: DataFrame, predictions: DataFrame, horizon: int) -> DataFram
     return actual.join(predictions, ["fold", "series", "step"]).select("model", "fold", "series", "step", F.abs(F.col("y") - F.col("yhat")).alias("error"))
 
 
-def half_widths(errors: DataFrame, level: float = 0.90) -> DataFrame:
-    """(model, step, n, width, attainable): the quantile of the errors at a step, no smaller than at steps before; attainable is n / (n + 1)."""
-    by = errors.groupBy("model", "step").agg(F.count("*").alias("n"), F.percentile("error", F.lit(level)).alias("q"))
-    up = Window.partitionBy("model").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    return by.select("model", "step", "n", F.max("q").over(up).alias("width"), (F.col("n") / (F.col("n") + 1)).alias("attainable"))
+def half_widths(errors: DataFrame, level: float = 0.90, horizon: int | None = None) -> DataFrame:
+    """(model, series, step, n, width, attainable): the quantile of a series' errors at a step, no smaller than at steps before; attainable is n / (n + 1).
+
+    A series with fewer errors than the horizon (the largest step, unless given) takes the
+    quantiles over all series. Errors without a series are of one.
+    """
+    if "series" not in errors.columns:
+        by = errors.groupBy("model", "step").agg(F.count("*").alias("n"), F.percentile("error", F.lit(level)).alias("q"))
+        up = Window.partitionBy("model").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+        return by.select("model", "step", "n", F.max("q").over(up).alias("width"), (F.col("n") / (F.col("n") + 1)).alias("attainable"))
+    horizon = horizon or errors.agg(F.max("step")).first()[0] or 1
+    of = lambda *by: errors.groupBy(*by).agg(F.count("*").alias("n"), F.percentile("error", F.lit(level)).alias("q"))
+    own = of("model", "series", "step")
+    totals = own.groupBy("model", "series").agg(F.sum("n").alias("total"))
+    pooled = of("model", "step").withColumnsRenamed({"n": "all_n", "q": "all_q"})
+    every = totals.join(pooled, "model").join(own, ["model", "series", "step"], "left")
+    enough = F.col("total") >= horizon
+    used = every.select("model", "series", "step", F.when(enough, F.coalesce("n", F.lit(0))).otherwise(F.col("all_n")).alias("n"), F.when(enough, F.col("q")).otherwise(F.col("all_q")).alias("q"))
+    up = Window.partitionBy("model", "series").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    return used.select("model", "series", "step", "n", F.max("q").over(up).alias("width"), F.when(F.col("n") > 0, F.col("n") / (F.col("n") + 1)).alias("attainable"))
 
 
 def feature_plan(m: int) -> tuple[list[int], list[int]]:
@@ -146,7 +161,8 @@ def lag_features(panel: DataFrame, lags: list[int], windows: list[int], by: list
 
 def banded(forecast: DataFrame, widths: DataFrame) -> DataFrame:
     """forecast (model, series, step, yhat) with lo and hi; beyond the last known step its width holds."""
-    last = widths.groupBy("model").agg(F.max("step").alias("last"), F.max("width").alias("top"))
-    both = forecast.drop("lo", "hi").join(widths.select("model", "step", "width"), ["model", "step"], "left").join(last, "model", "left")
+    of = [c for c in ("model", "series") if c in widths.columns]
+    last = widths.groupBy(*of).agg(F.max("step").alias("last"), F.max("width").alias("top"))
+    both = forecast.drop("lo", "hi").join(widths.select(*of, "step", "width"), [*of, "step"], "left").join(last, of, "left")
     w = F.coalesce("width", F.when(F.col("step") > F.col("last"), F.col("top")))
     return both.withColumn("lo", F.col("yhat") - w).withColumn("hi", F.col("yhat") + w).drop("width", "last", "top")

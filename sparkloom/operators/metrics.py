@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.scalars import hashed
-from sparkloom.operators.association import average_ranks
+from sparkloom.operators.association import average_ranks, quantiles, running
 
 EPS = 1e-15
 
@@ -15,8 +15,12 @@ def regression(df: DataFrame, y: str, p: str, by: list[str] = ()) -> DataFrame:
     """(by, n, rmse, mae, median_ae, r2)."""
     e = F.col(y).cast("double") - F.col(p).cast("double")
     rows = df.select(*by, F.col(y).cast("double").alias("y"), e.alias("e"))
+    middle = F.percentile(F.abs("e"), F.lit(0.5))
+    if not by:  # over all rows, no task holds all errors
+        found = quantiles(rows.select(F.abs("e").alias("a")), "a", [0.5])
+        middle = F.lit(found[0] if found else None).cast("double")
     return rows.groupBy(*by).agg(
-        F.count("*").alias("n"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg(F.abs("e")).alias("mae"), F.percentile(F.abs("e"), F.lit(0.5)).alias("median_ae"),
+        F.count("*").alias("n"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg(F.abs("e")).alias("mae"), middle.alias("median_ae"),
         (1 - F.avg(F.col("e") * F.col("e")) / F.var_pop("y")).alias("r2"),
     )
 
@@ -44,6 +48,12 @@ def binary(df: DataFrame, y: str, p: str, threshold: float = 0.5) -> DataFrame:
     )
 
 
+def log_loss(df: DataFrame, y: str, shares: str) -> DataFrame:
+    """(logloss) of rows with a class number and an array of chances; 0 at least."""
+    own = F.least(F.greatest(F.get(shares, F.col(y).cast("int")), F.lit(EPS)), F.lit(1 - EPS))
+    return df.agg(F.avg(-F.log(own)).alias("logloss"))
+
+
 def confusion(df: DataFrame, y: str, p: str, classes: list) -> DataFrame:
     """(actual, a column n_<class> for each predicted class)."""
     return df.groupBy(F.col(y).alias("actual")).agg(*[F.count_if(F.col(p) == c).alias(f"n_{c}") for c in classes])
@@ -70,8 +80,8 @@ def roc(df: DataFrame, y: str, p: str) -> DataFrame:
     """(score, tpr, fpr) at each distinct score as threshold."""
     counts = score_counts(df, y, p)
     pos, neg = counts.agg(F.sum("pos"), F.sum("neg")).first()
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select("score", (F.sum("pos").over(down) / F.lit(pos)).alias("tpr"), (F.sum("neg").over(down) / F.lit(neg)).alias("fpr"))
+    below = running(counts, [], "score", ["pos", "neg"])
+    return below.select("score", ((F.lit(pos) - F.col("before_pos")) / F.lit(pos)).alias("tpr"), ((F.lit(neg) - F.col("before_neg")) / F.lit(neg)).alias("fpr"))
 
 
 def thresholds(low: int = 5, high: int = 95) -> list[int]:

@@ -2,14 +2,33 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Steps that panels can have, as Spark intervals, and candidate season lengths by step.
-STEPS = {"h": "1 hour", "D": "1 day", "W": "7 days", "MS": "1 month", "QS": "3 months", "YS": "1 year"}
+STEPS = {"min": "1 minute", "h": "1 hour", "D": "1 day", "W": "7 days", "MS": "1 month", "QS": "3 months", "YS": "1 year"}
+OTHER_NAMES = {"t": "min", "min": "min", "h": "h", "d": "D", "w": "W", "ms": "MS", "m": "MS", "me": "MS", "qs": "QS", "q": "QS", "qe": "QS", "ys": "YS", "y": "YS", "ye": "YS", "a": "YS", "as": "YS"}
 SEASONS = {"min": [60, 1440], "h": [24, 168], "D": [7, 365], "B": [5], "W": [52], "MS": [12], "QS": [4], "YS": []}
 
 
+def step_of(name: str) -> tuple[str, int]:
+    """(step, multiple) of a name such as D, 30min, 2h or W-SUN; what has no such name is an error."""
+    found = re.fullmatch(r"(\d*)([A-Za-z]+)(-[A-Za-z]+)?", name)
+    alias = found and (found[2] if found[2] in STEPS else OTHER_NAMES.get(found[2].lower()))
+    if not alias or found[1] == "0":
+        raise ValueError(f"no step {name}; there are {', '.join(STEPS)} and multiples of them")
+    return alias, int(found[1] or 1)
+
+
+def interval_of(name: str) -> str:
+    """The Spark interval of a step by name."""
+    alias, multiple = step_of(name)
+    number, unit = STEPS[alias].split()
+    return f"{int(number) * multiple} {unit}"
+
+
 def season_candidates(step: str, multiple: int = 1) -> list[int]:
     """Season lengths to test, in steps; a multiple of a step divides them."""
     return [m // multiple for m in SEASONS.get(step, []) if m % multiple == 0 and m // multiple >= 2]
@@ -44,7 +63,7 @@ def regular(panel: DataFrame, step: str) -> DataFrame:
     the first or the last.
     """
     ends = panel.filter("y is not null").groupBy("series").agg(F.min("ds").alias("a"), F.max("ds").alias("z"))
-    grid = ends.select("series", F.explode(F.sequence("a", "z", F.expr(f"interval {STEPS[step]}"))).alias("ds"))
+    grid = ends.select("series", F.explode(F.sequence("a", "z", F.expr(f"interval {interval_of(step)}"))).alias("ds"))
     seen = grid.join(panel.filter("y is not null").select("series", "ds", "y"), ["series", "ds"], "left")
     back = Window.partitionBy("series").orderBy("ds").rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy("series").orderBy("ds").rowsBetween(0, Window.unboundedFollowing)
@@ -67,7 +86,7 @@ def summary(panel: DataFrame) -> DataFrame:
 def guarded(panel: DataFrame, step: str, horizon: int, max_gap: float = 0.10) -> DataFrame:
     """(series, n, n_grid, gap, sd, reason): why a series is dropped, null if it stays. panel is not yet regular."""
     by = panel.filter("y is not null").groupBy("series").agg(F.count_distinct("ds").alias("n"), F.min("ds").alias("a"), F.max("ds").alias("z"), F.stddev_pop("y").alias("sd"))
-    sized = by.withColumn("n_grid", F.size(F.sequence("a", "z", F.expr(f"interval {STEPS[step]}"))))
+    sized = by.withColumn("n_grid", F.size(F.sequence("a", "z", F.expr(f"interval {interval_of(step)}"))))
     gap = 1 - F.col("n") / F.col("n_grid")
     least = max(2 * horizon + 10, 30)
     reason = F.when(F.col("n") < 3, "too few times").when(gap > max_gap, "too many gaps").when(F.col("n_grid") < least, "too short").when(F.col("sd") == 0, "constant")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.functions.scalars import clean_names, date_parts, is_number
+from sparkloom.functions.scalars import clean_names, date_parts, hashed, is_number
 
 
 @dataclass(frozen=True)
@@ -25,22 +25,25 @@ class Limits:
     sniffed: int = 500
 
 
-def missing_unique(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(feature, n_rows, n_missing, n_unique), one pass: null counts and exact distinct counts of all columns."""
+def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(feature, v, n): how often each value of each column stands, as text. Partial counts come first, so a column's values never meet in one task unreduced."""
     columns = columns or df.columns
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("string").alias("v")) for c in columns])).alias("x")).select("x.*")
-    # partial aggregates first by value, so a feature's values never meet in one task unreduced
-    by_value = long.groupBy("feature", "v").agg(F.count("*").alias("n"))
-    return by_value.groupBy("feature").agg(
-        F.sum("n").alias("n_rows"), F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).alias("n_missing"), F.count("v").alias("n_unique")
-    )
+    return long.groupBy("feature", "v").agg(F.count("*").alias("n"))
+
+
+def missing_unique(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(feature, n_rows, n_missing, n_unique), one pass: null counts and exact distinct counts of all columns."""
+    return value_counts(df, columns).groupBy("feature").agg(*_missing_unique())
+
+
+def _missing_unique() -> list[Column]:
+    return [F.sum("n").alias("n_rows"), F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).alias("n_missing"), F.count("v").alias("n_unique")]
 
 
 def top_share(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(feature, n, top_n, top_share): the commonest value's share of the non-null ones."""
-    columns = columns or df.columns
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("string").alias("v")) for c in columns])).alias("x")).select("x.*").filter("v is not null")
-    by_value = long.groupBy("feature", "v").agg(F.count("*").alias("n"))
+    by_value = value_counts(df, columns).filter("v is not null")
     return by_value.groupBy("feature").agg(F.sum("n").alias("n"), F.max("n").alias("top_n"), (F.max("n") / F.sum("n")).alias("top_share"))
 
 
@@ -57,7 +60,8 @@ def profile(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
         [(f.name, f.dataType.simpleString(), isinstance(f.dataType, T.StringType), isinstance(f.dataType, T.IntegralType), isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))) for f in df.schema.fields],
         "feature string, dtype string, is_text boolean, is_whole boolean, is_time boolean",
     )
-    base = missing_unique(df).join(top_share(df).select("feature", "top_share"), "feature", "left")
+    there = F.when(F.col("v").isNotNull(), F.col("n"))
+    base = value_counts(df).groupBy("feature").agg(*_missing_unique(), (F.max(there) / F.sum(there)).alias("top_share"))  # one pass
     lengths = text_length(df, strings) if strings else df.sparkSession.createDataFrame([], "feature string, avg_length double")
     joined = base.join(F.broadcast(kinds), "feature").join(lengths, "feature", "left")
     return flagged(joined, limits)
@@ -176,5 +180,6 @@ def prepared(df: DataFrame, target: str, drop: list[str] = (), keep: list[str] =
 
 
 def _is_time(df: DataFrame, column: str, limits: Limits) -> bool:
-    n, mark, parsed = time_share(df, column, [column], limits.sniffed).first()
+    key = "__sniff"  # a value's place among the others says nothing of its form: values come in a hashed order
+    n, mark, parsed = time_share(df.select(column, hashed(F.col(f"`{column}`"), "sniff").alias(key)), column, [key], limits.sniffed).first()
     return n > 0 and mark > 0.9 * n and parsed > 0.95 * n

@@ -29,40 +29,50 @@ def summing(edges: list[tuple[str, str]], series: list[str]) -> tuple[list[str],
 
 
 def shrunk(errors: np.ndarray) -> np.ndarray:
-    """Covariance of errors (observations x series), its off-diagonal part shrunk to the diagonal; under 3 rows the diagonal alone."""
+    """Covariance of errors (observations x series): correlations scaled down by how uncertain they are, between the series' own deviations.
+
+    A correlation is a mean of products of standardised errors, so its uncertainty is their
+    variance over their number; the correlations keep 1 less the ratio of what is uncertain to
+    what there is, over all pairs. Under three observations there are deviations alone.
+    """
     n, k = errors.shape
+    floor = 1e-8 * np.eye(k)
     if n < 3:
-        return np.diag((errors.var(axis=0) if n else np.ones(k)) + 1e-8)
-    centred = errors - errors.mean(axis=0)
-    sample = centred.T @ centred / (n - 1)
-    x = centred / (centred.std(axis=0) + 1e-12)
-    r = x.T @ x / n
-    spread = ((x**2).T @ (x**2) / n - r**2) / n
-    off = ~np.eye(k, dtype=bool)
-    bottom = (r[off] ** 2).sum()
-    share = float(np.clip(spread[off].sum() / bottom, 0, 1)) if bottom > 0 else 1.0
-    return share * np.diag(np.diag(sample)) + (1 - share) * sample + 1e-8 * np.eye(k)
+        return floor + np.diag(errors.var(axis=0) if n else np.ones(k))
+    unit = (errors - errors.mean(axis=0)) / (errors.std(axis=0) + 1e-12)
+    products = np.einsum("ti,tj->tij", unit, unit)
+    correlation, doubt = products.mean(axis=0), products.var(axis=0) / n
+    for x in (correlation, doubt):
+        np.fill_diagonal(x, 0.0)
+    there = np.square(correlation).sum()
+    keep = max(0.0, 1.0 - doubt.sum() / there) if there else 0.0
+    deviation = errors.std(axis=0, ddof=1)
+    return floor + np.outer(deviation, deviation) * (np.eye(k) + keep * correlation)
+
+
+def deviations(matrix: np.ndarray, method: str, errors: np.ndarray | None) -> np.ndarray:
+    """A factor of the errors' covariance that a method assumes: equal, as many as a series has leaves, or as past errors have it."""
+    if method == "mint_shrink":
+        if errors is None:
+            raise ValueError("mint_shrink needs errors of past folds")
+        return np.linalg.cholesky(shrunk(errors))
+    variances = {"ols": np.ones(len(matrix)), "wls_struct": matrix.sum(axis=1)}
+    if method not in variances:
+        raise ValueError(f"no method {method}; there are {', '.join(METHODS)}")
+    return np.diag(np.sqrt(variances[method]))
 
 
 def projection(matrix: np.ndarray, leaves: list[str], series: list[str], method: str, errors: np.ndarray | None = None) -> np.ndarray:
-    """S P of a method: what reconciled values are made of, series by series."""
+    """What reconciled values are made of, series by series.
+
+    Leaves are the least squares fit to all series once these are brought to equal, independent
+    errors; bottom_up takes the leaves as they are.
+    """
     if method == "bottom_up":
-        p = np.zeros((len(leaves), len(series)))
-        for j, s in enumerate(leaves):
-            p[j, series.index(s)] = 1.0
-        return matrix @ p
-    if method == "ols":
-        w = np.eye(len(series))
-    elif method == "wls_struct":
-        w = np.diag(matrix.sum(axis=1))
-    elif method == "mint_shrink":
-        if errors is None:
-            raise ValueError("mint_shrink needs errors of past folds")
-        w = shrunk(errors)
-    else:
-        raise ValueError(f"no method {method}; there are {', '.join(METHODS)}")
-    inverse = np.linalg.pinv(w)
-    return matrix @ np.linalg.pinv(matrix.T @ inverse @ matrix) @ matrix.T @ inverse
+        return matrix @ np.array([[float(s == leaf) for s in series] for leaf in leaves])
+    whitened = np.linalg.solve(deviations(matrix, method, errors), np.hstack([matrix, np.eye(len(matrix))]))
+    fit, *_ = np.linalg.lstsq(whitened[:, : len(leaves)], whitened[:, len(leaves) :], rcond=None)
+    return matrix @ fit
 
 
 def applied(predictions: DataFrame, weights: np.ndarray, series: list[str]) -> DataFrame:

@@ -14,6 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from sparkloom.session import shipped
+
 SCHEMA = "model string, fold int, series string, step int, yhat double, lo double, hi double, fallback boolean"
 
 
@@ -93,25 +95,24 @@ def fit_theta(y: np.ndarray, h: int, m: int) -> tuple[np.ndarray, np.ndarray]:
     return means, sd * np.sqrt(1 + (k - 1) * alpha**2)
 
 
-def adf_rejects(y: np.ndarray) -> bool:
-    """Whether a unit root is rejected at 5%: the Dickey-Fuller t of a regression with a constant and one lagged difference, against -2.86."""
-    d = np.diff(y)
-    if len(d) < 10 or d.std() == 0:
-        return True
-    x = np.column_stack([np.ones(len(d) - 1), y[1:-1], d[:-1]])
-    beta, *_ = np.linalg.lstsq(x, d[1:], rcond=None)
-    r = d[1:] - x @ beta
-    s2 = r @ r / max(1, len(r) - 3)
-    return bool(beta[1] / math.sqrt(s2 * np.linalg.pinv(x.T @ x)[1, 1] + 1e-300) < -2.86)
+def differenced(y: np.ndarray, m: int) -> tuple[np.ndarray, bool, bool]:
+    """(values, whether by season, whether by step): of the four ways to difference, that with the smallest deviation, of near equal ones the plainest. A season counts from two to sixty steps, if there are three of them."""
+    ways = [(y, False, False), (np.diff(y), False, True)]
+    if 1 < m <= 60 and len(y) > 3 * m:
+        by = y[m:] - y[:-m]
+        ways += [(by, True, False), (np.diff(by), True, True)]
+    least = min(x.std() for x, *_ in ways)
+    return next(w for w in ways if w[0].std() <= 1.05 * least + 1e-12)
+
+
+#: Orders of autoregression and moving average that are tried: each up to MOST_ORDER, both together up to MOST_ORDERS.
+MOST_ORDER, MOST_ORDERS = 2, 3
 
 
 def fit_arima(y: np.ndarray, h: int, m: int, most: int = 1000) -> tuple[np.ndarray, np.ndarray]:
     """ARMA by two-step least squares on differenced values, orders by AIC; a season of up to 60 enters by its difference."""
     y = y[-most:]
-    d = 0 if adf_rejects(y) else 1
-    seasonal = 1 < m <= 60 and len(y) > 3 * m and np.abs(y[m:] - y[:-m]).mean() < 0.8 * np.abs(np.diff(y)).mean()
-    x = y[m:] - y[:-m] if seasonal else y
-    x = np.diff(x) if d else x
+    x, seasonal, d = differenced(y, m)
     mean = x.mean()
     z = x - mean
     long = min(10, max(1, len(z) // 10))
@@ -119,7 +120,7 @@ def fit_arima(y: np.ndarray, h: int, m: int, most: int = 1000) -> tuple[np.ndarr
     ar, *_ = np.linalg.lstsq(lagged(z, long), z[long:], rcond=None)
     noise = np.concatenate([np.zeros(long), z[long:] - lagged(z, long) @ ar])
     best = None
-    for p, q in ((0, 0), (1, 0), (0, 1), (1, 1), (2, 1), (1, 2)):
+    for p, q in ((p, q) for p in range(MOST_ORDER + 1) for q in range(MOST_ORDER + 1) if p + q <= MOST_ORDERS):
         k = max(p, q, 1)
         parts = [z[k - 1 - i : len(z) - 1 - i] for i in range(p)] + [noise[k - 1 - i : len(z) - 1 - i] for i in range(q)]
         design = np.column_stack(parts) if parts else np.zeros((len(z) - k, 0))
@@ -172,6 +173,7 @@ FITS = {"ETS": fit_ets, "Theta": fit_theta, "ARIMA": fit_arima, "Harmonic": fit_
 
 def forecasts(train: DataFrame, model: str, horizon: int, m: int = 1, level: float = 0.90) -> DataFrame:
     """(model, fold, series, step, yhat, lo, hi, fallback) of training rows (fold, series, ds, y)."""
+    shipped(train.sparkSession)
     fit, z = FITS[model], NormalDist().inv_cdf(0.5 + level / 2)
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.association import quantiles
+
 
 def class_counts(df: DataFrame, target: str) -> DataFrame:
     """(class, n, imbalance): imbalance is the commonest class's size over this one's."""
@@ -32,12 +34,13 @@ def statistics(df: DataFrame, column: str) -> DataFrame:
     """One row: n, mean, median, sd, skew (bias-corrected), outlier_share (3 x IQR), zero_share, positive, whole, distinct."""
     y = F.col(column).cast("double")
     rows = df.filter(F.col(column).isNotNull()).select(y.alias("y"))
-    edge = rows.agg(F.percentile("y", F.array(F.lit(0.25), F.lit(0.75))).alias("q")).first()["q"] or [0.0, 0.0]
-    low, high = edge[0] - 3 * (edge[1] - edge[0]), edge[1] + 3 * (edge[1] - edge[0])
+    edge = quantiles(rows, "y", [0.25, 0.5, 0.75])
+    q1, middle, q3 = edge or [0.0, None, 0.0]
+    low, high = q1 - 3 * (q3 - q1), q3 + 3 * (q3 - q1)
     n = F.count("y")
     corrected = F.skewness("y") * F.sqrt(n * (n - 1)) / (n - 2)
     return rows.agg(
-        n.alias("n"), F.avg("y").alias("mean"), F.percentile("y", F.lit(0.5)).alias("median"), F.stddev_pop("y").alias("sd"), corrected.alias("skew"),
+        n.alias("n"), F.avg("y").alias("mean"), F.lit(middle).cast("double").alias("median"), F.stddev_pop("y").alias("sd"), corrected.alias("skew"),
         (F.count_if((F.col("y") < low) | (F.col("y") > high)) / n).alias("outlier_share"),
         (F.count_if(F.col("y") == 0) / n).alias("zero_share"), (F.min("y") > 0).alias("positive"), F.every(F.col("y") == F.floor("y")).alias("whole"),
         F.count_distinct("y").alias("n_distinct"), F.min("y").alias("low"),

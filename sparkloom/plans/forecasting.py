@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.operators import forecast, globalml, panel, reconcile, season, select, statmodels
+from sparkloom.session import settled
 from sparkloom.sources.tables import read_metadata, write_metadata
 
 
@@ -26,6 +27,7 @@ class ForecastSpec:
     hierarchy: list[tuple[str, str]] = field(default_factory=list)
     reconciliation: str = "auto"
     policy: str = "best_score"
+    min_length: int | None = None
 
     def checked(self) -> ForecastSpec:
         if self.horizon < 1 or self.folds < 1 or not 0.5 <= self.level < 1:
@@ -64,9 +66,25 @@ class ForecastRun:
         if s.period:
             self.m = s.period
         else:
-            self.found = season.detected(self.panel, panel.season_candidates(s.step))
+            self.found = season.detected(self.panel, panel.season_candidates(*panel.step_of(s.step)))
             self.m = season.primary(self.found)
         self.log.append({"stage": "season", "decision": f"season {self.m}"})
+        return self.long_enough()
+
+    def long_enough(self) -> ForecastRun:
+        """Series with three seasons, and room for all folds, stay."""
+        s = self.spec
+        least = s.min_length or max(3 * self.m, 2 * s.horizon + 10, 30)
+        sizes = settled(self.panel.groupBy("series").agg(F.count("*").alias("n")))
+        short = sizes.filter(F.col("n") < least)
+        for r in short.orderBy("series").limit(100).collect():
+            self.log.append({"stage": "season", "decision": f"{r.series} is dropped: {r.n} rows, a season of {self.m} needs {least}"})
+        self.panel = settled(self.panel.join(short.select("series"), "series", "left_anti"))
+        left = sizes.filter(F.col("n") >= least).agg(F.min("n")).first()[0]
+        if left is None:
+            raise ValueError(f"no series has {least} rows: name a shorter season, or give more of the past")
+        if left <= s.horizon * (s.folds + 1):
+            raise ValueError(f"{s.folds} folds of {s.horizon} steps need more than {s.horizon * (s.folds + 1)} rows a series; the shortest has {left}")
         return self
 
     def backtest(self) -> ForecastRun:
@@ -75,12 +93,17 @@ class ForecastRun:
         found = forecast.baselines(self.rows, s.horizon, self.m, s.level)
         train = forecast.training(self.rows)
         for name in s.models:
-            found = found.unionByName(statmodels.forecasts(train, name, s.horizon, self.m, s.level).drop("fallback"))
+            one = settled(statmodels.forecasts(train, name, s.horizon, self.m, s.level))  # each is fitted once
+            fell = one.filter("fallback").select("series").distinct().count()
+            if fell:
+                self.log.append({"stage": "backtest", "decision": f"{name} could not be fitted to {fell} series, which take their seasonal last values"})
+            found = found.unionByName(one.drop("fallback"))
         if s.trees:
             none = F.lit(None).cast("double")
             for k in range(1, s.folds + 1):
                 g = globalml.forecast(train.filter(F.col("fold") == k), s.step, s.horizon, self.m)
                 found = found.unionByName(g.select(F.lit("Trees").alias("model"), F.lit(k).alias("fold"), "series", "step", "yhat", none.alias("lo"), none.alias("hi")))
+        found = settled(found)
         self.predictions = found
         board = forecast.leaderboard(forecast.scored(self.rows, found, s.horizon, self.m)).orderBy("mase").collect()
         if s.blend > 1 and len(board) >= s.blend:
@@ -98,14 +121,19 @@ class ForecastRun:
         self.champion = self.best if self.spec.policy == "best_score" else self.pick
         if self.champion in BASELINES:
             self.log.append({"stage": "decide", "decision": "a baseline won: the panel may hold nothing to learn"})
-        self.widths = forecast.half_widths(forecast.residuals(self.rows, self.predictions.filter(F.col("model") == self.champion), self.spec.horizon), self.spec.level)
+        else:
+            means = {r.model: r.mase for r in forecast.leaderboard(self.scores).collect()}
+            base = min((v for k, v in means.items() if k in BASELINES and v is not None), default=None)
+            if base is not None and means.get(self.champion) is not None and means[self.champion] > 0.95 * base:
+                self.log.append({"stage": "decide", "decision": f"{self.champion} is less than 5% better than a baseline ({means[self.champion]:.3f}, {base:.3f})"})
+        self.widths = forecast.half_widths(forecast.residuals(self.rows, self.predictions.filter(F.col("model") == self.champion), self.spec.horizon), self.spec.level, self.spec.horizon)
         low = self.widths.agg(F.min("attainable")).first()[0]
         if low is not None and low < self.spec.level:
             self.log.append({"stage": "decide", "decision": f"bands can cover {low:.0%} at most with these residuals"})
         return self
 
     def forecast(self) -> DataFrame:
-        """(series, step, yhat, lo, hi) after the panel's end, reconciled if a hierarchy is given."""
+        """(series, ds, step, yhat, lo, hi) after the panel's end, reconciled if a hierarchy is given."""
         s = self.spec
         train = self.panel.withColumn("fold", F.lit(0)).withColumn("is_train", F.lit(True)).withColumn("step", F.lit(None).cast("int"))
         names = self.members if self.champion == "Blend" else [self.champion]
@@ -127,7 +155,9 @@ class ForecastRun:
             self.log.append({"stage": "reconcile", "decision": method})
             errors = self._errors(order) if method == "mint_shrink" else None
             out = reconcile.applied(out, reconcile.projection(matrix, leaves, order, method, errors), order)
-        return out.select("series", "step", "yhat", "lo", "hi")
+        ends = self.panel.groupBy("series").agg(F.max("ds").alias("z"))
+        ds = forecast.steps_before(F.col("z"), s.step, -F.col("step")).alias("ds")
+        return out.join(ends, "series").select("series", ds, "step", "yhat", "lo", "hi")
 
     def _signed(self) -> DataFrame:
         p = self.predictions.filter(F.col("model") == self.champion)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +34,17 @@ def settled(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="sparkloom-"))
     return df.checkpoint()
+
+
+def shipped(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, so that they need no install of it. Once for each application."""
+    context = spark.sparkContext
+    if getattr(context, "_sparkloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="sparkloom-code-")) / "sparkloom_code.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted((root / "sparkloom").rglob("*.py")):
+            z.write(path, os.path.relpath(path, root))
+    context.addPyFile(str(archive))
+    context._sparkloom_shipped = True
