@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from sparkloom.functions.scalars import clean_names, date_parts, fourier, holiday_flags, us_holidays
 from sparkloom.operators import association, drift, encode, forecast, metrics, panel, profile, reconcile, season, select, split, target
+from sparkloom.session import settled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -192,6 +193,31 @@ def time_folds(spark, sf):
     return split.time_folds(read(spark, sf, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey").select("o_orderkey", "block")
 
 
+@query("""with r as (select o_orderkey, o_orderdate, row_number() over (order by o_orderdate nulls last, o_orderkey) k, count(*) over () n from orders),
+t as (select *, count(*) over () m from r where k <= n - greatest(1, floor(n * .2)::bigint)), f as (select *, greatest(0, ceil((k - (m - 5 * (m // 6))) / (m // 6)))::int fold from t)
+select i::int fold, count(*) filter (fold < i) n_train, count(*) filter (fold = i) n_test, max(o_orderdate) filter (fold < i)::timestamp last_train, min(o_orderdate) filter (fold = i)::timestamp first_test
+from f, (select unnest(range(1, 6)) i) group by 1""")
+def cv_time_expanding(spark, sf):
+    from sparkloom.operators import models
+
+    rows = split.time_holdout(read(spark, sf, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey", 0.2).filter("split = 'train'")
+    rows = settled(split.time_folds(rows, "o_orderdate", "o_orderkey", 5).withColumnRenamed("block", "fold"))
+    out = None
+    for i, (train, test) in enumerate(models.trials_of(rows, 5, ahead=True), 1):
+        one = train.agg(F.count("*").alias("n_train"), F.max("o_orderdate").alias("last_train")).crossJoin(test.agg(F.count("*").alias("n_test"), F.min("o_orderdate").alias("first_test")))  # a row each
+        one = one.withColumn("fold", F.lit(i))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"""with f as (select o_custkey, (('0x' || substr({_HASH.format(k="o_custkey", s=42)}, 1, 8))::bigint % 5)::int a, (('0x' || substr({_HASH.format(k="o_custkey", s=1042)}, 1, 8))::bigint % 5)::int b from orders)
+select b fold, count(*) n, count(distinct o_custkey) groups, count(*) filter (a = b) same_as_before from f group by 1""")
+def cv_group_fresh(spark, sf):
+    first = split.group_folds(read(spark, sf, "orders").select("o_custkey"), "o_custkey").withColumnRenamed("fold", "a")
+    fresh = split.group_folds(first, "o_custkey", 5, 1042)
+    return fresh.groupBy("fold").agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("groups"), F.count_if(F.col("a") == F.col("fold")).alias("same_as_before"))
+
+
 @query("""select l_orderkey, l_linenumber, l_returnflag from (select *, row_number() over (partition by l_returnflag order by md5(l_orderkey || '-' || l_linenumber || '-42'), l_orderkey, l_linenumber) r,
   count(*) over (partition by l_returnflag) s, count(*) over () n from lineitem) where r <= ceil(s * 1000 / n)""")
 def stratified_sample(spark, sf):
@@ -348,6 +374,19 @@ def metrics_multiclass(spark, sf):
     shares = orders.groupBy("o_orderpriority").agg(F.array(*[F.count_if(F.col("o_orderstatus") == c) / F.count("*") for c in "FOP"]).alias("shares"))
     return rounded(metrics.multiclass(orders.join(shares, "o_orderpriority"), "o_orderstatus", "shares", list("FOP")))
 
+
+@query("""with c as (select o_orderpriority, o_orderstatus, count(*) n from orders group by 1, 2), p as (select o_orderpriority, o_orderstatus, n / sum(n) over (partition by o_orderpriority) p from c)
+select 'shares' model, round(-avg(-ln(least(greatest(p, 1e-15), 1 - 1e-15))), 6) score from orders join p using (o_orderpriority, o_orderstatus)""")
+def multiclass_score(spark, sf):
+    from sparkloom.operators import models
+
+    orders = read(spark, sf, "orders")
+    label = F.coalesce(*[F.when(F.col("o_orderstatus") == c, F.lit(float(i))) for i, c in enumerate("FOP")])
+    shares = orders.groupBy("o_orderpriority").agg(F.array(*[F.count_if(F.col("o_orderstatus") == c) / F.count("*") for c in "FOP"]).alias("s"))
+    found = models.score(orders.join(shares, "o_orderpriority").select(label.alias("label"), "s"), "classification")
+    return spark.createDataFrame([("shares", round(found, 6))], "model string, score double")
+
+
 @query(f"with {_SCORED} select y actual, count(*) filter (p < .5) n_0, count(*) filter (p >= .5) n_1 from s group by 1")
 def confusion_matrix(spark, sf):
     return metrics.confusion(_scored(spark, sf).withColumn("h", (F.col("p") >= 0.5).cast("int")), "y", "h", [0, 1])
@@ -742,38 +781,81 @@ def recon_mint(spark, sf):
     return rounded(reconcile.applied(rows, reconcile.projection(matrix, leaves, names, "mint_shrink", reconcile.error_matrix(errors, names)), names))
 
 
-# --- models that are one expression: importance, dependence, averages
+# With two observations a series' errors give its variance alone: here that of as many leaves as it has.
+@query(_TREE.format(i=_INCOHERENT, r="5.0::double", t="25.0::double", b=10, j=150))
+def recon_mint_diagonal(spark, sf):
+    import numpy as np
+
+    names, leaves, matrix = _summing(spark, sf)
+    apart = np.sqrt(matrix.sum(axis=1))
+    return rounded(reconcile.applied(_incoherent(spark, sf), reconcile.projection(matrix, leaves, names, "mint_shrink", np.stack([apart, -apart])), names), 4)
+
+
+# --- explanation and blends, with models whose predictions SQL can give
 
 
 @query("""with g as (select o_orderstatus, o_orderpriority, avg(o_totalprice) p from orders group by 1, 2), k as (select o_orderkey, o_orderstatus, o_orderpriority, o_totalprice,
-  row_number() over (order by o_orderkey) a, row_number() over (order by md5(o_orderkey || '-p'), o_orderkey) b from orders), o as (select avg((o_totalprice - p) ** 2) m from orders join g using (o_orderstatus, o_orderpriority))
+  row_number() over (order by md5(o_orderkey || '-own'), o_orderkey) a, row_number() over (order by md5(o_orderkey || '-p'), o_orderkey) b from orders), o as (select avg((o_totalprice - p) ** 2) m from orders join g using (o_orderstatus, o_orderpriority))
 select 'o_orderpriority' feature, round((avg((x.o_totalprice - p) ** 2) - (select m from o)) / 1e6, 2) importance from k x join k y on x.a = y.b join g on x.o_orderstatus = g.o_orderstatus and y.o_orderpriority = g.o_orderpriority""")
 def perm_importance_md5(spark, sf):
-    rows = read(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
-    means = F.broadcast(rows.groupBy("o_orderstatus", "o_orderpriority").agg(F.avg("o_totalprice").alias("p")))  # fifteen cells
-    error = F.avg((F.col("o_totalprice") - F.col("p")) ** 2)
-    base = rows.join(means, ["o_orderstatus", "o_orderpriority"]).agg(error).first()[0]
-    own = split.ranked(rows.drop("o_orderpriority"), [], F.floor(F.col("o_orderkey") / 1000), ["o_orderkey"], "at")
-    other = split.hash_ranked(rows.select("o_orderkey", "o_orderpriority"), F.col("o_orderkey"), ["o_orderkey"], [], "p").select(F.col("__rank").alias("at"), "o_orderpriority")
-    mixed = own.join(other, "at").join(means, ["o_orderstatus", "o_orderpriority"])
-    return mixed.agg(error.alias("i")).select(F.lit("o_orderpriority").alias("feature"), F.round((F.col("i") - F.lit(base)) / 1e6, 2).alias("importance"))
-
-
-@query("""with r as (select regr_slope(o_totalprice, c_acctbal) a, regr_intercept(o_totalprice, c_acctbal) b from orders join customer on o_custkey = c_custkey),
-g as (select unnest(range(11)) i, unnest(quantile_cont(c_acctbal, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) x from customer) select i::int i, round(x, 2) x, round(a * x + b, 2) mean_prediction from g, r""")
+    from sparkloom.operators import models
+
+    rows = read(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", F.col("o_totalprice").alias("label"))
+    means = F.broadcast(rows.groupBy("o_orderstatus", "o_orderpriority").agg(F.avg("label").alias("p")))  # fifteen cells
+    loss = lambda df: models.score(df.join(means, ["o_orderstatus", "o_orderpriority"]), "regression") ** 2
+    found = loss(models.permuted(rows, "o_orderkey", "o_orderpriority", "p")) - loss(rows)
+    return spark.createDataFrame([("o_orderpriority", round(found / 1e6, 2))], "feature string, importance double")
+
+
+_LINE = "r as (select regr_slope(o_totalprice, c_acctbal) a, regr_intercept(o_totalprice, c_acctbal) b from orders join customer on o_custkey = c_custkey)"
+
+
+def _line(spark, sf):
+    """A least squares line as a pipeline, its columns and rows."""
+    from sparkloom.operators import models
+
+    rows = read(spark, sf, "orders").join(read(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_acctbal", F.col("o_totalprice").alias("label"))
+    columns = models.Columns(["c_acctbal"])
+    return models.fitted(rows, columns, models.roster("regression")["Ridge"], {"reg": 0.0}), columns, rows
+
+
+@query(f"""with {_LINE}, g as (select distinct unnest(quantile_cont(c_acctbal, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) x from orders join customer on o_custkey = c_custkey)
+select round(x, 2) x, round(a * x + b, 2) mean_prediction from g, r""")
 def pdp_grid(spark, sf):
-    customers = read(spark, sf, "customer")
-    rows = read(spark, sf, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
-    fit = rows.agg(F.regr_slope("o_totalprice", "c_acctbal").alias("a"), F.regr_intercept("o_totalprice", "c_acctbal").alias("b")).first()
-    grid = customers.agg(F.percentile("c_acctbal", F.array(*[F.lit(i / 10) for i in range(11)])).alias("g")).select(F.posexplode("g").alias("i", "x"))
-    return grid.select("i", F.round("x", 2).alias("x"), F.round(F.lit(fit["a"]) * F.col("x") + F.lit(fit["b"]), 2).alias("mean_prediction"))
+    from sparkloom.operators import models
+
+    model, columns, rows = _line(spark, sf)
+    return rounded(models.partial_dependence(model, rows, columns, "regression", "c_acctbal"), 2)
+
+
+@query(f"with {_LINE} select o_orderkey, round(a * c_acctbal + b, 2) p from orders join customer on o_custkey = c_custkey, r")
+def ml_least_squares(spark, sf):
+    from sparkloom.operators import models
+
+    model, columns, rows = _line(spark, sf)
+    return models.predicted(model, rows, columns, "regression").select("o_orderkey", F.round("p", 2).alias("p"))
+
+
+@query(f"""with {_LINE}, x as (select abs(a) * abs(c_acctbal - avg(c_acctbal) over ()) d from orders join customer on o_custkey = c_custkey, r) select 'c_acctbal' feature, round(avg(d), 2) contribution from x""")
+def linear_contributions(spark, sf):
+    from sparkloom.operators import models
+
+    model, columns, rows = _line(spark, sf)
+    return spark.createDataFrame([(f, round(v, 2)) for f, v in models.contributions(model, rows, columns)], "feature string, contribution double")
+
+
+def _votes(spark, sf) -> DataFrame:
+    """(o_orderkey, p): the mean of two models, each the mean of an order's cell."""
+    from sparkloom.operators import models
+
+    orders = read(spark, sf, "orders")
+    parts = [orders.join(orders.groupBy(c).agg(F.avg("o_totalprice").alias("p")), c).select("o_orderkey", "p") for c in ("o_orderpriority", "o_orderstatus")]
+    return models.voted(parts, "o_orderkey")
 
 
 @query("""with p as (select o_orderkey, avg(o_totalprice) over (partition by o_orderpriority) a, avg(o_totalprice) over (partition by o_orderstatus) b from orders) select o_orderkey, round((a + b) / 2, 2) vote from p""")
 def stack_vote_avg(spark, sf):
-    orders = read(spark, sf, "orders")
-    a, b = (orders.groupBy(c).agg(F.avg("o_totalprice").alias(n)) for c, n in (("o_orderpriority", "a"), ("o_orderstatus", "b")))
-    return orders.join(a, "o_orderpriority").join(b, "o_orderstatus").select("o_orderkey", F.round((F.col("a") + F.col("b")) / 2, 2).alias("vote"))
+    return _votes(spark, sf).select("o_orderkey", F.round("p", 2).alias("vote"))
 
 
 # --- events: windows, sessions, JSON; vectors
@@ -866,14 +948,8 @@ def fold_error_matrix(spark, sf):
 
 @query("""select 'Vote' model, count(*) n, round(sqrt(avg((y - (a + b) / 2) ** 2)), 2) rmse from (select o_totalprice y, avg(o_totalprice) over (partition by o_orderpriority) a, avg(o_totalprice) over (partition by o_orderstatus) b from orders)""")
 def vote_score(spark, sf):
-    votes = stack_vote_avg_exact(spark, sf).join(read(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
-    return metrics.regression(votes, "o_totalprice", "vote").select(F.lit("Vote").alias("model"), "n", F.round("rmse", 2).alias("rmse"))
-
-
-def stack_vote_avg_exact(spark, sf) -> DataFrame:
-    orders = read(spark, sf, "orders")
-    a, b = (orders.groupBy(c).agg(F.avg("o_totalprice").alias(n)) for c, n in (("o_orderpriority", "a"), ("o_orderstatus", "b")))
-    return orders.join(a, "o_orderpriority").join(b, "o_orderstatus").select("o_orderkey", ((F.col("a") + F.col("b")) / 2).alias("vote"))
+    votes = _votes(spark, sf).join(read(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
+    return metrics.regression(votes, "o_totalprice", "p").select(F.lit("Vote").alias("model"), "n", F.round("rmse", 2).alias("rmse"))
 
 
 # --- fitted models: no SQL form, tested for their accuracy

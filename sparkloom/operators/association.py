@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.session import settled
@@ -44,6 +44,11 @@ def average_ranks(long: DataFrame, parts: list[str], value: str) -> DataFrame:
     return long.join(ranks, [*parts, value])
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson's; null without spread."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def _of_pairs(df: DataFrame, pairs: list[tuple[str, str]], least: int) -> DataFrame:
     """(f1, f2, n, rho): each pair ranked over its own rows, for pairs of which one or the other is missing in places."""
     long = df.select(
@@ -51,7 +56,7 @@ def _of_pairs(df: DataFrame, pairs: list[tuple[str, str]], least: int) -> DataFr
     ).select("p.*").filter("x is not null and y is not null")
     x = average_ranks(long, ["f1", "f2"], "x").withColumnRenamed("rank", "rx")
     both = average_ranks(x, ["f1", "f2"], "y").withColumnRenamed("rank", "ry")
-    out = both.groupBy("f1", "f2").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"))
+    out = both.groupBy("f1", "f2").agg(F.count("*").alias("n"), correlation("rx", "ry").alias("rho"))
     return out.withColumn("rho", F.when((F.col("n") >= least) & ~F.isnan("rho"), F.col("rho")))
 
 
@@ -79,7 +84,7 @@ def spearman_pairs(df: DataFrame, columns: list[str], least: int = 10) -> DataFr
         long = numbered.select("__rid", F.explode(F.array(*[F.struct(F.lit(place[c]).alias("c"), F.col(f"x{place[c]}").alias("v")) for c in whole])).alias("x")).select("__rid", "x.*")
         ranks = average_ranks(long, ["c"], "v")
         wide = ranks.groupBy("__rid").agg(*[F.max(F.when(F.col("c") == place[c], F.col("rank"))).alias(f"r{place[c]}") for c in whole])
-        moments = wide.agg(*[F.corr(f"r{place[a]}", f"r{place[b]}").alias(f"{place[a]}_{place[b]}") for a, b in pairs if (a, b) not in set(rest)])
+        moments = wide.agg(*[correlation(f"r{place[a]}", f"r{place[b]}").alias(f"{place[a]}_{place[b]}") for a, b in pairs if (a, b) not in set(rest)])
         n = gaps["__rows"]
         values = [F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.lit(n).cast("long").alias("n"), F.when(F.lit(n >= least) & ~F.isnan(f"{place[a]}_{place[b]}"), F.col(f"{place[a]}_{place[b]}")).alias("rho")) for a, b in pairs if (a, b) not in set(rest)]
         found = moments.select(F.explode(F.array(*values)).alias("x")).select("x.*")
