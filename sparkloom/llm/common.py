@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.session import shipped
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of an Arrow batch: whole texts are long, and a worker holds a batch at a time.
 BATCH_ROWS = 1000
@@ -51,20 +50,17 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of this package in the shared folder. Not while a result that reads them is still wanted."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/sparkloom")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, so that they need no install of it. Once for each application."""
+    """Sends this package to the Python workers, and takes smaller Arrow batches for the session, unless the user has chosen: texts are long."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)  # unless the user has chosen
-    context = spark.sparkContext
-    if getattr(context, "_sparkloom_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[2]
-    archive = Path(tempfile.mkdtemp(prefix="sparkloom-code-")) / "sparkloom_code.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for path in sorted((root / "sparkloom").rglob("*.py")):
-            z.write(path, os.path.relpath(path, root))
-    context.addPyFile(str(archive))
-    context._sparkloom_shipped = True
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    shipped(spark)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -582,3 +582,125 @@ def test_packages_are_dealt_to_tasks(spark):
     back = warc.read(manifest)
     assert manifest.count() > 8 and back.count() == 64
     assert back.groupBy(F.spark_partition_id()).count().count() > 4
+
+
+@pytest.mark.parametrize("words", [50, 60, 120])
+def test_recall_of_changed_passages(spark, words):
+    """Passages with words replaced at random places, similar at 0.8 or more as a whole, in texts that have nothing else in common."""
+    rng = np.random.default_rng(words)
+    own = lambda n: [f"w{i}" for i in rng.integers(0, 10**9, n)]
+    rows, pairs = [], []
+    while len(pairs) < 60:
+        one = own(words)
+        other = list(one)
+        for i in rng.choice(words, max(1, words // 45), replace=False):
+            other[i] = own(1)[0]
+        a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (one, other))
+        if len(a & b) < 0.8 * len(a | b):
+            continue
+        k = len(rows)
+        rows += [(k, " ".join(own(70) + one + own(50))), (k + 1, " ".join(own(30) + other + own(90)))]
+        pairs.append((k, k + 1))
+    got = {r.doc_id: r.class_id for r in passages.classed(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert sum(got[b] == a for a, b in pairs) >= 0.9 * len(pairs)
+
+
+def test_passages_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(3)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for d in range(90):
+        w = list(base)
+        for i in rng.choice(120, rng.integers(0, 6), replace=False):
+            w[i] = f"d{d}x{i}"
+        rows.append((d, " ".join([f"d{d}y{i}" for i in range(40)] + w[rng.integers(0, 30) : 120 - rng.integers(0, 30)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [{r.doc_id: (r.class_id, tuple((s["first"], s["last"]) for s in r.spans)) for r in passages.classed(docs.repartition(n)).collect()} for n in (1, 4, 50)]
+    assert got[0] == got[1] == got[2] and sum(len(x[1]) > 0 for x in got[0].values()) > 60
+
+
+def test_a_passage_twice_in_one_text_and_once_in_another(spark):
+    p = [f"p{i}" for i in range(60)]
+    own = lambda d, n=30: [f"o{d}x{i}" for i in range(n)]
+    docs = [(1, " ".join(own(0) + p + own(1) + p + own(2))), (2, " ".join(own(3) + p + own(4)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    spans = {r.doc_id: [(s["first"], s["last"]) for s in r.spans] for r in passages.classed(df).collect()}
+    assert spans == {1: [(30, 89), (120, 179)], 2: [(30, 89)]}
+    assert sum(r.text.count(" ".join(p)) for r in passages.removed(df).collect()) == 1
+
+
+def test_texts_beyond_a_part_are_cut(spark):
+    rng = np.random.default_rng(5)
+    text = " ".join(f"w{i}" for i in rng.integers(0, 10**6, 3000))
+    whole = {(int(k), int(c)) for _, *x in [next(passages.windows([text], 46))] for k, c in zip(x[0], x[1])}
+    found, seen = set(), np.zeros(2996, bool)
+    for _, k, c, left, right in passages.windows([text], 46, at_once=512, overlap=128):
+        found |= set(zip(k.tolist(), c.tolist()))
+        for at, x, y in zip(c, left, right):
+            seen[at - x : at + y + 1] = True
+    assert len(found & whole) > 0.8 * len(whole) and seen.all()
+
+
+@pytest.mark.parametrize("kinds", [1, 2, 5])
+def test_windows_of_texts_that_repeat_themselves(kinds):
+    rng = np.random.default_rng(kinds)
+    values = rng.integers(0, kinds, 400).astype(np.uint64) << np.uint64(40)
+    got = sorted(zip(*(x.tolist() for x in passages.compact_windows(values, np.array([0]), np.array([400]), 20))))
+    expected, todo = [], [(0, 400)]
+    while todo:
+        s, e = todo.pop()
+        if e - s >= 20:
+            c = s + int(values[s:e].argmin())
+            expected.append((s, c, e - 1))
+            todo += [(s, c), (c + 1, e)]
+    assert got == sorted(expected)
+
+
+@model
+@data
+def test_pieces_of_documents_equal_the_library(spark):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    docs = common.table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.row.doc_id: r.token_ids for r in pieces.encoded(docs, keep=["doc_id"]).collect()}
+    assert got == {d: library.encode(t or "") for d, t in texts.items()}
+
+
+@model
+def test_pieces_do_not_depend_on_what_is_held(monkeypatch):
+    plain, small = (pieces.Model(pieces.model_bytes(pieces.MODEL)) for _ in range(2))
+    rng = np.random.default_rng(1)
+    texts = [" ".join("".join(rng.choice(list("abcdeé.,\n日"), rng.integers(1, 9))) for _ in range(40)) for _ in range(60)]
+    whole = [plain.encode([t])[0].tolist() for t in texts]
+    monkeypatch.setattr(pieces, "HELD", 50)
+    assert [small.encode([t])[0].tolist() for t in texts] == whole
+    assert [small.encode([t])[0].tolist() for t in reversed(texts)] == whole[::-1]
+
+
+def test_reader_equals_a_plain_forward_pass():
+    p = langid.started(6, 3, 4)
+    texts = [b"", b"a", b"some words of a text", bytes(range(97, 123)) * 8]
+    got = langid.Reader(p).documents(texts, 16)
+
+    def run(d, data):
+        h, out = np.zeros(6), []
+        for x in data:
+            g, a = p["w" + d][:, x], p["u" + d] @ h
+            z, r = 1 / (1 + np.exp(-(g[:6] + a[:6]))), 1 / (1 + np.exp(-(g[6:12] + a[6:12])))
+            n = np.tanh(g[12:] + r * (a[12:] + p["c" + d][:, 0]))
+            h = (1 - z) * n + z * h
+            out.append(h)
+        return out
+
+    for t, row in zip(texts, got):
+        total = np.zeros(3)
+        for at in range(0, len(t), 16):
+            part = t[at : at + 16]
+            padded = part + bytes(16 - len(part))
+            f, b = run("f", padded), run("b", padded[::-1])[::-1]
+            for i in range(len(part)):
+                e = np.exp(p["of"] @ f[i] + p["ob"] @ b[i] + p["k"][:, 0])
+                total += e / e.sum()
+        assert np.allclose(row, total / max(1, len(t)), atol=1e-4)
