@@ -524,7 +524,11 @@ def encoded(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
 
 
 def decoded(docs: DataFrame, ids: str = "token_ids", path: str = MODEL) -> DataFrame:
-    """docs with the column text (replaced if there) decoded from ids; null ids give the empty text."""
+    """docs with the column text (replaced if there) decoded from ids; null ids give the empty text.
+
+    An id outside the model's pieces fails the query. Very long lists are decoded whole, rows
+    repeat as given, an empty table gives an empty one; other columns may have any names.
+    """
     spark = docs.sparkSession
     ship(spark)
     data = spark.sparkContext.broadcast(model_bytes(path))

@@ -133,7 +133,12 @@ def judged(
 
 
 def cleaned(docs: DataFrame, text: str = "text", host: str = "source", **limits) -> DataFrame:
-    """The kept documents with docs' own columns, lines above the limits taken out of their texts; n_chars, if there, follows."""
+    """The kept documents with docs' own columns, lines above the limits taken out of their texts; n_chars, if there, follows.
+
+    Null, empty and short texts are rejected; null hosts are one host; rows that repeat are each
+    judged alike and all stay. Very long texts are read whole. An empty table gives an empty one;
+    columns of docs may have any names.
+    """
     verdict = judged(docs, text, host, **limits).filter("kept")
     t = F.col("row").getField(text)
     left = F.filter(lines_of(t), lambda x: ~F.array_contains("gone", F.xxhash64(normal_line(x))))

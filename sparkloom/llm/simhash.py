@@ -494,6 +494,10 @@ def near_copies(docs: DataFrame, text: str = "text", shingle: int = 5, similarit
     again, at any distance: of the pairs of a block that join two components and that their
     sizes and parities do not rule out, first a spanning forest is verified, and then all that
     still join two. So every similar pair of a block ends in one component.
+
+    Null texts count as empty; empty and blank texts have the empty shingle and are copies of
+    each other. Rows that repeat a text are one text. Very long texts are compared whole. An
+    empty table gives an empty one. Other columns are not looked at.
     """
     ship(docs.sparkSession)
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))

@@ -85,3 +85,57 @@ def test_vectors(spark):
     got = topk.search(v, F.col("vec_id") % 20 == 0).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(0, 1, 1, 4096), (0, 2, 1, 4096), (0, 3, 20, 0), (20, 1, 0, 0), (20, 2, 1, 0), (20, 3, 1, 0)]
     assert topk.search(v.filter("false"), F.col("vec_id") % 20 == 0).collect() == []
+
+
+def by(rows, *columns):
+    return sorted(((tuple(r[c] for c in columns)) for r in rows), key=repr)
+
+
+def test_values_of_odd_rows(odd):
+    """What nulls, empty texts, ties and repeated rows come to, operator by operator."""
+    judged = quality.judged(odd, keep=["doc_id"]).select("row.doc_id", "n_words", "base_failed", "kept").collect()
+    assert by([r for r in judged if r.kept], "doc_id", "n_words") == [(1, 80), (1, 80), (None, 80)]
+    assert all(r.n_words == 0 and r.base_failed for r in judged if r.doc_id in (2, 3, 4))
+    assert by(quality.cleaned(odd).collect(), "doc_id", "text") == [(1, WORDS), (1, WORDS), (None, WORDS)]
+
+    groups = simhash.grouped(odd).collect()
+    assert {r.component_id for r in groups if r.fp == 0} == {2} and sum(r.fp == 0 for r in groups) == 4
+    assert len({r.fp for r in groups if r.key == 1}) == 2
+
+    assert by(simhash.deduplicated(odd).collect(), "doc_id", "text") == by(odd.filter("doc_id in (2, 5, 6, 7, 8)").collect() + odd.filter("doc_id = 1").dropDuplicates(["text"]).collect(), "doc_id", "text")
+
+    classes = passages.classed(odd).collect()
+    assert by([r for r in classes if r.n_spans], "doc_id", "class_id", "dup_words") == [(1, 1, 80), (1, 1, 80), (None, 1, 80)]
+    assert all(r.class_id == r.doc_id for r in classes if not r.n_spans)
+
+    left = passages.removed(odd).collect()
+    assert by([r for r in left if r.text != WORDS], "doc_id", "text") == by(odd.filter("text is null or text not like 'w0 w1 %'").collect(), "doc_id", "text")
+    assert sum(r.text == WORDS for r in left) == 1 and {r.doc_id for r in left if r.text == WORDS} == {1} and len(left) == odd.count() - 2
+
+    made = pieces.encoded(odd, keep=["doc_id"]).collect()
+    assert {r.row.doc_id for r in made if r.n_tokens == 0} == {2, 3, None} and {r.row.doc_id for r in made if not r.round_trip} == {6}
+    back = pieces.decoded(pieces.encoded(odd, keep=["doc_id"]).select("row.doc_id", "token_ids").withColumn("row", F.lit(1))).collect()
+    assert by([r for r in back if r.doc_id in (2, 3, 5, 7)], "doc_id", "text") == [(2, ""), (3, ""), (5, LONG), (7, "!!! ### $$$")]
+
+    found = licenses.scanned(odd).collect()
+    assert {(r.doc_id, r.n_words) for r in found if r.n_words == 0} == {(2, 0), (3, 0), (4, 0), (7, 0), (None, 0)} and all(r.labels == "" and r.score == 0 for r in found)
+
+    named = langid.identified(odd, F.coalesce(F.col("doc_id") % 4 == 2, F.lit(False))).collect()
+    assert {r.doc_id for r in named if r.lang_pred == "und"} == {2, 3, 4, 7, None} and all(r.score == 0 for r in named if r.lang_pred == "und")
+
+
+def test_copies_without_a_key_are_one_document(spark):
+    docs = spark.createDataFrame([(None, WORDS), (None, WORDS), (None, WORDS), (3, "short"), (3, "short")], "doc_id long, text string")
+    assert by(passages.removed(docs).collect(), "doc_id", "text") == [(3, "short"), (3, "short"), (None, WORDS)]
+    assert by(simhash.deduplicated(docs).collect(), "doc_id", "text") == [(3, "short"), (None, WORDS)]
+
+
+def test_intermediate_tables_can_be_deleted(odd, spark):
+    from sparkloom.llm import common
+
+    passages.classed(odd).collect()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(common.shared_folder(spark) + "/sparkloom")
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    assert store.exists(folder)
+    common.clean(spark)
+    assert not store.exists(folder)
