@@ -33,9 +33,9 @@ from sparkloom.llm.common import in_parts, lean, ship
 MODEL, MODEL_BYTES = "/opt/tokenizers/piece_bpe_32k.model", 64 << 20
 SPACE = "▁"
 #: Bytes of texts that are encoded at once.
-AT_ONCE = 2 << 20
+AT_ONCE = 1 << 20
 #: Encoded segments that a worker holds; segments longer than this are cut at safe places.
-HELD, LONG = 300_000, 48
+HELD, LONG = 150_000, 48
 #: Upper bits of a hash by which pieces are found, and by which a pair of pieces has its place in memory.
 BITS, PAIR_BITS = 20, 19
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -282,8 +282,7 @@ class Model:
                 part = whole[at : min(end, at + step)]
                 self._keep(np.array([i for i, _ in part]), *self.viterbi([s for _, s in part], length))
         if cut:
-            again = lambda i: [k for j in cut[i] for k in again(j)] if i in cut else [i]
-            lists = [x if not any(j in cut for j in x) else again(i) for i, x in cut.items()]
+            lists = [x if not any(j in cut for j in x) else _leaves(cut, i) for i, x in cut.items()]
             parts, n = np.array([i for x in lists for i in x]), np.array([len(x) for x in lists])
             sizes = self.seg_len[parts]
             ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(n)])]
@@ -466,6 +465,11 @@ class Places(dict):
         return place
 
 
+def _leaves(cut: dict[int, tuple[int, ...]], i: int) -> list[int]:
+    """The parts of a segment, and of parts that are cut themselves theirs."""
+    return [k for j in cut[i] for k in _leaves(cut, j)] if i in cut else [i]
+
+
 def _segment(name: str) -> str:
     return name[1:] if name[:1] == SPACE else name if name[:1] == "\n" else SPACE + name
 
