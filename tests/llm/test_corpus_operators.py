@@ -704,3 +704,21 @@ def test_reader_equals_a_plain_forward_pass():
                 e = np.exp(p["of"] @ f[i] + p["ob"] @ b[i] + p["k"][:, 0])
                 total += e / e.sum()
         assert np.allclose(row, total / max(1, len(t)), atol=1e-4)
+
+
+def test_hot_keys_are_dealt_in_parts(spark, monkeypatch):
+    """With a low limit most keys are dealt; classes, spans and what stays are the same."""
+    rng = np.random.default_rng(9)
+    line, p, q = ([f"{x}{i}" for i in range(n)] for x, n in (("l", 20), ("p", 60), ("q", 55)))
+    own = lambda d, n: [f"d{d}w{i}n{n}" for i in range(n)]
+    rows = [(d, " ".join(own(d, 20) + line + (p if d % 3 else q) + own(d, 80) + (line + p if d % 5 == 0 else [])[: int(rng.integers(10, 90))])) for d in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+    def found():
+        classes = {r.doc_id: (r.class_id, [(s["first"], s["last"]) for s in r.spans]) for r in passages.classed(docs).collect()}
+        return classes, sorted((r.doc_id, r.text) for r in passages.removed(docs).collect())
+
+    plain = found()
+    monkeypatch.setattr(passages, "HOT", 16)
+    monkeypatch.setattr(passages, "SAMPLED", 2)
+    assert found() == plain and len({c for c, _ in plain[0].values()}) < 10
