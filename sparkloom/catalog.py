@@ -265,11 +265,17 @@ def quantile_bins(spark, sf):
     return rows.groupBy("bin").agg(F.count("*").alias("n"), F.round(F.min("o_totalprice"), 2).alias("low"), F.round(F.max("o_totalprice"), 2).alias("high"))
 
 
-@query("""with s as (select 'l_quantity' feature, .99 score, .1 spearman union all select 'l_tax', .2, .99 union all select 'l_discount', .97, null union all select 'l_linenumber', null, .5)
-select feature, score::double score, spearman::double spearman, case when coalesce(score, 0) >= .95 or coalesce(abs(spearman), 0) >= .98 then case when feature = 'l_tax' then 'protected' else 'leak' end else 'ok' end flag from s""")
+@query("""with l as (select l_extendedprice y, * from lineitem), g as (select 'l_returnflag' feature, count(*) n, avg(y) m, var_pop(y) v from l group by l_returnflag union all select 'l_linestatus', count(*), avg(y), var_pop(y) from l group by l_linestatus),
+e as (select feature, sum(n * m * m) / sum(n) - (sum(n * m) / sum(n)) ** 2 b, sum(n * v) / sum(n) w from g group by 1),
+r as (select corr(x, y) rho from (select rank() over (order by l_quantity) + (count(*) over (partition by l_quantity) - 1) / 2 x, rank() over (order by y) + (count(*) over (partition by y) - 1) / 2 y from l)),
+s as (select feature, round(b / (b + w), 6) score, null::double spearman from e union all select 'l_quantity', null, round(rho, 6) from r union all select 'gross', null, 1.0 union all select 'minus', null, -1.0)
+select feature, score::double score, spearman, case when coalesce(score, 0) >= .95 or coalesce(abs(spearman), 0) >= .98 then case when feature = 'minus' then 'protected' else 'leak' end else 'ok' end flag from s""")
 def leakage_decision(spark, sf):
-    rows = [("l_quantity", 0.99, 0.1), ("l_tax", 0.2, 0.99), ("l_discount", 0.97, None), ("l_linenumber", None, 0.5)]
-    return association.leakage(spark.createDataFrame(rows, "feature string, score double, spearman double"), ["l_tax"])
+    rows = read(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", (F.col("l_extendedprice") * 1.2).alias("gross"), (-F.col("l_extendedprice")).alias("minus"), F.col("l_extendedprice").alias("y"))
+    none = F.lit(None).cast("double")
+    eta = association.explained(rows, [], ["l_returnflag", "l_linestatus"], "y").select("feature", F.round("eta2", 6).alias("score"), none.alias("spearman"))
+    rho = association.spearman_with(rows, ["l_quantity", "gross", "minus"], "y").select(F.col("f1").alias("feature"), none.alias("score"), F.round("rho", 6).alias("spearman"))
+    return association.leakage(eta.unionByName(rho), ["minus"])
 
 
 # --- encoders
@@ -991,6 +997,35 @@ def ml_glm_poisson(spark, sf):
     return metrics.regression(models.predicted(model, rows, columns, "regression"), "label", "p")
 
 
+_LARGE = "select l_orderkey, count(*) n, (sum(l_quantity) > 80)::int large from lineitem group by 1"
+
+
+def _large_orders(spark, sf) -> DataFrame:
+    lines = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").cast("double").alias("n"), (F.sum("l_quantity") > 80).cast("double").alias("large"))
+    return lines.withColumn("__rid", F.col("l_orderkey").cast("string"))
+
+
+# With one feature of two values, a model with a constant gives each of them its mean.
+@query(f"with o as ({_LARGE}) select large, count(*) n, round(avg(n), 3) p from o group by 1")
+def ml_glm_poisson_cells(spark, sf):
+    from sparkloom.operators import models
+
+    rows, columns = _large_orders(spark, sf).withColumnRenamed("n", "label"), models.Columns(["large"])
+    model = models.fitted(rows, columns, models.roster("regression", objective="poisson")["PoissonGLM"], {"reg": 0.0})
+    found = models.predicted(model, rows, columns, "regression").groupBy("large").agg(F.count("*").alias("n"), F.round(F.avg("p"), 3).alias("p"))
+    return found.select(F.col("large").cast("int").alias("large"), "n", "p")
+
+
+@query(f"with o as ({_LARGE}) select large, count(*) n, round(avg((n > 4)::int), 3) p from o group by 1")
+def ml_logreg_cells(spark, sf):
+    from sparkloom.operators import models
+
+    rows, columns = _large_orders(spark, sf).withColumn("label", (F.col("n") > 4).cast("double")), models.Columns(["large"])
+    model = models.fitted(rows, columns, models.roster("classification")["LogisticRegression"], {"reg": 0.0})
+    found = models.predicted(model, rows, columns, "classification").groupBy("large").agg(F.count("*").alias("n"), F.round(F.avg("p"), 3).alias("p"))
+    return found.select(F.col("large").cast("int").alias("large"), "n", "p")
+
+
 def _fc_query(name: str, model: str):
     from sparkloom.operators import statmodels
 
