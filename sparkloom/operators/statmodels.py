@@ -12,7 +12,8 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from sparkloom.session import shipped
 
@@ -153,14 +154,16 @@ def fit_arima(y: np.ndarray, h: int, m: int, most: int = 1000) -> tuple[np.ndarr
     return w, sd * np.sqrt(np.cumsum(weights**2))
 
 
-def fit_harmonic(y: np.ndarray, h: int, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ridge regression on a trend with changes of slope and sines of the season."""
+def fit_harmonic(y: np.ndarray, h: int, m: int, beside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ridge regression on a trend with changes of slope, sines of the season and columns beside (of the known and the coming steps)."""
     n = len(y)
     t = np.arange(n + h) / n
     cols = [np.ones(n + h), t] + [np.maximum(0, t - c) for c in np.linspace(0.1, 0.8, 8)]
     if m > 1:
         for k in range(1, min(5, m // 2) + 1):
             cols += [np.sin(2 * np.pi * k * np.arange(n + h) / m), np.cos(2 * np.pi * k * np.arange(n + h) / m)]
+    if beside is not None:
+        cols += [(c - c[:n].mean()) / (c[:n].std() or 1.0) for c in beside.T]
     x = np.column_stack(cols)
     penalty = np.diag([0.0, 0.0] + [1.0] * 8 + [0.1] * (x.shape[1] - 10))
     beta = np.linalg.solve(x[:n].T @ x[:n] + penalty + 1e-9 * np.eye(x.shape[1]), x[:n].T @ y)
@@ -168,18 +171,38 @@ def fit_harmonic(y: np.ndarray, h: int, m: int) -> tuple[np.ndarray, np.ndarray]
     return x[n:] @ beta, np.full(h, sd)
 
 
+#: Forecasters that read columns beside the values.
+WITH_REGRESSORS = ("Harmonic",)
 FITS = {"ETS": fit_ets, "Theta": fit_theta, "ARIMA": fit_arima, "Harmonic": fit_harmonic}
 
 
-def forecasts(train: DataFrame, model: str, horizon: int, m: int = 1, level: float = 0.90) -> DataFrame:
-    """(model, fold, series, step, yhat, lo, hi, fallback) of training rows (fold, series, ds, y)."""
+def forecasts(train: DataFrame, model: str, horizon: int, m: int = 1, level: float = 0.90, regressors: list[str] = (), future: DataFrame | None = None) -> DataFrame:
+    """(model, fold, series, step, yhat, lo, hi, fallback) of training rows (fold, series, ds, y[, regressors]).
+
+    future has the regressors (series, ds) of the steps after each fold's end; a forecaster that
+    reads none ignores them, and a series without all of them takes its seasonal last values.
+    """
     shipped(train.sparkSession)
     fit, z = FITS[model], NormalDist().inv_cdf(0.5 + level / 2)
+    names = list(regressors) if model in WITH_REGRESSORS else []
+    given = train.select("fold", "series", "ds", "y", *[F.col(c).cast("double").alias(c) for c in names])
+    if names:
+        if future is None:
+            raise ValueError("regressors need their future values")
+        ends = train.groupBy("fold", "series").agg(F.max("ds").alias("z"))
+        ahead = future.join(ends, "series").filter(F.col("ds") > F.col("z"))
+        ahead = ahead.withColumn("__k", F.row_number().over(Window.partitionBy("fold", "series").orderBy("ds"))).filter(F.col("__k") <= horizon)
+        given = given.unionByName(ahead.select("fold", "series", "ds", F.lit(None).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in names]))
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        y = rows.sort_values("ds")["y"].to_numpy(dtype=float)
+        rows = rows.sort_values("ds")
+        y = rows["y"].to_numpy(dtype=float)
+        y = y[np.isfinite(y)] if names else y
+        beside = rows[names].to_numpy(dtype=float) if names else None
         try:
-            means, sds = fit(y, horizon, m)
+            if names and (len(beside) != len(y) + horizon or not np.isfinite(beside).all()):
+                raise ValueError("a regressor is not known at every step")
+            means, sds = fit(y, horizon, m, beside) if names else fit(y, horizon, m)
             if not (np.isfinite(means).all() and np.isfinite(sds).all()):
                 raise ValueError("not finite")
             fell = False
@@ -190,4 +213,4 @@ def forecasts(train: DataFrame, model: str, horizon: int, m: int = 1, level: flo
             "yhat": means, "lo": means - z * sds, "hi": means + z * sds, "fallback": fell,
         })
 
-    return train.select("fold", "series", "ds", "y").groupBy("fold", "series").applyInPandas(one, SCHEMA)
+    return given.groupBy("fold", "series").applyInPandas(one, SCHEMA)

@@ -28,12 +28,15 @@ class ForecastSpec:
     reconciliation: str = "auto"
     policy: str = "best_score"
     min_length: int | None = None
+    regressors: list[str] = field(default_factory=list)
 
     def checked(self) -> ForecastSpec:
         if self.horizon < 1 or self.folds < 1 or not 0.5 <= self.level < 1:
             raise ValueError("horizon and folds are 1 or more, level from .5 to under 1")
         if self.reconciliation not in ("auto", "none", *reconcile.METHODS):
             raise ValueError(f"no reconciliation {self.reconciliation}")
+        if self.regressors and self.hierarchy:
+            raise ValueError("parents of a hierarchy have no regressors")
         return self
 
 
@@ -52,6 +55,9 @@ class ForecastRun:
         for r in verdict.filter("reason is not null").limit(100).collect():
             self.log.append({"stage": "load", "decision": f"{r.series} is dropped: {r.reason}"})
         self.panel = panel.regular(panel.kept(merged, verdict), s.step)
+        if s.regressors:
+            known = rows.groupBy("series", "ds").agg(*[F.avg(c).alias(c) for c in s.regressors])
+            self.panel = panel.filled_regressors(self.panel.join(known, ["series", "ds"], "left"), s.regressors)
         if s.hierarchy:
             edges = rows.sparkSession.createDataFrame(s.hierarchy, "parent string, child string")
             whole = panel.with_parents(self.panel, edges)
@@ -91,9 +97,9 @@ class ForecastRun:
         s = self.spec
         self.rows = forecast.folded(self.panel, forecast.cutoffs(self.panel, s.step, s.horizon, s.folds))
         found = forecast.baselines(self.rows, s.horizon, self.m, s.level)
-        train = forecast.training(self.rows)
+        train, beside = forecast.training(self.rows), self.panel.select("series", "ds", *s.regressors)
         for name in s.models:
-            one = settled(statmodels.forecasts(train, name, s.horizon, self.m, s.level))  # each is fitted once
+            one = settled(statmodels.forecasts(train, name, s.horizon, self.m, s.level, s.regressors, beside))  # each is fitted once
             fell = one.filter("fallback").select("series").distinct().count()
             if fell:
                 self.log.append({"stage": "backtest", "decision": f"{name} could not be fitted to {fell} series, which take their seasonal last values"})
@@ -101,7 +107,7 @@ class ForecastRun:
         if s.trees:
             none = F.lit(None).cast("double")
             for k in range(1, s.folds + 1):
-                g = globalml.forecast(train.filter(F.col("fold") == k), s.step, s.horizon, self.m)
+                g = globalml.forecast(train.filter(F.col("fold") == k), s.step, s.horizon, self.m, regressors=s.regressors, future=beside)
                 found = found.unionByName(g.select(F.lit("Trees").alias("model"), F.lit(k).alias("fold"), "series", "step", "yhat", none.alias("lo"), none.alias("hi")))
         found = settled(found)
         self.predictions = found
@@ -132,9 +138,11 @@ class ForecastRun:
             self.log.append({"stage": "decide", "decision": f"bands can cover {low:.0%} at most with these residuals"})
         return self
 
-    def forecast(self) -> DataFrame:
-        """(series, ds, step, yhat, lo, hi) after the panel's end, reconciled if a hierarchy is given."""
+    def forecast(self, future: DataFrame | None = None) -> DataFrame:
+        """(series, ds, step, yhat, lo, hi) after the panel's end, reconciled if a hierarchy is given; future has the regressors (series, ds) of those steps."""
         s = self.spec
+        if s.regressors and future is None:
+            raise ValueError("regressors need their future values")
         train = self.panel.withColumn("fold", F.lit(0)).withColumn("is_train", F.lit(True)).withColumn("step", F.lit(None).cast("int"))
         names = self.members if self.champion == "Blend" else [self.champion]
         parts = None
@@ -142,9 +150,9 @@ class ForecastRun:
             if name in BASELINES:
                 p = forecast.baselines(train, s.horizon, self.m, s.level).filter(F.col("model") == name).select("series", "step", "yhat")
             elif name == "Trees":
-                p = globalml.forecast(train, s.step, s.horizon, self.m).select("series", "step", "yhat")
+                p = globalml.forecast(train, s.step, s.horizon, self.m, regressors=s.regressors, future=future).select("series", "step", "yhat")
             else:
-                p = statmodels.forecasts(train, name, s.horizon, self.m, s.level).select("series", "step", "yhat")
+                p = statmodels.forecasts(train, name, s.horizon, self.m, s.level, s.regressors, future).select("series", "step", "yhat")
             parts = p if parts is None else parts.unionByName(p)
         mean = parts.groupBy("series", "step").agg(F.avg("yhat").alias("yhat")).withColumn("model", F.lit(self.champion))
         out = forecast.banded(mean, self.widths)
@@ -180,7 +188,7 @@ class ForecastRun:
             found[method] = forecast.leaderboard(forecast.scored(self.rows, p, self.spec.horizon, self.m)).first()["mase"]
         return min(found, key=lambda k: (found[k], k))
 
-    def export(self, path: str, forecast_: DataFrame) -> None:
+    def export(self, path: str, forecast_: DataFrame, future: DataFrame | None = None) -> None:
         """The forecast, the panel, the widths and what was decided, in a folder; load() forecasts anew from it."""
         spark = self.panel.sparkSession
         forecast_.write.mode("overwrite").parquet(f"{path}/forecast")
@@ -188,7 +196,7 @@ class ForecastRun:
         self.widths.write.mode("overwrite").parquet(f"{path}/widths")
         meta = {"spec": asdict(self.spec), "season": self.m, "champion": self.champion, "pick": self.pick, "members": getattr(self, "members", []), "log": self.log}
         write_metadata(spark, meta, f"{path}/metadata")
-        if not ForecastRun.loaded(spark, path).forecast().limit(1).count():
+        if not ForecastRun.loaded(spark, path).forecast(future).limit(1).count():
             raise ValueError("the exported run gives no forecast")
 
     @classmethod
@@ -201,5 +209,5 @@ class ForecastRun:
         run.m, run.champion, run.pick, run.members = meta["season"], meta["champion"], meta["pick"], meta["members"]
         return run
 
-    def run(self, rows: DataFrame) -> DataFrame:
-        return self.load(rows).seasons().backtest().decide().forecast()
+    def run(self, rows: DataFrame, future: DataFrame | None = None) -> DataFrame:
+        return self.load(rows).seasons().backtest().decide().forecast(future)

@@ -136,3 +136,16 @@ def test_folds_of_time_have_no_row_after_them(spark):
     rows = spark.range(60).select(F.col("id").cast("string").alias("k"), F.timestamp_seconds(F.col("id") * 86400).alias("t"))
     made = split.time_folds(rows, "t", "k", 3)
     assert {r.block: r.n for r in made.groupBy("block").agg(F.count("*").alias("n")).collect()} == {0: 15, 1: 15, 2: 15, 3: 15}
+
+
+def test_a_run_with_a_regressor(spark, tmp_path):
+    rows = spark.range(150).select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("series"), "id")
+    rows = rows.select("series", F.timestamp_seconds(F.col("id") * 86400).cast("timestamp_ntz").alias("ds"), (F.hash("id") % 5 == 0).cast("double").alias("promo"), "id")
+    rows = rows.withColumn("y", 10 + F.sin(F.col("id") * 2 * math.pi / 7) + 8 * F.col("promo")).drop("id")
+    past, future = rows.filter(F.col("ds") < F.lit("1970-05-24").cast("timestamp_ntz")), rows.filter(F.col("ds") >= F.lit("1970-05-24").cast("timestamp_ntz")).drop("y")
+    run = ForecastRun(ForecastSpec(horizon=7, folds=2, period=7, models=["Theta", "Harmonic"], trees=False, blend=2, regressors=["promo"]))
+    got = {(r.series, r.ds): r.yhat for r in run.run(past, future).collect()}
+    truth = {(r.series, r.ds): r.y for r in rows.collect()}
+    assert run.best == "Harmonic" and len(got) == 14 and max(abs(v - truth[k]) for k, v in got.items()) < 0.5
+    with pytest.raises(ValueError, match="future"):
+        run.forecast()
