@@ -53,6 +53,11 @@ def tabular_report(run) -> str:
         table("Models on fresh folds", ["model", "score", "lowest", "highest"], board),
         table("Holdout", ["metric", "value"], list(run.result.items())),
     ]
+    if run.importance:
+        parts.append(table("Loss of score when a column is dealt anew", ["feature", "importance"], run.importance))
+    if run.linear:
+        parts.append(table("Mean absolute contribution to the linear model", ["feature", "contribution"], run.linear))
+    parts += [chart(f"Mean prediction over {f}", {f: [y for _, y in points]}) for f, points in run.dependence.items()]
     if run.leaks is not None:
         parts.insert(2, frame("Leak scan", run.leaks))
     return page(f"{run.task} of {run.spec.target}", parts)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import platform
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.ml import PipelineModel
@@ -64,6 +65,7 @@ class TabularRun:
     def load(self, df: DataFrame) -> TabularRun:
         s = self.spec
         df = without_nan(df)
+        self.raw = df
         held = [c for c in (s.time_column, s.group_column) if c]
         self.recipe, self.profile = profile.prepared(df, s.target, [*s.drop, *held], s.keep, s.limits)
         self.task = target.task(df.filter(F.col(s.target).isNotNull()), s.target) if s.task == "auto" else s.task
@@ -253,9 +255,11 @@ class TabularRun:
         if self.calibration is not None:
             self.calibration.write().overwrite().save(f"{path}/calibration")
         self.rows.select(*[c for c in self.rows.columns if c not in ("label", "split", "fold", "block")]).write.mode("overwrite").parquet(f"{path}/reference")
-        meta = {"task": self.task, "classes": self.classes, "members": list(self.models), "stack": self.champion == "Stack", "calibrated": self.calibration is not None, "champion": self.champion, "metric": self.stats["metric"], "objective": self.stats["objective"], "params": self.params, "screening": self.screening, "board": self.board, "importance": self.importance, "dependence": self.dependence, "contributions": self.linear, "pick": self.pick, "scores": self.scores, "holdout": self.result, "recipe": json.loads(self.recipe.to_json()), "columns": asdict(self.columns), "log": self.log, "target": self.spec.target}
+        meta = {"task": self.task, "classes": self.classes, "members": list(self.models), "stack": self.champion == "Stack", "calibrated": self.calibration is not None, "champion": self.champion, "metric": self.stats["metric"], "objective": self.stats["objective"], "params": self.params, "screening": self.screening, "board": self.board, "importance": self.importance, "dependence": self.dependence, "contributions": self.linear, "pick": self.pick, "scores": self.scores, "holdout": self.result, "recipe": json.loads(self.recipe.to_json()), "columns": asdict(self.columns), "log": self.log, "target": self.spec.target, "versions": {"spark": spark.version, "python": platform.python_version()}}
         write_metadata(spark, meta, f"{path}/metadata")
-        Scorer.load(spark, path).score(spark.read.parquet(f"{path}/reference").limit(20), prepared=True).count()
+        few = settled(self.raw.drop(self.spec.target).limit(20))
+        if Scorer.load(spark, path).score(few).count() != few.count():
+            raise ValueError("the exported run does not score raw rows")
 
 
 def combined(parts: dict[str, DataFrame], task: str, classes: int, stack=None, calibration=None) -> DataFrame:
