@@ -1,6 +1,7 @@
 """The corpus operators against SQL, brute force, exact round trips and held-out accuracy."""
 
 import collections
+import functools
 import io
 import json
 import os
@@ -605,6 +606,44 @@ def test_recall_of_changed_passages(spark, words):
     assert sum(got[b] == a for a, b in pairs) >= 0.9 * len(pairs)
 
 
+def test_changed_passages_in_large_groups(spark, monkeypatch):
+    """Texts of one line, pairs of which share changed passages about it: nothing is lost of what all pairs of the groups give, in parts of keys too."""
+    rng = np.random.default_rng(17)
+    line = [f"l{i}" for i in range(24)]
+    rows = []
+    for d in range(120):
+        base = [f"b{d // 2}x{i}" for i in range(18)] + line + [f"b{d // 2}y{i}" for i in range(18)]
+        for i in rng.choice(18, int(rng.integers(0, 2)), replace=False) + (42 if d % 4 else 0):
+            base[i] = f"d{d}z{i}"
+        if d % 10 == 0:
+            base.insert(20, f"d{d}in")
+        rows.append((d, " ".join([f"d{d}w{i}" for i in range(int(rng.integers(20, 60)))] + base + [f"d{d}v{i}" for i in range(30)])))
+    for d in range(200, 240):  # near copies of one text, none of which has 50 words in a row of another
+        base = [f"n{i}" for i in range(140)]
+        for i in range(int(rng.integers(0, 45)), 140, 45):
+            base[i] = f"d{d}z{i}"
+        rows.append((d, " ".join(base)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+
+    def found():
+        words, links = collections.defaultdict(set), []
+        for r in passages.shared(docs).collect():
+            words[r.uid] |= set(range(r.first, r.last + 1))
+            links.append((r.uid, r.other))
+        return roots(links, list(words)), words
+
+    got = [found()]
+    with monkeypatch.context() as m:
+        m.setattr(passages, "HOT", 16)
+        m.setattr(passages, "SAMPLED", 2)
+        got.append(found())
+    monkeypatch.setattr(passages, "meetings", functools.partial(passages.meetings, small=200))
+    classes, words = found()
+    assert len(classes) > 120
+    for c, w in got:
+        assert all(c[x] == c[classes[x]] for x in classes) and all(words[x] <= w[x] for x in words)
+
+
 def test_passages_do_not_depend_on_partitions(spark):
     rng = np.random.default_rng(3)
     base = [f"b{i}" for i in range(120)]
