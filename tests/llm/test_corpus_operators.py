@@ -644,6 +644,22 @@ def test_changed_passages_in_large_groups(spark, monkeypatch):
         assert all(c[x] == c[classes[x]] for x in classes) and all(words[x] <= w[x] for x in words)
 
 
+def test_changed_passages_of_large_groups_are_removed(spark, monkeypatch):
+    """Of pairs of texts with changed passages about one line, no more words stay than when all pairs of the line's group meet."""
+    line = [f"l{i}" for i in range(24)]
+    rows = []
+    for d in range(60):
+        base = [f"b{d // 2}x{i}" for i in range(18)] + line + [f"b{d // 2}y{i}" for i in range(18)]
+        base[8 if d % 2 else 50] = f"d{d}z"
+        rows.append((d, " ".join([f"d{d}w{i}" for i in range(20 + d)] + base + [f"d{d}v{i}" for i in range(30)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    left = lambda: {r.doc_id: len(r.text.split()) for r in passages.removed(docs).collect()}
+    got = left()
+    monkeypatch.setattr(passages, "meetings", functools.partial(passages.meetings, small=200))
+    whole = left()
+    assert sum(whole.values()) < sum(len(t.split()) for _, t in rows) and all(got[d] <= whole[d] for d in whole)
+
+
 def test_passages_do_not_depend_on_partitions(spark):
     rng = np.random.default_rng(3)
     base = [f"b{i}" for i in range(120)]
