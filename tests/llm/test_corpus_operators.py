@@ -684,6 +684,19 @@ def test_a_passage_twice_in_one_text_and_once_in_another(spark):
     assert sum(r.text.count(" ".join(p)) for r in passages.removed(df).collect()) == 1
 
 
+def test_a_changed_passage_at_every_place_of_a_text(spark):
+    """A long block that a text repeats has the same words around the passage at each place: each is found, and one stays."""
+    p = [f"p{i}" for i in range(150)]
+    block = [f"m{i}" for i in range(400)] + p + [f"n{i}" for i in range(400)]
+    own = lambda d: [f"o{d}x{i}" for i in range(30)]
+    changed = [f"c{i}" if i in (40, 88, 136) else w for i, w in enumerate(p)]  # no 50 words in a row
+    docs = [(1, " ".join(own(0) + block + own(1) + block + own(2) + block + own(3) + block)), (2, " ".join(own(4) + changed + own(5)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    spans = {r.doc_id: [(s["first"], s["last"]) for s in r.spans] for r in passages.classed(df).collect()}
+    assert spans == {1: [(x, x + 149) for x in (430, 1410, 2390, 3370)], 2: [(30, 179)]}
+    assert sum(r.text.split().count("p0") for r in passages.removed(df).collect()) == 1
+
+
 def test_texts_beyond_a_part_are_cut(spark):
     rng = np.random.default_rng(5)
     text = " ".join(f"w{i}" for i in rng.integers(0, 10**6, 3000))
