@@ -363,15 +363,14 @@ def near_runs(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Rec
         yield edges(held[0])
 
 
-def crossing(odd: list[bytes], sizes: np.ndarray, labels: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (i, j) of different labels that can be similar enough, and a bound of how far apart they are.
+def crossing(odd: list[bytes], sizes: np.ndarray, labels: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of different labels that can be similar enough, and a bound of how far apart they are, in parts.
 
     A pair of similarity s differs in (1 - s) / (1 + s) of the sum of both sizes.
     """
     widths = np.array([len(x) for x in odd])
     kinds = np.unique(widths)
     share = (1 - similarity) / (1 + similarity)
-    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
     plane = {int(w): np.flatnonzero(widths == w) for w in kinds}
     words = {w: np.frombuffer(b"".join(odd[i] for i in at), "<u8").reshape(len(at), -1) for w, at in plane.items()}
     for w, one in plane.items():
@@ -395,8 +394,25 @@ def crossing(odd: list[bytes], sizes: np.ndarray, labels: np.ndarray, similarity
                     apart += np.bitwise_count(mine[at : at + 256, p][:, None] ^ other[:, p][None])
                 near &= apart <= share * both + 1e-6
                 x, y = np.nonzero(near)
-                out.append((rows[x], two[y], apart[x, y] / both[x, y]))
-    return tuple(np.concatenate(x) for x in zip(*out))
+                yield rows[x], two[y], apart[x, y] / both[x, y]
+
+
+def lightest(labels: np.ndarray, parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs in parts, a lightest spanning forest of the labels; when most pairs are held, that of the pairs so far stands for them."""
+    names, place = np.unique(labels, return_inverse=True)
+    held, n = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))], 0
+
+    def forest_of(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b, weight = (np.concatenate(x) for x in zip(*held))
+        pick = spanning(len(names), place[a], place[b], weight)
+        return a[pick], b[pick], weight[pick]
+
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n >= most:
+            held, n = [forest_of(held)], 0
+    return forest_of(held)[:2]
 
 
 def crossing_runs(batches: Iterator[pa.RecordBatch], similarity: float, whole: bool) -> Iterator[pa.RecordBatch]:
@@ -410,17 +426,14 @@ def crossing_runs(batches: Iterator[pa.RecordBatch], similarity: float, whole: b
             uid, label, sizes = rows[run, 3], rows[run, 4], rows[run, 5]
             if (label == label[0]).all():
                 continue
-            a, b, weight = crossing(odd[run], sizes, label, similarity)
-            if len(a) and not whole:
-                names, place = np.unique(label, return_inverse=True)
-                pick = spanning(len(names), place[a], place[b], weight)
-                a, b = a[pick], b[pick]
-            x.append(uid[a])
-            y.append(uid[b])
-            found += len(a)
-            if found >= 1 << 16:
-                yield _edges(np.concatenate(x), np.concatenate(y))
-                x, y, found = [], [], 0
+            parts = crossing(odd[run], sizes, label, similarity)
+            for a, b in ((a, b) for a, b, _ in parts) if whole else [lightest(label, parts)]:
+                x.append(uid[a])
+                y.append(uid[b])
+                found += len(a)
+                if found >= 1 << 16:
+                    yield _edges(np.concatenate(x), np.concatenate(y))
+                    x, y, found = [], [], 0
         if found:
             yield _edges(np.concatenate(x), np.concatenate(y))
 
@@ -489,8 +502,8 @@ def near_copies(docs: DataFrame, text: str = "text", shingle: int = 5, similarit
     Two texts are near copies if the Jaccard similarity of their word shingles is at least
     similarity. Texts of one block (equal smallest shingle hash under one of the functions;
     two near copies miss all of them with a chance of 0.2 ** 8 at 0.8) are compared by
-    bit-sliced distance; of what is within the radius each block gives the closest links, a
-    spanning forest, and those are verified on whole texts. What this leaves apart is compared
+    bit-sliced distance, in chunks where a block is large; of what is within the radius each
+    chunk gives the closest links, a spanning forest, and those are verified on whole texts. What this leaves apart is compared
     again, at any distance: of the pairs of a block that join two components and that their
     sizes and parities do not rule out, first a spanning forest is verified, and then all that
     still join two. So every similar pair of a block ends in one component.
@@ -508,11 +521,32 @@ def near_copies(docs: DataFrame, text: str = "text", shingle: int = 5, similarit
     marks = written(marks.groupBy("uid").agg(*[F.first(c).alias(c) for c in ("fp", "keys", "size", "odd")]), "simhash-sketches")
     keyed = marks.select("uid", "fp", F.posexplode("keys").alias("f", "key")).select("uid", "fp", F.xxhash64("f", "key").alias("k"))
 
-    def dealt(sized: DataFrame, by: str, *carried: str) -> DataFrame:
-        """Rows in tiles of their blocks, sorted by k, i, j and the carried columns; sized has the block's number of rows as n."""
-        sized = sized.withColumn("m", F.when(F.col("n") <= 2 * chunk, F.lit(1)).otherwise(F.ceil(F.col("n") / chunk)).cast("int"))
-        own = F.pmod(F.xxhash64(by, F.lit(1)), F.col("m")).cast("int")
-        tiles = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    one_tile = F.col("n") <= 2 * chunk
+
+    def chunked(sized: DataFrame) -> DataFrame:
+        """Rows (k, i, j, fp, uid), sorted, each in one chunk of its block, which differs by block; sized has the block's number of rows as n."""
+        m = F.when(one_tile, F.lit(1)).otherwise(F.ceil(F.col("n") / chunk)).cast("int")
+        own = F.pmod(F.xxhash64("fp", "k"), m).cast("int")
+        return sized.select("k", own.alias("i"), own.alias("j"), "fp", "uid").repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "fp", "uid")
+
+    def tiled(sized: DataFrame, *carried: str) -> DataFrame:
+        """Rows in tiles of their blocks, sorted by k, i, j and the carried columns, so that each two of different labels meet.
+
+        sized has the block's number of rows as n, its most frequent label as main and the rows of that
+        as most. Where that makes fewer rows, these are dealt in chunks of their own, which do not meet
+        each other. A tile has two different chunks, and all pairs of both are compared. Chunks are as many
+        as the root of what chunks of the fixed size would be: a row is in about as many tiles, and the
+        tiles grow alike.
+        """
+        pieces = lambda n: F.ceil(F.sqrt(n / chunk)).cast("int")
+        n, most = F.col("n"), F.col("most")
+        apart = most * pieces(n - most) + (n - most) * (pieces(most) + pieces(n - most) - 1) < n * (pieces(n) - 1)
+        sized = sized.withColumn("m1", F.when(apart, pieces(most)).otherwise(0)).withColumn("m", F.when(one_tile, F.lit(1)).when(apart, pieces(most) + pieces(n - most)).otherwise(pieces(n)))
+        other = (F.col("m1") == 0) | (F.col("label") != F.col("main"))
+        own = F.when(one_tile, F.lit(0)).when(other, F.col("m1") + F.pmod(F.xxhash64("uid", F.lit(1)), F.col("m") - F.col("m1"))).otherwise(F.pmod(F.xxhash64("uid", F.lit(1)), F.col("m1"))).cast("int")
+        start = F.when(one_tile | other, F.lit(0)).otherwise(F.col("m1"))
+        met = F.filter(F.sequence(start, F.col("m") - 1), lambda j: one_tile | (j != own))
+        tiles = F.transform(met, lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
         out = sized.select("k", *carried, F.explode(tiles).alias("t")).select("k", "t.i", "t.j", *carried)
         return out.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", *carried[:2])
 
@@ -523,7 +557,7 @@ def near_copies(docs: DataFrame, text: str = "text", shingle: int = 5, similarit
         return one.join(texts.withColumnRenamed("uid", "b"), "b").mapInArrow(lean(lambda b: _similar(b, shingle, similarity)), "a long, b long")
 
     counts = keyed.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
-    together = dealt(keyed.join(counts, "k"), "fp", "fp", "uid")
+    together = chunked(keyed.join(counts, "k"))
     asked = written(together.mapInArrow(lean(lambda b: near_runs(b, radius)), "a long, b long").distinct(), "simhash-asked")
     links = written(similar(asked), "simhash-similar")
     found = components(links, "simhash-copies")
@@ -531,8 +565,9 @@ def near_copies(docs: DataFrame, text: str = "text", shingle: int = 5, similarit
         label = F.coalesce("component", "uid").alias("label")
         labelled = marks.join(small_or_not(found, BROADCAST_ROWS), F.col("uid") == F.col("node"), "left").select("uid", label, "size", "odd", F.posexplode("keys").alias("f", "key"))
         labelled = labelled.select("uid", "label", "size", "odd", F.xxhash64("f", "key").alias("k"))
-        mixed_ = labelled.groupBy("k").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("k", "n")
-        together = dealt(labelled.join(mixed_, "k"), "uid", "uid", "label", "size", "odd")
+        mixed_ = labelled.groupBy("k", "label").agg(F.count("*").alias("n")).groupBy("k").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top")).filter("n > top.n")
+        mixed_ = mixed_.select("k", "n", F.col("top.n").alias("most"), F.col("top.label").alias("main"))
+        together = tiled(labelled.join(mixed_, "k"), "uid", "label", "size", "odd")
         more = together.mapInArrow(lean(lambda b, whole=whole: crossing_runs(b, similarity, whole)), "a long, b long").distinct()
         more = written(more.join(asked, ["a", "b"], "left_anti"), "simhash-asked")
         if more.isEmpty():

@@ -150,6 +150,39 @@ def test_near_copies_far_apart_in_bits(spark):
     assert far > 5 and {r.doc_id for r in got.collect()} == set(expected.values())
 
 
+@pytest.mark.parametrize("alike", [0, 150, 290])
+def test_large_blocks_make_few_rows_and_lose_no_pair(spark, monkeypatch, alike):
+    """Texts of one block, alike of them near copies of one: rows do not grow with the square of the block, and all similar pairs are found."""
+    rng = np.random.default_rng(alike)
+    lines = [f"l{i} k k k k" for i in range(300_000)]
+    hashes = np.array([xxhash.xxh64_intdigest(x, simhash.SEED) for x in lines], np.uint64)
+    line = lines[int(simhash.mixed(hashes ^ np.uint64(0x9E3779B97F4A7C15)).argmin())]  # the smallest hash of nearly any text that has it
+    texts = {}
+    for d in range(300):
+        if d < alike:
+            own = [f"a{i}" for i in range(100)]
+            own[int(rng.integers(0, 100))] = f"z{d}"
+        else:
+            own = [f"d{d // 2}x{i}" for i in range(20)] + [f"z{d}"]
+        texts[d] = " ".join([line, *own])
+    assert collections.Counter(simhash.sketch(t, 5, 1)[1][0] for t in texts.values()).most_common(1)[0][1] > 280
+    made, frame = [], type(spark.range(1))
+    work = frame.mapInArrow
+
+    def counted(df, *args, **kwargs):
+        if {"k", "i", "j"} <= set(df.columns):
+            made.append(df.count())
+        return work(df, *args, **kwargs)
+
+    monkeypatch.setattr(frame, "mapInArrow", counted)
+    got = simhash.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), functions=1, chunk=8)
+    names = {r.uid: r.node for r in got.collect()}
+    uid = dict(spark.createDataFrame(list(texts.items()), "d long, t string").select("d", F.xxhash64("t")).collect())
+    expected = roots(similar_pairs(texts), texts)
+    assert all(names.get(uid[a], uid[a]) == names.get(uid[b], uid[b]) for a, b in expected.items())
+    assert len(made) == 3 and max(made) < 7 * 300  # tiles of pairs of chunks of 8: 38 * 300
+
+
 def test_families_around_the_similarity_are_whole(spark):
     """Pairs on both sides of 0.8: a failed link of a block's forest must not hide the pairs that it stood for."""
     rng = np.random.default_rng(8)
