@@ -730,6 +730,21 @@ def test_a_changed_passage_at_every_place_of_a_text(spark):
     assert sum(r.text.split().count("p0") for r in passages.removed(df).collect()) == 1
 
 
+def test_pairs_with_too_little_in_common_are_not_compared(monkeypatch):
+    """Places of a key that share its words and a few that one of them repeats, and not what a passage needs."""
+    made, work = [], passages.common_passages
+    monkeypatch.setattr(passages, "common_passages", lambda *a: made.append(a) or work(*a))
+
+    def compared(n):
+        middle = lambda d: [*range(5000, 5013), *[*range(6000, 6000 + n)] * (1 + d % 2)]
+        around = [np.array([*range(100 * d, 100 * d + 60), *middle(d), *range(100 * d + 61, 100 * d + 99)], np.uint16).tobytes() for d in range(1, 13)]
+        made.clear()
+        out = passages.near_meetings(7, np.arange(12), np.full(12, 60), np.full(12, 60), around, [[]] * 12, 50, 0.8)
+        return len(made), len(out)
+
+    assert compared(8) == (0, 0)
+
+
 def test_texts_beyond_a_part_are_cut(spark):
     rng = np.random.default_rng(5)
     text = " ".join(f"w{i}" for i in rng.integers(0, 10**6, 3000))
