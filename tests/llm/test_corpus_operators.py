@@ -3,6 +3,7 @@
 import collections
 import functools
 import io
+import itertools
 import json
 import os
 import re
@@ -745,6 +746,78 @@ def test_pairs_with_too_little_in_common_are_not_compared(monkeypatch):
     assert compared(8) == (0, 0)
 
 
+def near_meetings_of(texts):
+    """The rows that near_meetings gives of all keys of the texts."""
+    by = collections.defaultdict(list)
+    for uid, text in enumerate(texts):
+        words = passages.word_hashes(text)
+        for _, k, c, left, right in passages.windows([text], 46):
+            k, _, c, left, right = passages.firsts_of(k, np.full(len(k), uid), c, left, right, 46)
+            near = passages.surroundings(words, k, c, left, right, 46, np.ones(max(0, len(words) - 49), bool))
+            for key, *row in zip(*near):
+                by[key].append((uid, *row))
+    out = []
+    for key, rows in by.items():
+        uid, centre, before, around, also, given = zip(*sorted(rows, key=lambda r: r[:2]))
+        if uid[0] != uid[-1]:
+            out += passages.near_meetings(key, np.array(uid), np.array(centre), np.array(before), list(around), list(also), 50, 0.8, list(given))
+    return out
+
+
+@pytest.mark.parametrize("period", [1, 2])
+def test_stretches_of_one_word_lose_nothing(monkeypatch, period):
+    """Texts of few words, said many times, with changed words: words and links are those that are found when no run is known and no member of a stretch left out."""
+    rng = np.random.default_rng(period)
+    texts = []
+    for d in range(5):
+        w = [f"d{d}o{i}" for i in range(int(rng.integers(3, 30)))]
+        for _ in range(int(rng.integers(2, 5))):
+            said, times = 0, int(rng.integers(10, 45))
+            w += [f"s{said}p{i % period}" for i in range(times)]
+            if rng.random() < 0.6:
+                w += [f"d{d}z{len(w)}"] * int(rng.integers(1, 4))
+        texts.append(" ".join(w))
+    words = [passages.short_hashes(t) for t in texts]
+
+    def found():
+        got, links, anchors = set(), [], collections.defaultdict(set)
+        for row in near_meetings_of(texts):
+            if row[6] is None:
+                got |= {(row[1], i) for i in range(row[2], row[3] + 1)}
+            else:
+                a, b = sorted([(row[1], row[2]), (row[5], row[6])])
+                anchors[a[0], b[0]].add((a[1], b[1]))
+        for a, b in itertools.combinations(range(len(texts)), 2):
+            runs = collections.defaultdict(list)  # runs that meet as a whole
+            for i in range(len(words[a]) - 49):
+                runs[words[a][i : i + 50].tobytes()].append(i)
+            for j in range(len(words[b]) - 49):
+                if (same := runs.get(words[b][j : j + 50].tobytes())) is not None:
+                    links.append((a, b))
+                    got |= {(b, j + x) for x in range(50)} | {(a, i + x) for i in same for x in range(50)}
+            for s, e, f, g in passages.common_passages(words[a], 0, words[b], 0, sorted(anchors[a, b]), 50):
+                links.append((a, b))
+                got |= {(a, i) for i in range(s, e + 5)} | {(b, i) for i in range(f, g + 5)}
+        return got, roots(links, range(len(texts)))
+
+    got, classes = found()
+    work = passages.near_meetings
+    monkeypatch.setattr(passages, "near_meetings", lambda *a: work(*a[:8]))
+    monkeypatch.setattr(passages, "in_stretch", lambda data, before, classes: [np.zeros(len(x[0]), bool) for x in classes])
+    expected, expected_classes = found()
+    assert expected
+    assert expected <= got and all(classes[x] == classes[expected_classes[x]] for x in classes)
+
+
+def test_stretches_of_one_word_are_not_compared_place_by_place(monkeypatch):
+    """Texts that say one word many times beside words of which two texts say some too: most of what they have in common is whole runs, and few pairs are compared (668 when all were)."""
+    made, work = [], passages.common_passages
+    monkeypatch.setattr(passages, "common_passages", lambda *a: made.append(a) or work(*a))
+    texts = [" ".join([f"a{d // 2}"] * 20 + ["the"] * (15 + 3 * d) + [f"b{d // 3}"] * 20) for d in range(8)]
+    near_meetings_of(texts)
+    assert 0 < len(made) < 200
+
+
 def test_texts_beyond_a_part_are_cut(spark):
     rng = np.random.default_rng(5)
     text = " ".join(f"w{i}" for i in rng.integers(0, 10**6, 3000))
