@@ -818,6 +818,14 @@ def test_stretches_of_one_word_are_not_compared_place_by_place(monkeypatch):
     assert 0 < len(made) < 200
 
 
+def test_diagonals_of_one_word_are_looked_at_once(monkeypatch):
+    """Two texts of a few words that are said many times: a diagonal is compared once, not for each two places that lie on it (179 comparisons when it was)."""
+    made, work = [], passages.common_passages
+    monkeypatch.setattr(passages, "common_passages", lambda *a: made.append(a) or work(*a))
+    near_meetings_of([" ".join([w for w, n in words for _ in range(n)]) for words in ([("the", 40), ("of", 44), ("to", 40), ("in", 48)], [("of", 42), ("at", 30), ("the", 44), ("of", 46), ("on", 40)])])
+    assert 0 < len(made) < 60
+
+
 def test_texts_beyond_a_part_are_cut(spark):
     rng = np.random.default_rng(5)
     text = " ".join(f"w{i}" for i in rng.integers(0, 10**6, 3000))
