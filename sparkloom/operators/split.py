@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.scalars import hashed
+from sparkloom.session import settled
+
+#: Buckets up to which those of a sample are broadcast.
+FEW = 100_000
 
 
 def ranked(df: DataFrame, parts: list[str], bucket: Column, order: list, name: str = "__rank") -> DataFrame:
@@ -86,5 +90,15 @@ def time_folds(df: DataFrame, ts: str, key: str, k: int = 3) -> DataFrame:
 def stratified_sample(df: DataFrame, key: list[str], stratum: str, rows: int, salt: str | int = 42) -> DataFrame:
     """About rows rows: of each stratum ceil(rows * its share), the first in hashed order."""
     n = df.count()
-    taken = sizes(hash_ranked(df, F.concat_ws("-", *key), list(key), [stratum], salt), [stratum])
-    return taken.filter(F.col("__rank") <= F.ceil(F.col("__size") * rows / F.lit(max(1, n)))).drop("__rank", "__size")
+    code = F.substring(hashed(F.concat_ws("-", *key), salt), 1, 3)
+    by = df.withColumn("__code", code)
+    # only the buckets that the first rows of a stratum lie in are ranked: the others are counted, and go no further
+    counts = by.groupBy(F.col(stratum).alias("__s"), F.col("__code").alias("__k")).agg(F.count("*").alias("__c"))
+    before = Window.partitionBy("__s").orderBy(F.asc_nulls_last("__k")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+    wanted = F.ceil(F.sum("__c").over(Window.partitionBy("__s")) * rows / F.lit(max(1, n)))
+    first = counts.select("__s", "__k", wanted.alias("__wanted"), F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__before")).filter(F.col("__before") < F.col("__wanted"))
+    first = settled(first)
+    if first.limit(FEW + 1).count() <= FEW:
+        first = F.broadcast(first)
+    some = by.join(first, F.col(stratum).eqNullSafe(F.col("__s")) & F.col("__code").eqNullSafe(F.col("__k"))).drop("__s", "__k", "__code", "__before")
+    return hash_ranked(some, F.concat_ws("-", *key), list(key), [stratum], salt).filter(F.col("__rank") <= F.col("__wanted")).drop("__rank", "__wanted")

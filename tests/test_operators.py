@@ -282,3 +282,14 @@ def test_model_helpers(spark):
     assert all(c > 0 for c in meta.coefficients)
     best, _ = models.tuned(rows, columns, "LogisticRegression", family, "classification", 2, 1)
     assert set(best) <= {"reg"}
+
+
+def test_a_sample_ranks_only_the_buckets_that_it_takes(spark, monkeypatch):
+    """All rows are counted; those of buckets behind the last row taken are not ranked. The sample is that of ranks over all rows."""
+    df = spark.range(20000).select("id", F.when(F.col("id") % 5 > 0, F.col("id") % 3).alias("s"))
+    ranked, work = [], split.hash_ranked
+    monkeypatch.setattr(split, "hash_ranked", lambda rows, *a: ranked.append(rows.count()) or work(rows, *a))
+    got = {r.id for r in split.stratified_sample(df, ["id"], "s", 100).collect()}
+    everything = split.sizes(work(df, F.concat_ws("-", "id"), ["id"], ["s"], 42), ["s"])
+    assert got == {r.id for r in everything.filter(F.col("__rank") <= F.ceil(F.col("__size") * 100 / 20000)).collect()}
+    assert len(got) == 101 and ranked[0] < 400
