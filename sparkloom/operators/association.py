@@ -9,6 +9,8 @@ from sparkloom.session import settled
 
 #: Parts that a column's values are dealt in for running sums; rows up to which a quantile is left to one aggregate.
 BUCKETS, AT_ONCE = 64, 200_000
+#: Distinct values of a column up to which its ranks are broadcast; rows in a part where they are not.
+RANKED, PART_ROWS = 200_000, 2_000_000
 
 
 def running(counts: DataFrame, parts: list[str], value: str, sums: list[str]) -> DataFrame:
@@ -60,9 +62,46 @@ def _of_pairs(df: DataFrame, pairs: list[tuple[str, str]], least: int) -> DataFr
     return out.withColumn("rho", F.when((F.col("n") >= least) & ~F.isnan("rho"), F.col("rho")))
 
 
+def _of_whole(df: DataFrame, pairs: list[tuple[str, str]], least: int, n: int) -> DataFrame:
+    """(f1, f2, n, rho) of pairs of columns without a missing value: each column is ranked once.
+
+    Ranks are by distinct value. The rows meet the ranks by the value, column after column: few values are broadcast, for
+    many the rows are dealt in parts of PART_ROWS, however many rows there are. Nothing is dealt by row.
+    """
+    columns = list(dict.fromkeys(c for pair in pairs for c in pair))
+    place = {c: i for i, c in enumerate(columns)}
+    rows = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for c, i in place.items()])
+    for c, i in place.items():
+        counts = rows.groupBy(F.col(f"x{i}").alias("v")).agg(F.count("*").alias("c"))
+        ranks = settled(running(counts, [], "v", ["c"]).select(F.col("v").alias(f"v{i}"), (F.col("before_c") + (F.col("c") + 1) / 2).alias(f"r{i}")))
+        if ranks.limit(RANKED + 1).count() <= RANKED:
+            ranks = F.broadcast(ranks)
+        elif n > PART_ROWS:
+            parts = -(-n // PART_ROWS)
+            rows, ranks = rows.repartition(parts, f"x{i}"), ranks.repartition(parts, f"v{i}")
+        rows = rows.join(ranks, F.col(f"x{i}") == F.col(f"v{i}")).drop(f"v{i}", f"x{i}")
+    moments = rows.agg(*[correlation(f"r{place[a]}", f"r{place[b]}").alias(f"{place[a]}_{place[b]}") for a, b in pairs])
+    values = [F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.lit(n).cast("long").alias("n"), F.when(F.lit(n >= least) & ~F.isnan(f"{place[a]}_{place[b]}"), F.col(f"{place[a]}_{place[b]}")).alias("rho")) for a, b in pairs]
+    return moments.select(F.explode(F.array(*values)).alias("x")).select("x.*")
+
+
+def _spearman(df: DataFrame, pairs: list[tuple[str, str]], least: int) -> DataFrame:
+    columns = list(dict.fromkeys(c for pair in pairs for c in pair))
+    gaps = df.agg(F.count("*").alias("__rows"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"__{i}") for i, c in enumerate(columns)]).first()
+    missing = {c for i, c in enumerate(columns) if gaps[f"__{i}"]}
+    rest = [p for p in pairs if missing & set(p)]
+    whole = [p for p in pairs if not missing & set(p)]
+    names = ("f1", "f2", "n", "rho")
+    out = _of_pairs(df, rest, least).select(*names) if rest else None
+    if whole:
+        found = _of_whole(df, whole, least, gaps["__rows"]).select(*names)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def spearman_with(df: DataFrame, columns: list[str], target: str, least: int = 10) -> DataFrame:
-    """(f1, f2, n, rho) of every column with the target, as one plan."""
-    return _of_pairs(df, [(c, target) for c in columns], least)
+    """(f1, f2, n, rho) of every column with the target; each column is ranked once if neither has a gap."""
+    return _spearman(df, [(c, target) for c in columns], least)
 
 
 def spearman_pairs(df: DataFrame, columns: list[str], least: int = 10) -> DataFrame:
@@ -71,25 +110,7 @@ def spearman_pairs(df: DataFrame, columns: list[str], least: int = 10) -> DataFr
     Columns without a missing value are ranked once each, and one pass over the rows' ranks gives
     the moments of all their pairs; only pairs with a gap are ranked by themselves.
     """
-    names = ("f1", "f2", "n", "rho")
-    gaps = df.agg(F.count("*").alias("__rows"), *[F.count_if(F.col(c).isNull()).alias(f"__{i}") for i, c in enumerate(columns)]).first()
-    whole = [c for i, c in enumerate(columns) if not gaps[f"__{i}"]]
-    place = {c: i for i, c in enumerate(columns)}
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    rest = [(a, b) for a, b in pairs if a not in whole or b not in whole]
-    out = _of_pairs(df, rest, least).select(*names) if rest else None
-    if len(whole) > 1:
-        ranks = None
-        numbered = settled(df.select(F.monotonically_increasing_id().alias("__rid"), *[F.col(c).cast("double").alias(f"x{place[c]}") for c in whole]))
-        long = numbered.select("__rid", F.explode(F.array(*[F.struct(F.lit(place[c]).alias("c"), F.col(f"x{place[c]}").alias("v")) for c in whole])).alias("x")).select("__rid", "x.*")
-        ranks = average_ranks(long, ["c"], "v")
-        wide = ranks.groupBy("__rid").agg(*[F.max(F.when(F.col("c") == place[c], F.col("rank"))).alias(f"r{place[c]}") for c in whole])
-        moments = wide.agg(*[correlation(f"r{place[a]}", f"r{place[b]}").alias(f"{place[a]}_{place[b]}") for a, b in pairs if (a, b) not in set(rest)])
-        n = gaps["__rows"]
-        values = [F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.lit(n).cast("long").alias("n"), F.when(F.lit(n >= least) & ~F.isnan(f"{place[a]}_{place[b]}"), F.col(f"{place[a]}_{place[b]}")).alias("rho")) for a, b in pairs if (a, b) not in set(rest)]
-        found = moments.select(F.explode(F.array(*values)).alias("x")).select("x.*")
-        out = found if out is None else out.unionByName(found)
-    return out
+    return _spearman(df, [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]], least)
 
 
 def quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float]:

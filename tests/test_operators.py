@@ -293,3 +293,17 @@ def test_a_sample_ranks_only_the_buckets_that_it_takes(spark, monkeypatch):
     everything = split.sizes(work(df, F.concat_ws("-", "id"), ["id"], ["s"], 42), ["s"])
     assert got == {r.id for r in everything.filter(F.col("__rank") <= F.ceil(F.col("__size") * 100 / 20000)).collect()}
     assert len(got) == 101 and ranked[0] < 400
+
+
+def test_rank_correlations_deal_nothing_by_row(spark, monkeypatch):
+    """The rows are grouped by value alone, not once for each column and again by row; ranks are the same where they are not broadcast."""
+    df = spark.range(3000).select((F.col("id") % 7).alias("a"), (F.col("id") * 37 % 1000).alias("b"), (F.col("id") * 11 % 13 - F.col("id") % 7).alias("c"))
+    columns = ["a", "b", "c"]
+    few = {(r.f1, r.f2): (r.n, r.rho) for r in association.spearman_pairs(df, columns).collect()}
+    ranks = df.toPandas()[columns].rank()
+    assert all(n == 3000 and abs(rho - ranks[a].corr(ranks[b])) < 1e-9 for (a, b), (n, rho) in few.items()) and len(few) == 3
+    assert "__rid" not in association.spearman_pairs(df, columns)._jdf.queryExecution().toString()
+    monkeypatch.setattr(association, "RANKED", 0)
+    monkeypatch.setattr(association, "PART_ROWS", 500)
+    found = association.spearman_with(df, ["a", "b"], "c")
+    assert all(abs(few[r.f1, "c"][1] - r.rho) < 1e-9 for r in found.collect())
