@@ -966,7 +966,10 @@ def _quality(spark, sf) -> DataFrame:
     rows = read(spark, sf, "labels").join(docs, "doc_id")
     symbols = F.length("text") - F.length(F.regexp_replace("text", r"[^\w\s.,]", ""))
     made = rows.select(F.col("doc_id").cast("string").alias("__rid"), F.col("quality").cast("double").alias("label"), F.col("n_chars").cast("double").alias("n_chars"), (symbols / F.length("text")).alias("symbols"), "lang")
-    return split.folds(made, "__rid", 3, "label")
+    # texts are read once; models go over the few numbers of a row many times, in as many parts as there are cores, or more where rows are many
+    made = settled(made)
+    parts = max(spark.sparkContext.defaultParallelism, made.count() // 250_000)
+    return settled(split.folds(made, "__rid", 3, "label").repartition(parts, "__rid"))
 
 
 def _fit_query(name: str, family: str):
